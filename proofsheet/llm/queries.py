@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofsheet.llm.byte_bpe import encode_decode
 from proofsheet.llm.common import documents
+from proofsheet.llm.minhash_dedup import near_duplicates
+from proofsheet.llm.packing import best_fit_packing
 from proofsheet.llm.substring_dedup import substring_dedup
 
 
@@ -14,6 +17,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_minhash_dedup": op3_minhash_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_byte_bpe": op7_byte_bpe,
 }
