@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from proofsheet.llm.byte_bpe import encode_decode
 from proofsheet.llm.common import documents
+from proofsheet.llm.line_dedup import line_dedup
 from proofsheet.llm.minhash_dedup import near_duplicates
 from proofsheet.llm.packing import best_fit_packing
+from proofsheet.llm.quality import quality_rules
 from proofsheet.llm.substring_dedup import substring_dedup
 
 
@@ -21,6 +23,16 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +49,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
 }
