@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.llm.byte_bpe import encode_decode
 from proofsheet.llm.common import documents
+from proofsheet.llm.fingerprints import as_text, edited_fingerprints
 from proofsheet.llm.line_dedup import line_dedup
 from proofsheet.llm.minhash_dedup import near_duplicates
 from proofsheet.llm.packing import best_fit_packing
@@ -46,6 +47,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_fingerprints(documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
@@ -53,4 +59,5 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
