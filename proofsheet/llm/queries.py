@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofsheet.llm.byte_bpe import encode_decode
@@ -11,6 +13,7 @@ from proofsheet.llm.fingerprints import as_text, edited_fingerprints
 from proofsheet.llm.line_dedup import line_dedup
 from proofsheet.llm.minhash_dedup import near_duplicates
 from proofsheet.llm.packing import best_fit_packing
+from proofsheet.llm.pii import KINDS, digest, spans_by_document
 from proofsheet.llm.quality import quality_rules
 from proofsheet.llm.substring_dedup import substring_dedup
 
@@ -47,6 +50,17 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _of_kind(kind: str, s: Column) -> Column:
+    return s["kind"] == kind
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans_by_document(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = (F.size(F.filter(base, partial(_of_kind, k))).cast("long").alias(f"n_{k}") for k in KINDS)
+    return out.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(documents(spark, sf_dir))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -59,5 +73,6 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
