@@ -11,6 +11,7 @@ from proofsheet.llm.byte_bpe import encode_decode
 from proofsheet.llm.common import documents
 from proofsheet.llm.fingerprints import as_text, edited_fingerprints
 from proofsheet.llm.line_dedup import line_dedup
+from proofsheet.llm.lm_scoring import lm_scores
 from proofsheet.llm.minhash_dedup import near_duplicates
 from proofsheet.llm.packing import best_fit_packing
 from proofsheet.llm.pii import KINDS, digest, spans_by_document
@@ -66,6 +67,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
@@ -75,4 +80,5 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_lm_scoring": op10_lm_scoring,
 }
