@@ -219,18 +219,31 @@ def find_pii(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", te
     return base.select("*", F.lit(True).alias("base"), F.lit(None).cast("double").alias("score")).unionByName(added)
 
 
-def spans_by_document(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, spans (array of kind, start, end, base in order of kind as listed, then start) for every row."""
+def span_lists(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, spans (array of order, start, end, kind, base; by kind as listed, then start) of texts that have any."""
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
     found = find_pii(docs, threshold, id_col, text_col)
     one = F.struct(rank[F.col("kind")].alias("order"), "start", "end", "kind", "base")
     lists = C.staged(found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(one)).alias("spans")), "spans")
+    return F.broadcast(lists) if C.staged_bytes(lists) <= BROADCAST_BYTES else lists
+
+
+def spans_by_document(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, spans (as in span_lists; empty if there are none) for every row."""
     own = C.source(docs, id_col, text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    beside = F.broadcast(lists) if C.staged_bytes(lists) <= BROADCAST_BYTES else lists
-    both = own.alias("d").join(beside.alias("s"), C.same_row("d", "s"), "left")
+    both = own.alias("d").join(span_lists(docs, threshold, id_col, text_col).alias("s"), C.same_row("d", "s"), "left")
     return both.select("d.doc_id", "d.text_key", F.coalesce("s.spans", F.array()).alias("spans"))
 
 
+def redacted(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every span in the text replaced by its kind in brackets; other columns as they were."""
+    key = F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit("")))
+    on = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.doc_id")) & (key == F.col("s.text_key"))
+    both = docs.alias("d").join(span_lists(docs, threshold, id_col, text_col).alias("s"), on, "left")
+    text = F.col(f"d.`{text_col}`")
+    return both.select(*(F.when(F.col("s.spans").isNull(), text).otherwise(redact(text, F.col("s.spans"))).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns))
+
+
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
