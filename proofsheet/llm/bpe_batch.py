@@ -1,0 +1,103 @@
+"""Merging many short pieces at once: BPE over the columns of equal-length pieces, one merge a piece and round."""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+NONE = np.int32(2**31 - 1)
+
+
+class BatchMerger:
+    """first[b] and last[b]: the starting id of byte b inside a piece and at its end. left, right, made: ids of each
+    pair and of what it becomes, with its rank; of equal pairs the first counts."""
+
+    def __init__(self, first, last, left, right, made, rank):
+        self.first, self.last = np.asarray(first, np.int32), np.asarray(last, np.int32)
+        key = np.asarray(left, np.int64) << 20 | np.asarray(right, np.int64)
+        self.bits = max(10, int(np.ceil(np.log2(len(key) * 8 + 1))))
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.rank = np.full(1 << self.bits, NONE, np.int32)
+        self.made = np.zeros(1 << self.bits, np.int32)
+        rest, at, self.probes = np.arange(len(key)), self.slot(key), 0
+        while len(rest):  # linear probing, all pairs at once
+            self.probes += 1
+            free = self.key[at] == -1
+            _, head = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            put = np.zeros(len(rest), bool)
+            put[head] = free[head]
+            i, k = rest[put], at[put]
+            self.key[k], self.rank[k], self.made[k] = key[i], np.asarray(rank, np.int32)[i], np.asarray(made, np.int32)[i]
+            rest, at = rest[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of pairs; NONE where they never merge."""
+        key = a.astype(np.int64) << 20 | b
+        at = self.slot(key)
+        good = self.key[at] == key
+        rank, made = np.where(good, self.rank[at], NONE), self.made[at]
+        todo = np.flatnonzero(~good & (self.key[at] != -1))
+        for _ in range(self.probes - 1):
+            if not len(todo):
+                break
+            nxt = (at.flat[todo] + 1) & ((1 << self.bits) - 1)
+            at.flat[todo] = nxt
+            hit = self.key[nxt] == key.flat[todo]
+            rank.flat[todo[hit]], made.flat[todo[hit]] = self.rank[nxt[hit]], self.made[nxt[hit]]
+            todo = todo[~hit & (self.key[nxt] != -1)]
+        return rank, made
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (little-endian, unsigned 32-bit) of each piece; none is empty."""
+        out: list[bytes] = [b""] * len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(size[order]) != 0))) if len(pieces) else []
+        for a, b in zip(cuts, [*cuts[1:], len(pieces)]):
+            own = order[a:b]
+            width = int(size[own[0]])
+            chars = np.frombuffer(b"".join([pieces[i] for i in own]), np.uint8).reshape(-1, width)
+            ids = self.first[chars]
+            ids[:, -1] = self.last[chars[:, -1]]
+            self._rounds(ids, own, out)
+        return out
+
+    def _rounds(self, ids: np.ndarray, own: np.ndarray, out: list[bytes]) -> None:
+        rank, made = self.look(ids[:, :-1], ids[:, 1:])
+        while True:
+            width = ids.shape[1]
+            if width > 1:
+                at = rank.argmin(1)
+                rows = np.arange(len(ids))
+                open_ = rank[rows, at] != NONE
+            else:
+                open_ = np.zeros(len(ids), bool)
+            done = np.flatnonzero(~open_)
+            if len(done):
+                data, step = np.ascontiguousarray(ids[done]).astype("<u4").tobytes(), 4 * width
+                for k, i in enumerate(own[done].tolist()):
+                    out[i] = data[k * step:(k + 1) * step]
+            if len(done) == len(ids):
+                return
+            if len(done):
+                ids, rank, made, own, at = ids[open_], rank[open_], made[open_], own[open_], at[open_]
+            rows = np.arange(len(ids))
+            ids[rows, at] = made[rows, at]
+            keep = np.ones(ids.shape, bool)
+            keep[rows, at + 1] = False
+            ids = ids[keep].reshape(len(ids), width - 1)
+            if width == 2:
+                rank = made = np.empty((len(ids), 0), np.int32)
+                continue
+            keep = np.ones(rank.shape, bool)
+            keep[rows, at] = False
+            rank, made = rank[keep].reshape(-1, width - 2), made[keep].reshape(-1, width - 2)
+            for r, where in ((rows[at > 0], at[at > 0] - 1), (rows[at < width - 2], at[at < width - 2])):
+                rank[r, where], made[r, where] = self.look(ids[r, where], ids[r, where + 1])

@@ -16,6 +16,7 @@ rows of their own; an empty table gives an empty result. Other columns are ignor
 from __future__ import annotations
 
 import bisect
+import json
 import sys
 import zlib
 
@@ -26,39 +27,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm import common as C
+from proofsheet.llm.bpe_batch import BatchMerger
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE = 200_000
+CACHE = 300_000  # words and pieces that a Python worker remembers
+LONG = 100  # bytes; longer words go to the library
 BUCKETS = 64
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
+class WordBpe:
+    """The tokenizer of a file, for single words. Latin words (up to U+017F, where lower-casing and NFC are plain) are merged
+    here, since most of the library's time goes into offsets that nobody asks for; other words go to the library."""
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        with open(path) as f:
+            model = json.load(f)
+        split = next(x for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.split = regex.compile(split["pattern"]["Regex"])
+        vocab, suffix = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
+        # byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = iter(range(256, 512))
+        letter = {i: chr(i) if i in plain else chr(next(others)) for i in range(256)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+        left, right, made = ([vocab[t] for t in side] for side in (*zip(*pairs), ["".join(m) for m in pairs]))
+        first, last = [vocab[letter[i]] for i in range(256)], [vocab[letter[i] + suffix] for i in range(256)]
+        self.merger = BatchMerger(first, last, left, right, made, range(len(pairs)))
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, unsigned 32-bit) of each word."""
+        cut: list[list[bytes] | bytes] = []
+        for w in words:
+            if w.isalpha() and len(w) <= LONG:  # ASCII letters
+                cut.append([w.lower()])
+                continue
+            text = w.decode()
+            if len(w) > LONG or max(text) > "\u017f" or "\u0130" in text:
+                cut.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                cut.append([p.encode() for p in self.split.findall(text.lower())])
+        new = list({p for c in cut if type(c) is list for p in c}.difference(self.pieces))
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces.clear()
+            new = list({p for c in cut if type(c) is list for p in c})
+        self.pieces.update(zip(new, self.merger.merge(new)))
+        get = self.pieces.__getitem__
+        return [c if type(c) is bytes else b"".join(map(get, c)) for c in cut]
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table that has at least these words."""
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = words
+        new = list(new)
+        self.words.update(zip(new, self.encode(new)))
+        return self.words
+
+
 def cut_batches(path: str, end_id: int, size: int, keep_ids: bool):
     """White space never joins tokens of this vocabulary, so the words of a text are encoded one by one and remembered."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
         own = C.worker_cache("word_bpe")
         if getattr(own, "made_from", None) != path:
-            own.tokenizer, own.known, own.made_from = Tokenizer.from_file(path), {}, path
-            own.tokenizer.encode_special_tokens = True
-        known, end = own.known, np.array([end_id], "<u4").tobytes()
+            own.bpe, own.made_from = WordBpe(path), path
+        end = np.array([end_id], "<u4").tobytes()
         for batch, texts in C.rows_of(batches):
+            split = [t.split() for t in texts]
+            known = own.bpe.learn({w for words in split for w in words})
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts):
-                words = text.split()
-                new = list(set(words).difference(known))
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(set(words))
-                for i in range(0, len(new), 1000):
-                    part = new[i:i + 1000]
-                    for w, e in zip(part, own.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
+            for doc, words in zip(batch.column(0).to_pylist(), split):
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at:at + 4 * size]
