@@ -9,9 +9,11 @@ the whole sequence is its one shingle; without words it is empty and linked with
 3. In each band bucket all representatives are compared with one pivot: a bucket of n makes n - 1 pairs. Pairs
    whose signatures agree too little for the threshold are dropped (probability below 1e-12 for a true link), and
    the rest are verified on full sets; the shared pivot's set is held once while its partners stream past.
-4. Components are built from the links. Only pairs in one bucket and still in different components can matter, so
-   round 2 compares them with one other pivot a bucket, and the last round with each other, whatever is left.
-   Nothing is capped.
+4. Components are built from the links. Only pairs in one bucket and still in different components can matter.
+   Round 2 compares such members with one other pivot a bucket. The rest is settled exactly without pairing whole
+   buckets: among the members of buckets that still hold several components, each document's shingles are put in
+   one order, rare ones first, and two similar documents must share one early in both orders. Only documents that
+   do become pairs, so a crowd of copies that all differ too much yields none. Nothing is capped.
 
 Defined results: null and empty texts have no shingles and are their own component; rows with equal doc_id and text
 fall in one class; rows with null doc_id take part in no class and have a null component. Empty tables give empty
@@ -25,7 +27,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm import common as C
@@ -167,6 +169,41 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, p
     return C.staged(C.map_arrow(dealt, verify_sorted(words, percent), "a long, b long"), "links")
 
 
+TOKENS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("token", pa.int64())])
+
+
+def token_batches(words: int):
+    def run(batches):
+        for batch, texts in C.rows_of(batches, 1 << 20):
+            value, cuts = shingles(texts, words)
+            times = np.diff(cuts)
+            yield C.record(TOKENS, *(np.repeat(batch.column(i).to_numpy(), times) for i in range(3)), value.view(np.int64))
+
+    return run
+
+
+def _early_sharers(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, n, part) in different parts that can be similar, by prefix and position.
+
+    Put every document's shingles in one order. If x is not larger than y and they are similar, their first common
+    shingle lies so early in both that what follows can still make up the overlap. Shingles that only one member has
+    come first in the order and match nothing, so they need not be joined, only counted.
+    """
+    own = texts.join(_beside(members), texts.doc_id == members.rep).select("rep", "n", "part", "text")
+    tokens = C.map_arrow(own, token_batches(words), "rep long, n long, part long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("part").alias("low"), F.max("part").alias("high"))
+    often = often.filter("times > 1").select("token", "times", (F.col("low") < F.col("high")).alias("mixed"))
+    order = Window.partitionBy("rep").orderBy("times", "token")
+    whole = Window.partitionBy("rep")
+    placed = tokens.join(often, "token").withColumn("rank", F.dense_rank().over(order))
+    placed = placed.withColumn("at", F.col("n") - F.max("rank").over(whole) + F.col("rank") - 1).filter("mixed")
+    placed = C.staged(placed.filter(f"100 * at <= (100 - {percent}) * n").select("rep", "n", "part", "token", "at"), "placed")
+    small = placed.filter(f"{100 + percent} * (n - at) >= {2 * percent} * n")
+    large = placed.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("at").alias("place"))
+    fits = f"part <> other and n <= m and 100 * n >= {percent} * m and {100 + percent} * least(n - at, m - place) >= {percent} * (n + m)"
+    return small.join(large, "token").filter(fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id is the least of its component) of every row.
 
@@ -200,16 +237,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = crowd.join(_beside(parts), crowd.rep == parts.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("key"))
         split = split.filter("low < high").select("bucket", F.col("key").bitwiseXOR(F.col("bucket")).alias("pivot"))
-        open_ = C.staged(named.join(split, "bucket"), "open")
         if rest:
-            other = open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-            pairs = open_.join(other, "bucket").filter("part < other").filter(fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+            members = C.staged(named.join(split, "bucket").select("rep", "n", "part").distinct(), "open")
+            pairs = _early_sharers(members, alone, words, percent)
         else:
             of_pivot = named.select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("part").alias("other"))
-            pairs = open_.join(of_pivot, ["bucket", "pivot"]).filter("part <> other").filter(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+            pairs = named.join(split.join(of_pivot, ["bucket", "pivot"]), "bucket").filter("part <> other").filter(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         pairs = C.staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tried = tried.unionByName(pairs)
         links = _verified(pairs, reps, alone, words, percent, least)
         if not links.isEmpty():
