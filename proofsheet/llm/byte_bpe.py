@@ -23,11 +23,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from proofsheet.llm import common as C
+from proofsheet.llm.bpe_batch import BatchMerger
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAF = 64
-CACHE = 150_000
+CACHE = 200_000  # pieces that a Python worker remembers
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,6 +94,13 @@ class Bpe:
             i = end[i]
         return out
 
+    def table(self) -> BatchMerger:
+        """For short pieces, many at a time: every way to cut a token into two tokens is a merge of its rank."""
+        cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        left, right, rank = zip(*cuts)
+        letters = [self.ranks[bytes([i])] for i in range(256)]
+        return BatchMerger(letters, letters, left, right, rank, rank)
+
     def stays(self, a: int, b: int) -> bool:
         """Whether tokens a, b are the encoding of their own bytes."""
         key = (a, b)
@@ -133,30 +141,33 @@ def code_batches(path: str, pattern: str):
         own = C.worker_cache("byte_bpe")
         if getattr(own, "made_from", None) != (path, pattern):
             own.bpe, own.split, own.known = Bpe(load_ranks(path)), regex.compile(pattern), {}
+            own.merger = own.bpe.table()
             own.names = {str(i): t for t, i in own.bpe.ranks.items()}
             own.made_from = (path, pattern)
         bpe, split, known, names = own.bpe, own.split, own.known, own.names
         for batch, texts in C.rows_of(batches):
             count, ids, back = [], [], []
-            for text in texts:
-                pieces = split.findall(text.decode())
-                for p in set(pieces).difference(known):
-                    if len(known) > CACHE and len(p) < 1000:
-                        known.clear()
-                        break
-                parts = []
-                for p in pieces:
-                    x = known.get(p)
-                    if x is None:
-                        x = " ".join(map(str, bpe.encode(p.encode())))
-                        if len(p) < 1000:
-                            known[p] = x
-                    parts.append(x)
+            split_texts = [split.findall(t.decode()) for t in texts]
+            need = {p for pieces in split_texts for p in pieces}
+            new = need.difference(known)
+            if len(known) + len(new) > CACHE:
+                known.clear()
+                new = need
+            coded = {p: p.encode() for p in new}
+            short = [p for p, b in coded.items() if len(b) <= bpe.leaf]
+            for p, x in zip(short, own.merger.merge([coded[p] for p in short])):
+                known[p] = " ".join(map(str, memoryview(x).cast("I")))
+            long = {p: " ".join(map(str, bpe.encode(b))) for p, b in coded.items() if len(b) > bpe.leaf}
+            known.update(long)
+            for pieces in split_texts:
+                parts = map(known.__getitem__, pieces)
                 line = " ".join(parts)
                 tokens = line.split(" ") if line else []
                 count.append(len(tokens))
                 ids.append(line)
                 back.append(b"".join(map(names.__getitem__, tokens)))
+            for p in long:  # of any length, and rarely met again
+                del known[p]
             yield C.record(CODED, batch.column(0), count, ids, back)
 
     return run

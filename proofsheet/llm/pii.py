@@ -59,7 +59,7 @@ def _passes(generator: Column, match: Column) -> Column:
     """Whether a base match passes its check."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     n = F.length(digits)
-    part = "0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
     return (
         F.when(generator == "email", F.lit(True))
         .when(generator == "ip", match.rlike(rf"^{part}\.{part}\.{part}\.{part}$"))
