@@ -81,3 +81,45 @@ def weak_fields(sources: DataFrame, keys: list[str], value: str = "value", confi
     best = F.max_by(F.col(confidence), F.when(has, F.coalesce(F.col(confidence), F.lit(1.0))))
     out = sources.groupBy(*keys).agg(F.count_if(has).alias("reads"), best.alias("best"))
     return out.select(*keys, F.when(F.col("reads") == 0, "unread").when(F.col("best") < least, "low-confidence").alias("weak"))
+
+
+def card_packets(resolved: DataFrame, roster: DataFrame, packets: DataFrame) -> DataFrame:
+    """card_id, packet, reason: the packet an exact card belongs to, by the row's 12-digit id; the reason is the first test that fails.
+
+    resolved: card_id, state, matched_row; roster: row, cccd; packets: packet, cccd.
+    """
+    ids = roster.select(F.col("row").alias("matched_row"), T.digits(F.col("cccd")).alias("id"))
+    alone = packets.select("packet", T.digits(F.col("cccd")).alias("id")).filter("id <> ''").groupBy("id").agg(F.count("*").alias("n"), F.min("packet").alias("packet"))
+    both = resolved.join(ids, "matched_row", "left").join(alone, "id", "left")
+    reason = F.when(F.col("state") != "exact", "not-exact").when(F.coalesce(F.length("id"), F.lit(0)) != 12, "row-id-unusable").when(F.col("n").isNull(), "no-packet").when(F.col("n") > 1, "several-packets")
+    return both.select("card_id", F.when(reason.isNull(), F.col("packet")).alias("packet"), reason.alias("reason"))
+
+
+def sheet_evidence(drawings: DataFrame, people: DataFrame, roster: DataFrame, packets: DataFrame) -> DataFrame:
+    """drawing_id, packet, reason: screenshots by the person on the row of their own sheet that their centre lies in.
+
+    drawings: drawing_id, sheet, center_row; people: sheet, row, cccd, mst, name; roster: row, cccd, mst, name; packets: packet, cccd.
+    """
+    from proofsheet.operators.matching import key_cascade
+
+    p = people.select("sheet", F.col("row").alias("center_row"), T.digits(F.col("cccd")).alias("k1"), T.digits(F.col("mst")).alias("k2"), T.fold_accents(F.col("name")).alias("k3"))
+    placed = drawings.select("drawing_id", "sheet", "center_row").join(p, ["sheet", "center_row"], "left")
+    keys = [("cccd", F.col("k1"), T.digits(F.col("cccd"))), ("mst", F.col("k2"), T.digits(F.col("mst"))), ("name", F.col("k3"), T.fold_accents(F.col("name")))]
+    named = key_cascade(placed, roster.withColumn("id", T.digits(F.col("cccd"))), keys, "row", ["id"], "drawing_id")
+    rows = roster.groupBy(T.digits(F.col("cccd")).alias("id")).agg(F.count("*").alias("rows"))
+    alone = packets.groupBy(T.digits(F.col("cccd")).alias("id")).agg(F.count("*").alias("packets"), F.min("packet").alias("packet"))
+    both = named.join(rows, "id", "left").join(alone, "id", "left")
+    nobody = F.concat_ws("", "k1", "k2", "k3") == ""
+    reason = F.when(nobody, "no-person-on-row").when(F.col("method") == "unmatched", "not-on-roster").when(F.coalesce("id", F.lit("")) == "", "row-without-id").when(F.col("rows") > 1, "shared-id").when(F.col("packets").isNull(), "no-packet").when(F.col("packets") > 1, "several-packets")
+    return both.select("drawing_id", F.when(reason.isNull(), F.col("packet")).alias("packet"), reason.alias("reason"))
+
+
+def evidence_summary(attributed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, attached, refused, reasons (distinct, ascending)."""
+    return attributed.groupBy(*keys).agg(F.count("packet").alias("attached"), F.count("reason").alias("refused"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def cards_by_packet(packets: DataFrame, cards: DataFrame) -> DataFrame:
+    """A row per packet and card: packets without cards and cards of no known packet (floating) included."""
+    p, c = packets.select(F.col("packet").alias("p")), cards.select("card_id", F.col("packet").alias("q"))
+    return p.join(c, F.col("p") == F.col("q"), "full_outer").select(F.col("p").alias("packet"), "card_id", (F.col("p").isNull() & F.col("card_id").isNotNull()).alias("floating"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
 from proofsheet.functions import text as T
 
@@ -124,3 +124,46 @@ def settled_total(digits: Column, words: Column, repairs: Column) -> Column:
     amount = F.when(d.isNotNull() & words.isNotNull(), F.when(d == words, d)).otherwise(F.coalesce(d, words))
     reason = F.when(d.isNull() & words.isNull(), "no-amount-on-the-line").when(words.isNull(), "digits-only").when(d.isNull(), "words-only").when(d == words, "digits-and-words-agree").otherwise("digits-and-words-disagree")
     return F.struct(amount.alias("amount"), reason.alias("reason"), fixed.alias("repaired"))
+
+
+@F.pandas_udf(StructType().add("start", IntegerType()).add("words", IntegerType()).add("ratio", DoubleType()))
+def best_window(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """The run of words of a folded text that is most like a folded quote (8 to 60 words, two more or fewer), if it is at least 0.9 alike and has the same digits; else nulls.
+
+    Cheap upper bounds come first: the length, then the letters that both have.
+    """
+    import re
+    from difflib import SequenceMatcher
+
+    def of(text: str | None, quote: str | None) -> tuple[int | None, int | None, float | None]:
+        t, q = (text or "").split(), (quote or "").split()
+        best: tuple[float, int, int] = (0.0, 0, 0)
+        if not 8 <= len(q) <= 60:
+            return None, None, None
+        whole, digits = " ".join(q), re.sub("[^0-9]", "", quote or "")
+        match = SequenceMatcher(None, "", whole, autojunk=False)
+        for size in range(max(1, len(q) - 2), len(q) + 3):
+            for at in range(len(t) - size + 1):
+                window = " ".join(t[at:at + size])
+                match.set_seq1(window)
+                least = max(0.9, best[0])
+                if match.real_quick_ratio() > least and match.quick_ratio() > least and (r := match.ratio()) > best[0] and r >= 0.9 and re.sub("[^0-9]", "", window) == digits:
+                    best = (r, at, size)
+        return (best[1], best[2], best[0]) if best[0] else (None, None, None)
+
+    return pd.DataFrame([of(a, b) for a, b in zip(text, quote)], columns=["start", "words", "ratio"]).astype({"start": "Int32", "words": "Int32", "ratio": "Float64"})
+
+
+def parts_coverage(parts: list[str], reads: Column) -> Column:
+    """found, missing, unplaced (in declared order) and coverage of a document's required parts.
+
+    reads: map of part to struct(value, located). A value that could not be placed on the page is not found.
+    """
+    declared = F.array(*map(F.lit, parts))
+    has = lambda p: F.trim(T.text_of(reads[p]["value"])) != ""
+    placed = lambda p: F.coalesce(reads[p]["located"], F.lit(False))
+    found = F.filter(declared, lambda p: has(p) & placed(p))
+    unplaced = F.filter(declared, lambda p: has(p) & ~placed(p))
+    missing = F.filter(declared, lambda p: ~has(p))
+    coverage = F.when(F.size(found) == len(parts), "complete").when(F.size(found) == 0, "none").otherwise("partial")
+    return F.struct(found.alias("found"), missing.alias("missing"), unplaced.alias("unplaced"), coverage.alias("coverage"))

@@ -191,3 +191,52 @@ def union_box(line: Column) -> Column:
     """The box around words (structs with x, y, w, h)."""
     x, y = F.array_min(F.transform(line, lambda w: w["x"])), F.array_min(F.transform(line, lambda w: w["y"]))
     return F.struct(x.alias("x"), y.alias("y"), (F.array_max(F.transform(line, lambda w: w["x"] + w["w"])) - x).alias("width"), (F.array_max(F.transform(line, lambda w: w["y"] + w["h"])) - y).alias("height"))
+
+
+def recurrence_scores(bands: DataFrame, key: str, item: str, band: str) -> DataFrame:
+    """key, item, score: how much an item looks like its likeliest fellows, the sum of its top normalised correlations
+    (a twentieth of its group, three at least, itself left out). Groups are the pages of one submission."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(bands.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf[band].tolist(), np.float64)
+        v = v - v.mean(1, keepdims=True)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        k = min(max(3, len(v) // 20), max(len(v) - 1, 0))
+        out = np.zeros(len(v))
+        for a in range(0, len(v), 256):  # a block of rows at a time
+            sim = v[a:a + 256] @ v.T
+            sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -np.inf
+            out[a:a + 256] = np.sort(sim, 1)[:, len(v) - k:].sum(1) if k else 0.0
+        return pd.DataFrame({key: pdf[key], item: pdf[item], "score": out})
+
+    return bands.select(key, item, band).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, score double")
+
+
+def implausible_structure(covers: Column, pages: Column, expected: Column) -> Column:
+    """More than twice as many covers as people, or more than one in four pages."""
+    return F.coalesce(covers > 2 * expected, F.lit(False)) | (covers > pages / 4)
+
+
+def coarse_label(is_cover: Column, aspect: Column, ink: Column) -> Column:
+    return F.when(is_cover, "cover").when(aspect > 1.15, "landscape").when(ink >= 0.002, "text").otherwise("blank")
+
+
+def packet_flags(length: Column, score: Column, threshold: Column, expected: Column, packet: Column) -> Column:
+    """Signs of a doubtful packet, in a fixed order."""
+    return F.array_compact(F.array(F.when(F.abs(score - threshold) < 0.05, "near-threshold"), F.when(~length.between(5, 12), "length-out-of-range"), F.when(packet >= expected, "no-roster-match")))
+
+
+def packet_filename(packet: Column, name: Column, start: Column, end: Column) -> Column:
+    """0001-an-le_p3-9.pdf: number and pages from one, the name folded, unnamed if there is none."""
+    person = T.slug(name)
+    return F.concat(F.lpad((packet + 1).cast("string"), 4, "0"), F.lit("-"), F.when(person == "", "unnamed").otherwise(person), F.lit("_p"), (start + 1).cast("string"), F.lit("-"), (end + 1).cast("string"), F.lit(".pdf"))
+
+
+def missing_numbers(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """keys, missing: the gaps in running numbers from 1 to the largest, as rows (low, high), found between neighbours."""
+    steps = rows.select(*keys, F.col(number).cast("long").alias("high")).distinct().withColumn("low", F.coalesce(F.lag("high").over(Window.partitionBy(*keys).orderBy("high")), F.lit(0)))
+    return steps.filter("high - low > 1").select(*keys, (F.col("low") + 1).alias("low"), (F.col("high") - 1).alias("high"))

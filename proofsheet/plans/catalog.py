@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
 from proofsheet.functions import values as V
-from proofsheet.operators import cards, components, matching, quotes, review, roster, segments, status
+from proofsheet.operators import cards, components, evaluate, matching, quotes, review, roster, segments, status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -312,6 +312,47 @@ def money_cells(spark, sf_dir):
     return o.select("o_orderkey", "whole", F.replace(V.grouped(F.col("whole")), F.lit(","), F.lit("")).alias("plain"))
 
 
+@query("""WITH u AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(embedding, lambda y: CAST(y AS DOUBLE)))) AS c FROM embeddings),
+ n AS (SELECT label, vec_id, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS v, greatest(3, count(*) OVER (PARTITION BY label) // 20) AS k FROM u),
+ p AS (SELECT a.label, a.vec_id, a.k, list_inner_product(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC) AS r FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id)
+ SELECT label, vec_id, round(sum(s), 4) AS score FROM p WHERE r <= k GROUP BY label, vec_id""")
+def recurrence_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    return segments.recurrence_scores(e, "label", "vec_id", "embedding").select("label", "vec_id", F.round("score", 4).alias("score"))
+
+
+@query("""SELECT o_custkey, low, high FROM (SELECT o_custkey, coalesce(lag(n) OVER (PARTITION BY o_custkey ORDER BY n), 0) + 1 AS low, n - 1 AS high FROM (SELECT DISTINCT o_custkey, CAST(o_orderkey % 50 + 1 AS BIGINT) AS n FROM orders)) WHERE high >= low""")
+def missing_numbers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 50 + 1).alias("n"))
+    return segments.missing_numbers(o, ["o_custkey"], "n")
+
+
+CRITERIA_SQL = """WITH x AS (SELECT o_orderkey, o_custkey % 7 <> 0 AS matched, CAST(round(o_totalprice) AS BIGINT) AS gross, CAST(round(o_totalprice) AS BIGINT) // 10 AS pit, o_orderkey % 5 = 0 AS off, o_orderkey % 3 = 0 AS contract, o_orderkey % 4 = 0 AS pledge FROM orders) """
+
+
+@query(CRITERIA_SQL + " UNION ALL ".join(f"SELECT o_orderkey, {n} AS stt, {s} AS status FROM x" for n, s in (
+    (16, "CASE WHEN NOT matched THEN 'pending' WHEN gross - pit + off::INT > 0 THEN 'ok' ELSE 'no' END"),
+    (17, "CASE WHEN NOT matched THEN 'pending' WHEN off THEN 'no' ELSE 'ok' END"),
+    (18, "CASE WHEN pledge THEN 'rv' ELSE 'na' END"),
+    (21, "CASE WHEN contract THEN 'rv' ELSE 'missing' END"),
+    (6, "'missing'"),
+    (12, "'pending'"),
+)))
+def criteria_matrix(spark, sf_dir):
+    """Orders as packets, customers as their roster rows; documents and amounts follow from the keys."""
+    o = table(spark, sf_dir, "orders")
+    gross = F.round("o_totalprice").cast("long")
+    pit, off = F.expr("cast(round(o_totalprice) as bigint) div 10"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
+    amounts = F.create_map(F.lit("gross"), gross.cast("string"), F.lit("pit"), pit.cast("string"), F.lit("net"), (gross - pit + off).cast("string"))
+    key = [F.lit("all").alias("case_id"), F.col("o_orderkey").alias("packet")]
+    packets = o.select(*key, (F.col("o_custkey") % 7 != 0).alias("matched"), amounts.alias("roster"))
+    kinds = F.array_compact(F.array(F.when(F.col("o_orderkey") % 3 == 0, "contract"), F.when(F.col("o_orderkey") % 4 == 0, "commitment")))
+    documents = o.select(*key, F.explode(kinds).alias("kind")).withColumn("doc_id", F.col("kind"))
+    sources = documents.select("case_id", "packet", F.lit("hoten").alias("field_key"), "doc_id", F.lit("An").alias("value"))
+    results = evaluate.criterion_results(evaluate.evaluate(packets, documents, sources))
+    return results.filter("stt in (6, 12, 16, 17, 18, 21)").select(F.col("packet").alias("o_orderkey"), "stt", "status")
+
+
 @query()
 def fuzzy_ratio(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.col("p_type").alias("k")).distinct()

@@ -220,3 +220,47 @@ def test_review_lists(spark):
     assert rows.columns == list(review.REPORT) and rows.count() == 2
     text = review.markdown(a, ["case_id"], F.concat(F.lit("- "), "item"), ["packet"]).first().text
     assert text == "- x"
+
+
+def test_card_packets_and_sheet_evidence(spark):
+    resolved = spark.createDataFrame([("k1", "exact", 0), ("k2", "suggested", 0), ("k3", "exact", 1), ("k4", "exact", 2)], "card_id string, state string, matched_row int")
+    people = spark.createDataFrame([(0, "012345678901", "1", "An"), (1, "123", "2", "Binh"), (2, "012345678903", "3", "Chi")], "row int, cccd string, mst string, name string")
+    packets = spark.createDataFrame([(0, "012345678901"), (1, "012345678903"), (2, "012345678903")], "packet int, cccd string")
+    got = {r.card_id: (r.packet, r.reason) for r in cards.card_packets(resolved, people, packets).collect()}
+    assert got == {"k1": (0, None), "k2": (None, "not-exact"), "k3": (None, "row-id-unusable"), "k4": (None, "several-packets")}
+    sheet_people = spark.createDataFrame([("s", 4, "012345678901", "", ""), ("s", 5, "", "3", ""), ("s", 6, "", "", "")], "sheet string, row int, cccd string, mst string, name string")
+    drawings = spark.createDataFrame([("d1", "s", 4), ("d2", "s", 5), ("d3", "s", 6), ("d4", "t", 4)], "drawing_id string, sheet string, center_row int")
+    found = cards.sheet_evidence(drawings, sheet_people, people, packets)
+    assert {r.drawing_id: (r.packet, r.reason) for r in found.collect()} == {"d1": (0, None), "d2": (None, "several-packets"), "d3": (None, "no-person-on-row"), "d4": (None, "no-person-on-row")}
+    total = cards.evidence_summary(found.withColumn("c", F.lit(1)), ["c"]).first()
+    assert (total.attached, total.refused, total.reasons) == (1, 3, ["no-person-on-row", "several-packets"])
+    linked = cards.cards_by_packet(packets, spark.createDataFrame([("k1", 0), ("k9", 7)], "card_id string, packet int"))
+    assert sorted((str(r.packet), str(r.card_id), r.floating) for r in linked.collect()) == [("0", "k1", False), ("1", "None", False), ("2", "None", False), ("None", "k9", True)]
+
+
+def test_fuzzy_window_and_parts(spark):
+    from proofsheet.operators import quotes
+
+    text = "mot hai ba ben cung cap dich vu thuc hien cong viec theo hop dong so 12 ky ngay"
+    df = spark.createDataFrame([(text, "cung cap dich vu thuc hien cong viec theo hop dong"), (text, "cung cep dich vu thuc hien cong viec theo hop dong"), (text, "cung cap dich vu thuc hien cong viec theo hop dong so 13"), (text, "ngan")], "t string, q string")
+    got = [(r.w.start, r.w.words) if r.w.start is not None else None for r in df.select(quotes.best_window("t", "q").alias("w")).collect()]
+    assert got == [(4, 11), (4, 11), None, None]
+    reads = F.create_map(F.lit("bank"), F.struct(F.lit("x").alias("value"), F.lit(True).alias("located")), F.lit("branch"), F.struct(F.lit("y").alias("value"), F.lit(False).alias("located")))
+    x = spark.range(1).select(quotes.parts_coverage(["bank", "branch", "province"], reads).alias("x")).first().x
+    assert (x.found, x.missing, x.unplaced, x.coverage) == (["bank"], ["province"], ["branch"], "partial")
+
+
+def test_batch_results(spark):
+    found = spark.createDataFrame([("a", "duplicate-cccd"), ("b", "total-mismatch-net"), ("c", "no-total-row")], "case_id string, code string")
+    every = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "case_id string, has_roster boolean")
+    packets = spark.createDataFrame([("a", 0, "1", "x"), ("a", 1, "1", "y"), ("b", 0, "1", "x"), ("c", 0, "", "")], "case_id string, packet int, cccd string, name string")
+    got = {(r.case_id, r.stt): r.status for r in evaluate.batch_results(found, every, packets).collect()}
+    assert [got[c, 20] for c in "abcd"] == ["ok", "no", "pending", "pending"] and [got[c, 30] for c in "abcd"] == ["no", "ok", "ok", "pending"]
+    assert [got[c, 31] for c in "abcd"] == ["no", "ok", "rv", "pending"] and {got[c, 26] for c in "abcd"} == {"rv"} and {got[c, 32] for c in "abcd"} == {"pending"}
+
+
+def test_packet_names_and_gaps(spark):
+    name = spark.range(1).select(segments.packet_filename(F.lit(0), F.lit("Lê Văn Đức"), F.lit(2), F.lit(8)).alias("x")).first().x
+    assert name == "0001-le-van-duc_p3-9.pdf"
+    gaps = segments.missing_numbers(spark.createDataFrame([(0, 2), (0, 3), (0, 7)], "k int, n int"), ["k"], "n")
+    assert sorted((r.low, r.high) for r in gaps.collect()) == [(1, 1), (4, 6)]
