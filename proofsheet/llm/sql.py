@@ -12,6 +12,15 @@ OP1 = f"""WITH w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
  sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p))), ' '), '') END) AS kept_sha256
  FROM w LEFT JOIN g USING (doc_id)"""
 
+OP2 = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ s AS (SELECT doc_id, i, md5(substring(h, 2 * i - 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 48)) AS i FROM b WHERE length(h) >= 100)),
+ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM s) WHERE least < doc_id),
+ g AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+ e AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, run),
+ c AS (SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 1) AS before FROM e),
+ k AS (SELECT c.doc_id, string_agg(substring(h, 2 * before - 1, 2 * (a - before)), '' ORDER BY run) AS kept, max(z) AS last, sum(z - a) AS n, count(*) AS spans FROM c JOIN b USING (doc_id) GROUP BY c.doc_id)
+ SELECT b.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substring(h, 2 * last - 1) END)) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)"""
+
 OP3 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -61,6 +70,7 @@ OP6 = f"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1,
+    "op2_suffix_dedup": OP2,
     "op3_minhash_dedup": OP3,
     "op4_quality_rules": OP4,
     "op6_line_dedup": OP6,
