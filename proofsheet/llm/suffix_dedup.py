@@ -38,8 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GRAM = 16
 SHARDS = 64
 ROWS = 2
-SPAN = 1 << 22  # bytes that are scanned at a time
-CHUNK = 1 << 20  # bytes of contexts whose suffixes are sorted at a time
+SPAN = 1 << 20  # bytes that are scanned at a time
+CHUNK = 1 << 19  # bytes of contexts whose suffixes are sorted at a time
 BROADCAST_BYTES = 32 << 20
 LAST = 2**63 - 1
 
@@ -182,7 +182,7 @@ def sketch_batches(width: int, log2: int):
     """Cells that a batch hits, ascending, one or two times each; kept as low and high halves of their differences."""
 
     def run(batches):
-        for _, texts in C.rows_of(batches):
+        for _, texts in C.rows_of(batches, SPAN):
             s = Strings(texts, width)
             first = np.flatnonzero(np.concatenate(([True], np.diff(s.place) != 0))) if len(s.at) else []
             anchors = s.anchor[first]
@@ -255,7 +255,7 @@ def context_batches(width: int, log2: int, sketch):
 
     def run(batches):
         bits = sketch.value
-        for batch, texts in C.rows_of(batches):
+        for batch, texts in C.rows_of(batches, SPAN):
             s = Strings(texts, width)
             hit = np.ones(len(s.at), bool)
             for row in range(ROWS):
@@ -306,7 +306,8 @@ def sort_contexts(width: int):
         several: dict[int, set[bytes]] = {}
         for a, c in zip(anchors, contexts):
             several.setdefault(a, set()).add(c)
-        distinct = [c for group in several.values() if len(group) > 1 for c in group]
+        # contexts that only one document has cannot remove anything from each other
+        distinct = [c for group in several.values() if len(group) > 1 and len({least[c] for c in group}) > 1 for c in group]
         gone = dict(zip(distinct, smaller_elsewhere(distinct, np.array([least[c] for c in distinct], np.int64), width))) if distinct else {}
         out = []
         for (_, doc, key, starts, context, _), over in zip(rows, later):
@@ -345,6 +346,21 @@ def sort_contexts(width: int):
     return run
 
 
+def merge_spans(batches):
+    """The spans of each document as few as possible: ascending, none touching another."""
+    for batch in batches:
+        out = []
+        for doc, key, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            pairs = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            end = np.maximum.accumulate(pairs.sum(1))
+            head = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] > end[:-1])))
+            last = np.concatenate((head[1:], [len(pairs)])) - 1
+            out.append((doc, key, np.stack([pairs[head, 0], end[last] - pairs[head, 0]], 1).astype(np.int32).tobytes()))
+        if out:
+            yield C.record(SPANS, *map(list, zip(*out)))
+
+
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -356,7 +372,7 @@ def strip(width: int):
                 if not parts:
                     out.append((len(text), 0, 0, text))
                     continue
-                pairs = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
+                pairs = np.frombuffer(parts, np.int32).reshape(-1, 2).astype(np.int64)
                 cover = np.zeros(len(text) + 1, np.int64)
                 np.add.at(cover, pairs[:, 0], 1)
                 np.add.at(cover, pairs[:, 0] + pairs[:, 1] + width - 1, -1)
@@ -380,7 +396,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = C.map_arrow(keyed, context_batches(width, log2, sketch), PARTS_SQL)
     dealt = parts.repartition(C.shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor")
     found = dealt.mapInArrow(sort_contexts(width), "doc_id long, text_key long, spans binary")
-    spans = C.staged(found.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")), "spans")
+    listed = found.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+    spans = C.staged(listed.mapInArrow(merge_spans, "doc_id long, text_key long, spans binary"), "spans")
+    sketch.destroy()  # from here on the staged files are read
     right = F.broadcast(spans) if C.staged_bytes(spans) <= broadcast_bytes else spans
     both = keyed.alias("d").join(right.alias("s"), C.same_row("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
     return C.map_arrow(both, strip(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
