@@ -3,8 +3,8 @@
 A document's set is its distinct `words`-word shingles (as 64-bit hashes) after lower-casing A-Z; with fewer words
 the whole sequence is its one shingle; without words it is empty and linked with nothing.
 
-1. Signatures: `bands` * `rows` minima of universal hashes. 20 bands of 4 lose a pair of similarity 0.85 with
-   probability 4e-7, and one of higher similarity with less.
+1. Signatures: `bands` * `rows` minima of universal hashes. There are so many bands of `rows` that a pair at the
+   threshold shares none with probability below 1e-6 (20 at 0.85: 4e-7; 27 at 0.8: 7e-7), more similar ones less.
 2. Documents with equal sets are one class, represented by its least doc_id; copies never become pairs.
 3. In each band bucket all representatives are compared with one pivot: a bucket of n makes n - 1 pairs. Pairs
    whose signatures agree too little for the threshold are dropped (probability below 1e-12 for a true link), and
@@ -22,6 +22,7 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -204,12 +205,14 @@ def _early_sharers(members: DataFrame, texts: DataFrame, words: int, percent: in
     return small.join(large, "token").filter(fits).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 20, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int | None = None, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id is the least of its component) of every row.
 
     Documents are linked if 100 * intersection >= percent * union of their sets.
     """
     texts = C.source(docs, id_col, text_col)
+    if bands is None:
+        bands = min(256 // rows, max(20, math.ceil(math.log(1e-6) / math.log(1 - min(0.999, percent / 100) ** rows))))
     hashes = bands * rows
     # seven standard deviations below what a link at the threshold expects
     p = percent / 100
