@@ -31,7 +31,7 @@ from proofsheet.llm.bpe_batch import BatchMerger
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE = 300_000  # words and pieces that a Python worker remembers
+CACHE = 200_000  # words that a Python worker remembers, and half as many pieces
 LONG = 100  # bytes; longer words go to the library
 BUCKETS = 64
 
@@ -45,7 +45,6 @@ class WordBpe:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
         with open(path) as f:
             model = json.load(f)
@@ -60,11 +59,20 @@ class WordBpe:
         left, right, made = ([vocab[t] for t in side] for side in (*zip(*pairs), ["".join(m) for m in pairs]))
         first, last = [vocab[letter[i]] for i in range(256)], [vocab[letter[i] + suffix] for i in range(256)]
         self.merger = BatchMerger(first, last, left, right, made, range(len(pairs)))
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.path, self._library = path, None
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
+    @property
+    def library(self):
+        """The library's tokenizer, loaded when the first word needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True  # their strings are ordinary text
+        return self._library
+
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Ids (little-endian, unsigned 32-bit) of each word."""
         cut: list[list[bytes] | bytes] = []
@@ -72,13 +80,16 @@ class WordBpe:
             if w.isalpha() and len(w) <= LONG:  # ASCII letters
                 cut.append([w.lower()])
                 continue
+            if w[-1] in b".,;:?" and w[:-1].isalpha() and len(w) <= LONG:  # a word and one sign
+                cut.append([w[:-1].lower(), w[-1:]])
+                continue
             text = w.decode()
             if len(w) > LONG or max(text) > "\u017f" or "\u0130" in text:
                 cut.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 cut.append([p.encode() for p in self.split.findall(text.lower())])
         new = list({p for c in cut if type(c) is list for p in c}.difference(self.pieces))
-        if len(self.pieces) + len(new) > CACHE:
+        if len(self.pieces) + len(new) > CACHE // 2:
             self.pieces.clear()
             new = list({p for c in cut if type(c) is list for p in c})
         self.pieces.update(zip(new, self.merger.merge(new)))
@@ -104,7 +115,7 @@ def cut_batches(path: str, end_id: int, size: int, keep_ids: bool):
         if getattr(own, "made_from", None) != path:
             own.bpe, own.made_from = WordBpe(path), path
         end = np.array([end_id], "<u4").tobytes()
-        for batch, texts in C.rows_of(batches):
+        for batch, texts in C.rows_of(batches, 2 << 20):
             split = [t.split() for t in texts]
             known = own.bpe.learn({w for words in split for w in words})
             out = []
