@@ -4,12 +4,13 @@ High-recall generators propose spans, which may overlap: the four base formats (
 checks, and looser forms of each. Base spans always stay. A looser span that overlaps no base span is selected if
 boosted trees over its format and context give it at least `threshold`.
 
-The trees are trained on the corpus itself: a loose candidate is positive if it covers a base span of its kind, so
-the trees learn what checked spans look like and stand among, without seeing the checks themselves. Features are
-small whole numbers, so all training data is a table of (features, positives, negatives), counted over every
-document; its size is bounded by the feature values (`PATTERNS`), and it alone reaches the driver. Boosting fits
-trees of depth two to that table; scores are calibrated to the share of positives on the odd half of documents,
-which the trees never saw. The model becomes a column expression.
+The trees are trained on a fixed labelled sample (`labelled`), made here and independent of the corpus: values of each
+kind in loose spellings among ordinary words, and what looks like them but is none (dates, year ranges, amounts,
+versions, times, order and book numbers, card-like numbers with a wrong check digit). The sample runs through the same
+generators and features as documents. Scores are calibrated on its other half, kind by kind and score level by score
+level (pooled adjacent levels), so neither how often a pattern occurs in the corpus nor how many checked spans there
+are decides on a candidate. Shares are those of the sample: on a corpus they differ as far as its mixture does. Only
+the sample's counted features reach the driver; the model becomes a column expression.
 
 Spans are found by cutting a text at its matches, so positions are running sums over the pieces' lengths, kept per
 document as rows: texts never leave their task, and a text of any length takes linear time. The patterns cannot
@@ -22,9 +23,12 @@ empty table gives an empty result. Positions are code points, ends exclusive. Ot
 
 from __future__ import annotations
 
+import json
 import math
+import random
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm import common as C
@@ -38,15 +42,17 @@ GENERATORS = {
     "ip": ("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("card", r"[0-9]++(?:[ -][0-9]++)*+"),
     "phone": ("phone", r"\+[0-9][ ().0-9-]+[0-9]"),
-    "loose_email": ("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++"),
+    "loose_email": ("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]++(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.| \. )[A-Za-z0-9-]++)++"),
     "loose_ip": ("ip", r"(?:(?<![0-9])|\G)[0-9]++[.:][0-9]++[.:][0-9]++[.:][0-9]++"),
     "loose_card": ("card", r"(?<![0-9])[0-9]++(?:[ .-][0-9]++)*+"),
     "loose_phone": ("phone", r"(?<![0-9])[+(]{0,2}[0-9]++(?:[ ().-]{1,2}[0-9]++)++"),
 }
 BASE = KINDS
 MARKS = "phone|tel|call|fax|mobile|card|visa|iban|account|mail|contact|host|addr|ip"
-FEATURES = ("generator", "size", "groups", "signs", "before", "after", "hint")
-PATTERNS = 200_000
+FEATURES = ("generator", "size", "groups", "signs", "before", "after", "hint", "lead", "first", "last", "date", "check")
+DATE = r"^(?:(?:19|20)[0-9]{2}[ .-][0-9]{1,2}[ .-][0-9]{1,2}(?![0-9])|[0-9]{1,2}[ .-][0-9]{1,2}[ .-](?:19|20)[0-9]{2}(?![0-9])|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2}(?![0-9]))"
+#: Rows of the labelled sample for each spelling.
+SAMPLE = 24
 BROADCAST_BYTES = 8 << 20
 
 
@@ -115,9 +121,88 @@ def with_features(rows: DataFrame) -> DataFrame:
         edge(F.right("before", F.lit(1))).alias("f_before"),
         edge(F.left("after", F.lit(1))).alias("f_after"),
         F.when(F.lower("before").rlike(rf"\b(?:{MARKS})\b"), 1).otherwise(0).alias("f_hint"),
+        F.coalesce(F.expr("try_cast(regexp_extract(match, '[0-9]', 0) as int)"), F.lit(-1)).alias("f_lead"),
+        F.least(F.length(F.regexp_extract("match", "[0-9]+", 0)), F.lit(7)).alias("f_first"),
+        F.least(F.length(F.regexp_extract("match", "[0-9]+$", 0)), F.lit(7)).alias("f_last"),
+        F.col("match").rlike(DATE).cast("int").alias("f_date"),
+        _sound(F.col("kind"), F.col("match")).cast("int").alias("f_check"),
     )
 
 
+def _sound(kind: Column, match: Column) -> Column:
+    """What a value of its kind has in any spelling: a card's check digit, an address's parts with a dot among their signs, a mail host's end in letters."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    return (
+        F.when(kind == "email", match.rlike("[A-Za-z]{2,}$"))
+        .when(kind == "ip", match.rlike(rf"^{part}(?:[.:]{part}){{3}}$") & F.contains(match, F.lit(".")))
+        .when(kind == "card", F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False))
+        .otherwise(False)
+    )
+
+
+#: kind -> spellings (# is any digit) of values, and of what is none; `card` values end in the right check digit.
+VALUES = {
+    "phone": ("(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "(0##) #### ####", "0## #######", "0### ######", "00## ## #######", "0# ## ## ## ##", "(##) ####-####", "1-###-###-####", "0### ### ###"),
+    "card": ("4###.####.####.####", "5###.####.####.####", "34## ###### #####", "37## ###### #####", "37##-######-#####", "36## ###### ####", "37#############", "4### ### ### ###"),
+    "email": ("w@ [at] w@ [dot] com", "w@[at]w@.org", "w@(at)w@.com", "w@ @ w@.net", "w@ (at) w@ (dot) de", "w@.w@[at]w@[dot]co[dot]uk", "w@ [at] w@.com", "w@ @ w@ . com",
+              "w@## [at] w@# [dot] com", "w@.#[at]w@.org", "w@##(at)w@##.com", "w@#### @ w@.net", "w@### (at) w@### (dot) de", "w@#### [at] w@## [dot] org"),
+    "ip": ("1##.1#:1#.1#", "10.##.#:1##", "192.168:#.##", "1#:1##.##.#"),
+}
+NONE = (
+    "20##-0#-1#", "20##-1#-2#", "1#.0#.20##", "2#-1#-19##", "20##-0#-2# 1#", "1# 0# 20## 1#", "0#.0#.20##", "0#-1#-20## 1#", "19##-20##", "20## - 20##",
+    "978-#-##-######-#", "978-#-####-####-#", "978##########", "#.###.###.###", "## ### ###", "### ### ### ###", "##.###.###", "#.########", "####.####", "########.##", "##.#.####.###", "3## ## #### ##",
+    "####-####-####", "#####-####", "###-##-####", "##-#######", "## ## ## ## ## ##", "1# 2# 3# 4# 5#", "17###########", "################", "#### #### #### ####", "####.####.####.####", "###############", "####-######-#####",
+    "1#:2#:3#:4#", "#:#:#:##", "0#:3#:1#:2#", "##.##.#.####", "9##:8##.7##.6##", "# @ #.##", "## @ ##.#", "w@ @ ##.###", "w@(at)w@.0", "w@[at]w@.1#",
+)
+BEFORE = ("", "and ", "(", "the w@ ", "w@, ", "w@\n", "w@. ", "| ", "w@: ", '"')
+AFTER = ("", " w@", ".", ",", ")", "\n", " and w@", ";", " |", '"')
+
+
+def labelled(each: int = SAMPLE) -> list[dict]:
+    """The labelled sample: id, text, kind (empty if there is no personal data), start and end of the value. Half of the values follow a word that names their kind, and one of eight of the others does."""
+    rng = random.Random(8)
+    marks = {"phone": ("phone ", "tel: ", "call "), "card": ("card ", "visa: "), "email": ("mail ", "contact: "), "ip": ("host ", "ip: "), "": ("call ", "card ", "account ", "contact: ")}
+    words = lambda x: "".join("".join(rng.choice("aeiounrstlm") for _ in range(rng.randint(2, 8))) if c == "@" and x[i - 1:i] == "w" else "" if c == "w" and x[i + 1:i + 2] == "@" else c for i, c in enumerate(x))
+    filled = lambda x: "".join(rng.choice("0123456789") if c == "#" else c for c in x)
+    out = []
+    for kind, spellings in (*VALUES.items(), ("", NONE)):
+        for spelling in spellings:
+            for _ in range(each):
+                value = filled(words(spelling))
+                while kind == "card" and not _luhn_holds(value):
+                    value = filled(words(spelling))
+                before = words(rng.choice(BEFORE)) + (rng.choice(marks[kind]) if rng.random() < (0.5 if kind else 0.125) else "")
+                out.append({"id": len(out), "text": before + value + words(rng.choice(AFTER)), "kind": kind, "start": len(before), "end": len(before) + len(value)})
+    return out
+
+
+def _luhn_holds(value: str) -> bool:
+    digits = [int(c) for c in reversed(value) if c.isdigit()]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def _wanted() -> Column:
+    """Whether a loose candidate has the digits that its kind needs."""
+    digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
+    return (F.col("kind") == "email") | (digits >= F.when(F.col("kind") == "ip", 4).when(F.col("kind") == "card", 13).otherwise(8))
+
+
+def trained(spark: SparkSession, threshold: float) -> tuple[Trees, dict[str, float]]:
+    """The trees, and the least score of each kind, from the labelled sample."""
+    shape = "array<struct<id: bigint, text: string, kind: string, start: bigint, end: bigint>>"
+    sample = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(labelled())), shape)).alias("s")).select("s.*")
+    rows = with_features(candidates(sample, "id", "text")).filter(~F.col("generator").isin(*BASE)).filter(_wanted()).alias("c")
+    real = F.expr("c.kind = s.kind and c.start <= s.start and c.end >= s.end")
+    split: list[Counter] = [Counter(), Counter()]
+    for r in rows.join(sample.alias("s"), F.expr("c.doc_id = s.id")).select("s.id", real.alias("real"), *(f"c.f_{f}" for f in FEATURES)).collect():
+        split[r.id % 2][tuple(r[f"f_{f}"] for f in FEATURES), r.real] += 1
+    fit, held = ([(x, c[x, True], c[x, False]) for x in sorted({x for x, _ in c})] for c in split)
+    model = Trees(fit)
+    of = [k for k, _ in GENERATORS.values()]
+    return model, {kind: calibrated(model, [row for row in held if of[row[0][0]] == kind], threshold) for kind in KINDS}
+
+
 class Trees:
     """Boosted trees of depth two for logistic loss, fitted to counted feature rows (values, positives, negatives)."""
 
@@ -178,14 +263,24 @@ class Trees:
 
 
 def calibrated(model: Trees, held: list[tuple[tuple[int, ...], int, int]], threshold: float) -> float:
-    """The least score from which held-out candidates of at least that score are positive with at least the share `threshold`; infinity if none."""
-    best, a, b = math.inf, 0, 0
-    scored = sorted(((model.score(x), p, n) for x, p, n in held), reverse=True)
-    for k, (s, p, n) in enumerate(scored):
-        a, b = a + p, b + n
-        if (k + 1 == len(scored) or scored[k + 1][0] < s) and a >= threshold * (a + b) and a + b >= 20:
-            best = s
-    return best
+    """The least score from which every level of scores is positive with at least the share `threshold` on held-out candidates; infinity if none.
+
+    Levels are runs of scores with 20 candidates at least, pooled where a higher one is positive less often.
+    """
+    levels: list[list] = []
+    counts: dict[float, list[int]] = {}
+    for x, p, n in held:
+        at = counts.setdefault(model.score(x), [0, 0])
+        at[0], at[1] = at[0] + p, at[1] + n
+    for s in sorted(counts, reverse=True):
+        p, n = counts[s]
+        if levels and levels[-1][1] + levels[-1][2] < 20:
+            p, n = p + levels[-1][1], n + levels.pop()[2]
+        levels.append([s, p, n])
+        while len(levels) > 1 and levels[-1][1] + levels[-1][2] >= 20 and levels[-1][1] * (levels[-2][1] + levels[-2][2]) > levels[-2][1] * (levels[-1][1] + levels[-1][2]):
+            s, p, n = levels.pop()
+            levels[-1] = [s, levels[-1][1] + p, levels[-1][2] + n]
+    return min((s for s, p, n in levels if p + n >= 20 and p >= threshold * (p + n)), default=math.inf)
 
 
 def find_pii(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,25 +288,13 @@ def find_pii(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", te
     rows = C.staged(with_features(candidates(docs, id_col, text_col)), "candidates")
     base = rows.filter(F.col("generator").isin(*BASE)).filter(_passes(F.col("generator"), F.col("match"))).select("doc_id", "text_key", "kind", "start", "end")
     base = C.staged(base, "base")
-    loose = rows.filter(~F.col("generator").isin(*BASE))
-    digits = F.length(F.regexp_replace("match", "[^0-9]", ""))
-    loose = loose.filter((F.col("kind") == "email") | (digits >= F.when(F.col("kind") == "ip", 4).when(F.col("kind") == "card", 13).otherwise(8)))
-    near = loose.alias("l").join(base.alias("b"), F.expr("l.doc_id <=> b.doc_id and l.text_key = b.text_key and l.start < b.end and b.start < l.end"), "left")
-    # one row a candidate: whether it overlaps any base span, and one of its own kind
-    keys = ["l.doc_id", "l.text_key", "l.generator", "l.kind", "l.start", "l.end", *(f"l.f_{f}" for f in FEATURES)]
-    judged = C.staged(near.groupBy(*keys).agg(F.count("b.kind").alias("overlaps"), F.count(F.when(F.expr("b.kind = l.kind"), 1)).alias("same")), "judged")
-    fold = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(2))
-    table = judged.groupBy(fold.alias("fold"), *(f"f_{f}" for f in FEATURES)).agg(F.count(F.when(F.col("same") > 0, 1)).alias("yes"), F.count(F.when(F.col("same") == 0, 1)).alias("no"))
-    counted = table.limit(PATTERNS + 1).collect()
-    if len(counted) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} feature patterns; the features are bounded, so this cannot be")
-    split: list[list] = [[], []]
-    for r in counted:
-        split[r.fold].append((tuple(r[f"f_{f}"] for f in FEATURES), r.yes, r.no))
-    model = Trees(split[0])
-    least = calibrated(model, split[1], threshold)
-    score = model.column([F.col(f"f_{f}") for f in FEATURES])
-    added = judged.filter("overlaps = 0").withColumn("score", score).filter(F.col("score") >= F.lit(least))
+    loose = rows.filter(~F.col("generator").isin(*BASE)).filter(_wanted())
+    model, least = trained(docs.sparkSession, threshold)
+    bound = F.create_map(*(F.lit(x) for x in least.items() for x in x))[F.col("kind")]
+    likely = loose.withColumn("score", model.column([F.col(f"f_{f}") for f in FEATURES])).filter(F.col("score") >= bound)
+    keys = ["doc_id", "text_key", "kind", "start", "end", "score"]
+    touch = F.expr("l.doc_id <=> b.doc_id and l.text_key = b.text_key and l.start < b.end and b.start < l.end")
+    added = likely.select(*keys).alias("l").join(base.alias("b"), touch, "left_anti")
     # of overlapping loose spans of one kind the first stays
     order = Window.partitionBy("doc_id", "text_key", "kind").orderBy("start", F.desc("end"))
     added = added.withColumn("rank", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("rank").isNull() | (F.col("rank") <= F.col("start")))
