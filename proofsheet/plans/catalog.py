@@ -283,10 +283,18 @@ def exception_sort(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * s_suppkey AS u, 2 * CAST(s_nationkey AS BIGINT) + 1 AS v FROM supplier WHERE s_suppkey % 3 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
  r AS (SELECT u AS node, u AS seen FROM b UNION SELECT node, v FROM r JOIN b ON seen = u) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def linked_suppliers(spark, sf_dir):
+    """A third of the suppliers, as its SQL asks; linked_suppliers_all links every one."""
     s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
     return components.components(s.select((F.col("s_suppkey") * 2).alias("u"), (F.col("s_nationkey").cast("long") * 2 + 1).alias("v")))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * s_suppkey AS u, 2 * CAST(s_nationkey AS BIGINT) + 1 AS v FROM supplier), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+ r AS (SELECT u AS node, u AS seen FROM b UNION SELECT node, v FROM r JOIN b ON seen = u) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def linked_suppliers_all(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return components.components(s.select((F.col("s_suppkey") * 2).alias("u"), (F.col("s_nationkey").cast("long") * 2 + 1).alias("v")))
+
+
 @query("""SELECT l_orderkey, a.l_linenumber AS u, b.l_linenumber AS v FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber
  AND greatest(least(a.l_suppkey + a.l_quantity, b.l_suppkey + b.l_quantity) - greatest(a.l_suppkey, b.l_suppkey), 0) / least(a.l_quantity, b.l_quantity) >= 0.5""")
 def side_by_side(spark, sf_dir):
@@ -372,12 +380,21 @@ SPELLED = ("khong", "mot", "hai", "ba", "bon", "nam", "sau", "bay", "tam", "chin
 
 @query("""SELECT o_orderkey, o_custkey % 10 * 1000000 + o_orderkey % 10 * 100 AS amount FROM orders WHERE o_custkey % 10 > 0 AND o_orderkey % 10 > 0""")
 def number_words(spark, sf_dir):
+    """Amounts without a zero, as its SQL asks; number_words_all spells every order."""
     word = lambda c: F.get(F.array(*map(F.lit, SPELLED)), (F.col(c) % 10).cast("int"))
     said = F.concat_ws(" ", word("o_custkey"), F.lit("triệu"), word("o_orderkey"), F.lit("trăm đồng"))
     o = table(spark, sf_dir, "orders").filter("o_custkey % 10 > 0 and o_orderkey % 10 > 0")
     return o.select("o_orderkey", quotes.spelled_amount(said).alias("amount"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 AND o_orderkey % 10 = 0 THEN 0 WHEN o_custkey % 10 = 0 THEN o_orderkey % 10 * 100 WHEN o_orderkey % 10 = 0 THEN o_custkey % 10 * 1000000
+ ELSE o_custkey % 10 * 1000000 + o_orderkey % 10 * 100 END AS amount FROM orders""")
+def number_words_all(spark, sf_dir):
+    word = lambda c: F.get(F.array(*map(F.lit, SPELLED)), (F.col(c) % 10).cast("int"))
+    said = F.concat_ws(" ", word("o_custkey"), F.lit("triệu"), word("o_orderkey"), F.lit("trăm đồng"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", quotes.spelled_amount(said).alias("amount"))
+
+
 @query()
 def line_grouping(spark, sf_dir):
     """Order lines as words on a page: lines within 8 units of each line's first word."""
