@@ -347,7 +347,7 @@ CRITERIA_SQL = """WITH x AS (SELECT o_orderkey, o_custkey % 7 <> 0 AS matched, C
     (12, "'pending'"),
 )))
 def criteria_matrix(spark, sf_dir):
-    """Orders as packets, customers as their roster rows; documents and amounts follow from the keys."""
+    """Orders as packets, customers as their roster rows; documents and amounts follow from the keys. Six criteria, as its SQL asks; criteria_all has all."""
     o = table(spark, sf_dir, "orders")
     gross = F.round("o_totalprice").cast("long")
     pit, off = F.expr("cast(round(o_totalprice) as bigint) div 10"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
@@ -361,6 +361,79 @@ def criteria_matrix(spark, sf_dir):
     return results.filter("stt in (6, 12, 16, 17, 18, 21)").select(F.col("packet").alias("o_orderkey"), "stt", "status")
 
 
+REGISTRY_SQL = ", ".join(
+    f"({stt}, '{kind}', {f"'{field}'" if field else 'NULL'}, {f"'{key}'" if key else 'NULL'}, '{doc}', {doc in optional})"
+    for stt, (_, docs, kind, _, _, optional, field, key) in evaluate.CRITERIA.items() for doc in docs
+)
+#: Packet facts of criteria_all; how a source of field f in document d reads follows from (k + 3 f + 5 d) % 12: 0 another value, 1 blank, 2 other case, 3 no source.
+ALL_CRITERIA_SQL = f"""WITH x AS (SELECT o_orderkey AS k, o_custkey % 7 <> 0 AS matched, CAST(round(o_totalprice) AS BIGINT) AS g, CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE g // 10 END AS p, g - p + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n,
+ MAP {{'name': CASE WHEN k % 11 = 0 THEN '' ELSE 'Tran Van An' END, 'cccd': lpad(CAST(o_custkey AS VARCHAR), CASE WHEN k % 13 = 0 THEN 11 ELSE 12 END, '0'), 'dob': strftime(o_orderdate, '%d/%m/%Y'), 'gender': CASE WHEN k % 10 = 0 THEN 'X' ELSE 'Nam' END,
+ 'mst': CASE WHEN k % 17 = 0 THEN '1' ELSE lpad(CAST(o_custkey AS VARCHAR), 10, '0') END, 'account': lpad(CAST(k AS VARCHAR), 9, '0'), 'gross': CASE WHEN k % 19 = 0 THEN '' ELSE CAST(g AS VARCHAR) END, 'pit': CAST(p AS VARCHAR), 'net': CAST(n AS VARCHAR)}} AS roster FROM orders),
+ reg(stt, kind, field, key, doc, optional) AS (VALUES {REGISTRY_SQL}),
+ c AS (SELECT *, coalesce(roster[key], '') AS ref, k % 4 = 0 AS pledged, CASE WHEN optional THEN 'na' ELSE 'missing' END AS absent,
+ CASE doc WHEN '{evaluate.ID}' THEN k % 2 = 0 WHEN '{evaluate.CONTRACT}' THEN k % 3 = 0 WHEN '{evaluate.BBNT}' THEN k % 5 <> 1 WHEN '{evaluate.APPENDIX}' THEN k % 4 = 1 WHEN '{evaluate.LOOKUP}' THEN k % 8 <> 0 WHEN '{evaluate.COMMITMENT}' THEN k % 4 = 0 ELSE true END AS present,
+ (k + 3 * list_position(['hoten', 'cccd', 'ngaysinh', 'mst', 'tk', 'phi'], field) - 3 + 5 * list_position(['{evaluate.ID}', '{evaluate.CONTRACT}', '{evaluate.BBNT}', '{evaluate.APPENDIX}'], doc) - 5) % 12 AS s FROM x, reg),
+ t AS (SELECT k, stt, CASE
+ WHEN kind = 'presence' THEN CASE WHEN present THEN 'rv' ELSE absent END
+ WHEN kind = 'external' THEN CASE WHEN present THEN 'rv' ELSE 'missing' END
+ WHEN kind = 'conditional' THEN CASE WHEN pledged THEN 'rv' ELSE 'na' END
+ WHEN stt = 12 OR doc = '{evaluate.LISTING}' THEN 'pending'
+ WHEN doc = 'Excel' THEN CASE WHEN NOT matched OR (stt <> 17 AND ref = '') OR (stt = 17 AND roster['gross'] = '') THEN 'pending'
+  WHEN stt = 2 AND length(ref) <> 12 OR stt = 4 AND ref NOT IN ('Nam', 'Nữ') OR stt = 5 AND length(ref) NOT IN (10, 12) OR stt = 14 AND g <= 0 OR stt = 15 AND p <= 0 AND NOT pledged OR stt = 16 AND n <= 0 OR stt = 17 AND g - p <> n THEN 'no' ELSE 'ok' END
+ WHEN NOT present THEN absent
+ WHEN field IS NULL OR s IN (1, 3) OR NOT matched OR ref = '' THEN 'pending'
+ WHEN s = 0 THEN 'no' WHEN s = 2 AND field = 'hoten' THEN 'rv' ELSE 'ok' END AS status FROM c)
+ SELECT k AS o_orderkey, stt, coalesce(['no', 'missing', 'rv', 'pending', 'ok'][min({RANK_SQL.format('status')}) + 1], 'na') AS status FROM t GROUP BY ALL"""
+
+
+@query(ALL_CRITERIA_SQL)
+def criteria_all(spark, sf_dir):
+    """Every criterion of every packet, with a source in each document for each field that is compared."""
+    k, shown = F.col("o_orderkey"), lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    o = table(spark, sf_dir, "orders")
+    gross = F.round("o_totalprice").cast("long")
+    pit = F.when(k % 23 == 0, 0).otherwise(F.expr("cast(round(o_totalprice) as bigint) div 10"))
+    net = gross - pit + F.when(k % 5 == 0, 1).otherwise(0)
+    roster_values = {
+        "name": F.when(k % 11 == 0, "").otherwise("Tran Van An"), "cccd": F.when(k % 13 == 0, shown("o_custkey", 11)).otherwise(shown("o_custkey", 12)), "dob": F.date_format("o_orderdate", "dd/MM/yyyy"),
+        "gender": F.when(k % 10 == 0, "X").otherwise("Nam"), "mst": F.when(k % 17 == 0, "1").otherwise(shown("o_custkey", 10)), "account": shown("o_orderkey", 9),
+        "gross": F.when(k % 19 == 0, "").otherwise(gross.cast("string")), "pit": pit.cast("string"), "net": net.cast("string"),
+    }
+    key = [F.lit("all").alias("case_id"), k.alias("packet")]
+    packets = o.select(*key, (F.col("o_custkey") % 7 != 0).alias("matched"), F.create_map(*(x for n, v in roster_values.items() for x in (F.lit(n), v))).alias("roster"))
+    kinds = {"id_front": k % 2 == 0, "contract": k % 3 == 0, "bbnt": k % 5 != 1, "appendix": k % 4 == 1, "pit": k % 8 != 0, "commitment": k % 4 == 0}
+    documents = o.select(*key, F.explode(F.array_compact(F.array(*(F.when(there, n) for n, there in kinds.items())))).alias("kind")).withColumn("doc_id", F.col("kind"))
+    fields = {"hoten": ("name", "Le Thi Binh"), "cccd": ("cccd", None), "ngaysinh": ("dob", "31/12/1900"), "mst": ("mst", None), "tk": ("account", None), "phi": ("gross", None)}
+    read = []
+    for f, (field, (name, other)) in enumerate(fields.items()):
+        for d, kind in enumerate(list(kinds)[:4]):
+            s, value = (F.col("packet") + 3 * f + 5 * d) % 12, F.col("roster")[name]
+            wrong = F.lit(other) if other else F.concat(F.lit("9"), value)
+            read.append(F.when(s != 3, F.struct(F.lit(field).alias("field_key"), F.lit(kind).alias("doc_id"), F.when(s == 0, wrong).when(s == 1, "").when(s == 2, F.upper(value)).otherwise(value).alias("value"))))
+    sources = packets.select("case_id", "packet", F.explode(F.array_compact(F.array(*read))).alias("r")).select("case_id", "packet", "r.*")
+    return evaluate.criterion_results(evaluate.evaluate(packets, documents, sources)).select(F.col("packet").alias("o_orderkey"), "stt", "status")
+
+
+@query("""WITH f AS (SELECT o_custkey AS c, bool_or(o_orderkey % 40 = 0) AS off, bool_or(o_orderkey % 40 = 1) AS untotalled, bool_or(o_orderkey % 40 = 2) AS shared, bool_or(o_orderkey % 40 = 3) AS blind FROM orders GROUP BY 1),
+ p AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 4 <> 0 THEN '1' || o_orderkey % 50 WHEN o_orderkey % 8 <> 0 THEN '2' || o_orderkey % 20 END AS k FROM orders),
+ d AS (SELECT c, bool_or(k IS NOT NULL AND n > 1) AS twice, bool_or(k IS NULL) AS nameless FROM (SELECT c, k, count(*) AS n FROM p GROUP BY ALL) GROUP BY c),
+ x AS (SELECT c_custkey, c_custkey % 5 <> 0 AS listed, coalesce(off, false) AS off, coalesce(untotalled, false) AS untotalled, coalesce(shared, false) AS shared, coalesce(blind, false) AS blind, twice, nameless FROM customer LEFT JOIN f ON f.c = c_custkey LEFT JOIN d ON d.c = c_custkey)
+ SELECT c_custkey, 20 AS stt, CASE WHEN NOT listed OR untotalled OR blind THEN 'pending' WHEN off THEN 'no' ELSE 'ok' END AS status FROM x
+ UNION ALL SELECT c_custkey, 26, 'rv' FROM x
+ UNION ALL SELECT c_custkey, 30, CASE WHEN NOT listed OR blind THEN 'pending' WHEN shared THEN 'no' ELSE 'ok' END FROM x
+ UNION ALL SELECT c_custkey, 31, CASE WHEN twice IS NULL THEN 'pending' WHEN twice THEN 'no' WHEN nameless THEN 'rv' ELSE 'ok' END FROM x
+ UNION ALL SELECT c_custkey, 32, 'pending' FROM x""")
+def batch_criteria(spark, sf_dir):
+    """Customers as submissions, their orders as packets; findings and identities follow from the keys."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    codes = F.array(*map(F.lit, ("total-mismatch", "no-total-row", "duplicate-cccd", "missing-columns")))
+    found = o.select(F.col("o_custkey").alias("case_id"), F.coalesce(F.get(codes, (k % 40).cast("int")), F.lit("bad-id")).alias("code"))
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") % 5 != 0).alias("has_roster"))
+    cccd, name = F.lpad((k % 50).cast("string"), 12, "0"), F.concat(F.lit("Name "), (k % 20).cast("string"))
+    packets = o.select(F.col("o_custkey").alias("case_id"), k.alias("packet"), F.when(k % 4 == 0, "").otherwise(cccd).alias("cccd"), F.when(k % 8 == 0, "").otherwise(name).alias("name"))
+    return evaluate.batch_results(found, cases, packets).select(F.col("case_id").alias("c_custkey"), "stt", "status")
+
+
 @query()
 def fuzzy_ratio(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.col("p_type").alias("k")).distinct()

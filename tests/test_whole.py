@@ -12,3 +12,13 @@ def test_links_and_words_are_whole(spark):
     words = {r.o_orderkey: r.amount for r in catalog.QUERIES["number_words_all"](spark, SF).collect()}
     assert words == {r.o_orderkey: r.o_custkey % 10 * 1_000_000 + r.o_orderkey % 10 * 100 for r in orders.collect()}
     assert 0 in words.values()
+
+
+def test_criteria_are_whole(spark):
+    rows = catalog.QUERIES["criteria_all"](spark, SF).collect()
+    stt = {r.stt for r in rows}
+    assert stt == set(catalog.evaluate.CRITERIA) and len(stt) == 25
+    assert len({(r.o_orderkey, r.stt) for r in rows}) == len(rows) == 25 * catalog.table(spark, SF, "orders").count()
+    assert {r.status for r in rows if r.stt == 1} >= {"no", "missing", "pending"} and {r.status for r in rows if r.stt == 15} == {"no", "ok", "pending"}
+    batch = catalog.QUERIES["batch_criteria"](spark, SF).collect()
+    assert {r.stt for r in batch} == {20, 26, 30, 31, 32} and len(batch) == 5 * catalog.table(spark, SF, "customer").count()
