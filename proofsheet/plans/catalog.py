@@ -275,11 +275,23 @@ def report_union(spark, sf_dir):
 
 @query(f"""SELECT user_id, event_id, r FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce({RANK_SQL.format(EVENT_STATUS)}, 9), value NULLS LAST, event_id) AS r FROM events) WHERE r <= 3""")
 def exception_sort(spark, sf_dir):
+    """The first three of each user, as its SQL asks; exception_order ranks every row."""
     e = _event_cells(spark, sf_dir)
     w = Window.partitionBy("user_id").orderBy(F.coalesce(status.rank_of(F.col("status")), F.lit(9)), F.col("value").asc_nulls_last(), "event_id")
     return e.select("user_id", "event_id", F.row_number().over(w).alias("r")).filter("r <= 3")
 
 
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END,
+ CASE WHEN event_type <> 'signup' THEN floor(value / 25) END NULLS LAST, CASE WHEN event_type <> 'signup' THEN value END NULLS LAST, event_id) AS r FROM events""")
+def exception_order(spark, sf_dir):
+    """Events as fields, users as packets; a sign-up has no place."""
+    verdict = F.expr("CASE event_type WHEN 'error' THEN 'mismatch' WHEN 'click' THEN 'fuzzy' WHEN 'view' THEN 'low_conf' ELSE 'match' END")
+    placed = F.when(F.col("event_type") != "signup", F.col("value"))
+    fields = table(spark, sf_dir, "events").select("user_id", "event_id", verdict.alias("verdict"), F.floor(placed / 25).alias("page"), placed.alias("y"), F.col("event_id").alias("idx"))
+    w = Window.partitionBy("user_id").orderBy(*review.exception_first(fields, V.severity(F.col("verdict"))))
+    return fields.select("user_id", "event_id", F.row_number().over(w).alias("r"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * s_suppkey AS u, 2 * CAST(s_nationkey AS BIGINT) + 1 AS v FROM supplier WHERE s_suppkey % 3 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
  r AS (SELECT u AS node, u AS seen FROM b UNION SELECT node, v FROM r JOIN b ON seen = u) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def linked_suppliers(spark, sf_dir):

@@ -22,3 +22,9 @@ def test_criteria_are_whole(spark):
     assert {r.status for r in rows if r.stt == 1} >= {"no", "missing", "pending"} and {r.status for r in rows if r.stt == 15} == {"no", "ok", "pending"}
     batch = catalog.QUERIES["batch_criteria"](spark, SF).collect()
     assert {r.stt for r in batch} == {20, 26, 30, 31, 32} and len(batch) == 5 * catalog.table(spark, SF, "customer").count()
+
+
+def test_exception_order_is_whole(spark):
+    rows = catalog.QUERIES["exception_order"](spark, SF).collect()
+    assert {r.event_id for r in rows} == {r.event_id for r in catalog.table(spark, SF, "events").collect()}
+    assert max(r.r for r in rows) > 3
