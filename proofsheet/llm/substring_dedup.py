@@ -180,6 +180,33 @@ def candidate_batches(window: int, log2: int, sketch):
     return run
 
 
+DEALT = PARTS.append(pa.field("salt", pa.int64()))
+#: Bytes of window hashes around one minimiser beyond which they are dealt by window hash too.
+HOT_BYTES = 8 << 20
+
+
+def by_window(batches):
+    """Rows of hot minimisers, cut into one row a window, whose hash is the salt: equal windows still meet."""
+    for batch in batches:
+        n = np.fromiter((len(d) // 8 for d in batch["data"].to_pylist()), np.int64, batch.num_rows)
+        if not n.sum():
+            continue
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        h = np.frombuffer(b"".join(batch["data"].to_pylist()), np.uint64)
+        first = batch["first"].to_numpy(zero_copy_only=False)[row] + np.where(batch["kind"].to_numpy(zero_copy_only=False)[row] == SHARED, 0, within)
+        yield C.record(DEALT, take(batch["key"], row), take(batch["doc_id"], row), take(batch["text_key"], row), first.astype(np.int32), take(batch["kind"], row), C.blobs(h, np.arange(len(h) + 1)), h.view(np.int64))
+
+
+def dealt(parts: DataFrame, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """parts with a salt: 0, but the window's hash around minimisers with more than `hot_bytes` of hashes. Those are at most the size of parts over hot_bytes, so they are broadcast."""
+    load = parts.filter(F.col("kind") != DONE).groupBy("key").agg(F.sum(F.octet_length("data")).alias("bytes"))
+    hot = F.broadcast(C.staged(load.filter(F.col("bytes") > hot_bytes).select("key"), "hot"))
+    crowd = parts.filter(F.col("kind") != DONE).join(hot, "key", "left_semi").select(*PARTS.names)
+    rest = parts.filter(F.col("kind") != DONE).join(hot, "key", "left_anti").unionByName(parts.filter(F.col("kind") == DONE))
+    return rest.withColumn("salt", F.lit(0).cast("long")).unionByName(crowd.mapInArrow(by_window, PARTS_SQL + ", salt long"))
+
+
 SPANS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
 
 
@@ -238,7 +265,7 @@ def strip(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, max_log2: int = 27, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, max_log2: int = 27, broadcast_bytes: int = BROADCAST_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row."""
     spark = docs.sparkSession
     texts = C.source(docs, id_col, text_col)
@@ -247,8 +274,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log2 = min(max_log2, max(16, math.ceil(math.log2(max(1, size / 80 * 16)))))
     sketch = spark.sparkContext.broadcast(repeated_cells(texts, window, log2))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    parts = C.map_arrow(keyed, candidate_batches(window, log2, sketch), PARTS_SQL)
-    found = parts.repartition(C.shuffle_partitions(spark), "key").mapInArrow(group_windows, "doc_id long, text_key long, spans binary")
+    parts = C.staged(C.map_arrow(keyed, candidate_batches(window, log2, sketch), PARTS_SQL), "parts")
+    found = dealt(parts, hot_bytes).repartition(C.shuffle_partitions(spark), "key", "salt").drop("salt").mapInArrow(group_windows, "doc_id long, text_key long, spans binary")
     spans = C.staged(found.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")), "spans")
     right = F.broadcast(spans) if C.staged_bytes(spans) <= broadcast_bytes else spans
     both = keyed.alias("d").join(right.alias("s"), C.same_row("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
