@@ -27,41 +27,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.llm import common as C
-from proofsheet.llm.bpe_batch import BatchMerger
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE = 200_000  # words that a Python worker remembers, and half as many pieces
+CACHE = 300_000  # words that a Python worker remembers
 LONG = 100  # bytes; longer words go to the library
-BUCKETS = 64
+BUCKET = 1 << 20  # pieces of one length that are ranked together
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 class WordBpe:
-    """The tokenizer of a file, for single words. Latin words (up to U+017F, where lower-casing and NFC are plain) are merged
-    here, since most of the library's time goes into offsets that nobody asks for; other words go to the library."""
+    """The tokenizer of a file, for single words.
+
+    Most of the library's time goes into offsets that nobody asks for. So Latin words (up to U+017F, where lower-casing
+    and NFC are plain) are cut into pieces here, and all of them merged by one call, with a sign MARK behind each piece
+    that stands for the vocabulary's end of word. A token's rank is that of the merge that makes it; the marked letters
+    come first. Other words, and those that may hold a special token, go to the library.
+    """
+
+    MARK, SPACE = "\0", ord(" ")
+    ODD = r"[^!-~\u00a1-\u012f\u0131-\u017f]|<\|"
 
     def __init__(self, path: str):
         import regex
+        import tiktoken
 
         with open(path) as f:
             model = json.load(f)
         split = next(x for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.split = regex.compile(split["pattern"]["Regex"])
+        self.split, self.odd = regex.compile(split["pattern"]["Regex"]), regex.compile(self.ODD)
         vocab, suffix = model["model"]["vocab"], model["model"]["end_of_word_suffix"]
         # byte-level vocabularies write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = iter(range(256, 512))
-        letter = {i: chr(i) if i in plain else chr(next(others)) for i in range(256)}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        left, right, made = ([vocab[t] for t in side] for side in (*zip(*pairs), ["".join(m) for m in pairs]))
-        first, last = [vocab[letter[i]] for i in range(256)], [vocab[letter[i] + suffix] for i in range(256)]
-        self.merger = BatchMerger(first, last, left, right, made, range(len(pairs)))
+        letter = [chr(i) if i in plain else chr(next(others)) for i in range(256)]
+        value = {c: bytes([i]) for i, c in enumerate(letter)}
+        mark = self.MARK.encode()
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
+        tokens = dict.fromkeys([*letter, *(c + suffix for c in letter), *made])
+        spelled = [b"".join(map(value.__getitem__, t.removesuffix(suffix))) + mark * t.endswith(suffix) for t in tokens]
+        self.ids = np.array([vocab[t] for t in tokens], "<u4")
+        self.merger = tiktoken.Encoding("pieces", pat_str=f"[^{self.MARK} ]+{self.MARK}| ", mergeable_ranks={t: i for i, t in enumerate(spelled)}, special_tokens={})
         self.path, self._library = path, None
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
 
     @property
     def library(self):
@@ -70,40 +80,37 @@ class WordBpe:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-            self._library.encode_special_tokens = True  # their strings are ordinary text
         return self._library
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
+    def merge(self, marked: str) -> list[bytes]:
+        """Ids of each word of a text in which a MARK follows every piece and a space every word."""
+        tokens = self.merger.encode_to_numpy(marked, disallowed_special=())
+        data, ends = self.ids[tokens].tobytes(), (4 * np.flatnonzero(tokens == self.SPACE)).tolist()
+        return [data[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends)]
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids (little-endian, unsigned 32-bit) of each word."""
-        cut: list[list[bytes] | bytes] = []
+        letters, mixed, others = [], [], []
         for w in words:
-            if w.isalpha() and len(w) <= LONG:  # ASCII letters
-                cut.append([w.lower()])
-                continue
-            if w[-1] in b".,;:?" and w[:-1].isalpha() and len(w) <= LONG:  # a word and one sign
-                cut.append([w[:-1].lower(), w[-1:]])
-                continue
-            text = w.decode()
-            if len(w) > LONG or max(text) > "\u017f" or "\u0130" in text:
-                cut.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            if len(w) > LONG:
+                others.append(w)
+            elif w.isalpha():  # ASCII letters: one piece
+                letters.append(w)
             else:
-                cut.append([p.encode() for p in self.split.findall(text.lower())])
-        new = list({p for c in cut if type(c) is list for p in c}.difference(self.pieces))
-        if len(self.pieces) + len(new) > CACHE // 2:
-            self.pieces.clear()
-            new = list({p for c in cut if type(c) is list for p in c})
-        self.pieces.update(zip(new, self.merger.merge(new)))
-        get = self.pieces.__getitem__
-        return [c if type(c) is bytes else b"".join(map(get, c)) for c in cut]
+                (others if self.odd.search(w.decode()) else mixed).append(w)
+        out = {w: np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in others}
+        if letters:
+            out.update(zip(letters, self.merge((b"\0 ".join(letters) + b"\0 ").lower().decode())))
+        if mixed:
+            out.update(zip(mixed, self.merge(self.split.sub("\\g<0>\0", (b" ".join(mixed) + b" ").decode().lower()))))
+        return out
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table that has at least these words."""
+        """A table that has at least these words; when it is full, only the words that are needed now stay."""
         new = words.difference(self.words)
         if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = words
-        new = list(new)
-        self.words.update(zip(new, self.encode(new)))
+            self.words = {w: self.words[w] for w in words.difference(new)}
+        self.words.update(self.encode(list(new)))
         return self.words
 
 
@@ -134,11 +141,16 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int
     return C.map_arrow(C.source(docs, id_col, text_col), cut_batches(tokenizer_path, end_id, size, keep_ids), PIECES_SQL)
 
 
-def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Slots (length, first rank, end rank, first sequence, pieces a sequence, offset) for so many pieces of each length."""
+#: what a sequence holds: (length, how many), ...
+Content = tuple[tuple[int, int], ...]
+
+
+def reduce(counts: dict[int, int], size: int) -> tuple[list[tuple[Content, int]], dict[int, int]]:
+    """Martello-Toth reduction: closed sequences (content, how many) and what is left. Each closed one holds, with the
+    longest piece, a set that dominates every other set which could lie beside it."""
     left = {w: n for w, n in counts.items() if n > 0}
     lengths = sorted(left)
-    closed: list[tuple[tuple[tuple[int, int], ...], int]] = []  # content ((length, how many), ...) and number of sequences
+    closed: list[tuple[Content, int]] = []
 
     def use(w: int, n: int) -> None:
         left[w] -= n
@@ -157,14 +169,14 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 
     def best_pair(room: int, but: int) -> int:
         """The largest sum within room of two pieces, without one of length but."""
-        best, i, j = 0, 0, len(lengths) - 1
+        free = [w for w in lengths if left[w] > (w == but)]
+        best, i, j = 0, 0, len(free) - 1
         while i <= j:
-            a, b = lengths[i], lengths[j]
-            need = 1 + (a == b) + (a == but) + (b == but and a != b)
+            a, b = free[i], free[j]
             if a + b > room:
                 j -= 1
                 continue
-            if left[a] >= 1 + (a == but) and left[b] >= 1 + (b == but) and (a != b or left[a] >= 2 + (a == but)) and need:
+            if i < j or left[a] - (a == but) >= 2:
                 best = max(best, a + b)
             i += 1
         return best
@@ -187,20 +199,30 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
             if k == w:
                 closed.append((((w, 2),), n := left[w] // 2))
                 use(w, 2 * n)
-            else:
-                # one at a time counts only where the choice of the next partner could differ: it cannot while k lasts
+            elif w + k == size:
                 closed.append((((w, 1), (k, 1)), n := min(left[w], left[k])))
                 use(w, n)
                 use(k, n)
+            else:
+                # the proof looks at what is left: it holds for the next ones too while none of the lengths runs out
+                n = max(1, min(left[w] - 2, left[k] - 3))
+                closed.append((((w, 1), (k, 1)), n))
+                use(w, n)
+                use(k, n)
+    return closed, left
 
+
+def best_fit(left: dict[int, int], size: int) -> list[tuple[Content, int]]:
+    """Best-fit decreasing; sequences of the same content are one group."""
+    out: list[tuple[Content, int]] = []
     rooms: list[int] = []  # rooms that some open sequences have
-    groups: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
+    groups: dict[int, list[tuple[Content, int]]] = {}
 
-    def put(content: tuple, n: int, room: int) -> None:
+    def put(content: Content, n: int, room: int) -> None:
         if not n:
             return
         if not room:
-            closed.append((content, n))
+            out.append((content, n))
             return
         if room not in groups:
             bisect.insort(rooms, room)
@@ -232,10 +254,16 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
             if content:
                 put(content, m - full, room)
     for room in rooms:
-        closed += groups[room]
+        out += groups[room]
+    return out
+
 
+def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Slots (length, first rank, end rank, first sequence, pieces a sequence, offset) for so many pieces of each length."""
+    closed, left = reduce(counts, size)
+    packed = closed + best_fit(left, size)
     slots, rank, sequence = [], dict.fromkeys(counts, 0), 0
-    for content, n in closed:
+    for content, n in packed:
         offset = 0
         for w, each in content:
             slots.append((w, rank[w], rank[w] + n * each, sequence, each, offset))
@@ -250,8 +278,11 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     slots = spark.createDataFrame(plan(counts, size) or [(0, 0, 0, 0, 1, 0)], "length long, rank_from long, rank_to long, first_sequence long, each long, first_offset long")
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
-    before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most size * BUCKETS rows
+    # a length that very many pieces share is ranked in as many buckets as it needs
+    many = {w: -(-n // BUCKET) for w, n in counts.items() if n > BUCKET}
+    buckets = F.coalesce(F.create_map(*(F.lit(x) for item in many.items() for x in item))[F.col("length")], F.lit(1)) if many else F.lit(1)
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), buckets))
+    before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most `size` rows, and one for each BUCKET pieces
     before = before.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("within", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "bucket"])
