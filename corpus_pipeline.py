@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents,
 with n_chars as the length of the text that is left. The last returns a row for each packed piece.
+
+Defined results: a null or empty text fails the quality rules; of rows with equal doc_id and text the rules keep all or
+none, near dedup one; rows without doc_id are never near-duplicates; other columns stay as they are, whatever their
+names; a table without rows gives one.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; of rows with equal doc_id and text all or none."""
     verdicts = quality_rules(docs)
-    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return _without(keyed, verdicts.filter(~F.col("kept")), ["doc_id", "text_key"]).drop("text_key")
+    key = C.fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return _without(keyed, verdicts.filter(~F.col("kept")).withColumnRenamed("text_key", key), ["doc_id", key]).drop(key)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
