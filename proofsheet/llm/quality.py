@@ -7,8 +7,9 @@ The distance is Jensen-Shannon (square root of the divergence in bits, 0 to 1).
 any reference by about 1 / sqrt(size), so each limit is widened by `..._noise` / sqrt(size). Documents that fail a
 base rule (fewer than 50 words, or more than half of them in repeated three-word windows) are rejected anyway.
 
-Repeats of three-word windows are found per text by sorting 64-bit hashes of its windows, so a text of n words
-takes n log n steps; no text is exploded or shuffled for it.
+Repeats of three-word windows are found per text by 64-bit hashes of its windows: a set of them shows whether there
+is any repeat, and only then are they sorted, so a text of n words takes n log n steps; no text is exploded or shuffled
+for it. Common words are looked for among those words alone whose hash falls into a slot that a common word has.
 
 Defined results: null and empty texts have zeros and fail; a null language is a language of its own; repeated rows
 are judged alike and count each in the references; an empty table gives an empty result. Other columns are ignored.
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from proofsheet.llm import common as C
 from proofsheet.llm import native as N
 
-CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": N.GAP, "symbol": "[#*$%&|<>]+", "stop": "[.,;:'\"()?-]+"}
+#: in the order in which they are taken out of a text, the commonest first
+CLASSES = {"lower": "[a-z]+", "space": N.GAP, "stop": "[.,;:'\"()?-]+", "upper": "[A-Z]+", "symbol": "[#*$%&|<>]+", "digit": "[0-9]+"}
 COMMON = 40
+SLOTS = 1024
 BROADCAST_BYTES = 8 << 20
 
 
@@ -49,12 +52,23 @@ def repeat_words(w: Column) -> Column:
     def count(h: Column) -> Column:
         return N.let(repeated(h), lambda twice: F.when(F.size(twice) == 0, F.lit(0)).when(F.size(twice) <= 128, covered(few(h, twice))).otherwise(covered(many(h))))
 
-    return F.when(n < 4, F.lit(0)).otherwise(N.let(N.shingle_hashes(w, 3), count)).cast("long")
+    some = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(count(h))
+    return F.when(n < 4, F.lit(0)).otherwise(N.let(N.shingle_hashes(w, 3), some)).cast("long")
 
 
-def common_counts(w: Column, common: Column) -> Column:
-    """(rank, n) of those words of the array `common` that the array w holds; ranks begin at 1."""
-    ranks = F.sort_array(F.filter(F.transform(w, lambda x: F.array_position(common, x)), lambda i: i > 0))
+def slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def slots(common: Column) -> Column:
+    """For each slot whether a word of the array `common` has it."""
+    return N.let(F.transform(common, slot), lambda own: F.transform(N.indices(F.lit(SLOTS)), lambda i: F.array_contains(own, i)))
+
+
+def common_counts(w: Column, common: Column, taken: Column) -> Column:
+    """(rank, n) of those words of the array `common` (with these slots) that the array w holds; ranks begin at 1."""
+    likely = F.filter(w, lambda x: F.get(taken, slot(x)))
+    ranks = F.sort_array(F.filter(F.transform(likely, lambda x: F.array_position(common, x)), lambda i: i > 0))
     first = lambda s: F.filter(N.indices(F.size(s)), lambda j: (j == 0) | (F.get(s, F.greatest(j - 1, F.lit(0))) != F.get(s, j)))
     end = lambda s, f, k: F.coalesce(F.get(f, k + 1), F.size(s))
     each = lambda s, f: F.transform(f, lambda j, k: F.struct(F.get(s, j).cast("int").alias("rank"), (end(s, f, k) - j).alias("n")))
@@ -64,20 +78,24 @@ def common_counts(w: Column, common: Column) -> Column:
 def text_features(docs: DataFrame, common: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang, n_chars, one count per character class (n_lower ...), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, said.
 
-    common: lang, words (the language's common words); said: how often the text says them.
+    common: lang, words (the language's common words), slots; said: how often the text says them.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), text.alias("text"))
     beside = F.broadcast(common) if C.staged_bytes(common) <= BROADCAST_BYTES else common
-    df = df.alias("d").join(beside.alias("c"), F.expr("d.lang <=> c.lang"), "left").select("d.*", F.coalesce("c.words", F.array().cast("array<string>")).alias("common"))
+    df = df.alias("d").join(beside.alias("c"), F.expr("d.lang <=> c.lang"), "left").select("d.*", F.coalesce("c.words", F.array().cast("array<string>")).alias("common"), F.coalesce("c.slots", F.array().cast("array<boolean>")).alias("slots"))
     size = F.length("text").cast("long")
-    kinds = [(size - F.length(F.regexp_replace("text", pattern, ""))).alias(f"n_{k}") for k, pattern in CLASSES.items()]
+    kinds, rest = [], F.col("text")
+    for k, pattern in CLASSES.items():  # each class is looked for in what the ones before leave
+        less = F.regexp_replace(rest, pattern, "")
+        kinds.append((F.length(rest) - F.length(less)).cast("long").alias(f"n_{k}"))
+        rest = less
     full = F.filter(N.lines(F.col("text")), N.has_word)
     dup = N.let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-    counted = N.let(N.words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
-    said = N.let(N.words(F.lower("text")), lambda w: common_counts(w, F.col("common")))
-    df = df.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), size.alias("n_chars"), *kinds, dup.alias("n_dup_lines"), counted.alias("counted"), said.alias("said"))
-    return df.select("*", "counted.n_words", "counted.n_repeat_words", (F.col("n_chars") - F.col("n_space")).alias("word_chars"), F.col("n_symbol").alias("n_symbols")).drop("counted")
+    said = lambda w: common_counts(F.transform(w, F.lower), F.col("common"), F.col("slots"))
+    counted = N.let(N.words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), said(w).alias("said")))
+    df = df.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), size.alias("n_chars"), *kinds, dup.alias("n_dup_lines"), counted.alias("counted"))
+    return df.select("*", "counted.n_words", "counted.n_repeat_words", "counted.said", (F.col("n_chars") - F.col("n_space")).alias("word_chars"), F.col("n_symbol").alias("n_symbols")).drop("counted")
 
 
 def js_part(p: Column, q: Column) -> Column:
@@ -99,11 +117,11 @@ def js_distance(parts: Column) -> Column:
 
 
 def common_words(docs: DataFrame, lang_col: str, text_col: str, most: int = COMMON) -> DataFrame:
-    """lang, words, counts: the most common words of each language over all documents; ties alphabetically."""
+    """lang, words, counts, slots: the most common words of each language over all documents; ties alphabetically."""
     said = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.explode(N.words(F.lower(F.col(f"`{text_col}`").cast("string")))).alias("word"))
     ranked = said.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     best = ranked.filter(F.col("rank") <= most).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
-    return best.select("lang", F.col("top.word").alias("words"), F.col("top.n").alias("counts"))
+    return best.select("lang", F.col("top.word").alias("words"), F.col("top.n").alias("counts"), slots(F.col("top.word")).alias("slots"))
 
 
 def quality_rules(docs: DataFrame, char_limit: float = 0.2, word_limit: float = 0.25, char_noise: float = 1.5, word_noise: float = 1.2, min_chars: int = 200, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
