@@ -1,14 +1,15 @@
 """Operator 7: byte-level BPE encoding and decoding by monoid tree reduction.
 
-Each match of the split pattern is encoded separately. A match of up to LEAF bytes is merged directly; a longer one
-is halved, its halves are encoded recursively and joined. A join re-encodes a window of tokens around the seam,
-first one token on either side, then two, four and so on, until the tokens outside provably stay: a token sequence
-is the BPE encoding of its bytes exactly if each pair of neighbours is the encoding of the pair's bytes, and all
-pairs outside the window come from finished encodings, so only the two pairs at the window's edges are left to
-check. A document is the concatenation of its matches, and decoding is concatenation all the way up.
+Each match of the split pattern is encoded separately, by one tree: it is halved down to single bytes, and from the
+leaves up two encodings are joined. A join re-encodes a window of tokens around the seam, first one token on either
+side, then two, four and so on, until the tokens outside provably stay: a token sequence is the BPE encoding of its
+bytes exactly if each pair of neighbours is the encoding of the pair's bytes, and all pairs outside the window come
+from finished encodings, so only the two pairs at the window's edges are left to check. Subtrees of a few bytes and
+windows of two tokens recur all the time, so a worker remembers them. Decoding concatenates up the same tree: tokens
+to matches, matches to the document.
 
 Defined results: null and empty texts have no tokens; texts without white space or with one endless run of a
-character take the tree; no special tokens: their strings are ordinary text. Rows stay one to one, repeated or
+character are matches like others, of more levels; no special tokens: their strings are ordinary text. Rows stay one to one, repeated or
 not; other columns are ignored.
 """
 
@@ -23,12 +24,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from proofsheet.llm import common as C
-from proofsheet.llm.bpe_batch import BatchMerger
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LEAF = 64
-CACHE = 200_000  # pieces that a Python worker remembers
+CACHE = 200_000  # matches that a Python worker remembers, and as many subtrees and pairs of tokens
+SHORT = 64  # bytes; longer matches are rarely met again
+TWIG = 8  # bytes of a subtree that is remembered
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,13 +38,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], leaf: int = LEAF):
-        self.ranks, self.leaf = ranks, leaf
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.token = {v: k for k, v in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
+        self.twigs: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Merge the neighbours of least rank, leftmost first, until none can be merged."""
+        """Re-encode a window: merge the neighbours of least rank, leftmost first, until none can be merged."""
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
@@ -94,40 +96,39 @@ class Bpe:
             i = end[i]
         return out
 
-    def table(self) -> BatchMerger:
-        """For short pieces, many at a time: every way to cut a token into two tokens is a merge of its rank."""
-        cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        left, right, rank = zip(*cuts)
-        letters = [self.ranks[bytes([i])] for i in range(256)]
-        return BatchMerger(letters, letters, left, right, rank, rank)
-
-    def stays(self, a: int, b: int) -> bool:
-        """Whether tokens a, b are the encoding of their own bytes."""
-        key = (a, b)
-        if key not in self.pairs:
+    def pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of the bytes of two tokens."""
+        found = self.pairs.get((a, b))
+        if found is None:
             if len(self.pairs) > CACHE:
                 self.pairs.clear()
-            self.pairs[key] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return self.pairs[key]
+            found = self.pairs[a, b] = tuple(self.merge(self.token[a] + self.token[b]))
+        return found
 
-    def join(self, a: list[int], b: list[int]) -> list[int]:
-        k = 1
-        while True:
-            i, j = max(0, len(a) - k), min(len(b), k)
-            seam = self.merge(self.decode(a[i:]) + self.decode(b[:j]))
-            if (i == 0 or self.stays(a[i - 1], seam[0])) and (j == len(b) or self.stays(seam[-1], b[j])):
-                return a[:i] + seam + b[j:]
+    def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of two finished encodings' bytes."""
+        seam, k, i, j = self.pair(a[-1], b[0]), 1, len(a) - 1, 1
+        while not ((i == 0 or self.pair(a[i - 1], seam[0]) == (a[i - 1], seam[0])) and (j == len(b) or self.pair(seam[-1], b[j]) == (seam[-1], b[j]))):
             k *= 2
-
-    def encode(self, piece: bytes) -> list[int]:
-        if len(piece) <= self.leaf:
-            return self.merge(piece)
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        half = len(piece) // 2
-        return self.join(self.encode(piece[:half]), self.encode(piece[half:]))
-
-    def decode(self, ids: list[int]) -> bytes:
+            i, j = max(0, len(a) - k), min(len(b), k)
+            seam = tuple(self.merge(self.decode(a[i:]) + self.decode(b[:j])))
+        return a[:i] + seam + b[j:]
+
+    def encode(self, piece: bytes) -> tuple[int, ...]:
+        found = self.twigs.get(piece)
+        if found is None:
+            if piece in self.ranks:  # a leaf: one byte, or a whole token
+                found = (self.ranks[piece],)
+            else:
+                half = len(piece) // 2
+                found = self.join(self.encode(piece[:half]), self.encode(piece[half:]))
+            if len(piece) <= TWIG:
+                if len(self.twigs) > CACHE:
+                    self.twigs.clear()
+                self.twigs[piece] = found
+        return found
+
+    def decode(self, ids: tuple[int, ...]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
@@ -141,33 +142,30 @@ def code_batches(path: str, pattern: str):
         own = C.worker_cache("byte_bpe")
         if getattr(own, "made_from", None) != (path, pattern):
             own.bpe, own.split, own.known = Bpe(load_ranks(path)), regex.compile(pattern), {}
-            own.merger = own.bpe.table()
-            own.names = {str(i): t for t, i in own.bpe.ranks.items()}
             own.made_from = (path, pattern)
-        bpe, split, known, names = own.bpe, own.split, own.known, own.names
+        bpe, split = own.bpe, own.split
         for batch, texts in C.rows_of(batches):
             count, ids, back = [], [], []
-            split_texts = [split.findall(t.decode()) for t in texts]
-            need = {p for pieces in split_texts for p in pieces}
-            new = need.difference(known)
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = need
-            coded = {p: p.encode() for p in new}
-            short = [p for p, b in coded.items() if len(b) <= bpe.leaf]
-            for p, x in zip(short, own.merger.merge([coded[p] for p in short])):
-                known[p] = " ".join(map(str, memoryview(x).cast("I")))
-            long = {p: " ".join(map(str, bpe.encode(b))) for p, b in coded.items() if len(b) > bpe.leaf}
-            known.update(long)
-            for pieces in split_texts:
-                parts = map(known.__getitem__, pieces)
-                line = " ".join(parts)
-                tokens = line.split(" ") if line else []
-                count.append(len(tokens))
+            matches = [split.findall(t.decode()) for t in texts]
+            need = {m for found in matches for m in found}
+            new = need.difference(own.known)
+            if len(own.known) + len(new) > CACHE:
+                own.known = {m: own.known[m] for m in need.difference(new)}
+            known, long = own.known, []
+            for m in new:  # its ids, and the bytes that they stand for
+                b = m.encode()
+                coded = bpe.encode(b)
+                known[m] = " ".join(map(str, coded)), bpe.decode(coded)
+                if len(b) > SHORT:
+                    long.append(m)
+            for found in matches:
+                parts = list(map(known.__getitem__, found))
+                line = " ".join([p[0] for p in parts])
+                count.append(line.count(" ") + 1 if line else 0)
                 ids.append(line)
-                back.append(b"".join(map(names.__getitem__, tokens)))
-            for p in long:  # of any length, and rarely met again
-                del known[p]
+                back.append(b"".join([p[1] for p in parts]))
+            for m in long:
+                del known[m]
             yield C.record(CODED, batch.column(0), count, ids, back)
 
     return run
