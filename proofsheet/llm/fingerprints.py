@@ -5,8 +5,9 @@ shingle, one without words has none). Fingerprints of parts merge into that of t
 resemblance, containment and the number of distinct shingles. With fewer than k shingles the estimates are exact.
 
 `edited_fingerprints` also needs the next document, by descending doc_id, of every document. Ids are cut into
-ranges at quantiles of all ids; each range is sorted by itself, and gets a copy of the first document of the range
-below, so every text is shuffled once and no range follows another's work.
+ranges at quantiles of all ids, so many that a range holds about RANGE_BYTES of text (rows without an id are cut by
+text hash); each range is sorted by itself, and gets a copy of the first document of the range below, so every text is
+shuffled once and no range follows another's work.
 
 Defined results: null text is empty; the likeness of two empty fingerprints is 1, of an empty and another one 0;
 rows with equal doc_id follow each other by text hash; null doc_ids come last; the next document of a lone one is
@@ -22,6 +23,8 @@ from proofsheet.llm import common as C
 from proofsheet.llm import native as N
 
 K = 128
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 50_000  # beyond them ranges grow instead
 
 
 def sketch(text: Column, k: int = K, words: int = 5) -> Column:
@@ -63,35 +66,39 @@ def as_text(a: Column) -> Column:
 
 
 def id_ranges(ids: DataFrame, parts: int) -> tuple[Column, int]:
-    """The range of doc_id, an expression by halving over quantiles of all ids."""
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    """The range of (doc_id, text_key), an expression by halving over quantiles of all ids; and how many ranges there are at most."""
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
     steps, size = [], 1
     while size <= len(cuts):
         steps.insert(0, size)
         size *= 2
+    # rows without an id come after all others, by descending text hash: -1, -2, ...
+    bits = max(1, (parts - 1).bit_length())
+    nulls = F.shiftrightunsigned(F.col("text_key").bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int") - (1 << bits)
     if not cuts:
-        return F.lit(0), 1
+        return F.when(F.col("doc_id").isNull(), nulls).otherwise(0), 1 + (1 << bits)
     bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
     move = lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) < F.col("doc_id"), F.lit(False)), at + step).otherwise(at)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move), len(cuts) + 1
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)), len(cuts) + 1 + (1 << bits)
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, words: int = 5, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_text, sketch, edited_sketch, near_edited, near_next of every row.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many of the next document.
     """
     own = C.source(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    where, _ = id_ranges(own, C.shuffle_partitions(docs.sparkSession))
-    own = own.select("doc_id", "text", F.xxhash64("text").alias("text_key"), where.alias("part"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    where, ranges = id_ranges(own, min(MOST_RANGES, 1 + size // range_bytes))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("text_key")).withColumn("part", where)
     heads = C.staged(own.groupBy("part").agg(F.max(F.struct("doc_id", "text_key")).alias("head")), "heads")  # a row a range
     by_part = Window.orderBy("part")
     below = heads.select("part", F.coalesce(F.lag("head").over(by_part), F.last("head").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
     below = below.select(F.col("part").alias("to_part"), "head.doc_id", "head.text_key")
     extra = own.alias("d").join(F.broadcast(below).alias("h"), C.same_row("d", "h")).select("d.doc_id", "d.text", "d.text_key", F.col("h.to_part").alias("part")).dropDuplicates(["part"])
     rows = own.withColumn("ahead", F.lit(False)).unionByName(extra.withColumn("ahead", F.lit(True)))
-    rows = rows.withColumn("sketch", sketch(F.col("text"), k, words))
+    rows = rows.repartition(ranges, "part").withColumn("sketch", sketch(F.col("text"), k, words))
     order = Window.partitionBy("part").orderBy("ahead", F.col("doc_id").desc_nulls_last(), F.desc("text_key"))
     rows = rows.select("*", F.lead(F.struct("text", "sketch")).over(order).alias("next")).filter(~F.col("ahead"))
     size = F.length("text")
