@@ -28,29 +28,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps start from these files, whichever executor is lost."""
+    """Write df as Parquet to the shared folder and read it back: later steps start from these files, whichever executor is lost.
+
+    All such tables of an application lie in one folder, to be removed with it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proofsheet/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/proofsheet-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a staged table, from its file listing."""
+    """Bytes of the files in the folder of a staged table."""
     spark = df.sparkSession
-    files = df.inputFiles()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, files))
+    folders = map(spark._jvm.org.apache.hadoop.fs.Path, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in folders)
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -130,9 +134,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_table(seed: int) -> np.ndarray:
-    """A random 64-bit value for each byte."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+def byte_table(seed: int, n: int = 256) -> np.ndarray:
+    """n random 64-bit values, such as one for each byte."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -46,12 +46,13 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     drop = C.staged(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
     beside = F.broadcast(drop) if C.staged_bytes(drop) <= BROADCAST_BYTES else drop
     names = {k: C.fresh(docs, k) for k in ("n_lines", "n_dropped")}
+    every, left = C.fresh(docs, "lines_of_text"), C.fresh(docs, "lines_that_stay")
     both = docs.alias("d").join(beside.alias("b"), F.col(f"d.`{host_col}`").cast("string").eqNullSafe(F.col("b.host")), "left")
     text = F.col(f"d.`{text_col}`").cast("string")
     keep = lambda x: ~(N.has_word(x) & F.array_contains(F.col("b.drop"), line_key(x)))
     kept = F.when(F.col("b.drop").isNull(), N.lines(text)).otherwise(F.filter(N.lines(text), keep))
     columns = [F.col(f"d.`{c}`") for c in docs.columns if c != text_col]
-    out = both.select(*columns, N.lines(text).alias("__all"), kept.alias("__kept"))
+    out = both.select(*columns, N.lines(text).alias(every), kept.alias(left))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    final = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.array_join("__kept", "\n")}
-    return out.select(*(v.alias(c) for c, v in final.items()), F.greatest(size("__all"), F.lit(0)).alias(names["n_lines"]), F.greatest(size("__all") - size("__kept"), F.lit(0)).alias(names["n_dropped"]))
+    final = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.array_join(left, "\n")}
+    return out.select(*(v.alias(c) for c, v in final.items()), F.greatest(size(every), F.lit(0)).alias(names["n_lines"]), F.greatest(size(every) - size(left), F.lit(0)).alias(names["n_dropped"]))

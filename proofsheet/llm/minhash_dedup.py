@@ -70,8 +70,8 @@ SIGNED_SQL = "doc_id long, n_shingles long, set_1 long, set_2 long, signature bi
 
 def sign_batches(words: int, hashes: int):
     def run(batches):
-        a = C.byte_table(11)[:hashes] | np.uint64(1)
-        c = C.byte_table(12)[:hashes]
+        a = C.byte_table(11, hashes) | np.uint64(1)
+        c = C.byte_table(12, hashes)
         for batch, texts in C.rows_of(batches, 1 << 20):
             value, cuts = shingles(texts, words)
             n = np.diff(cuts)
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = C.source(docs, id_col, text_col)
     if bands is None:
-        bands = min(256 // rows, max(20, math.ceil(math.log(1e-6) / math.log(1 - min(0.999, percent / 100) ** rows))))
+        bands = max(20, math.ceil(math.log(1e-6) / math.log(1 - min(0.999, percent / 100) ** rows)))
     hashes = bands * rows
     # seven standard deviations below what a link at the threshold expects
     p = percent / 100

@@ -293,8 +293,13 @@ def find_pii(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", te
     bound = F.create_map(*(F.lit(x) for x in least.items() for x in x))[F.col("kind")]
     likely = loose.withColumn("score", model.column([F.col(f"f_{f}") for f in FEATURES])).filter(F.col("score") >= bound)
     keys = ["doc_id", "text_key", "kind", "start", "end", "score"]
-    touch = F.expr("l.doc_id <=> b.doc_id and l.text_key = b.text_key and l.start < b.end and b.start < l.end")
-    added = likely.select(*keys).alias("l").join(base.alias("b"), touch, "left_anti")
+    # a loose span touches a base span if one that begins no later ends behind its start, or the next one begins before its end
+    both = likely.select(*keys, F.lit(True).alias("loose")).unionByName(base.select(*keys[:-1], F.lit(None).cast("double").alias("score"), F.lit(False).alias("loose")))
+    own = Window.partitionBy("doc_id", "text_key")
+    behind = F.max(F.when(~F.col("loose"), F.col("end"))).over(own.orderBy("start", "loose").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.last(F.when(~F.col("loose"), F.col("start")), ignorenulls=True).over(own.orderBy(F.desc("start"), F.desc("loose")).rowsBetween(Window.unboundedPreceding, -1))
+    free = (F.coalesce(F.col("behind"), F.col("start")) <= F.col("start")) & (F.coalesce(F.col("ahead"), F.col("end")) >= F.col("end"))
+    added = both.withColumn("behind", behind).withColumn("ahead", ahead).filter("loose").filter(free).select(*keys)
     # of overlapping loose spans of one kind the first stays
     order = Window.partitionBy("doc_id", "text_key", "kind").orderBy("start", F.desc("end"))
     added = added.withColumn("rank", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(F.col("rank").isNull() | (F.col("rank") <= F.col("start")))
