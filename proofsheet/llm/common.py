@@ -93,6 +93,21 @@ def text_bytes(values: pa.Array) -> list[bytes]:
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
 
 
+def listed(a: pa.Array) -> list:
+    """The values of an array of longs or of binary, as to_pylist() gives them but without a scalar for each."""
+    if pa.types.is_binary(a.type):
+        _, offsets, data = a.buffers()
+        cuts = np.frombuffer(offsets, np.int32)[a.offset:a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+        raw = data.slice(int(cuts[0]), int(cuts[-1] - cuts[0])).to_pybytes() if data is not None else b""
+        cuts = (cuts - cuts[0]).tolist()
+        out = [raw[x:z] for x, z in zip(cuts[:-1], cuts[1:])]
+    else:
+        out = (a.fill_null(0) if a.null_count else a).to_numpy(zero_copy_only=False).tolist()
+    if a.null_count:
+        out = [x if v else None for x, v in zip(out, a.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    return out
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the bytes of column text: about `most` bytes each, at least one row."""
     for batch in batches:
@@ -181,14 +196,13 @@ def window_hashes(h: np.ndarray, width: int, base: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, at, length, block = np.zeros(n, np.uint64), 0, 1, h
-    one = np.uint64(1)
+    out, at, length, block = None, 0, 1, h
     power = np.uint64(base)  # base ** length
-    scale = one
+    scale = np.uint64(1)
     with np.errstate(over="ignore"):
         while True:
             if width & length:
-                out += scale * block[at:at + n]
+                out = block[at:at + n] if out is None else out + scale * block[at:at + n]
                 at += length
                 scale = scale * power
             length *= 2

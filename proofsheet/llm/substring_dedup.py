@@ -5,9 +5,8 @@ anywhere else (another document, or elsewhere in the same one) is removed; windo
 
 Pass 1 counts. Equal windows have the same minimiser (the least hash among their word grams, leftmost at ties) at
 the same place, so a minimiser occurs at least as often as any window around it: its Count-min estimate never
-falls below the window's count. Counters stop at two, which is all the question needs. Each batch of texts is a
-sparse partition sketch; sketches are merged per shard, and the merged one (a bit for each cell that reached two)
-has a fixed size, `max_log2` at most, and is broadcast.
+falls below the window's count. The sketches of partitions are merged as `repeats` says: with sixteen cells for each
+minimiser at any size, broadcast up to `max_log2`, joined beyond.
 
 Pass 2 is exact: the windows estimated as repeated, and only they, are grouped by minimiser and window hash (128
 bits together). Inside a batch equal windows are folded into one representative first, so a passage that a third
@@ -21,7 +20,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
@@ -31,17 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import common as C
+from proofsheet.llm.repeats import Hits, with_hits
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRAM = 8
-SHARDS = 64
-ROWS = 2
+SPAN = 4 << 20  # bytes of text that are worked on at a time
 BROADCAST_BYTES = 32 << 20
-
-
-def cells(anchor: np.ndarray, row: int, log2: int) -> np.ndarray:
-    return (C.mix(anchor + np.uint64(0x632BE59BD9B4E019 * (row + 1) & (2**64 - 1))) >> np.uint64(64 - log2)).astype(np.uint32)
+PART_BYTES = 16 << 20  # of candidates in a shuffle partition
 
 
 class Windows:
@@ -69,58 +64,17 @@ class Windows:
         return C.window_hashes(self.words[1], self.window, C.BASES[1])[self.at[which]]
 
 
-SKETCH = pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("cells", pa.binary())])
-
-
-def sketch_batches(window: int, log2: int):
-    def run(batches):
-        for _, texts in C.rows_of(batches):
-            w = Windows(texts, window)
-            anchors = w.grams[np.unique(w.anchor_at)]
-            out = []
-            for row in range(ROWS):
-                cell, count = np.unique(cells(anchors, row, log2), return_counts=True)
-                cell = np.repeat(cell, np.minimum(count, 2))
-                shard = cell >> np.uint32(log2 - 6)
-                cuts = np.searchsorted(shard, np.arange(SHARDS + 1))
-                out += [(row, s, cell[a:b].tobytes()) for s, a, b in zip(range(SHARDS), cuts[:-1], cuts[1:]) if b > a]
-            if out:
-                yield C.record(SKETCH, *map(list, zip(*out)))
-
-    return run
-
-
-def merge_sketches(log2: int):
-    """Running totals, stopped at two, of the cells that each shard was sent."""
-    size = 1 << (log2 - 6)
+def anchors_of(window: int):
+    """The minimisers of texts, one for each place."""
 
-    def run(batches):
-        seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for row, shard, data in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = seen.setdefault((row, shard), (np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)))
-                cell, count = np.unique(np.frombuffer(data, np.uint32) & np.uint32(size - 1), return_counts=True)
-                byte, bit = cell >> np.uint32(3), (1 << (cell & np.uint32(7))).astype(np.uint8)
-                again = (count > 1) | ((one[byte] & bit) > 0)
-                np.bitwise_or.at(two, byte[again], bit[again])
-                np.bitwise_or.at(one, byte, bit)
-        for (row, shard), (_, two) in seen.items():
-            yield C.record(SKETCH, [row], [shard], [two.tobytes()])
+    def run(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        w = Windows(texts, window)
+        at, first = np.unique(w.anchor_at, return_index=True)
+        return w.grams[at], w.doc[first]
 
     return run
 
 
-def repeated_cells(docs: DataFrame, window: int, log2: int) -> np.ndarray:
-    """The merged sketch: one bit for each cell that was hit at least twice. Its size depends on log2 alone."""
-    n = C.shuffle_partitions(docs.sparkSession)
-    parts = C.map_arrow(docs.select("text"), sketch_batches(window, log2), "row int, shard int, cells binary")
-    merged = parts.repartition(n, "row", "shard").mapInArrow(merge_sketches(log2), "row int, shard int, cells binary")
-    out = np.zeros((ROWS, SHARDS, (1 << (log2 - 6)) // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        out[r.row, r.shard] = np.frombuffer(r.cells, np.uint8)
-    return out.reshape(ROWS, -1)
-
-
 PARTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
 PARTS_SQL = "key long, doc_id long, text_key long, first int, kind byte, data binary"
 ALONE, SHARED, DONE = 0, 1, 2
@@ -138,19 +92,14 @@ def spans_by_doc(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
     return doc[first][head], np.concatenate((head, [len(first)])), pairs
 
 
-def candidate_batches(window: int, log2: int, sketch):
+def candidate_batches(window: int, hits: Hits):
     """Windows whose cells all reached two, as ALONE rows (consecutive windows of a document around one minimiser), SHARED rows
     (hashes that the batch itself holds twice) and DONE rows (spans of windows that are settled by that)."""
 
     def run(batches):
-        bits = sketch.value
-        for batch, texts in C.rows_of(batches):
+        for batch, texts in C.rows_of(batches, SPAN):
             w = Windows(texts, window)
-            hit = np.ones(len(w.at), bool)
-            for row in range(ROWS):
-                cell = cells(w.anchor, row, log2)
-                hit &= (bits[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-            which = np.flatnonzero(hit)
+            which = np.flatnonzero(hits.of(batch, w.anchor, w.doc))
             if not len(which):
                 continue
             anchor, h, doc, start = w.anchor[which], w.hashes(which), w.doc[which], w.start[which]
@@ -270,12 +219,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = C.source(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # about one minimiser in fourteen words; sixteen cells for each
-    log2 = min(max_log2, max(16, math.ceil(math.log2(max(1, size / 80 * 16)))))
-    sketch = spark.sparkContext.broadcast(repeated_cells(texts, window, log2))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    parts = C.staged(C.map_arrow(keyed, candidate_batches(window, log2, sketch), PARTS_SQL), "parts")
-    found = dealt(parts, hot_bytes).repartition(C.shuffle_partitions(spark), "key", "salt").drop("salt").mapInArrow(group_windows, "doc_id long, text_key long, spans binary")
+    ready, hits = with_hits(keyed, anchors_of(window), size / 80, 16, max_log2, SPAN)  # about one minimiser in fourteen words
+    parts = C.staged(C.map_arrow(ready, candidate_batches(window, hits), PARTS_SQL), "parts")
+    n = max(C.shuffle_partitions(spark), 1 + C.staged_bytes(parts) // PART_BYTES)
+    found = dealt(parts, hot_bytes).repartition(n, "key", "salt").drop("salt").mapInArrow(group_windows, "doc_id long, text_key long, spans binary")
     spans = C.staged(found.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans")), "spans")
     right = F.broadcast(spans) if C.staged_bytes(spans) <= broadcast_bytes else spans
     both = keyed.alias("d").join(right.alias("s"), C.same_row("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")

@@ -5,15 +5,16 @@ strings are judged on the input, overlaps count, and none crosses documents.
 
 Spark deals out the suffixes so that equal strings meet: the minimiser of a `width`-byte string (the least hash of
 its grams, leftmost at ties) depends on its bytes only, so consecutive strings around one minimiser travel together
-as a short context, keyed by the minimiser. Strings whose minimiser occurs once in the corpus (by a merged
-Count-min sketch, which never underestimates) equal no other and stay at home. Equal contexts fold into the one of
-least doc_id, in each batch before the shuffle and again after it, so a passage that a third of all documents share
-is a few rows, not one a document.
+as a short context, keyed by the minimiser. Strings whose minimiser occurs once in the corpus (by the merged sketches
+of `repeats`, which never underestimate) equal no other and stay at home. Equal contexts fold into the one of least
+doc_id, in each batch before the shuffle and again after it, so a passage that a third of all documents share is a few
+rows, not one a document.
 
 Each task then sorts the suffixes of its distinct contexts, a bounded number of bytes at a time, by the
 difference-cover algorithm for {1, 2} modulo 3: sort the triples at sampled positions, name them, recurse on the
 names (until names span `width` bytes), sort the remaining suffixes by first byte and the rank behind it, merge.
-Neighbours in that order that agree in `width` bytes are compared by doc_id.
+Neighbours in that order that agree in `width` bytes are compared by doc_id. A minimiser with more than `hot_bytes` of
+contexts in one task is passed on instead: its strings, one by one, are grouped by their bytes in a join of their own.
 
 Defined results: null and empty texts have no bytes; a text shorter than `width` stays; documents with equal doc_id
 do not remove each other's bytes; null doc_ids count as larger than all others and as equal. An empty table gives an
@@ -32,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.llm import common as C
+from proofsheet.llm.repeats import Hits, with_hits
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GRAM = 16
-SHARDS = 64
-ROWS = 2
-SPAN = 1 << 20  # bytes that are scanned at a time
+GRAM = 24
+SPAN = 1 << 20  # bytes of text that are worked on at a time
+STEP = 1 << 15  # bytes that are hashed at a time
 CHUNK = 1 << 19  # bytes of contexts whose suffixes are sorted at a time
+HOT_BYTES = 4 << 20
+PART_BYTES = 32 << 20  # of text for each shuffle partition
 BROADCAST_BYTES = 32 << 20
 LAST = 2**63 - 1
 
@@ -132,16 +135,16 @@ def smaller_elsewhere(contexts: list[bytes], docs: np.ndarray, width: int) -> li
 # ---------------------------------------------------------------- minimisers
 
 def minimisers(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each `width`-byte string of b, the hash (40 bits) and the place of its minimiser."""
+    """Where runs of `width`-byte strings around one minimiser begin, and its hash (40 bits)."""
     n = len(b) - width + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     gram = min(GRAM, width)
     grams = width - gram + 1
-    hashes, places = [], []
+    begins, hashes = [], []
     table = C.byte_table(5)
-    for at in range(0, n, SPAN):
-        stop = min(n, at + SPAN)
+    for at in range(0, n, STEP):
+        stop = min(n, at + STEP)
         h = C.window_hashes(table[b[at:stop + width - 1]], gram, C.BASES[0])
         v = (h & np.uint64(2**64 - 2**24)) | np.arange(len(h), dtype=np.uint64)
         span = 1
@@ -151,92 +154,49 @@ def minimisers(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         if span < grams:
             v = np.minimum(v[:stop - at], v[grams - span:grams - span + stop - at])
         v = v[:stop - at]
-        hashes.append(v >> np.uint64(24))
-        places.append((v & np.uint64(2**24 - 1)).astype(np.int64) + at)
-    return np.concatenate(hashes), np.concatenate(places)
+        cut = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        begins.append(cut + at)
+        hashes.append(v[cut] >> np.uint64(24))
+    return np.concatenate(begins), np.concatenate(hashes)
 
 
-def cells(anchor: np.ndarray, row: int, log2: int) -> np.ndarray:
-    return (C.mix(anchor + np.uint64(0x632BE59BD9B4E019 * (row + 1) & (2**64 - 1))) >> np.uint64(64 - log2)).astype(np.uint32)
-
-
-class Strings:
-    """The `width`-byte strings of some texts."""
+class Runs:
+    """The `width`-byte strings of some texts, in runs around one minimiser: begin in the buffer, count, text and minimiser of each."""
 
     def __init__(self, texts: list[bytes], width: int):
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.offset = np.cumsum(size) - size
-        self.buffer = np.frombuffer(b"".join(texts), np.uint8)
-        anchor, place = minimisers(self.buffer, width)
-        doc = np.repeat(np.arange(len(texts)), size)
-        n = len(anchor)
-        self.at = np.flatnonzero(doc[:n] == doc[width - 1:]) if n else np.empty(0, np.int64)
-        self.doc, self.anchor, self.place = doc[self.at], anchor[self.at], place[self.at]
-
-
-SKETCH = pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("cells", pa.binary())])
-SKETCH_SQL = "row int, shard int, cells binary"
-
-
-def sketch_batches(width: int, log2: int):
-    """Cells that a batch hits, ascending, one or two times each; kept as low and high halves of their differences."""
-
-    def run(batches):
-        for _, texts in C.rows_of(batches, SPAN):
-            s = Strings(texts, width)
-            first = np.flatnonzero(np.concatenate(([True], np.diff(s.place) != 0))) if len(s.at) else []
-            anchors = s.anchor[first]
-            out = []
-            for row in range(ROWS):
-                cell, count = np.unique(cells(anchors, row, log2), return_counts=True)
-                cell = np.repeat(cell, np.minimum(count, 2))
-                cuts = np.searchsorted(cell >> np.uint32(log2 - 6), np.arange(SHARDS + 1))
-                for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if z > a:
-                        step = np.diff(cell[a:z] & np.uint32((1 << (log2 - 6)) - 1), prepend=np.uint32(0))
-                        out.append((row, k, (step & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (step >> np.uint32(16)).astype(np.uint16).tobytes()))
-            if out:
-                yield C.record(SKETCH, *map(list, zip(*out)))
+        end = np.cumsum(size)
+        self.offset = end - size
+        self.buffer = b"".join(texts)
+        begin, anchor = minimisers(np.frombuffer(self.buffer, np.uint8), width)
+        # no string crosses documents: cut there, and leave out what begins too late in its own
+        last = np.maximum(end - width + 1, self.offset)
+        cut = np.unique(np.concatenate((begin, self.offset, last)))
+        stop = np.append(cut[1:], len(self.buffer)) if len(cut) else cut
+        doc = np.searchsorted(end, cut, "right")
+        keep = doc < len(texts)
+        cut, stop, doc = cut[keep], stop[keep], doc[keep]
+        keep = cut < last[doc]
+        self.begin, self.doc = cut[keep], doc[keep]
+        self.count = stop[keep] - self.begin
+        self.anchor = anchor[np.searchsorted(begin, self.begin, "right") - 1]
+
+
+def anchors_of(width: int):
+    def run(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        runs = Runs(texts, width)
+        return runs.anchor, runs.doc
 
     return run
 
 
-def merge_sketches(log2: int):
-    size = 1 << (log2 - 6)
-
-    def run(batches):
-        seen: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for row, shard, data in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = seen.setdefault((row, shard), (np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)))
-                low, high = np.frombuffer(data, np.uint16).reshape(2, -1).astype(np.uint32)
-                cell, count = np.unique(np.cumsum(low | high << np.uint32(16), dtype=np.uint32), return_counts=True)
-                byte, bit = cell >> np.uint32(3), (1 << (cell & np.uint32(7))).astype(np.uint8)
-                again = (count > 1) | ((one[byte] & bit) > 0)
-                np.bitwise_or.at(two, byte[again], bit[again])
-                np.bitwise_or.at(one, byte, bit)
-        for (row, shard), (_, two) in seen.items():
-            yield C.record(SKETCH, [row], [shard], [two.tobytes()])
-
-    return run
-
-
-def repeated_cells(texts: DataFrame, width: int, log2: int) -> np.ndarray:
-    n = C.shuffle_partitions(texts.sparkSession)
-    parts = C.map_arrow(texts.select("text"), sketch_batches(width, log2), SKETCH_SQL)
-    out = np.zeros((ROWS, SHARDS, (1 << (log2 - 6)) // 8), np.uint8)
-    for r in parts.repartition(n, "row", "shard").mapInArrow(merge_sketches(log2), SKETCH_SQL).toLocalIterator():
-        out[r.row, r.shard] = np.frombuffer(r.cells, np.uint8)
-    return out.reshape(ROWS, -1)
-
-
 # ---------------------------------------------------------------- contexts
 
-PARTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.binary()), ("context", pa.binary()), ("spans", pa.binary())])
-PARTS_SQL = "anchor long, doc_id long, text_key long, starts binary, context binary, spans binary"
+PARTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("context", pa.binary())])
+PARTS_SQL = "anchor long, doc_id long, text_key long, starts binary, counts binary, context binary"
 
 
-def folded(contexts: list[bytes], docs: list[int]) -> tuple[dict[bytes, int], list[bool]]:
+def fold(contexts: list[bytes], docs: list[int]) -> tuple[dict[bytes, int], list[bool]]:
     """The least doc of each distinct context, and which rows have a larger one."""
     least: dict[bytes, int] = {}
     for c, d in zip(contexts, docs):
@@ -245,118 +205,131 @@ def folded(contexts: list[bytes], docs: list[int]) -> tuple[dict[bytes, int], li
     return least, [d > least[c] for c, d in zip(contexts, docs)]
 
 
-def whole(starts: np.ndarray, n: int) -> bytes:
-    """Spans (start, count) of contexts that hold n strings each."""
-    return np.stack([starts, np.full(len(starts), n, np.int32)], 1).astype(np.int32).tobytes()
-
-
-def context_batches(width: int, log2: int, sketch):
-    """Contexts of strings whose minimiser's cells all reached two. What a batch settles by itself comes as spans, without context."""
+def context_batches(width: int, hits: Hits):
+    """Contexts of strings whose minimiser may occur again, one row for each context and document with all its starts. What a batch
+    settles by itself comes as starts and counts of strings, without context."""
 
     def run(batches):
-        bits = sketch.value
         for batch, texts in C.rows_of(batches, SPAN):
-            s = Strings(texts, width)
-            hit = np.ones(len(s.at), bool)
-            for row in range(ROWS):
-                cell = cells(s.anchor, row, log2)
-                hit &= (bits[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-            at, place, doc, anchor = s.at[hit], s.place[hit], s.doc[hit], s.anchor[hit]
-            if not len(at):
+            r = Runs(texts, width)
+            which = np.flatnonzero(hits.of(batch, r.anchor, r.doc))
+            if not len(which):
                 continue
-            cut = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 0) | (np.diff(at) != 1) | (np.diff(doc) != 0))))
-            count = np.diff(np.concatenate((cut, [len(at)])))
-            data, begin = s.buffer.tobytes(), at[cut]
-            contexts = [data[a:a + n + width - 1] for a, n in zip(begin.tolist(), count.tolist())]
-            rows = doc[cut]
-            order_of = [LAST if d is None else d for d in batch.column(0).to_pylist()]
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            docs = [order_of[r] for r in rows.tolist()]
-            _, later = folded(contexts, docs)
-            starts = (begin - s.offset[rows]).astype(np.int32)
-            kept: dict[tuple[bytes, int], list[int]] = {}
-            settled: dict[int, list[int]] = {}
-            for i, (c, r, gone) in enumerate(zip(contexts, rows.tolist(), later)):
-                if gone:
-                    settled.setdefault(r, []).append(i)
-                else:
-                    kept.setdefault((c, r), []).append(i)
+            begin, count, doc, anchor = r.begin[which], r.count[which], r.doc[which], r.anchor[which]
+            contexts = [r.buffer[a:z] for a, z in zip(begin.tolist(), (begin + count + (width - 1)).tolist())]
+            ids, keys = C.listed(batch.column(0)), C.listed(batch.column(1))
+            order_of = [LAST if d is None else d for d in ids]
+            rows = doc.tolist()
+            _, later = fold(contexts, [order_of[i] for i in rows])
+            starts, counts = (begin - r.offset[doc]).astype(np.int32), count.astype(np.int32)
+            later = np.array(later)
             out = []
-            for r, which in settled.items():
-                spans = np.stack([starts[which], count[which]], 1).astype(np.int32).tobytes()
-                out.append((r * 7919 + len(which), ids[r], keys[r], None, None, spans))
-            for (c, r), which in kept.items():
-                out.append((int(anchor[cut[which[0]]]), ids[r], keys[r], starts[which].tobytes(), c, None))
+            # settled: the runs of each document together
+            over = np.flatnonzero(later)
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(doc[over]) != 0))) if len(over) else []
+            for a, z in zip(cut, [*cut[1:], len(over)]):
+                i, own = rows[over[a]], over[a:z]
+                out.append((i * 7919 + int(z), ids[i], keys[i], starts[own].tobytes(), counts[own].tobytes(), None))
+            kept: dict[tuple[bytes, int], list[int]] = {}
+            for k in np.flatnonzero(~later).tolist():
+                kept.setdefault((contexts[k], rows[k]), []).append(k)
+            for (c, i), own in kept.items():
+                out.append((int(anchor[own[0]]), ids[i], keys[i], starts[own].tobytes(), None, c))
             yield C.record(PARTS, *map(list, zip(*out)))
 
     return run
 
 
-SPANS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary()), ("string", pa.binary())])
+FOUND_SQL = "doc_id long, text_key long, starts binary, counts binary, string binary"
+
 
+def moved(starts: bytes, by: int) -> bytes:
+    return starts if not by else (np.frombuffer(starts, np.int32) + np.int32(by)).tobytes()
 
-def sort_contexts(width: int):
-    """Rows come sorted by anchor; those of whole anchors are settled, about CHUNK bytes at a time."""
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
-        anchors = [r[0] for r in rows]
-        docs = [LAST if r[1] is None else r[1] for r in rows]
-        contexts = [r[4] for r in rows]
-        least, later = folded(contexts, docs)
-        several: dict[int, set[bytes]] = {}
-        for a, c in zip(anchors, contexts):
-            several.setdefault(a, set()).add(c)
+def sort_contexts(width: int, hot_bytes: int):
+    """Rows come sorted by anchor; those of whole anchors are settled, about CHUNK bytes at a time. Rows with a string are not settled yet."""
+
+    def settle(rows: list[tuple]) -> list[tuple]:
+        anchors, docs, keys, starts, _, contexts = zip(*rows)
+        least, later = fold(contexts, [LAST if d is None else d for d in docs])
+        of_anchor: dict[int, list[bytes]] = {}
+        for c, a in dict(zip(contexts, anchors)).items():
+            of_anchor.setdefault(a, []).append(c)
         # contexts that only one document has cannot remove anything from each other
-        distinct = [c for group in several.values() if len(group) > 1 and len({least[c] for c in group}) > 1 for c in group]
-        gone = dict(zip(distinct, smaller_elsewhere(distinct, np.array([least[c] for c in distinct], np.int64), width))) if distinct else {}
+        distinct = [c for group in of_anchor.values() if len(group) > 1 and len({least[c] for c in group}) > 1 for c in group]
+        gone: dict[bytes, list[tuple[int, bytes]]] = {}
+        if distinct:
+            found = smaller_elsewhere(distinct, np.array([least[c] for c in distinct], np.int64), width)
+            for c, offsets in zip(distinct, found):
+                if len(offsets):
+                    first, size = C.runs(offsets)
+                    gone[c] = [(f, n.to_bytes(4, "little")) for f, n in zip(first.tolist(), size.tolist())]
         out = []
-        for (_, doc, key, starts, context, _), over in zip(rows, later):
-            starts = np.frombuffer(starts, np.int32)
+        for doc, key, at, c, over in zip(docs, keys, starts, contexts, later):
             if over:
-                out.append((doc, key, whole(starts, len(context) - width + 1)))
-            elif len(offsets := gone.get(context, ())):
-                first, size = C.runs(offsets)
-                pairs = np.stack([(starts[:, None] + first[None, :]).ravel(), np.tile(size, len(starts))], 1)
-                out.append((doc, key, pairs.astype(np.int32).tobytes()))
-        return C.record(SPANS, *map(list, zip(*out))) if out else None
+                out.append((doc, key, at, (len(c) - width + 1).to_bytes(4, "little") * (len(at) // 4), None))
+            elif c in gone:
+                for first, n in gone[c]:
+                    out.append((doc, key, moved(at, first), n * (len(at) // 4), None))
+        return out
+
+    def strings(rows: list[tuple]) -> list[tuple]:
+        one = (1).to_bytes(4, "little")
+        return [(doc, key, moved(at, k), one * (len(at) // 4), c[k:k + width]) for _, doc, key, at, _, c in rows for k in range(len(c) - width + 1)]
 
     def run(batches):
         held: list[tuple] = []
-        size = 0
+        size, hot = 0, None
         for batch in batches:
-            passed = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[4] is None:
-                    passed.append((row[1], row[2], row[5]))
-                    continue
-                if size > CHUNK and row[0] != held[-1][0]:
-                    found = settle(held)
-                    if found:
-                        yield found
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-            if passed:
-                yield C.record(SPANS, *map(list, zip(*passed)))
-        if held:
-            found = settle(held)
-            if found:
-                yield found
+            out = []
+            for row in zip(*map(C.listed, batch.columns)):
+                if row[5] is None:
+                    out.append((*row[1:5], None))
+                elif row[0] == hot:
+                    out += strings([row])
+                else:
+                    if size > CHUNK and row[0] != held[-1][0]:
+                        out += settle(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5]) + len(row[3])
+                    if size > CHUNK + hot_bytes:
+                        hot = row[0]
+                        first = next(i for i, r in enumerate(held) if r[0] == hot)
+                        out += (settle(held[:first]) if first else []) + strings(held[first:])
+                        held, size = [], 0
+            if out:
+                yield C.record(FOUND, *map(list, zip(*out)))
+        if held and (out := settle(held)):
+            yield C.record(FOUND, *map(list, zip(*out)))
 
     return run
 
 
+def of_strings(rows: DataFrame) -> DataFrame:
+    """Those rows (of strings one by one) whose string a smaller document has."""
+    doc = F.coalesce("doc_id", F.lit(LAST))
+    least = rows.groupBy("string").agg(F.min(doc).alias("least"))
+    return rows.join(least, "string").filter(doc > F.col("least")).select("doc_id", "text_key", "starts", "counts")
+
+
+SPANS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
+
+
 def merge_spans(batches):
-    """The spans of each document as few as possible: ascending, none touching another."""
+    """The runs of strings of each document as few as possible: ascending, none touching another."""
     for batch in batches:
         out = []
-        for doc, key, parts in zip(*(c.to_pylist() for c in batch.columns)):
-            pairs = np.frombuffer(b"".join(parts), np.int32).reshape(-1, 2).astype(np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-            end = np.maximum.accumulate(pairs.sum(1))
-            head = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] > end[:-1])))
-            last = np.concatenate((head[1:], [len(pairs)])) - 1
-            out.append((doc, key, np.stack([pairs[head, 0], end[last] - pairs[head, 0]], 1).astype(np.int32).tobytes()))
+        for doc, key, starts, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            start, count = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (starts, counts))
+            order = np.argsort(start, kind="stable")
+            start = start[order]
+            end = np.maximum.accumulate(start + count[order])
+            head = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+            last = np.append(head[1:], len(start)) - 1
+            out.append((doc, key, np.stack([start[head], end[last] - start[head]], 1).astype(np.int32).tobytes()))
         if out:
             yield C.record(SPANS, *map(list, zip(*out)))
 
@@ -384,21 +357,22 @@ def strip(width: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, max_log2: int = 28, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, max_log2: int = 28, broadcast_bytes: int = BROADCAST_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes) of every row."""
     spark = docs.sparkSession
     texts = C.source(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # about one minimiser in eighteen bytes; four cells for each
-    log2 = min(max_log2, max(16, math.ceil(math.log2(max(1, size / 18 * 4)))))
-    sketch = spark.sparkContext.broadcast(repeated_cells(texts, width, log2))
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    parts = C.map_arrow(keyed, context_batches(width, log2, sketch), PARTS_SQL)
-    dealt = parts.repartition(C.shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor")
-    found = dealt.mapInArrow(sort_contexts(width), "doc_id long, text_key long, spans binary")
-    listed = found.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
+    ready, hits = with_hits(keyed, anchors_of(width), size / 14, 4, max_log2, SPAN)  # about one minimiser in fourteen bytes
+    parts = C.map_arrow(ready, context_batches(width, hits), PARTS_SQL)
+    n = max(C.shuffle_partitions(spark), 1 + size // PART_BYTES)
+    dealt = parts.repartition(n, "anchor").sortWithinPartitions("anchor")
+    found = C.staged(dealt.mapInArrow(sort_contexts(width, hot_bytes), FOUND_SQL), "found")
+    done, rest = found.filter("string is null").drop("string"), found.filter("string is not null")
+    if not rest.isEmpty():
+        done = done.unionByName(of_strings(rest))
+    listed = done.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
     spans = C.staged(listed.mapInArrow(merge_spans, "doc_id long, text_key long, spans binary"), "spans")
-    sketch.destroy()  # from here on the staged files are read
     right = F.broadcast(spans) if C.staged_bytes(spans) <= broadcast_bytes else spans
     both = keyed.alias("d").join(right.alias("s"), C.same_row("d", "s"), "left").select("d.doc_id", "d.text", "s.spans")
     return C.map_arrow(both, strip(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -10,10 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from proofsheet.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, substring_dedup, suffix_dedup
+from proofsheet.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, minhash_dedup, packing, pii, quality, repeats, substring_dedup, suffix_dedup
 
 CLASH = ("rep", "n", "component", "node", "spans", "text_key", "h", "row", "key", "sketch", "part", "n_lines", "drop", "host", "c", "d", "s")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
@@ -110,11 +111,31 @@ def test_op1(docs, rows):
     assert any(r.n_removed for r in got.values())
 
 
-def test_op1_full_sketch_loses_nothing(docs):
+def test_op1_same_result_without_broadcasts(docs):
     a = {tuple(r) for r in substring_dedup.substring_dedup(docs).collect()}
     assert a == {tuple(r) for r in substring_dedup.substring_dedup(docs, max_log2=10, broadcast_bytes=0).collect()}
 
 
+@pytest.mark.parametrize("max_log2", [10, 30])
+def test_sketches_filter_at_any_size(spark, max_log2):
+    """Far more anchors than a small sketch has cells: few of those that occur once pass, none is lost that occurs twice."""
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10**9)) for _ in range(200)) for _ in range(400)]
+    texts[7] = texts[5] + " " + texts[6]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_key long, text string").repartition(5)
+    anchors_of = substring_dedup.anchors_of(35)
+    ready, hits = repeats.with_hits(df, anchors_of, 80_000 / 14, 16, max_log2, 1 << 16)
+
+    def passed(batches):
+        for batch in batches:
+            anchors, doc = anchors_of([t.encode() for t in batch["text"].to_pylist()])
+            hit = hits.of(batch, anchors, doc)
+            yield pa.RecordBatch.from_pydict({"doc_id": [batch["doc_id"][int(d)].as_py() for d in doc], "hit": hit})
+
+    seen = Counter((r.doc_id in (5, 6), r.hit) for r in ready.mapInArrow(passed, "doc_id long, hit boolean").collect())
+    assert seen[True, True] > 10 and not seen[True, False] and seen[False, True] < 0.1 * seen[False, False]
+
+
 def brute_2(rows):
     texts = {i: (t or "").encode() for i, t, *_ in rows}
     first = {}
@@ -129,7 +150,7 @@ def brute_2(rows):
         yield i, len(b), sum(gone), sum(1 for z in bytes(gone).split(b"\0") if z), bytes(c for c, g in zip(b, gone) if not g)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_log2": 10, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"max_log2": 10, "broadcast_bytes": 0}, {"hot_bytes": -(1 << 19)}])
 def test_op2(docs, rows, options):
     got = by_id(suffix_dedup.suffix_dedup(docs, **options))
     for i, *want in brute_2(rows):
