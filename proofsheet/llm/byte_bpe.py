@@ -27,7 +27,7 @@ from proofsheet.llm import common as C
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE = 200_000  # matches that a Python worker remembers, and as many subtrees and pairs of tokens
+CACHE = 250_000  # matches that a Python worker remembers in each of two generations, and as many subtrees and pairs of tokens
 SHORT = 64  # bytes; longer matches are rarely met again
 TWIG = 8  # bytes of a subtree that is remembered
 
@@ -107,25 +107,35 @@ class Bpe:
 
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two finished encodings' bytes."""
-        seam, k, i, j = self.pair(a[-1], b[0]), 1, len(a) - 1, 1
-        while not ((i == 0 or self.pair(a[i - 1], seam[0]) == (a[i - 1], seam[0])) and (j == len(b) or self.pair(seam[-1], b[j]) == (seam[-1], b[j]))):
+        known, i, j = self.pairs.get, len(a) - 1, 1
+        seam = known((a[-1], b[0])) or self.pair(a[-1], b[0])
+        k = 1
+        while True:
+            if i and (known((a[i - 1], seam[0])) or self.pair(a[i - 1], seam[0])) != (a[i - 1], seam[0]):
+                pass
+            elif j < len(b) and (known((seam[-1], b[j])) or self.pair(seam[-1], b[j])) != (seam[-1], b[j]):
+                pass
+            else:
+                return a[:i] + seam + b[j:]
             k *= 2
             i, j = max(0, len(a) - k), min(len(b), k)
             seam = tuple(self.merge(self.decode(a[i:]) + self.decode(b[:j])))
-        return a[:i] + seam + b[j:]
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        found = self.twigs.get(piece)
-        if found is None:
-            if piece in self.ranks:  # a leaf: one byte, or a whole token
-                found = (self.ranks[piece],)
-            else:
-                half = len(piece) // 2
-                found = self.join(self.encode(piece[:half]), self.encode(piece[half:]))
-            if len(piece) <= TWIG:
-                if len(self.twigs) > CACHE:
-                    self.twigs.clear()
-                self.twigs[piece] = found
+        rank = self.ranks.get(piece)
+        if rank is not None:  # a leaf: one byte, or a whole token
+            return (rank,)
+        half = len(piece) // 2
+        x, y = piece[:half], piece[half:]
+        return self.join(self.twigs.get(x) or self.twig(x), self.twigs.get(y) or self.twig(y))
+
+    def twig(self, piece: bytes) -> tuple[int, ...]:
+        """encode, remembered if it is short."""
+        found = self.encode(piece)
+        if len(piece) <= TWIG:
+            if len(self.twigs) > CACHE:
+                self.twigs.clear()
+            self.twigs[piece] = found
         return found
 
     def decode(self, ids: tuple[int, ...]) -> bytes:
@@ -141,29 +151,33 @@ def code_batches(path: str, pattern: str):
 
         own = C.worker_cache("byte_bpe")
         if getattr(own, "made_from", None) != (path, pattern):
-            own.bpe, own.split, own.known = Bpe(load_ranks(path)), regex.compile(pattern), {}
+            own.bpe, own.split, own.known, own.before = Bpe(load_ranks(path)), regex.compile(pattern), {}, {}
+            own.names = {i: str(i) for i in own.bpe.token}
             own.made_from = (path, pattern)
-        bpe, split = own.bpe, own.split
+        bpe, split, name = own.bpe, own.split, own.names.__getitem__
         for batch, texts in C.rows_of(batches):
             count, ids, back = [], [], []
             matches = [split.findall(t.decode()) for t in texts]
-            need = {m for found in matches for m in found}
+            need = set().union(*matches)
             new = need.difference(own.known)
-            if len(own.known) + len(new) > CACHE:
-                own.known = {m: own.known[m] for m in need.difference(new)}
-            known, long = own.known, []
+            if len(own.known) + len(new) > CACHE:  # what is needed again survives the next time
+                own.before, own.known, new = own.known, {}, need
+            known, before, long = own.known, own.before.get, []
             for m in new:  # its ids, and the bytes that they stand for
-                b = m.encode()
-                coded = bpe.encode(b)
-                known[m] = " ".join(map(str, coded)), bpe.decode(coded)
-                if len(b) > SHORT:
-                    long.append(m)
+                seen = before(m)
+                if seen is None:
+                    b = m.encode()
+                    coded = bpe.encode(b)
+                    seen = " ".join(map(name, coded)), bpe.decode(coded)
+                    if len(b) > SHORT:
+                        long.append(m)
+                known[m] = seen
             for found in matches:
-                parts = list(map(known.__getitem__, found))
-                line = " ".join([p[0] for p in parts])
+                told, read = zip(*map(known.__getitem__, found)) if found else ((), ())
+                line = " ".join(told)
                 count.append(line.count(" ") + 1 if line else 0)
                 ids.append(line)
-                back.append(b"".join([p[1] for p in parts]))
+                back.append(b"".join(read))
             for m in long:
                 del known[m]
             yield C.record(CODED, batch.column(0), count, ids, back)

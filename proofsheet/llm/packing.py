@@ -124,7 +124,7 @@ def cut_batches(path: str, end_id: int, size: int, keep_ids: bool):
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in C.rows_of(batches, 2 << 20):
             split = [t.split() for t in texts]
-            known = own.bpe.learn({w for words in split for w in words})
+            known = own.bpe.learn(set().union(*split))
             out = []
             for doc, words in zip(batch.column(0).to_pylist(), split):
                 ids = b"".join(map(known.__getitem__, words)) + end

@@ -6,7 +6,7 @@ anywhere else (another document, or elsewhere in the same one) is removed; windo
 Pass 1 counts. Equal windows have the same minimiser (the least hash among their word grams, leftmost at ties) at
 the same place, so a minimiser occurs at least as often as any window around it: its Count-min estimate never
 falls below the window's count. The sketches of partitions are merged as `repeats` says: with sixteen cells for each
-minimiser at any size, broadcast up to `max_log2`, joined beyond.
+minimiser, and documents meet them in joins at any size (unless `max_log2` allows to broadcast them).
 
 Pass 2 is exact: the windows estimated as repeated, and only they, are grouped by minimiser and window hash (128
 bits together). Inside a batch equal windows are folded into one representative first, so a passage that a third
@@ -214,7 +214,7 @@ def strip(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, max_log2: int = 27, broadcast_bytes: int = BROADCAST_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, max_log2: int = 0, broadcast_bytes: int = BROADCAST_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every row."""
     spark = docs.sparkSession
     texts = C.source(docs, id_col, text_col)
