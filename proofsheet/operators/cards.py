@@ -35,7 +35,7 @@ def card_candidates(drawings: DataFrame, parts: DataFrame) -> DataFrame:
     pair = (F.col("n") == 2) & (F.col("places") == 2)
     left, right = F.get("d", F.lit(0)), F.get("d", F.lit(1))
     odd = pair & ((left["side"] == "back") | (right["side"] == "front"))
-    paired = one.filter(pair).select("component", left["drawing_id"].alias("front"), right["drawing_id"].alias("back"), F.lit(None).cast("string").alias("single"), F.when(odd, "layout-conflict").alias("issue"))
+    paired = one.filter(pair).select("component", left["drawing_id"].alias("front"), right["drawing_id"].alias("back"), F.lit(None).cast(dict(drawings.dtypes)["drawing_id"]).alias("single"), F.when(odd, "layout-conflict").alias("issue"))
     rest = one.filter(~pair).select("component", F.explode("d").alias("x"), F.when(F.col("n") > 1, "ambiguous").alias("issue"))
     side = lambda s: F.when(F.col("x.side") == s, F.col("x.drawing_id"))
     single = rest.select("component", side("front").alias("front"), side("back").alias("back"), F.when(~F.coalesce(F.col("x.side").isin("front", "back"), F.lit(False)), F.col("x.drawing_id")).alias("single"), "issue")
@@ -75,12 +75,24 @@ def replace_pages(local: DataFrame, fresh: DataFrame, pages: DataFrame, keys: li
     return local.join(pages, keys, "left_anti").unionByName(fresh.join(pages, keys, "left_semi"), allowMissingColumns=True)
 
 
-def weak_fields(sources: DataFrame, keys: list[str], value: str = "value", confidence: str = "confidence", least: float = 0.7) -> DataFrame:
-    """keys, weak: unread (no source has a value), low-confidence (the best read is below the line), or null. No confidence is not low."""
+def best_reads(sources: DataFrame, keys: list[str], order: str, value: str = "value", confidence: str = "confidence") -> DataFrame:
+    """keys, value, confidence: the most confident source that has a value, the first at ties; one without confidence ranks last. Nulls if nothing was read."""
     has = F.trim(T.text_of(F.col(value))) != ""
-    best = F.max_by(F.col(confidence), F.when(has, F.coalesce(F.col(confidence), F.lit(1.0))))
-    out = sources.groupBy(*keys).agg(F.count_if(has).alias("reads"), best.alias("best"))
-    return out.select(*keys, F.when(F.col("reads") == 0, "unread").when(F.col("best") < least, "low-confidence").alias("weak"))
+    rank = F.when(has, F.struct(F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)).alias("c"), (-F.col(order)).alias("o")))
+    best = F.max_by(F.struct(F.trim(F.col(value)).alias("v"), F.col(confidence).alias("c")), rank)
+    return sources.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.v").alias("value"), F.col("b.c").alias("confidence"))
+
+
+def weak_fields(sources: DataFrame, keys: list[str], order: str, value: str = "value", confidence: str = "confidence", least: float = 0.7) -> DataFrame:
+    """keys, value, confidence of the best read, and weak: unread (no source has a value), low-confidence (the best read is below the line), or null. No confidence is not low."""
+    best = best_reads(sources, keys, order, value, confidence)
+    return best.withColumn("weak", F.when(F.col("value").isNull(), "unread").when(F.col("confidence") < least, "low-confidence"))
+
+
+def pages_to_reread(weak: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, page: the pages that sources of weak fields (with keys and weak) point to, each once; a source without document points nowhere."""
+    fields = weak.filter("weak is not null").select(*keys)
+    return sources.filter("doc_id <> ''").join(fields, keys, "left_semi").select("doc_id", "page").distinct()
 
 
 def card_packets(resolved: DataFrame, roster: DataFrame, packets: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from proofsheet.functions import text as T
+from proofsheet.functions import values as V
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -72,26 +73,30 @@ FILLERS = ("le", "linh")
 
 
 def spelled_amount(text: Column) -> Column:
-    """The amount that number words spell; null if they spell none. Other words are passed over."""
-    words = F.split(T.fold_words(text), "[ _]+")
-    of = lambda table, w: F.create_map(*(F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for kv in table.items() for x in kv))[w]
-    zero = F.lit(0).cast("long")
-    state = lambda total, group, digit, seen: F.struct(total.alias("total"), group.alias("grp"), digit.alias("digit"), seen.alias("seen"))
-
-    def step(s: Column, w: Column) -> Column:
-        digit = F.coalesce(s["digit"], zero)
-        unit, ten, scale = of(UNITS, w), of(TENS, w), of(SCALES, w)
-        none = F.lit(None).cast("long")
-        return (
-            F.when(ten.isNotNull(), state(s["total"], s["grp"] + F.coalesce(s["digit"], F.lit(1).cast("long")) * ten, none, F.lit(True)))
-            .when(scale.isNotNull() & (s["seen"] | (s["grp"] + digit > 0)), state(s["total"] + (s["grp"] + digit) * scale, zero, none, s["seen"]))
-            .when(w.isin(*FILLERS), state(s["total"], s["grp"] + digit, none, s["seen"]))
-            .when(unit.isNotNull(), state(s["total"], s["grp"] + digit, unit, F.lit(True)))
-            .otherwise(s)
-        )
-
-    start = state(zero, zero, F.lit(None).cast("long"), F.lit(False))
-    return F.aggregate(words, start, step, lambda s: F.when(s["seen"], s["total"] + s["grp"] + F.coalesce(s["digit"], zero)))
+    """The amount that number words spell; null if they spell none. Other words are passed over.
+
+    It is a sum over words: a unit counts as often as the ten or hundred right behind it says, a ten or hundred without
+    a unit counts once, and each is scaled by the next scale word that follows.
+    """
+    kinds = {**dict.fromkeys(UNITS, "unit"), **dict.fromkeys(TENS, "ten"), **dict.fromkeys(SCALES, "scale"), **dict.fromkeys(FILLERS, "filler")}
+    values = {**dict.fromkeys(FILLERS, 0), **UNITS, **TENS, **SCALES}
+    kind_of = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
+    value_of = F.create_map(*(F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for kv in values.items() for x in kv))
+    known = F.filter(F.split(T.fold_words(text), "[ _]+"), lambda w: kind_of[w].isNotNull())
+    said = F.transform(known, lambda w: F.struct(kind_of[w].alias("kind"), value_of[w].alias("value")))
+
+    def total(s: Column) -> Column:
+        def share(x: Column, i: Column) -> Column:
+            after, before = F.get(s, i + 1), F.get(s, i - 1)
+            times = F.when(after["kind"] == "ten", after["value"]).otherwise(F.lit(1).cast("long"))
+            own = F.when(x["kind"] == "unit", x["value"] * times).when((x["kind"] == "ten") & (F.coalesce(before["kind"], F.lit("")) != "unit"), x["value"])
+            scales = F.filter(s, lambda y, j: (j > i) & (y["kind"] == "scale"))
+            return F.coalesce(own, F.lit(0).cast("long")) * F.coalesce(F.get(scales, F.lit(0))["value"], F.lit(1).cast("long"))
+
+        amount = F.aggregate(F.transform(s, share), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.when(F.exists(s, lambda x: x["kind"].isin("unit", "ten")), amount)
+
+    return F.element_at(F.transform(F.array(said), total), 1)
 
 
 #: What a printed sign may be instead of a digit.
@@ -99,22 +104,20 @@ CONFUSIONS = {"§": "58", "s": "5", "S": "5", "$": "5", "o": "0", "O": "0", "Q":
 MOST_DAMAGED = 3
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def digit_repairs(tokens: pd.Series) -> pd.Series:
+def digit_repairs(token: Column) -> Column:
     """All amounts that a token could be if up to three of its signs are damaged digits, ascending."""
-    import itertools
-    import re
-
-    grouped = re.compile(r"[0-9]{1,4}(?:[.,][0-9]{3})+")
-
-    def of(token: str | None) -> list[int]:
-        bare = re.sub(r"(?i)\s*(?:vnd|vnđ|đ)$", "", (token or "").strip()).rstrip(".,;:")
-        if sum(c in CONFUSIONS for c in bare) > MOST_DAMAGED:
-            return []
-        ways = itertools.product(*(c + CONFUSIONS.get(c, "") for c in bare))
-        return sorted({int(re.sub("[.,]", "", x)) for x in map("".join, ways) if grouped.fullmatch(x)})
-
-    return tokens.map(of)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(T.text_of(token)), r"(?i)\s*(?:vnd|vnđ|đ)$", ""), "[.,;:]+$", "")
+    meant = F.create_map(*(F.lit(x) for kv in CONFUSIONS.items() for x in kv))
+    damaged = lambda signs: F.size(F.filter(signs, lambda c: meant[c].isNotNull()))
+    options = lambda c: F.filter(F.split(F.concat(c, F.coalesce(meant[c], F.lit(""))), ""), lambda x: x != "")
+
+    def amounts(signs: Column) -> Column:
+        longer = lambda ways, c: F.flatten(F.transform(ways, lambda w: F.transform(options(c), lambda o: F.concat(w, o))))
+        ways = F.aggregate(signs, F.array(F.lit("")), longer)
+        return F.array_sort(F.array_distinct(F.array_compact(F.transform(ways, V.money_token))))
+
+    signs = F.filter(F.split(bare, ""), lambda x: x != "")
+    return F.element_at(F.transform(F.array(signs), lambda s: F.when(damaged(s) > MOST_DAMAGED, F.array().cast("array<bigint>")).otherwise(amounts(s))), 1)
 
 
 def settled_total(digits: Column, words: Column, repairs: Column) -> Column:

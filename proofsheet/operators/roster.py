@@ -31,6 +31,7 @@ HEADERS = {
 }
 REQUIRED = ("name", "cccd")
 AMOUNTS = ("gross", "net", "pit")
+NEEDED = ("cccd", "gross", "pit", "net")
 SHEET = ["case_id", "sheet"]
 
 
@@ -66,12 +67,12 @@ def missing_required(fields: Column) -> Column:
 
 
 def read_people(rows: DataFrame) -> DataFrame:
-    """A row per numbered or total row: case_id, sheet, row, is_total and the located fields as text (null where not located)."""
+    """A row per numbered or total row: case_id, sheet, row, is_total, the fields as text (null where not located), and located, their names."""
     where = locate_columns(rows).groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("cols"))
     body = rows.join(first_data_rows(rows), SHEET).filter("row >= first_data").join(where, SHEET)
     head = F.trim(T.text_of(F.get("cells", F.lit(0))))
     number, total = head.rlike("^[0-9]+$"), T.fold_label(head).rlike("tong|total")
-    return body.filter(number | total).select(*SHEET, "row", (~number).alias("is_total"), *(F.get(F.col("cells"), F.col("cols")[f]).alias(f) for f in HEADERS))
+    return body.filter(number | total).select(*SHEET, "row", (~number).alias("is_total"), *(F.get(F.col("cells"), F.col("cols")[f]).alias(f) for f in HEADERS), F.map_keys("cols").alias("located"))
 
 
 def rows_until_blank(rows: DataFrame) -> DataFrame:
@@ -98,8 +99,15 @@ def control_totals(rows: DataFrame, keys: list[str], amount: Column, stated: Dat
 def findings(people: DataFrame) -> DataFrame:
     """case_id, code, rows: all self-checks of rosters read by read_people. Cases are checked side by side.
 
-    A check whose column was not located is left out, as is every check if an id or amount column is missing.
+    A check whose column was not located is left out, as is every other check if an id or amount column is missing
+    (code missing-columns). Without a column `located` all count as located.
     """
+    if "located" not in people.columns:
+        people = people.withColumn("located", F.array(*map(F.lit, HEADERS)))
+    lacking = F.array_except(F.array(*map(F.lit, NEEDED)), F.col("located"))
+    blind = people.filter(F.size(lacking) > 0).groupBy("case_id").agg(F.first(lacking).alias("rows"))
+    people = people.filter(F.size(lacking) == 0)
+    has = lambda f: F.array_contains("located", f)
     person, total = people.filter("not is_total"), people.filter("is_total")
     label = F.coalesce(F.nullif(T.text_of(F.col("stt")), F.lit("")), F.lit("?"))
     p = person.withColumn("label", label)
@@ -109,9 +117,10 @@ def findings(people: DataFrame) -> DataFrame:
     out = [
         listed(p.filter(state == "missing"), "amount-missing"),
         listed(p.filter(state == "mismatch"), "formula-mismatch"),
-        listed(p.filter(F.length(T.digits(F.col("cccd"))) != 12), "id-format"),
-        listed(p.filter(~V.is_roster_date(F.col("dob"))), "dob-format"),
-        listed(p.filter(T.digits(F.col("account")) == ""), "account-missing"),
+        listed(p.filter(F.length(T.digits(F.col("cccd"))) != 12), "cccd-format"),
+        listed(p.filter(has("dob") & ~V.is_roster_date(F.col("dob"))), "dob-format"),
+        listed(p.filter(has("account") & (T.digits(F.col("account")) == "")), "account-missing"),
+        blind.select("case_id", F.lit("missing-columns").alias("code"), "rows"),
     ]
     for key in ("cccd", "mst", "account"):
         k = F.when(T.digits(F.col(key)) != "", F.concat_ws("|", "case_id", T.digits(F.col(key))))

@@ -9,11 +9,11 @@ from proofsheet.functions import text as T
 
 
 def largest_gap(scores: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
-    """keys, threshold: the middle of the widest step between neighbours in ascending order, the first at ties; null with fewer than two scores."""
+    """keys, threshold: the middle of the widest step between neighbours in ascending order, the first at ties; a lone score is its own threshold."""
     w = Window.partitionBy(*keys).orderBy(score, order)
     steps = scores.withColumn("__next", F.lead(score).over(w)).withColumn("__at", F.row_number().over(w))
     gap = F.struct((F.col("__next") - F.col(score)).alias("gap"), (-F.col("__at")).alias("at"))
-    return steps.groupBy(*keys).agg(F.max_by(F.when(F.col("__next").isNotNull(), (F.col(score) + F.col("__next")) / 2), F.when(F.col("__next").isNotNull(), gap)).alias("threshold"))
+    return steps.groupBy(*keys).agg(F.max_by(F.when(F.col("__next").isNotNull(), (F.col(score) + F.col("__next")) / 2), F.when(F.col("__next").isNotNull(), gap)).alias("__mid"), F.max(score).alias("__lone")).select(*keys, F.coalesce("__mid", "__lone").alias("threshold"))
 
 
 def packet_bounds(starts: DataFrame, keys: list[str], start: str, total: Column) -> DataFrame:
@@ -66,16 +66,34 @@ def typical_length(bounds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missed_starts(bounds: DataFrame, starts: DataFrame, keys: list[str], start: str, ratio: float = 1.5) -> DataFrame:
-    """Start pages inside packets longer than `ratio` times the typical length, at least half a typical length from either end."""
-    long = bounds.join(typical_length(bounds, keys), keys).filter(F.expr(f"page_end - page_start + 1 > {ratio} * typical"))
-    inside = containing(starts, long, keys, start).filter("packet is not null")
-    typical = inside.join(typical_length(bounds, keys), keys)
-    return typical.filter(F.expr(f"{start} - page_start >= typical / 2 and page_end + 1 - {start} >= typical / 2")).select(*keys, start)
+    """Start pages inside packets of at least `ratio` times the typical length, half a typical length (two pages at least) from either end; keys with one packet have none."""
+    several = bounds.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    typical = typical_length(bounds, keys).join(several, keys).select(*keys, "typical")
+    long = bounds.join(typical, keys).filter(F.expr(f"page_end - page_start + 1 >= {ratio} * typical"))
+    inside = containing(starts, long, keys, start).filter("packet is not null").join(typical, keys)
+    margin = "greatest(2, typical div 2)"
+    return inside.filter(F.expr(f"{start} - page_start >= {margin} and {start} <= page_end - {margin} + 1")).select(*keys, start)
+
+
+def with_missed(bounds: DataFrame, missed: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """keys, start: the packets' starts and the missed ones, each once."""
+    return bounds.select(*keys, F.col("page_start").alias(start)).unionByName(missed.select(*keys, start)).distinct()
+
+
+def covers_without_start(covers: DataFrame, starts: DataFrame, keys: list[str], cover: str, start: str, within: int = 6) -> DataFrame:
+    """Covers that no start page lies at or closely before."""
+    return nearest_start(covers, starts, keys, cover, start, within).filter("found_start is null").select(*keys, cover)
+
+
+def covers_above(scores: DataFrame, thresholds: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The pages whose score lies above (not at) their threshold."""
+    return scores.join(thresholds, keys).filter(F.col(score) > F.col("threshold")).drop("threshold")
 
 
 def prune_covers(covers: DataFrame, key: str, cover: str, score: str, expected: str, min_len: int = 5) -> DataFrame:
     """covers without the surplus ones: while a submission has more covers than expected, the cover closest behind another
-    (nearer than min_len) goes; at ties the one whose removal leaves the gap closest to the median gap, then the lowest score.
+    (nearer than min_len) goes; at ties the one whose removal leaves the gap closest to the median of the gaps that are long
+    enough (min_len if there is none), then the lowest score.
 
     Each removal depends on the one before, so a submission (tens of covers) is one group in pandas.
     """
@@ -85,11 +103,11 @@ def prune_covers(covers: DataFrame, key: str, cover: str, score: str, expected:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(cover).reset_index(drop=True)
-        while len(pdf) > 2 and pd.notna(pdf[expected].iloc[0]) and len(pdf) > pdf[expected].iloc[0]:
+        while len(pdf) and pd.notna(pdf[expected].iloc[0]) and len(pdf) > pdf[expected].iloc[0]:
             pages = pdf[cover].tolist()
             gaps = [b - a for a, b in zip(pages, pages[1:])]
-            middle = sorted(gaps)
-            typical = (middle[(len(middle) - 1) // 2] + middle[len(middle) // 2]) / 2
+            long_enough = [g for g in gaps if g >= min_len]
+            typical = pd.Series(long_enough).median() if long_enough else min_len
             options = []
             for i in range(1, len(pages)):
                 if gaps[i - 1] < min_len:

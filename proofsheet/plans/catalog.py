@@ -113,8 +113,8 @@ def _event_cells(spark, sf_dir):
 @query(f"""SELECT user_id, coalesce(['no', 'missing', 'rv', 'pending', 'ok'][min({RANK_SQL.format(EVENT_STATUS)}) + 1], 'na') AS status,
  {", ".join(f"count(*) FILTER ({EVENT_STATUS} = '{s}') AS n_{s}" for s in ("no", "missing", "rv", "pending", "ok", "na"))} FROM events GROUP BY user_id""")
 def worst_wins(spark, sf_dir):
-    e = _event_cells(spark, sf_dir)
-    return e.groupBy("user_id").agg(status.worst(F.col("status")).alias("status"), *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in status.STATUSES))
+    e = _event_cells(spark, sf_dir).select("user_id", "status")
+    return status.worst_wins(e, ["user_id"]).join(status.status_counts(e, ["user_id"]), "user_id")
 
 
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) r FROM events) WHERE r = 1""")
@@ -166,11 +166,11 @@ def segment_docs(spark, sf_dir):
     return segments.segment_documents(c, ["conv_id"], "turn", "kind", "top").select("conv_id", "turn", F.col("segment").cast("long"), "seg_kind", F.col("ordinal").cast("long"))
 
 
-@query("""SELECT label, arg_max((s + n) / 2, struct_pack(g := n - s, r := -r)) AS threshold FROM (SELECT label, s, r, lead(s) OVER (PARTITION BY label ORDER BY s, vec_id) AS n FROM
- (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS s, row_number() OVER (PARTITION BY label ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) AS r FROM embeddings)) WHERE n IS NOT NULL GROUP BY label""")
+@query("""SELECT label, coalesce(arg_max((s + n) / 2, struct_pack(g := n - s, r := -r)) FILTER (n IS NOT NULL), max(s)) AS threshold FROM (SELECT label, s, r, lead(s) OVER (PARTITION BY label ORDER BY s, vec_id) AS n FROM
+ (SELECT label, vec_id, CAST(list_max(embedding) AS DOUBLE) AS s, row_number() OVER (PARTITION BY label ORDER BY CAST(list_max(embedding) AS DOUBLE), vec_id) AS r FROM embeddings)) GROUP BY label""")
 def gap_threshold(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("s"))
-    return segments.largest_gap(e, ["label"], "s", "vec_id").filter("threshold is not null")
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.array_max("embedding").cast("double").alias("s"))
+    return segments.largest_gap(e, ["label"], "s", "vec_id")
 
 
 @query("""SELECT o_custkey, min(m) AS typical, max(med) AS median FROM (SELECT o_custkey, n AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY c DESC, n) AS r, max(med) OVER (PARTITION BY o_custkey) AS med FROM
@@ -248,10 +248,14 @@ def classify_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
 
 
-@query("""SELECT user_id, event_type, CASE WHEN count(*) FILTER (event_id % 4 <> 0) = 0 THEN 'unread' WHEN max(value) FILTER (event_id % 4 <> 0) < 20 THEN 'low-confidence' END AS weak FROM events GROUP BY ALL""")
+@query("""WITH s AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS c FROM events WHERE event_id % 4 <> 0),
+ b AS (SELECT user_id, event_type, event_id, c FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY coalesce(c, 0) DESC, event_id) AS r FROM s) WHERE r = 1)
+ SELECT k.user_id, k.event_type, CAST(event_id AS VARCHAR) AS value, c AS confidence, CASE WHEN event_id IS NULL THEN 'unread' WHEN c < 20 THEN 'low-confidence' END AS weak FROM (SELECT DISTINCT user_id, event_type FROM events) k LEFT JOIN b USING (user_id, event_type)""")
 def weak_pages(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("event_id") % 4 == 0, "").otherwise("x").alias("v"), F.col("value").alias("confidence"))
-    return cards.weak_fields(e, ["user_id", "event_type"], "v", "confidence", 20)
+    """Events as reads: every fourth is blank, every third has no confidence."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.when(k % 4 == 0, "").otherwise(k.cast("string")).alias("value"), F.when(k % 3 != 0, F.col("value")).alias("confidence"))
+    return cards.weak_fields(e, ["user_id", "event_type"], "event_id", least=20)
 
 
 @query("""WITH local AS (SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0), fresh AS (SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 1), pages AS (SELECT DISTINCT user_id, event_type FROM events WHERE value < 10)
@@ -273,12 +277,12 @@ def report_union(spark, sf_dir):
     return rows.groupBy("family", "item").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT user_id, event_id, r FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce({RANK_SQL.format(EVENT_STATUS)}, 9), value NULLS LAST, event_id) AS r FROM events) WHERE r <= 3""")
+@query(f"""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce({RANK_SQL.format(EVENT_STATUS)}, 9), value NULLS LAST, event_id) AS r FROM events""")
 def exception_sort(spark, sf_dir):
-    """The first three of each user, as its SQL asks; exception_order ranks every row."""
-    e = _event_cells(spark, sf_dir)
-    w = Window.partitionBy("user_id").orderBy(F.coalesce(status.rank_of(F.col("status")), F.lit(9)), F.col("value").asc_nulls_last(), "event_id")
-    return e.select("user_id", "event_id", F.row_number().over(w).alias("r")).filter("r <= 3")
+    """Every event of a user in the order of its status, all on one page."""
+    e = _event_cells(spark, sf_dir).select("user_id", "event_id", "status", F.lit(0).alias("page"), F.col("value").alias("y"), F.col("event_id").alias("idx"))
+    w = Window.partitionBy("user_id").orderBy(*review.exception_first(e, F.coalesce(status.rank_of(F.col("status")), F.lit(9))))
+    return e.select("user_id", "event_id", F.row_number().over(w).alias("r"))
 
 
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END,
@@ -292,19 +296,20 @@ def exception_order(spark, sf_dir):
     return fields.select("user_id", "event_id", F.row_number().over(w).alias("r"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * s_suppkey AS u, 2 * CAST(s_nationkey AS BIGINT) + 1 AS v FROM supplier WHERE s_suppkey % 3 = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * s_suppkey AS u, 2 * CAST(s_nationkey AS BIGINT) + 1 AS v FROM supplier), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
  r AS (SELECT u AS node, u AS seen FROM b UNION SELECT node, v FROM r JOIN b ON seen = u) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def linked_suppliers(spark, sf_dir):
-    """A third of the suppliers, as its SQL asks; linked_suppliers_all links every one."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
+    s = table(spark, sf_dir, "supplier")
     return components.components(s.select((F.col("s_suppkey") * 2).alias("u"), (F.col("s_nationkey").cast("long") * 2 + 1).alias("v")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * s_suppkey AS u, 2 * CAST(s_nationkey AS BIGINT) + 1 AS v FROM supplier), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
- r AS (SELECT u AS node, u AS seen FROM b UNION SELECT node, v FROM r JOIN b ON seen = u) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+@query("""SELECT nation, least(2 * any_value(lo), 2 * nation + 1) AS component, n FROM (SELECT CAST(s_nationkey AS BIGINT) AS nation, min(s_suppkey) AS lo, count(*) AS n FROM supplier GROUP BY 1) GROUP BY nation, n""")
 def linked_suppliers_all(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    return components.components(s.select((F.col("s_suppkey") * 2).alias("u"), (F.col("s_nationkey").cast("long") * 2 + 1).alias("v")))
+    """The nations' components with the number of suppliers in each."""
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("u"), (F.col("s_nationkey").cast("long") * 2 + 1).alias("v"))
+    found = components.components(s)
+    own = found.filter("node % 2 = 1").select(F.expr("node div 2").alias("nation"), "component")
+    return own.join(found.filter("node % 2 = 0").groupBy("component").agg(F.count("*").alias("n")), "component").select("nation", "component", "n")
 
 
 @query("""SELECT l_orderkey, a.l_linenumber AS u, b.l_linenumber AS v FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber
@@ -314,10 +319,15 @@ def side_by_side(spark, sf_dir):
     return components.neighbours(li, ["l_orderkey"], "l_linenumber", "top", "bottom")
 
 
-@query("""SELECT o_custkey, n, rows FROM (SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), '+' ORDER BY o_orderkey) AS rows FROM orders GROUP BY o_custkey) WHERE n > 1""")
+@query("""SELECT o_orderkey, array_to_string(list_sort(list_filter(others, lambda x: x <> o_orderkey)), '+') AS others FROM orders JOIN
+ (SELECT k, list(o_orderkey) AS others FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN '1' || o_custkey WHEN o_orderkey % 2 = 0 THEN '2' || o_custkey % 100 ELSE 'own' || o_orderkey END AS k FROM orders) GROUP BY k)
+ ON k = CASE WHEN o_orderkey % 3 <> 0 THEN '1' || o_custkey WHEN o_orderkey % 2 = 0 THEN '2' || o_custkey % 100 ELSE 'own' || o_orderkey END""")
 def duplicate_packets(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return matching.shared_keys(o, F.col("o_custkey").cast("string"), "o_orderkey", "o_orderkey").select(F.col("key").cast("long").alias("o_custkey"), "n", "rows")
+    """Orders as packets: customers as ids, which every third order lacks; half of those have a name."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    strong = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey").cast("string")).otherwise("")
+    weak = F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_custkey") % 100).cast("string")).otherwise("")
+    return matching.duplicate_identities(o, "o_orderkey", strong, weak).select("o_orderkey", F.array_join("duplicate_of", "+").alias("others"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'flagged' WHEN o_totalprice > 100000 THEN 'completed' WHEN o_orderpriority LIKE '1%' THEN 'reviewing' ELSE 'unseen' END AS lifecycle FROM orders""")
@@ -326,10 +336,13 @@ def packet_lifecycle(spark, sf_dir):
     return o.select("o_orderkey", review.lifecycle(F.when(F.col("o_orderpriority").startswith("1"), 1).otherwise(0), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0), F.col("o_totalprice") > 100000).alias("lifecycle"))
 
 
-@query("""SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS whole, CAST(CAST(round_even(o_totalprice, 0) AS BIGINT) AS VARCHAR) AS plain FROM orders""")
+@query("""SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS whole, format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) AS shown, replace(format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)), ',', '.') AS local,
+ CASE WHEN o_totalprice >= 999.5 THEN CAST(round_even(o_totalprice, 0) AS BIGINT) END AS token FROM orders""")
 def money_cells(spark, sf_dir):
+    """Cells as whole numbers, how they are shown, and read back from what is shown: less than a thousand has no separator."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", V.money(F.format_string("%.2f d", "o_totalprice")).alias("whole"))
-    return o.select("o_orderkey", "whole", F.replace(V.grouped(F.col("whole")), F.lit(","), F.lit("")).alias("plain"))
+    local = V.grouped(F.col("whole"), ".")
+    return o.select("o_orderkey", "whole", V.grouped(F.col("whole")).alias("shown"), local.alias("local"), V.money_token(F.concat(local, F.lit(" VNĐ."))).alias("token"))
 
 
 @query("""WITH u AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - list_avg(list_transform(embedding, lambda y: CAST(y AS DOUBLE)))) AS c FROM embeddings),
@@ -347,64 +360,38 @@ def missing_numbers(spark, sf_dir):
     return segments.missing_numbers(o, ["o_custkey"], "n")
 
 
-CRITERIA_SQL = """WITH x AS (SELECT o_orderkey, o_custkey % 7 <> 0 AS matched, CAST(round(o_totalprice) AS BIGINT) AS gross, CAST(round(o_totalprice) AS BIGINT) // 10 AS pit, o_orderkey % 5 = 0 AS off, o_orderkey % 3 = 0 AS contract, o_orderkey % 4 = 0 AS pledge FROM orders) """
-
-
-@query(CRITERIA_SQL + " UNION ALL ".join(f"SELECT o_orderkey, {n} AS stt, {s} AS status FROM x" for n, s in (
-    (16, "CASE WHEN NOT matched THEN 'pending' WHEN gross - pit + off::INT > 0 THEN 'ok' ELSE 'no' END"),
-    (17, "CASE WHEN NOT matched THEN 'pending' WHEN off THEN 'no' ELSE 'ok' END"),
-    (18, "CASE WHEN pledge THEN 'rv' ELSE 'na' END"),
-    (21, "CASE WHEN contract THEN 'rv' ELSE 'missing' END"),
-    (6, "'missing'"),
-    (12, "'pending'"),
-)))
-def criteria_matrix(spark, sf_dir):
-    """Orders as packets, customers as their roster rows; documents and amounts follow from the keys. Six criteria, as its SQL asks; criteria_all has all."""
-    o = table(spark, sf_dir, "orders")
-    gross = F.round("o_totalprice").cast("long")
-    pit, off = F.expr("cast(round(o_totalprice) as bigint) div 10"), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
-    amounts = F.create_map(F.lit("gross"), gross.cast("string"), F.lit("pit"), pit.cast("string"), F.lit("net"), (gross - pit + off).cast("string"))
-    key = [F.lit("all").alias("case_id"), F.col("o_orderkey").alias("packet")]
-    packets = o.select(*key, (F.col("o_custkey") % 7 != 0).alias("matched"), amounts.alias("roster"))
-    kinds = F.array_compact(F.array(F.when(F.col("o_orderkey") % 3 == 0, "contract"), F.when(F.col("o_orderkey") % 4 == 0, "commitment")))
-    documents = o.select(*key, F.explode(kinds).alias("kind")).withColumn("doc_id", F.col("kind"))
-    sources = documents.select("case_id", "packet", F.lit("hoten").alias("field_key"), "doc_id", F.lit("An").alias("value"))
-    results = evaluate.criterion_results(evaluate.evaluate(packets, documents, sources))
-    return results.filter("stt in (6, 12, 16, 17, 18, 21)").select(F.col("packet").alias("o_orderkey"), "stt", "status")
-
-
 REGISTRY_SQL = ", ".join(
     f"({stt}, '{kind}', {f"'{field}'" if field else 'NULL'}, {f"'{key}'" if key else 'NULL'}, '{doc}', {doc in optional})"
     for stt, (_, docs, kind, _, _, optional, field, key) in evaluate.CRITERIA.items() for doc in docs
 )
-#: Packet facts of criteria_all; how a source of field f in document d reads follows from (k + 3 f + 5 d) % 12: 0 another value, 1 blank, 2 other case, 3 no source.
-ALL_CRITERIA_SQL = f"""WITH x AS (SELECT o_orderkey AS k, o_custkey % 7 <> 0 AS matched, CAST(round(o_totalprice) AS BIGINT) AS g, CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE g // 10 END AS p, g - p + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n,
+#: Packet facts of the criteria queries; how a source of field f in document d reads follows from (k + 3 f + 5 d) % 12: 0 another value, 1 blank, 2 other case, 3 no source.
+ALL_CRITERIA_SQL = f"""WITH x AS (SELECT o_orderkey AS k, o_custkey % 7 <> 0 AS matched, CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE CAST(round(o_totalprice) AS BIGINT) END AS g, CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE g // 10 END AS p, g - p + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n,
  MAP {{'name': CASE WHEN k % 11 = 0 THEN '' ELSE 'Tran Van An' END, 'cccd': lpad(CAST(o_custkey AS VARCHAR), CASE WHEN k % 13 = 0 THEN 11 ELSE 12 END, '0'), 'dob': strftime(o_orderdate, '%d/%m/%Y'), 'gender': CASE WHEN k % 10 = 0 THEN 'X' ELSE 'Nam' END,
  'mst': CASE WHEN k % 17 = 0 THEN '1' ELSE lpad(CAST(o_custkey AS VARCHAR), 10, '0') END, 'account': lpad(CAST(k AS VARCHAR), 9, '0'), 'gross': CASE WHEN k % 19 = 0 THEN '' ELSE CAST(g AS VARCHAR) END, 'pit': CAST(p AS VARCHAR), 'net': CAST(n AS VARCHAR)}} AS roster FROM orders),
  reg(stt, kind, field, key, doc, optional) AS (VALUES {REGISTRY_SQL}),
  c AS (SELECT *, coalesce(roster[key], '') AS ref, k % 4 = 0 AS pledged, CASE WHEN optional THEN 'na' ELSE 'missing' END AS absent,
  CASE doc WHEN '{evaluate.ID}' THEN k % 2 = 0 WHEN '{evaluate.CONTRACT}' THEN k % 3 = 0 WHEN '{evaluate.BBNT}' THEN k % 5 <> 1 WHEN '{evaluate.APPENDIX}' THEN k % 4 = 1 WHEN '{evaluate.LOOKUP}' THEN k % 8 <> 0 WHEN '{evaluate.COMMITMENT}' THEN k % 4 = 0 ELSE true END AS present,
  (k + 3 * list_position(['hoten', 'cccd', 'ngaysinh', 'mst', 'tk', 'phi'], field) - 3 + 5 * list_position(['{evaluate.ID}', '{evaluate.CONTRACT}', '{evaluate.BBNT}', '{evaluate.APPENDIX}'], doc) - 5) % 12 AS s FROM x, reg),
- t AS (SELECT k, stt, CASE
+ t AS (SELECT k, stt, doc, CASE
  WHEN kind = 'presence' THEN CASE WHEN present THEN 'rv' ELSE absent END
  WHEN kind = 'external' THEN CASE WHEN present THEN 'rv' ELSE 'missing' END
  WHEN kind = 'conditional' THEN CASE WHEN pledged THEN 'rv' ELSE 'na' END
+ WHEN stt = 14 AND matched AND roster['gross'] <> '' AND g <= 0 THEN 'no'
  WHEN stt = 12 OR doc = '{evaluate.LISTING}' THEN 'pending'
- WHEN doc = 'Excel' THEN CASE WHEN NOT matched OR (stt <> 17 AND ref = '') OR (stt = 17 AND roster['gross'] = '') THEN 'pending'
-  WHEN stt = 2 AND length(ref) <> 12 OR stt = 4 AND ref NOT IN ('Nam', 'Nữ') OR stt = 5 AND length(ref) NOT IN (10, 12) OR stt = 14 AND g <= 0 OR stt = 15 AND p <= 0 AND NOT pledged OR stt = 16 AND n <= 0 OR stt = 17 AND g - p <> n THEN 'no' ELSE 'ok' END
+ WHEN doc = 'Excel' THEN CASE WHEN NOT matched OR (stt <> 17 AND ref = '') OR (stt = 17 AND roster['gross'] = '') OR (stt = 15 AND p <> 0) THEN 'pending'
+  WHEN stt = 2 AND length(ref) <> 12 OR stt = 4 AND ref NOT IN ('Nam', 'Nữ') OR stt = 5 AND length(ref) NOT IN (10, 12) OR stt = 15 AND NOT pledged OR stt = 16 AND n <= 0 OR stt = 17 AND g - p <> n THEN 'no' ELSE 'ok' END
  WHEN NOT present THEN absent
  WHEN field IS NULL OR s IN (1, 3) OR NOT matched OR ref = '' THEN 'pending'
  WHEN s = 0 THEN 'no' WHEN s = 2 AND field = 'hoten' THEN 'rv' ELSE 'ok' END AS status FROM c)
  SELECT k AS o_orderkey, stt, coalesce(['no', 'missing', 'rv', 'pending', 'ok'][min({RANK_SQL.format('status')}) + 1], 'na') AS status FROM t GROUP BY ALL"""
 
 
-@query(ALL_CRITERIA_SQL)
-def criteria_all(spark, sf_dir):
-    """Every criterion of every packet, with a source in each document for each field that is compared."""
+def criteria_cells(spark, sf_dir) -> DataFrame:
+    """The cells of every packet, with a source in each document for each field that is compared."""
     k, shown = F.col("o_orderkey"), lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     o = table(spark, sf_dir, "orders")
-    gross = F.round("o_totalprice").cast("long")
-    pit = F.when(k % 23 == 0, 0).otherwise(F.expr("cast(round(o_totalprice) as bigint) div 10"))
+    gross = F.when(k % 29 == 0, 0).otherwise(F.round("o_totalprice").cast("long"))
+    pit = F.when(k % 23 == 0, 0).otherwise(F.floor(gross / 10)).cast("long")
     net = gross - pit + F.when(k % 5 == 0, 1).otherwise(0)
     roster_values = {
         "name": F.when(k % 11 == 0, "").otherwise("Tran Van An"), "cccd": F.when(k % 13 == 0, shown("o_custkey", 11)).otherwise(shown("o_custkey", 12)), "dob": F.date_format("o_orderdate", "dd/MM/yyyy"),
@@ -423,17 +410,32 @@ def criteria_all(spark, sf_dir):
             wrong = F.lit(other) if other else F.concat(F.lit("9"), value)
             read.append(F.when(s != 3, F.struct(F.lit(field).alias("field_key"), F.lit(kind).alias("doc_id"), F.when(s == 0, wrong).when(s == 1, "").when(s == 2, F.upper(value)).otherwise(value).alias("value"))))
     sources = packets.select("case_id", "packet", F.explode(F.array_compact(F.array(*read))).alias("r")).select("case_id", "packet", "r.*")
-    return evaluate.criterion_results(evaluate.evaluate(packets, documents, sources)).select(F.col("packet").alias("o_orderkey"), "stt", "status")
+    return evaluate.evaluate(packets, documents, sources)
+
+
+CELLS_SQL = ALL_CRITERIA_SQL[:ALL_CRITERIA_SQL.rindex(" SELECT k AS o_orderkey")] + " SELECT k AS o_orderkey, stt, doc AS document, status FROM t"
+
+
+@query(ALL_CRITERIA_SQL)
+def criteria_all(spark, sf_dir):
+    """Every criterion of every packet."""
+    return evaluate.criterion_results(criteria_cells(spark, sf_dir)).select(F.col("packet").alias("o_orderkey"), "stt", "status")
+
+
+@query(CELLS_SQL)
+def criteria_matrix(spark, sf_dir):
+    """Every cell of every packet: criterion by document."""
+    return criteria_cells(spark, sf_dir).select(F.col("packet").alias("o_orderkey"), "stt", "document", "status")
 
 
 @query("""WITH f AS (SELECT o_custkey AS c, bool_or(o_orderkey % 40 = 0) AS off, bool_or(o_orderkey % 40 = 1) AS untotalled, bool_or(o_orderkey % 40 = 2) AS shared, bool_or(o_orderkey % 40 = 3) AS blind FROM orders GROUP BY 1),
  p AS (SELECT o_custkey AS c, CASE WHEN o_orderkey % 4 <> 0 THEN '1' || o_orderkey % 50 WHEN o_orderkey % 8 <> 0 THEN '2' || o_orderkey % 20 END AS k FROM orders),
- d AS (SELECT c, bool_or(k IS NOT NULL AND n > 1) AS twice, bool_or(k IS NULL) AS nameless FROM (SELECT c, k, count(*) AS n FROM p GROUP BY ALL) GROUP BY c),
- x AS (SELECT c_custkey, c_custkey % 5 <> 0 AS listed, coalesce(off, false) AS off, coalesce(untotalled, false) AS untotalled, coalesce(shared, false) AS shared, coalesce(blind, false) AS blind, twice, nameless FROM customer LEFT JOIN f ON f.c = c_custkey LEFT JOIN d ON d.c = c_custkey)
+ d AS (SELECT c, bool_or(k IS NOT NULL AND n > 1) AS twice, bool_or(k IS NOT NULL) AS identified FROM (SELECT c, k, count(*) AS n FROM p GROUP BY ALL) GROUP BY c),
+ x AS (SELECT c_custkey, c_custkey % 5 <> 0 AS listed, coalesce(off, false) AS off, coalesce(untotalled, false) AS untotalled, coalesce(shared, false) AS shared, coalesce(blind, false) AS blind, twice, identified FROM customer LEFT JOIN f ON f.c = c_custkey LEFT JOIN d ON d.c = c_custkey)
  SELECT c_custkey, 20 AS stt, CASE WHEN NOT listed OR untotalled OR blind THEN 'pending' WHEN off THEN 'no' ELSE 'ok' END AS status FROM x
  UNION ALL SELECT c_custkey, 26, 'rv' FROM x
  UNION ALL SELECT c_custkey, 30, CASE WHEN NOT listed OR blind THEN 'pending' WHEN shared THEN 'no' ELSE 'ok' END FROM x
- UNION ALL SELECT c_custkey, 31, CASE WHEN twice IS NULL THEN 'pending' WHEN twice THEN 'no' WHEN nameless THEN 'rv' ELSE 'ok' END FROM x
+ UNION ALL SELECT c_custkey, 31, CASE WHEN NOT coalesce(identified, false) THEN 'pending' WHEN twice THEN 'no' ELSE 'ok' END FROM x
  UNION ALL SELECT c_custkey, 32, 'pending' FROM x""")
 def batch_criteria(spark, sf_dir):
     """Customers as submissions, their orders as packets; findings and identities follow from the keys."""
@@ -463,17 +465,19 @@ def damaged_amounts(spark, sf_dir):
 SPELLED = ("khong", "mot", "hai", "ba", "bon", "nam", "sau", "bay", "tam", "chin")
 
 
-@query("""SELECT o_orderkey, o_custkey % 10 * 1000000 + o_orderkey % 10 * 100 AS amount FROM orders WHERE o_custkey % 10 > 0 AND o_orderkey % 10 > 0""")
+@query("""SELECT o_orderkey, CAST(o_orderkey % 1000 * 1000 + o_custkey % 10 AS BIGINT) AS amount FROM orders""")
 def number_words(spark, sf_dir):
-    """Amounts without a zero, as its SQL asks; number_words_all spells every order."""
-    word = lambda c: F.get(F.array(*map(F.lit, SPELLED)), (F.col(c) % 10).cast("int"))
-    said = F.concat_ws(" ", word("o_custkey"), F.lit("triệu"), word("o_orderkey"), F.lit("trăm đồng"))
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 10 > 0 and o_orderkey % 10 > 0")
-    return o.select("o_orderkey", quotes.spelled_amount(said).alias("amount"))
+    """Thousands in full (hundreds, tens, units) and a unit behind them."""
+    n = F.col("o_orderkey") % 1000
+    word = lambda c: F.get(F.array(*map(F.lit, SPELLED)), c.cast("int"))
+    hundreds, tens, units = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+    ten = F.when(tens == 0, F.when(units != 0, "lẻ")).when(tens == 1, "mười").otherwise(F.concat_ws(" ", word(tens), F.lit("mươi")))
+    group = F.concat_ws(" ", word(hundreds), F.lit("trăm"), ten, F.when(units != 0, word(units)))
+    said = F.concat_ws(" ", F.lit("Bằng chữ:"), group, F.lit("nghìn"), word(F.col("o_custkey") % 10), F.lit("đồng"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", quotes.spelled_amount(said).alias("amount"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 AND o_orderkey % 10 = 0 THEN 0 WHEN o_custkey % 10 = 0 THEN o_orderkey % 10 * 100 WHEN o_orderkey % 10 = 0 THEN o_custkey % 10 * 1000000
- ELSE o_custkey % 10 * 1000000 + o_orderkey % 10 * 100 END AS amount FROM orders""")
+@query("""SELECT o_orderkey, CAST(o_custkey % 10 * 1000000 + o_orderkey % 10 * 100 AS BIGINT) AS amount FROM orders""")
 def number_words_all(spark, sf_dir):
     word = lambda c: F.get(F.array(*map(F.lit, SPELLED)), (F.col(c) % 10).cast("int"))
     said = F.concat_ws(" ", word("o_custkey"), F.lit("triệu"), word("o_orderkey"), F.lit("trăm đồng"))
@@ -490,3 +494,6 @@ def line_grouping(spark, sf_dir):
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["control_total"](spark, sf_dir)
+
+
+from proofsheet.plans import records  # noqa: E402, F401  (adds its queries)
