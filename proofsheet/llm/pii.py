@@ -13,7 +13,7 @@ are decides on a candidate. Shares are those of the sample: on a corpus they dif
 the sample's counted features reach the driver; the model becomes a column expression.
 
 Spans are found by cutting a text at its matches, so positions are running sums over the pieces' lengths, kept per
-document as rows: texts never leave their task, and a text of any length takes linear time. The patterns cannot
+document as rows: texts never leave their task, and a text of any length takes linear time, in redaction too. The patterns cannot
 backtrack or recurse: groups are possessive, and a match can begin inside a run of its characters only where the
 last match ended, as in a plain leftmost search.
 
@@ -326,26 +326,46 @@ def spans_by_document(docs: DataFrame, threshold: float = 0.9, id_col: str = "do
 def redacted(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; other columns as they were."""
     key = F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit("")))
+    lists = C.staged(unions(find_pii(docs, threshold, id_col, text_col)), "unions")
+    lists = F.broadcast(lists) if C.staged_bytes(lists) <= BROADCAST_BYTES else lists
     on = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.doc_id")) & (key == F.col("s.text_key"))
-    both = docs.alias("d").join(span_lists(docs, threshold, id_col, text_col).alias("s"), on, "left")
+    both = docs.alias("d").join(lists.alias("s"), on, "left")
     text = F.col(f"d.`{text_col}`")
-    return both.select(*(F.when(F.col("s.spans").isNull(), text).otherwise(redact(text, F.col("s.spans"))).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns))
+    return both.select(*(F.when(F.col("s.spans").isNull(), text).otherwise(redact(text.cast("string"), F.col("s.spans"))).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def unions(found: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans (array of start, end, kind; ascending): overlapping spans as one, named by the first."""
+    own = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "kind")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumn("opens", (F.coalesce(before, F.col("start")) <= F.col("start")).cast("int"))
+    marked = marked.withColumn("part", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = marked.groupBy("doc_id", "text_key", "part").agg(F.min(F.struct("start", "end", "kind")).alias("first"), F.max("end").alias("end"))
+    one = F.struct(F.col("first.start").alias("start"), F.col("end").alias("end"), F.col("first.kind").alias("kind"))
+    return whole.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+
+
+CHUNK = 1024
+
+
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the union, named by the first."""
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, rest))
+    """The text with every span (ascending, none overlapping) replaced by its kind in brackets.
+
+    The text is cut into chunks first and a piece taken from its own chunks only, so the time is linear in the text.
+    """
+    def taken(chunks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        own = F.array_join(F.slice(chunks, first + 1, F.greatest(F.floor((end - 1) / CHUNK).cast("int") - first + 1, F.lit(0))), "")
+        return F.when(end > start, F.substring(own, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    def pieces(chunks: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0).cast("long"))
+        each = F.transform(spans, lambda s, i: F.concat(taken(chunks, before(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.concat(F.array_join(each, ""), taken(chunks, before(F.size(spans)), F.length(text).cast("long")))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(N.let(chunks, pieces))

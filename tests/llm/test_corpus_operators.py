@@ -401,6 +401,27 @@ def test_op8_redacts(docs, rows):
     assert all(got[i].text == t for i, t, *_ in rows if t is None or not re.search("[0-9@]", t))
 
 
+def test_op8_redacts_long_texts_piece_by_piece(spark):
+    rng, rows = random.Random(3), []
+    for i in range(12):
+        text = "".join(rng.choice("abc é日\n😀") for _ in range(rng.choice([0, 1, 1023, 1024, 1025, 5000])))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 6)) // 2 * 2))
+        rows.append((i, text, [(a, b, "ip") for a, b in zip(cuts[::2], cuts[1::2])]))
+    df = spark.createDataFrame(rows, "i long, text string, spans array<struct<start: long, end: long, kind: string>>")
+    for r in df.select("*", pii.redact(F.col("text"), F.col("spans")).alias("out")).collect():
+        want, at = "", 0
+        for a, b, _ in r.spans:
+            want, at = want + r.text[at:a] + "[IP]", b
+        assert r.out == want + r.text[at:]
+
+
+def test_op8_unions(spark):
+    spans = [(1, 5, "ip"), (3, 9, "card"), (9, 10, "phone"), (20, 22, "ip"), (20, 30, "card")]
+    found = spark.createDataFrame([(d, 7, k, a, b) for d in (1, None) for a, b, k in spans], "doc_id long, text_key long, kind string, start long, end long")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.unions(found).collect()}
+    assert got[1] == got[None] == [(1, 9, "ip"), (9, 10, "phone"), (20, 30, "ip")]
+
+
 def test_op8_trees_learn():
     rng = random.Random(7)
     rows = Counter()
