@@ -135,3 +135,25 @@ def cards_by_packet(packets: DataFrame, cards: DataFrame) -> DataFrame:
     """A row per packet and card: packets without cards and cards of no known packet (floating) included."""
     p, c = packets.select(F.col("packet").alias("p")), cards.select("card_id", F.col("packet").alias("q"))
     return p.join(c, F.col("p") == F.col("q"), "full_outer").select(F.col("p").alias("packet"), "card_id", (F.col("p").isNull() & F.col("card_id").isNotNull()).alias("floating"))
+
+
+#: Folded phrases of headings over images.
+CARD_HEADINGS, IMAGE_HEADINGS, BANK_HEADINGS = ("hinh cccd", "anh cccd", "hinh the"), ("hinh anh", "hinh", "anh"), ("stk", "tai khoan")
+
+
+def image_kinds(headers: DataFrame, keys: list[str], sheet: str) -> DataFrame:
+    """keys, col, kind of image columns (headers: keys, sheet, col, text): card, or for a general heading bank or tax by the heading
+    right beside it on the left (or the sheet's name); columns that nothing says are left out. Phrases count as whole words."""
+    any_of = lambda c, phrases: F.greatest(*(T.has_phrase(c, p) for p in phrases)) if len(phrases) > 1 else T.has_phrase(c, phrases[0])
+    flat = headers.withColumn("__t", T.fold_label(F.col("text")))
+    w = Window.partitionBy(*keys).orderBy("col")
+    left = F.when(F.lag("col").over(w) == F.col("col") - 1, F.lag("__t").over(w))
+    flat = flat.withColumn("__left", F.coalesce(left, F.lit("")))
+    by_sheet = T.has_phrase(T.fold_label(F.col(sheet)), "mst")
+    kind = F.when(any_of(F.col("__t"), CARD_HEADINGS), "card").when(any_of(F.col("__t"), IMAGE_HEADINGS), F.when(any_of(F.col("__left"), BANK_HEADINGS), "bank").when(by_sheet | T.has_phrase(F.col("__left"), "mst"), "tax"))
+    return flat.select(*keys, "col", kind.alias("kind")).filter("kind is not null")
+
+
+def image_columns(drawings: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, from_col, n, kind: how many drawings begin in each column, and the kind of the last one."""
+    return drawings.groupBy(*keys, "from_col").agg(F.count("*").alias("n"), F.max_by("kind", "drawing_id").alias("kind"))

@@ -131,3 +131,13 @@ def listing_total(front: DataFrame, totals: DataFrame, keys: list[str], most: in
     both = front.filter("front_pages > 0").join(last, keys, "left")
     out = both.filter(F.col("r").isNotNull() | (F.col("front_pages") > most))
     return out.select(*keys, "r.page", F.coalesce("r.reason", F.lit("front-matter-too-long")).alias("reason"), "r.amount")
+
+
+def upright_turn(turn: Column, confidence: Column, least: float = 1.5) -> Column:
+    """Degrees to turn a page counter-clockwise: what is left to a whole turn, 0 if the reading is not one of the three turns or too unsure."""
+    return F.when(turn.isin(90, 180, 270) & (confidence >= least), (360 - turn) % 360).otherwise(0)
+
+
+def scaled(words: DataFrame, factor: Column) -> DataFrame:
+    """words (x, y, w, h) in other pixels, half to even."""
+    return words.withColumns({c: F.bround(F.col(c) * factor, 0).cast("int") for c in ("x", "y", "w", "h")})

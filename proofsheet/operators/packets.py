@@ -234,3 +234,14 @@ def policy_verdict(exempt: Column, pledged: Column) -> Column:
 def page_pair(page: Column) -> Column:
     """Which spread of two pages a page lies on."""
     return F.floor(page / 2).cast("int")
+
+
+def cell_action(document: Column, status: Column, batch: str, kinds: dict[str, tuple[str, ...]]) -> Column:
+    """What a cell opens: nothing if it does not apply, the summary for the document that concerns the batch, else a document of its kind."""
+    known = F.create_map(*(F.lit(x) for d, k in kinds.items() for x in (d, k[0])))
+    return F.when(status == "na", "none").when(document == batch, "summary").otherwise(F.coalesce(F.concat(F.lit("open "), known[document]), F.lit("none")))
+
+
+def is_decided(status: Column, computed: Column) -> Column:
+    """Whether a reviewer moved a cell away from what was computed."""
+    return F.coalesce((computed != "") & (computed != status), F.lit(False))

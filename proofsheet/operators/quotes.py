@@ -50,6 +50,19 @@ def anchored(lines: Column, anchor: str, pattern: str, lookahead: int = 1) -> Co
     return F.transform(places, at)
 
 
+def printed_at_label(near: Column, expected: Column, anchors: tuple[str, ...], within: int = 8) -> Column:
+    """Whether the expected digits stand, as a run of whole tokens, among the `within` tokens behind one of the folded labels."""
+    text = T.fold_words(near)
+    out = F.lit(False)
+    for a in anchors:
+        label = " ".join(a.split())
+        parts = F.split(text, label)
+        behind = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p, i: F.array_join(F.slice(parts, i + 2, F.size(parts)), label))
+        whole = lambda p: F.filter(F.split(F.when(F.startswith(p, F.lit(" ")), p).otherwise(F.regexp_replace(p, "^[^ ]+", "")), " "), lambda w: w != "")  # noqa: E731  (a label may end inside a token)
+        out = out | F.exists(behind, lambda p: digits_at_label(whole(p), expected, F.lit(0), within))
+    return out
+
+
 def digits_at_label(tokens: Column, expected: Column, label_end: Column, within: int = 8) -> Column:
     """Whether a run of the next `within` tokens after a label spells exactly the expected digits."""
     near = F.slice(tokens, label_end + 1, within)
@@ -160,13 +173,14 @@ def best_window(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
 def parts_coverage(parts: list[str], reads: Column) -> Column:
     """found, missing, unplaced (in declared order) and coverage of a document's required parts.
 
-    reads: map of part to struct(value, located). A value that could not be placed on the page is not found.
+    reads: map of part to struct(value, located). A part is found if it was placed on the page, whether or not it could be
+    read; a value without a place is not found.
     """
     declared = F.array(*map(F.lit, parts))
     has = lambda p: F.trim(T.text_of(reads[p]["value"])) != ""
     placed = lambda p: F.coalesce(reads[p]["located"], F.lit(False))
-    found = F.filter(declared, lambda p: has(p) & placed(p))
+    found = F.filter(declared, placed)
     unplaced = F.filter(declared, lambda p: has(p) & ~placed(p))
-    missing = F.filter(declared, lambda p: ~has(p))
+    missing = F.filter(declared, lambda p: ~has(p) & ~placed(p))
     coverage = F.when(F.size(found) == len(parts), "complete").when(F.size(found) == 0, "none").otherwise("partial")
     return F.struct(found.alias("found"), missing.alias("missing"), unplaced.alias("unplaced"), coverage.alias("coverage"))

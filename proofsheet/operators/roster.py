@@ -136,3 +136,19 @@ def findings(people: DataFrame) -> DataFrame:
         out.append(t.filter("stated is null").select("case_id", F.lit(f"total-missing-{c}").alias("code"), none.alias("rows")))
         out.append(t.filter("status = 'no'").select("case_id", F.lit(f"total-mismatch-{c}").alias("code"), F.array(F.col("gap").cast("string")).alias("rows")))
     return reduce(DataFrame.unionByName, out)
+
+
+#: What a heading of the name column holds.
+NAME_HEADINGS = ("họ và tên", "họ tên", "tên", "name")
+
+
+def names_below_heading(rows: DataFrame, headings: tuple[str, ...] = NAME_HEADINGS) -> DataFrame:
+    """case_id, sheet, place, name: what stands in the column of the first cell that holds a heading, below it, up to the first blank row once rows have begun."""
+    cells = rows.select(*SHEET, "row", F.posexplode("cells").alias("col", "cell")).withColumn("cell", F.lower(F.trim(T.text_of(F.col("cell")))))
+    holds = F.lit(False)
+    for h in headings:
+        holds = holds | F.contains("cell", F.lit(h))
+    head = cells.filter(holds).groupBy(*SHEET).agg(F.min(F.struct("row", "col")).alias("h")).select(*SHEET, F.col("h.row").alias("head"), "h.col")
+    body = rows_until_blank(rows.join(head, SHEET).filter("row > head"))
+    named = body.select(*SHEET, "row", F.trim(T.text_of(F.get("cells", F.col("col")))).alias("name")).filter("name <> ''")
+    return named.select(*SHEET, (F.row_number().over(Window.partitionBy(*SHEET).orderBy("row")) - 1).alias("place"), "name")

@@ -455,10 +455,12 @@ def fuzzy_ratio(spark, sf_dir):
     return names.join(near, "k").select("a", "b", quotes.similarity("a", "b").alias("ratio"))
 
 
-@query()
+@query("""SELECT o_orderkey, shown, CASE WHEN damaged > 3 OR length(shown) < 5 THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(list_reduce(list_transform(string_split(shown, ''), lambda c: CASE c WHEN 'S' THEN ['5'] WHEN '§' THEN ['5', '8'] ELSE [c] END),
+ lambda a, x: flatten(list_transform(a, lambda w: list_transform(x, lambda o: w || o)))), lambda w: CAST(replace(w, '.', '') AS BIGINT)))), ',') END AS repairs FROM
+ (SELECT *, length(shown) - length(replace(replace(shown, 'S', ''), '§', '')) AS damaged FROM (SELECT o_orderkey, translate(replace(format('{:,}', CAST(round(o_totalprice) AS BIGINT)), ',', '.'), '58', 'S§') AS shown FROM orders))""")
 def damaged_amounts(spark, sf_dir):
     shown = F.translate(V.grouped(F.round("o_totalprice").cast("long"), "."), "58", "S§")
-    return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"), quotes.digit_repairs(shown).alias("repairs"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"), F.array_join(quotes.digit_repairs(shown).cast("array<string>"), ",").alias("repairs"))
 
 
 #: Number words by digit.
@@ -484,12 +486,15 @@ def number_words_all(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", quotes.spelled_amount(said).alias("amount"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT l_orderkey AS k, CAST(l_suppkey AS INTEGER) AS x, CAST(l_quantity AS INTEGER) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS i FROM lineitem),
+ r AS (SELECT k, i, x, y, y AS base, 0 AS line FROM w WHERE i = 1 UNION ALL SELECT w.k, w.i, w.x, w.y, CASE WHEN w.y - base > 8 THEN w.y ELSE base END, line + CASE WHEN w.y - base > 8 THEN 1 ELSE 0 END FROM r JOIN w ON w.k = r.k AND w.i = r.i + 1)
+ SELECT k AS l_orderkey, line, count(*) AS n, min(x) AS x, min(y) AS y, max(x) + 1 - min(x) AS width, max(y) + 1 - min(y) AS height FROM r GROUP BY k, line""")
 def line_grouping(spark, sf_dir):
     """Order lines as words on a page: lines within 8 units of each line's first word."""
     word = F.struct(F.col("l_suppkey").cast("int").alias("x"), F.col("l_quantity").cast("int").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"), F.col("l_linenumber").alias("id"))
     pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(word).alias("words"))
-    return pages.select("l_orderkey", F.posexplode(segments.group_lines(F.col("words"))).alias("line", "words")).select("l_orderkey", "line", F.size("words").alias("n"), segments.union_box(F.col("words")).alias("box"))
+    lines = pages.select("l_orderkey", F.posexplode(segments.group_lines(F.col("words"))).alias("line", "words"))
+    return lines.select("l_orderkey", "line", F.size("words").cast("long").alias("n"), segments.union_box(F.col("words")).alias("box")).select("l_orderkey", "line", "n", "box.*")
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,8 +284,8 @@ def progress(spark, sf_dir):
 def positional_names(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).cast("long").alias("packet"))
-    own = o.select("o_custkey").distinct().filter("o_custkey % 5 > 0")
-    names = own.select("o_custkey", F.explode(F.expr("sequence(0L, o_custkey % 5 - 1)")).alias("place")).withColumn("name", F.concat(F.lit("n"), F.col("place").cast("string")))
+    own = o.select("o_custkey").distinct()
+    names = own.select("o_custkey", F.explode(F.expr("CASE WHEN o_custkey % 5 > 0 THEN sequence(0L, o_custkey % 5 - 1) END")).alias("place")).withColumn("name", F.concat(F.lit("n"), F.col("place").cast("string")))
     return packets.positional_names(o, names, ["o_custkey"]).select("o_orderkey", "name", "unnamed")
 
 
@@ -405,22 +405,23 @@ def card_packets(spark, sf_dir):
     return cards.card_packets(resolved, people, own)
 
 
-@query("""WITH x AS (SELECT l_orderkey AS component, l_linenumber AS d, l_partkey AS pk, l_suppkey AS sk, l_linenumber % 3 AS x, ['front', 'back', 'other'][l_suppkey % 3 + 1] AS side FROM lineitem WHERE l_linenumber <= 2), g AS (SELECT *, count(*) OVER w AS n, count(DISTINCT x) OVER w AS places, row_number() OVER (PARTITION BY component ORDER BY x, d, pk, sk) AS r FROM x WINDOW w AS (PARTITION BY component)),
- p AS (SELECT component, max(d) FILTER (r = 1) AS front, max(d) FILTER (r = 2) AS back, NULL::INTEGER AS single, CASE WHEN max(side) FILTER (r = 1) = 'back' OR max(side) FILTER (r = 2) = 'front' THEN 'layout-conflict' END AS issue FROM g WHERE n = 2 AND places = 2 GROUP BY component)
- SELECT * FROM p UNION ALL SELECT component, CASE WHEN side = 'front' THEN d END, CASE WHEN side = 'back' THEN d END, CASE WHEN side = 'other' THEN d END, CASE WHEN n > 1 THEN 'ambiguous' END FROM g WHERE n <> 2 OR places <> 2""")
+@query("""WITH x AS (SELECT l_orderkey, (l_linenumber + 1) // 2 AS pair, l_linenumber AS d, l_partkey AS pk, l_suppkey AS sk, l_linenumber % 3 AS x, ['front', 'back', 'other'][l_suppkey % 3 + 1] AS side FROM lineitem), g AS (SELECT *, count(*) OVER w AS n, count(DISTINCT x) OVER w AS places, row_number() OVER (PARTITION BY l_orderkey, pair ORDER BY x, d, pk, sk) AS r FROM x WINDOW w AS (PARTITION BY l_orderkey, pair)),
+ p AS (SELECT l_orderkey, pair, max(d) FILTER (r = 1) AS front, max(d) FILTER (r = 2) AS back, NULL::INTEGER AS single, CASE WHEN max(side) FILTER (r = 1) = 'back' OR max(side) FILTER (r = 2) = 'front' THEN 'layout-conflict' END AS issue FROM g WHERE n = 2 AND places = 2 GROUP BY ALL)
+ SELECT * FROM p UNION ALL SELECT l_orderkey, pair, CASE WHEN side = 'front' THEN d END, CASE WHEN side = 'back' THEN d END, CASE WHEN side = 'other' THEN d END, CASE WHEN n > 1 THEN 'ambiguous' END FROM g WHERE n <> 2 OR places <> 2""")
 def card_candidates(spark, sf_dir):
-    """Order lines as drawings: the first two of an order lie side by side."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
-    node = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Order lines as drawings, two by two beside each other."""
+    node = F.struct("l_orderkey", F.expr("cast((l_linenumber + 1) div 2 as int)").alias("pair"), "l_linenumber", "l_partkey", "l_suppkey")
     side = F.get(F.array(*map(F.lit, ("front", "back", "other"))), (F.col("l_suppkey") % 3).cast("int"))
-    drawings = li.select(node.alias("drawing_id"), (F.col("l_linenumber") % 3).alias("x"), side.alias("side"))
-    parts = li.select(node.alias("node"), F.struct("l_orderkey", F.lit(1).alias("l_linenumber"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey")).alias("component"))
-    out = cards.card_candidates(drawings, parts)
-    return out.select("component.l_orderkey", *(F.col(f"{c}.l_linenumber").alias(c) for c in ("front", "back", "single")), "issue").withColumnRenamed("l_orderkey", "component")
+    li = table(spark, sf_dir, "lineitem").select(node.alias("node"), (F.col("l_linenumber") % 3).alias("x"), side.alias("side"))
+    drawings = li.select(F.col("node").alias("drawing_id"), "x", "side")
+    first = F.min(F.struct("node.l_linenumber", "node.l_partkey", "node.l_suppkey")).over(Window.partitionBy("node.l_orderkey", "node.pair"))
+    parts = li.select("node", F.struct("node.l_orderkey", "node.pair", first["l_linenumber"].alias("l_linenumber"), first["l_partkey"].alias("l_partkey"), first["l_suppkey"].alias("l_suppkey")).alias("component"))
+    out = cards.card_candidates(drawings, parts.distinct())
+    return out.select("component.l_orderkey", "component.pair", *(F.col(f"{c}.l_linenumber").alias(c) for c in ("front", "back", "single")), "issue")
 
 
 @query("""SELECT o_orderkey, array_to_string(found, ',') AS found, array_to_string(missing, ',') AS missing, array_to_string(unplaced, ',') AS unplaced, CASE WHEN len(found) = 3 THEN 'complete' WHEN len(found) = 0 THEN 'none' ELSE 'partial' END AS coverage FROM
- (SELECT o_orderkey, list_filter(['bank', 'branch', 'province'], lambda p: has(p) AND placed(p)) AS found, list_filter(['bank', 'branch', 'province'], lambda p: NOT has(p)) AS missing, list_filter(['bank', 'branch', 'province'], lambda p: has(p) AND NOT placed(p)) AS unplaced FROM orders)""".replace("has(p)", "(o_orderkey + length(p)) % 3 > 0").replace("placed(p)", "(o_custkey + length(p)) % 4 > 0"))
+ (SELECT o_orderkey, list_filter(['bank', 'branch', 'province'], lambda p: placed(p)) AS found, list_filter(['bank', 'branch', 'province'], lambda p: NOT has(p) AND NOT placed(p)) AS missing, list_filter(['bank', 'branch', 'province'], lambda p: has(p) AND NOT placed(p)) AS unplaced FROM orders)""".replace("has(p)", "(o_orderkey + length(p)) % 3 > 0").replace("placed(p)", "(o_custkey + length(p)) % 4 > 0"))
 def parts_coverage(spark, sf_dir):
     parts, k, c = ["bank", "branch", "province"], F.col("o_orderkey"), F.col("o_custkey")
     reads = F.create_map(*(x for p in parts for x in (F.lit(p), F.struct(F.when((k + len(p)) % 3 > 0, "x").otherwise(" ").alias("value"), ((c + len(p)) % 4 > 0).alias("located")))))
@@ -448,3 +449,200 @@ def text_keys(spark, sf_dir):
     number = F.left(F.col("c_custkey").cast("string"), F.lit(2))
     letters = T.column_letters(F.col("c_nationkey"))
     return c.select("c_custkey", T.override_key(number, F.col("c_mktsegment")).alias("key"), T.slug(F.col("c_name")).alias("slug"), F.when(T.column_index(letters) == F.col("c_nationkey"), letters).alias("letters"), T.has_phrase(T.fold_label(F.col("c_mktsegment")), "building").alias("building"))
+
+
+# ---------------------------------------------------------------- sheets and scans
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN turn IN (90, 180, 270) AND conf >= 1.5 THEN (360 - turn) % 360 ELSE 0 END AS turn, CAST(round_even(l_quantity * 0.5, 0) AS INTEGER) AS x, CAST(round_even(l_linenumber * 0.5, 0) AS INTEGER) AS y FROM
+ (SELECT *, l_suppkey % 5 * 90 AS turn, l_partkey % 4 AS conf FROM lineitem)""")
+def upright_words(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    words = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    turned = words.withColumn("turn", extract.upright_turn(F.col("l_suppkey") % 5 * 90, F.col("l_partkey") % 4))
+    return extract.scaled(turned, F.lit(0.5)).drop("w", "h")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, event_type, value FROM events), b AS (SELECT *, event_type = 'error' AND r > 2 AS blank FROM e WHERE r > 2),
+ g AS (SELECT *, bool_or(NOT blank) OVER w AS begun FROM b WINDOW w AS (PARTITION BY user_id ORDER BY r)), f AS (SELECT *, bool_or(blank AND begun) OVER (PARTITION BY user_id ORDER BY r) AS ended FROM g)
+ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY r) - 1 AS place, 'n' || event_id AS name FROM f WHERE begun AND NOT ended AND event_type <> 'click'""")
+def names_below_heading(spark, sf_dir):
+    """Events as sheet rows: a title, the heading, then names; errors are blank rows, clicks rows without a name."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumn("row", F.row_number().over(w))
+    kind, own = F.col("event_type"), F.concat(F.lit("n"), F.col("event_id").cast("string"))
+    cells = F.when(F.col("row") == 1, F.array(F.lit("List"), F.lit(" "))).when(F.col("row") == 2, F.array(F.lit("No."), F.lit(" Họ và TÊN "))).when(kind == "error", F.array(F.lit(" "), F.lit(None))).when(kind == "click", F.array(F.lit("1"), F.lit(""))).otherwise(F.array(F.lit("1"), own))
+    rows = e.select(F.col("user_id").cast("string").alias("case_id"), F.lit("s").alias("sheet"), "row", cells.alias("cells"))
+    return roster.names_below_heading(rows).select(F.col("case_id").cast("long").alias("user_id"), "place", "name")
+
+
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber AS col, ['stk', 'hinh anh', 'danh sach', 'anh cccd', 'mst'][CAST(max(l_suppkey) % 5 + 1 AS INTEGER)] AS t FROM lineitem GROUP BY ALL),
+ f AS (SELECT *, coalesce(CASE WHEN lag(col) OVER w = col - 1 THEN lag(t) OVER w END, '') AS l FROM h WINDOW w AS (PARTITION BY l_orderkey ORDER BY col))
+ SELECT l_orderkey, col, kind FROM (SELECT *, CASE WHEN t = 'anh cccd' THEN 'card' WHEN t = 'hinh anh' THEN CASE WHEN l = 'stk' THEN 'bank' WHEN l_orderkey % 2 = 0 OR l = 'mst' THEN 'tax' END END AS kind FROM f) WHERE kind IS NOT NULL""")
+def image_kinds(spark, sf_dir):
+    heads = F.array(*map(F.lit, ("STK", "Hình Ảnh", "Danh sách", "Ảnh CCCD", "MST")))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("col")).agg(F.max("l_suppkey").alias("s"))
+    headers = li.select("l_orderkey", "col", F.get(heads, (F.col("s") % 5).cast("int")).alias("text"), F.when(F.col("l_orderkey") % 2 == 0, "Tra cứu MST").otherwise("list").alias("sheet"))
+    return cards.image_kinds(headers, ["l_orderkey"], "sheet")
+
+
+@query("""SELECT l_suppkey, l_linenumber AS from_col, count(*) AS n, arg_max(l_returnflag, l_orderkey * 1000000 + l_partkey) AS kind FROM lineitem GROUP BY ALL""")
+def image_columns(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("from_col"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("drawing_id"), F.col("l_returnflag").alias("kind"))
+    return cards.image_columns(li, ["l_suppkey"])
+
+
+_ACTIONS = " ".join(f"WHEN document = '{d}' THEN 'open {k[0]}'" for d, k in evaluate.DOCUMENT_KINDS.items())
+
+
+@query(f"""SELECT o_orderkey, stt, document, CASE WHEN status = 'na' THEN 'none' WHEN document = '{evaluate.LISTING}' THEN 'summary' {_ACTIONS} ELSE 'none' END AS action, o_orderkey % 2 = 0 AND status <> 'ok' AS decided FROM ({CELLS_SQL})""")
+def cell_actions(spark, sf_dir):
+    cells = criteria_cells(spark, sf_dir)
+    computed = F.when(F.col("packet") % 2 == 0, "ok").otherwise("")
+    return cells.select(F.col("packet").alias("o_orderkey"), "stt", "document", packets.cell_action(F.col("document"), F.col("status"), evaluate.LISTING, evaluate.DOCUMENT_KINDS).alias("action"), packets.is_decided(F.col("status"), computed).alias("decided"))
+
+
+# ---------------------------------------------------------------- rosters
+
+def _sheets(spark, sf_dir):
+    """A sheet for each customer: a title, a heading, an order a person, and for three of four a row of totals."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w))
+    gross = F.round("o_totalprice").cast("long")
+    pit = F.floor(gross / 10)
+    o = o.select("o_custkey", "n", k, gross.alias("g"), pit.alias("p"), (gross - pit + F.when(k % 3 == 0, 1).otherwise(0)).alias("net"), "o_orderdate")
+    text = lambda c: F.col(c).cast("string")
+    cccd = F.when(k % 7 == 0, F.lpad((k % 1000).cast("string"), 11, "0")).otherwise(F.lpad((k % 1000).cast("string"), 12, "0"))
+    born = F.when(k % 5 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "d/M/yyyy"))
+    people = o.select("o_custkey", (F.col("n") + 2).alias("row"), F.array(text("n"), F.lit("An"), cccd, born, text("g"), text("p"), text("net")).alias("cells"))
+    sums = o.groupBy("o_custkey").agg(F.max("n").alias("n"), F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum("net").alias("net"))
+    none = F.lit(None).cast("string")
+    totals = sums.filter("o_custkey % 4 <> 0").select("o_custkey", (F.col("n") + 3).alias("row"), F.array(F.lit("Tổng cộng"), none, none, none, (F.col("g") + F.when(F.col("o_custkey") % 6 == 1, 1).otherwise(0)).cast("string"), text("p"), text("net")).alias("cells"))
+    head = sums.select("o_custkey", F.lit(2).alias("row"), F.array(*map(F.lit, ("STT", "Họ và tên", "Số CCCD", "Ngày sinh", "Gross (1)", "Thuế PIT (2)", "Thực nhận"))).alias("cells"))
+    title = sums.select("o_custkey", F.lit(1).alias("row"), F.array(F.lit("Bảng kê"), none).alias("cells"))
+    rows = people.unionByName(totals).unionByName(head).unionByName(title)
+    return rows.select(F.col("o_custkey").cast("string").alias("case_id"), F.lit("list").alias("sheet"), F.lit(0).alias("sheet_idx"), "row", "cells")
+
+
+SHEETS_SQL = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CAST(round(o_totalprice) AS BIGINT) AS g, g // 10 AS p, g - p + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS net,
+ lpad(CAST(k % 1000 AS VARCHAR), CASE WHEN k % 7 = 0 THEN 11 ELSE 12 END, '0') AS cccd, k % 5 = 0 AS iso, o_orderdate FROM orders), s AS (SELECT c, max(n) AS n, sum(g) AS g, sum(p) AS p, sum(net) AS net, c % 4 <> 0 AS totalled FROM o GROUP BY c)"""
+
+
+@query(SHEETS_SQL + """ SELECT CAST(c AS VARCHAR) AS case_id, n + 2 AS row, false AS is_total, CAST(n AS VARCHAR) AS stt, cccd, CAST(g AS VARCHAR) AS gross, CASE WHEN iso THEN strftime(o_orderdate, '%Y-%m-%d') ELSE day(o_orderdate) || '/' || month(o_orderdate) || '/' || year(o_orderdate) END AS dob FROM o
+ UNION ALL SELECT CAST(c AS VARCHAR), n + 3, true, 'Tổng cộng', NULL, CAST(g + CASE WHEN c % 6 = 1 THEN 1 ELSE 0 END AS VARCHAR), NULL FROM s WHERE totalled""")
+def roster_people(spark, sf_dir):
+    return roster.read_people(_sheets(spark, sf_dir)).select("case_id", F.col("row").cast("long").alias("row"), "is_total", "stt", "cccd", "gross", "dob")
+
+
+@query(SHEETS_SQL + """, f AS (SELECT c, n, 'formula-mismatch' AS code FROM o WHERE g - p <> net UNION ALL SELECT c, n, 'cccd-format' FROM o WHERE length(cccd) <> 12 UNION ALL SELECT c, n, 'dob-format' FROM o WHERE iso),
+ d AS (SELECT c, string_agg(CAST(n AS VARCHAR), '+' ORDER BY n) AS r FROM o GROUP BY c, cccd HAVING count(*) > 1)
+ SELECT CAST(c AS VARCHAR) AS case_id, code, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n) AS rows FROM f GROUP BY c, code UNION ALL SELECT CAST(c AS VARCHAR), 'duplicate-cccd', string_agg(r, '|' ORDER BY r) FROM d GROUP BY c
+ UNION ALL SELECT CAST(c AS VARCHAR), 'no-total-row', '' FROM s WHERE NOT totalled UNION ALL SELECT CAST(c AS VARCHAR), 'total-mismatch-gross', '-1' FROM s WHERE totalled AND c % 6 = 1""")
+def roster_findings(spark, sf_dir):
+    found = roster.findings(roster.read_people(_sheets(spark, sf_dir)))
+    return found.select("case_id", "code", F.array_join("rows", "|").alias("rows"))
+
+
+@query("""WITH r AS (SELECT c_custkey % 1000 AS id, count(*) AS n, min(c_custkey) AS row FROM customer GROUP BY 1), a AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 > 0 AND o_orderkey % 4 > 0 AS told FROM orders),
+ c AS (SELECT a.*, CASE WHEN told AND n = 1 THEN row END AS id_row, CASE WHEN told THEN n END AS n FROM a LEFT JOIN r ON id = o_custkey), d AS (SELECT *, count(*) OVER (PARTITION BY id_row) AS claims FROM c)
+ SELECT o_orderkey AS card_id, CASE WHEN id_row IS NULL THEN 'manual' WHEN claims > 1 THEN 'conflict' ELSE 'exact' END AS state, CASE WHEN id_row IS NOT NULL AND claims = 1 THEN id_row END AS matched_row,
+ CASE WHEN NOT told THEN 'number-unread' WHEN id_row IS NULL THEN 'number-not-on-roster' WHEN claims > 1 THEN 'competing-candidates' ELSE '' END AS issues FROM d""")
+def card_resolution(spark, sf_dir):
+    """Orders as cards, with a number alone; customers as roster rows, of whom some share a number."""
+    k = F.col("o_orderkey")
+    pad = lambda c: F.lpad(c.cast("string"), 12, "0")
+    read = table(spark, sf_dir, "orders").select(k.alias("card_id"), pad(F.col("o_custkey")).alias("number"), F.when(k % 5 > 0, 0.9).otherwise(0.5).alias("number_confidence"), (k % 4 > 0).alias("located"), F.lit("").alias("name"), F.lit(0.0).alias("name_confidence"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), pad(F.col("c_custkey") % 1000).alias("cccd"), F.col("c_name").alias("name"))
+    out = cards.resolve_cards(read, people)
+    return out.select("card_id", "state", "matched_row", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""WITH p AS (SELECT event_type, event_id FROM events WHERE value > 95) SELECT event_id FROM events WHERE event_id % 2 = 1 OR event_id IN (SELECT event_id FROM p)""")
+def kept_evidence(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 2 == 0).alias("owned"), "value")
+    return cards.without_stale(e.select("event_id", "owned"), e.filter("value > 95").select("event_id"), ["event_id"], "owned").select("event_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, sum(l_quantity) OVER w - l_quantity AS top, sum(l_quantity) OVER w AS bottom FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey)""")
+def row_tops(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("row"), F.col("l_quantity").alias("height"))
+    return cards.row_tops(li, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "top", "bottom")
+
+
+@query("""SELECT o_orderkey, (SELECT arg_min(kind, col) FROM (VALUES (2, 'card'), (5, 'bank'), (9, 'tax')) t(col, kind) WHERE col BETWEEN o_orderkey % 10 AND o_orderkey % 10 + o_custkey % 4) AS kind FROM orders""")
+def drawing_kinds(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.lit("s").alias("sheet"), F.col("o_orderkey").alias("drawing_id"), (F.col("o_orderkey") % 10).alias("from_col"), (F.col("o_orderkey") % 10 + F.col("o_custkey") % 4).alias("to_col"), F.lit("").alias("kind"))
+    columns = spark.createDataFrame([("s", 2, "card"), ("s", 5, "bank"), ("s", 9, "tax")], "sheet string, col long, kind string")
+    return cards.drawing_kind(o, columns, ["sheet"]).select(F.col("drawing_id").alias("o_orderkey"), "kind")
+
+
+@query("""SELECT o_orderkey, lpad(CAST(p + 1 AS VARCHAR), 4, '0') || '-' || CASE WHEN o_orderkey % 4 = 0 THEN 'unnamed' ELSE 'tran-van-' || o_custkey END || '_p' || (p + 1) || '-' || (p + 5) || '.pdf' AS file,
+ concat_ws(',', CASE WHEN abs(o_custkey % 10 / 10.0 - 0.5) < 0.05 THEN 'near-threshold' END, CASE WHEN o_custkey % 15 NOT BETWEEN 5 AND 12 THEN 'length-out-of-range' END, CASE WHEN p >= 50 THEN 'no-roster-match' END) AS flags FROM (SELECT *, o_orderkey % 100 AS p FROM orders)""")
+def packet_files(spark, sf_dir):
+    p, c = F.col("o_orderkey") % 100, F.col("o_custkey")
+    name = F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("Trần Văn "), c.cast("string")))
+    flags = segments.packet_flags(c % 15, c % 10 / 10, F.lit(0.5), F.lit(50), p)
+    return table(spark, sf_dir, "orders").select("o_orderkey", segments.packet_filename(p, name, p, p + 4).alias("file"), F.array_join(flags, ",").alias("flags"))
+
+
+@query(f"""WITH p AS ({PAGES}), g AS (SELECT c.user_id, c.page, max(s.page) AS s FROM p c LEFT JOIN p s ON c.user_id = s.user_id AND s.event_type = 'view' AND s.page <= c.page WHERE c.event_type = 'click' GROUP BY c.user_id, c.page),
+ f AS (SELECT user_id, page, CASE WHEN page - s <= 6 THEN page - s END AS gap FROM g), n AS (SELECT user_id, count(*) AS covers, count(gap) AS located FROM f GROUP BY user_id),
+ v AS (SELECT user_id, gap, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS r FROM (SELECT user_id, gap, count(*) AS n, min(page) AS first FROM f WHERE gap IS NOT NULL GROUP BY user_id, gap)),
+ x AS (SELECT n.user_id, CASE WHEN located >= 0.2 * covers AND v.n >= 0.4 * located THEN gap END AS gap FROM n LEFT JOIN v ON n.user_id = v.user_id AND r = 1)
+ SELECT f.user_id, CASE WHEN x.gap IS NOT NULL AND page >= x.gap THEN page - x.gap ELSE page END AS page FROM f JOIN x USING (user_id)""")
+def snapped_covers(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    found = segments.nearest_start(p.filter("event_type = 'click'"), p.filter("event_type = 'view'"), ["user_id"], "page", "page")
+    offsets = segments.consensus_offset(found, ["user_id"], "page", 0.4, 0.2)
+    return segments.snapped(found.drop("found_start"), offsets, ["user_id"], "page")
+
+
+@query("""SELECT o_custkey, string_agg('- ' || o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey""")
+def report_markdown(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    line = F.concat(F.lit("- "), F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus"))
+    return review.markdown(o, ["o_custkey"], line, ["o_orderkey"])
+
+
+@query(f"""SELECT c_custkey, regexp_matches(trim(regexp_replace(n, '\\s+', ' ', 'g')), '^\\p{{Lu}}\\p{{L}}*( \\p{{Lu}}\\p{{L}}*){{1,4}}$') AS person, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN 'folded' WHEN c_custkey % 4 = 2 THEN 'near' ELSE '' END AS why FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Trần' WHEN 1 THEN 'Trần Văn  An' WHEN 2 THEN 'Trần văn An' WHEN 3 THEN 'Trần An 2' ELSE 'Lê Thị Bích Ngọc' END AS n FROM customer)""")
+def name_shapes(spark, sf_dir):
+    k = F.col("c_custkey")
+    shown = F.get(F.array(*map(F.lit, ("Trần", "Trần Văn  An", "Trần văn An", "Trần An 2", "Lê Thị Bích Ngọc"))), (k % 5).cast("int"))
+    read = F.get(F.array(*map(F.lit, ("Trần Văn An", "TRAN VAN AN", "Trần Văn Am", "Lê Thị Bích"))), (k % 4).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.is_person_name(shown).alias("person"), V.fuzzy_reason(F.lit("Trần Văn An"), read, "person").alias("why"))
+
+
+@query("""SELECT p.packet, o_orderkey AS card_id, p.packet IS NULL AND o_orderkey IS NOT NULL AS floating FROM (SELECT 2 * c_custkey AS packet FROM customer) p FULL JOIN orders ON o_custkey = p.packet""")
+def cards_by_packet(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("packet"))
+    return cards.cards_by_packet(own, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card_id"), F.col("o_custkey").alias("packet")))
+
+
+EVIDENCE_SQL = """WITH d AS (SELECT o_orderkey, o_custkey, o_custkey % 3 AS sheet, o_custkey // 3 + CASE WHEN o_orderkey % 11 = 0 THEN 1000000000 ELSE 0 END AS spot FROM orders), p AS (SELECT c_custkey % 3 AS sheet, c_custkey // 3 AS spot, CASE WHEN c_custkey % 10 = 0 THEN -1 ELSE c_custkey END AS id FROM customer),
+ r AS (SELECT c_custkey - CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS id, count(*) AS n FROM customer GROUP BY 1), k AS (SELECT s_suppkey - CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END AS id, count(*) AS n, min(s_suppkey) AS packet FROM supplier GROUP BY 1),
+ e AS (SELECT o_orderkey AS drawing_id, o_custkey, k.packet, CASE WHEN coalesce(p.id, -1) = -1 THEN 'no-person-on-row' WHEN r.id IS NULL THEN 'not-on-roster' WHEN r.n > 1 THEN 'shared-id' WHEN k.n IS NULL THEN 'no-packet' WHEN k.n > 1 THEN 'several-packets' END AS reason
+ FROM d LEFT JOIN p USING (sheet, spot) LEFT JOIN r ON r.id = p.id LEFT JOIN k ON k.id = p.id)"""
+
+
+def _sheet_evidence(spark, sf_dir):
+    """Orders as drawings on three sheets of customers; customers as roster rows, suppliers as packets."""
+    pad = lambda c: F.lpad(c.cast("string"), 12, "0")
+    c, s, none = F.col("c_custkey"), F.col("s_suppkey"), F.lit("")
+    at = F.expr("o_custkey div 3") + F.when(F.col("o_orderkey") % 11 == 0, 1000000000).otherwise(0)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("drawing_id"), (F.col("o_custkey") % 3).alias("sheet"), at.alias("center_row"))
+    base = table(spark, sf_dir, "customer")
+    people = base.select((c % 3).alias("sheet"), F.expr("c_custkey div 3").alias("row"), F.when(c % 10 == 0, "").otherwise(pad(c)).alias("cccd"), none.alias("mst"), none.alias("name"))
+    listed = base.select(c.alias("row"), pad(c - F.when(c % 7 == 0, 1).otherwise(0)).alias("cccd"), none.alias("mst"), none.alias("name"))
+    own = table(spark, sf_dir, "supplier").select(s.alias("packet"), pad(s - F.when(s % 5 == 0, 1).otherwise(0)).alias("cccd"))
+    return cards.sheet_evidence(o, people, listed, own)
+
+
+@query(EVIDENCE_SQL + " SELECT drawing_id, CASE WHEN reason IS NULL THEN packet END AS packet, reason FROM e")
+def sheet_evidence(spark, sf_dir):
+    return _sheet_evidence(spark, sf_dir)
+
+
+@query(EVIDENCE_SQL + " SELECT o_custkey, count(*) FILTER (reason IS NULL AND packet IS NOT NULL) AS attached, count(reason) AS refused, coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons FROM e GROUP BY o_custkey")
+def evidence_summary(spark, sf_dir):
+    found = _sheet_evidence(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("drawing_id"), "o_custkey"), "drawing_id")
+    return cards.evidence_summary(found, ["o_custkey"]).withColumn("reasons", F.array_join("reasons", ","))

@@ -2,7 +2,8 @@
 
 Rows come values-only, as text, from every sheet: case_id (the file's name without ending), sheet, sheet_idx, row,
 cells. Files are read by Spark and parsed in tasks. Files are checked before they are read: size, number of members, encryption,
-paths that leave the archive, and limits on rows, columns and cells; a file that fails raises ValueError.
+paths that leave the archive, and limits on rows, columns, cells and shared text; a file that fails gives one row with the reason in
+error and nothing else, and the others are read.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from xml.etree import ElementTree
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCHEMA = "case_id string, sheet string, sheet_idx int, row int, cells array<string>"
-FILE_BYTES, MEMBERS, MEMBER_BYTES, ROWS, COLUMNS, CELLS = 20 << 20, 2_000, 64 << 20, 10_000, 128, 500_000
+SCHEMA = "case_id string, sheet string, sheet_idx int, row int, cells array<string>, error string"
+FILE_BYTES, MEMBERS, MEMBER_BYTES, ROWS, COLUMNS, CELLS, STRINGS = 20 << 20, 2_000, 64 << 20, 10_000, 128, 500_000, 500_000
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -62,6 +62,8 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in parse("xl/sharedStrings.xml").iter(f"{MAIN}si")]
+        if len(shared) > STRINGS:
+            raise ValueError("workbook has too many strings")
     targets = {r.get("Id"): r.get("Target") for r in parse("xl/_rels/workbook.xml.rels")}
     count = 0
     for k, sheet in enumerate(parse("xl/workbook.xml").iter(f"{MAIN}sheet")):
@@ -94,8 +96,12 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for path_, content in zip(pdf.path, pdf.content):
                 case = posixpath.basename(path_).rsplit(".", 1)[0]
-                out = [(case, *r) for r in sheet_rows(bytes(content))]
-                yield pd.DataFrame(out, columns=["case_id", "sheet", "sheet_idx", "row", "cells"])
+                try:
+                    out = [(case, *r, None) for r in sheet_rows(bytes(content))]
+                except (ValueError, KeyError, ElementTree.ParseError, zipfile.BadZipFile) as e:
+                    out = [(case, None, None, None, None, f"{type(e).__name__}: {e}")]
+                pdf_out = pd.DataFrame(out, columns=["case_id", "sheet", "sheet_idx", "row", "cells", "error"])
+                yield pdf_out.astype({"sheet_idx": "Int32", "row": "Int32"})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.repartition(F.col("path")).mapInPandas(rows, StructType.fromDDL(SCHEMA))
+    return files.mapInPandas(rows, StructType.fromDDL(SCHEMA))

@@ -264,3 +264,32 @@ def test_packet_names_and_gaps(spark):
     assert name == "0001-le-van-duc_p3-9.pdf"
     gaps = segments.missing_numbers(spark.createDataFrame([(0, 2), (0, 3), (0, 7)], "k int, n int"), ["k"], "n")
     assert sorted((r.low, r.high) for r in gaps.collect()) == [(1, 1), (4, 6)]
+
+
+def test_parts_cells(spark):
+    parts = {8: ((evaluate.CONTRACT,), ("bank", "branch"))}
+    docs = spark.createDataFrame([("c", k, f"d{n}", "contract") for k, n in ((0, 0), (1, 0), (2, 0), (2, 1), (3, 0), (4, 0))], "case_id string, packet int, doc_id string, kind string")
+    reads = [(0, "bank", 1.0, True), (0, "branch", 1.0, True), (1, "bank", 1.0, True), (1, "branch", 0.9, True), (2, "bank", 1.0, True), (2, "branch", 1.0, True), (3, "bank", 1.0, True), (3, "branch", 1.0, False), (4, "other", 1.0, True)]
+    df = spark.createDataFrame([("c", k, p, "d0", "x", at, conf) for k, p, conf, at in reads], "case_id string, packet int, part string, doc_id string, value string, located boolean, confidence double")
+    cells = evaluate.parts_cells(df, docs, parts)
+    assert {r.packet: r.status for r in cells.collect()} == {0: "ok", 1: "rv", 2: "rv", 3: "rv"}
+    people = spark.createDataFrame([("c", k, True, {"name": "An"}) for k in range(5)], "case_id string, packet int, matched boolean, roster map<string, string>")
+    none = spark.createDataFrame([], "case_id string, packet int, field_key string, doc_id string, value string")
+    got = {r.packet: (r.status, r.pending_reason) for r in evaluate.evaluate(people, docs, none, cells).filter(f"stt = 8 and document = '{evaluate.CONTRACT}'").collect()}
+    assert got == {0: ("ok", None), 1: ("rv", None), 2: ("rv", None), 3: ("rv", None), 4: ("pending", "not-automated")}
+    assert evaluate.requested_parts()[evaluate.CONTRACT] == ("bank", "branch", "province", "amount_basis", "term", "term_start", "method", "account")
+
+
+def test_misreads_are_reviewed(spark):
+    near = {0: "MSTTNCN : 0123 456 789 Ngày sinh", 1: "MSTTNCN : 0999 Số CCCD 0123456789", 2: "so tai khoan 0123456789", 3: ""}
+    people = spark.createDataFrame([("c", k, True, {"mst": "0123456789"}) for k in near], "case_id string, packet int, matched boolean, roster map<string, string>")
+    docs = spark.createDataFrame([("c", k, "d", "contract") for k in near], "case_id string, packet int, doc_id string, kind string")
+    sources = spark.createDataFrame([("c", k, "mst", "d", "0123456780", n) for k, n in near.items()], "case_id string, packet int, field_key string, doc_id string, value string, near string")
+    got = {r.packet: r.status for r in evaluate.evaluate(people, docs, sources).filter(f"stt = 5 and document = '{evaluate.CONTRACT}'").collect()}
+    assert got == {0: "rv", 1: "rv", 2: "no", 3: "no"}
+
+
+def test_amounts_that_no_document_can_agree_with(spark):
+    cells = packet(spark, CLEAN | {"gross": "0", "pit": "10", "net": "-10"}, ("contract",), [("phi", "contract-0", "0")])
+    got = {(r.stt, r.document): (r.status, r.pending_reason) for r in cells.collect()}
+    assert {s for (n, _), s in got.items() if n == 14} == {("no", None)} and got[15, evaluate.EXCEL] == ("pending", "not-automated") and got[16, evaluate.EXCEL] == ("no", None)

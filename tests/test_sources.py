@@ -32,6 +32,13 @@ def test_workbook_rows(spark, tmp_path):
     assert got == [("july", "list", 0, 1, ["STT", "Họ và tên"]), ("july", "list", 0, 2, ["1", None, "x"]), ("july", "other", 1, 1, ["a"])]
 
 
+def test_a_bad_workbook_is_a_row(spark, tmp_path):
+    make_workbook(tmp_path / "good.xlsx", {"list": [["a"]]})
+    (tmp_path / "bad.xlsx").write_bytes(b"not a zip")
+    got = {r.case_id: (r.cells, r.error) for r in workbook.read_workbooks(spark, str(tmp_path / "*.xlsx")).collect()}
+    assert got["good"] == (["a"], None) and got["bad"][0] is None and "not a workbook" in got["bad"][1]
+
+
 def test_unsafe_workbooks_are_refused(tmp_path):
     with pytest.raises(ValueError):
         workbook.preflight(b"not a zip")
