@@ -14,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofsheet.functions.session import plain_unions
+
 # Functions of this package travel to executors by value, so that a cluster needs no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,6 +46,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     All such tables of an application lie in one folder, to be removed with it.
     """
     spark = df.sparkSession
+    plain_unions(df)
     path = f"{shared_dir(spark)}/proofsheet-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
