@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
+from proofsheet.functions.session import plain_unions
 
 ID_CONFIDENCE, NAME_CONFIDENCE = 0.85, 0.8
 
@@ -39,7 +40,7 @@ def card_candidates(drawings: DataFrame, parts: DataFrame) -> DataFrame:
     rest = one.filter(~pair).select("component", F.explode("d").alias("x"), F.when(F.col("n") > 1, "ambiguous").alias("issue"))
     side = lambda s: F.when(F.col("x.side") == s, F.col("x.drawing_id"))
     single = rest.select("component", side("front").alias("front"), side("back").alias("back"), F.when(~F.coalesce(F.col("x.side").isin("front", "back"), F.lit(False)), F.col("x.drawing_id")).alias("single"), "issue")
-    return paired.unionByName(single)
+    return plain_unions(paired).unionByName(single)
 
 
 def resolve_cards(cards: DataFrame, roster: DataFrame) -> DataFrame:
@@ -67,12 +68,12 @@ def resolve_cards(cards: DataFrame, roster: DataFrame) -> DataFrame:
 
 def without_stale(evidence: DataFrame, keep: DataFrame, keys: list[str], owned: str) -> DataFrame:
     """Evidence rows that are not owned, or are owned and still to be kept."""
-    return evidence.filter(~F.col(owned)).unionByName(evidence.filter(owned).join(keep, keys, "left_semi").select(evidence.columns))
+    return plain_unions(evidence).filter(~F.col(owned)).unionByName(evidence.filter(owned).join(keep, keys, "left_semi").select(evidence.columns))
 
 
 def replace_pages(local: DataFrame, fresh: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """Sources of re-read pages from the fresh read, all others from the local one."""
-    return local.join(pages, keys, "left_anti").unionByName(fresh.join(pages, keys, "left_semi"), allowMissingColumns=True)
+    return plain_unions(local).join(pages, keys, "left_anti").unionByName(fresh.join(pages, keys, "left_semi"), allowMissingColumns=True)
 
 
 def best_reads(sources: DataFrame, keys: list[str], order: str, value: str = "value", confidence: str = "confidence") -> DataFrame:

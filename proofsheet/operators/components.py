@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofsheet.functions.session import plain_unions
+
 
 def overlap(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
     """Shared length over the shorter length, 0 to 1."""
@@ -25,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Every round hands each node the least label among its neighbours' and its label's label, so labels jump along
     trees instead of walking edge by edge. Rounds end when no label changes; each is checkpointed.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct().checkpoint()
+    both = plain_unions(edges).select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct().checkpoint()
     label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).checkpoint()
     for _ in range(rounds):
         near = both.join(label.select(F.col("u").alias("v"), F.col("label").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))

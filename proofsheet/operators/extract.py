@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
+from proofsheet.functions.session import plain_unions
 
 #: What a field's value looks like.
 PATTERNS = {"mst": r"\d{10,13}", "cccd_spaced": r"\d(?:\s*\d){8,12}", "money": r"\d{1,3}(?:[.,]\d{3})+", "date": r"\d{1,2}/\d{1,2}/\d{4}", "account": r"\d{6,16}"}
@@ -73,7 +74,7 @@ def with_placeholders(best: DataFrame, wanted: DataFrame, keys: list[str]) -> Da
     own = best.select(*keys, *empty)
     types = dict(own.dtypes)
     gone = wanted.select(*keys).distinct().join(own, keys, "left_anti")
-    return own.unionByName(gone.select(*keys, *(v.cast(types[c]).alias(c) for c, v in empty.items())))
+    return plain_unions(own).unionByName(gone.select(*keys, *(v.cast(types[c]).alias(c) for c, v in empty.items())))
 
 
 def attach_places(reads: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
 from proofsheet.functions import values as V
+from proofsheet.functions.session import plain_unions
 from proofsheet.operators import status as S
 
 NO_NAME = "(no name)"
@@ -86,7 +87,7 @@ def source_grid(sources: DataFrame, documents: DataFrame, fields: DataFrame, key
     cells = fields.select(*keys, "field").distinct().join(documents.select(*keys, "document").distinct(), keys).join(own, [*keys, "field", "document"], "left").withColumn("rank", F.coalesce("rank", F.lit(3)))
     whole = cells.groupBy(*keys, "document").agg(F.min("rank").alias("rank")).withColumn("field", F.lit(None).cast(dict(cells.dtypes)["field"]))
     name = F.get(F.array(*map(F.lit, GRID)), F.col("rank"))
-    return cells.unionByName(whole.select(cells.columns)).select(*keys, "field", "document", name.alias("status"))
+    return plain_unions(cells).unionByName(whole.select(cells.columns)).select(*keys, "field", "document", name.alias("status"))
 
 
 def worst_first(status: Column, number: Column) -> list[Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
+from proofsheet.functions.session import plain_unions
 
 
 def lifecycle(seen: Column, flagged: Column, done: Column) -> Column:
@@ -60,7 +61,7 @@ def report_rows(*families: DataFrame) -> DataFrame:
     def filled(df: DataFrame) -> DataFrame:
         return df.select(*(T.text_of(F.col(c)).alias(c) if c in df.columns else F.lit("").alias(c) for c in REPORT))
 
-    return reduce(DataFrame.unionByName, map(filled, families))
+    return plain_unions(reduce(DataFrame.unionByName, map(filled, families)))
 
 
 def absent_documents(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
 from proofsheet.functions import values as V
+from proofsheet.functions.session import plain_unions
 from proofsheet.operators.matching import shared_keys
 
 #: Patterns that folded headers must hold, by field.
@@ -135,7 +136,7 @@ def findings(people: DataFrame) -> DataFrame:
         t = control_totals(person, ["case_id"], V.money(F.col(c)), stated, "amount")
         out.append(t.filter("stated is null").select("case_id", F.lit(f"total-missing-{c}").alias("code"), none.alias("rows")))
         out.append(t.filter("status = 'no'").select("case_id", F.lit(f"total-mismatch-{c}").alias("code"), F.array(F.col("gap").cast("string")).alias("rows")))
-    return reduce(DataFrame.unionByName, out)
+    return plain_unions(reduce(DataFrame.unionByName, out))
 
 
 #: What a heading of the name column holds.

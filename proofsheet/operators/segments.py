@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
+from proofsheet.functions.session import plain_unions
 
 
 def largest_gap(scores: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
@@ -33,11 +34,9 @@ def nearest_start(covers: DataFrame, starts: DataFrame, keys: list[str], cover:
     """covers with found_start, the latest start at or before them and not further back than `within`.
 
     A running last-value over both tables in page order: linear however many starts a key has, where a range join is not.
-    The union is dealt by key explicitly: Spark 4.1 takes a union of two tables that are each dealt by key for dealt
-    alike, which does not hold once their partitions are coalesced one by one.
     """
     both = covers.select(*keys, F.col(cover).alias("__p"), F.lit(1).alias("__c")).unionByName(starts.select(*keys, F.col(start).alias("__p"), F.lit(0).alias("__c")))
-    both = both.repartition(*keys)
+    both = plain_unions(both)
     w = Window.partitionBy(*keys).orderBy("__p", "__c")
     last = F.last(F.when(F.col("__c") == 0, F.col("__p")), ignorenulls=True).over(w)
     found = both.withColumn("__s", last).filter("__c = 1")
@@ -80,7 +79,7 @@ def missed_starts(bounds: DataFrame, starts: DataFrame, keys: list[str], start:
 
 def with_missed(bounds: DataFrame, missed: DataFrame, keys: list[str], start: str) -> DataFrame:
     """keys, start: the packets' starts and the missed ones, each once."""
-    return bounds.select(*keys, F.col("page_start").alias(start)).unionByName(missed.select(*keys, start)).repartition(*keys, start).distinct()
+    return bounds.select(*keys, F.col("page_start").alias(start)).unionByName(missed.select(*keys, start)).transform(plain_unions).distinct()
 
 
 def covers_without_start(covers: DataFrame, starts: DataFrame, keys: list[str], cover: str, start: str, within: int = 6) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
 from proofsheet.functions import values as V
+from proofsheet.functions.session import plain_unions
 from proofsheet.operators import cards, evaluate, extract, matching, packets, quotes, review, roster, segments, status
 from proofsheet.plans.catalog import CELLS_SQL, EVENT_STATUS, FOLD, PAGES, RANK_SQL, criteria_cells, query, table, _event_cells, _pages
 
@@ -520,7 +521,7 @@ def _sheets(spark, sf_dir):
     totals = sums.filter("o_custkey % 4 <> 0").select("o_custkey", (F.col("n") + 3).alias("row"), F.array(F.lit("Tổng cộng"), none, none, none, (F.col("g") + F.when(F.col("o_custkey") % 6 == 1, 1).otherwise(0)).cast("string"), text("p"), text("net")).alias("cells"))
     head = sums.select("o_custkey", F.lit(2).alias("row"), F.array(*map(F.lit, ("STT", "Họ và tên", "Số CCCD", "Ngày sinh", "Gross (1)", "Thuế PIT (2)", "Thực nhận"))).alias("cells"))
     title = sums.select("o_custkey", F.lit(1).alias("row"), F.array(F.lit("Bảng kê"), none).alias("cells"))
-    rows = people.unionByName(totals).unionByName(head).unionByName(title)
+    rows = plain_unions(people).unionByName(totals).unionByName(head).unionByName(title)
     return rows.select(F.col("o_custkey").cast("string").alias("case_id"), F.lit("list").alias("sheet"), F.lit(0).alias("sheet_idx"), "row", "cells")
 
 

@@ -293,3 +293,16 @@ def test_amounts_that_no_document_can_agree_with(spark):
     cells = packet(spark, CLEAN | {"gross": "0", "pit": "10", "net": "-10"}, ("contract",), [("phi", "contract-0", "0")])
     got = {(r.stt, r.document): (r.status, r.pending_reason) for r in cells.collect()}
     assert {s for (n, _), s in got.items() if n == 14} == {("no", None)} and got[15, evaluate.EXCEL] == ("pending", "not-automated") and got[16, evaluate.EXCEL] == ("no", None)
+
+
+def test_unions_of_dealt_tables_join_right(spark):
+    """Two windows by one key, their union, and an outer self-join: each key finds its own row."""
+    from pyspark.sql import Window
+
+    spark.conf.unset("spark.sql.unionOutputPartitioning")
+    w = Window.partitionBy("k").orderBy("i")
+    rows = spark.range(4000).select((F.col("id") % 40).alias("k"), F.col("id").alias("i"), (F.col("id") % 3 == 0).alias("cover")).withColumn("page", F.row_number().over(w) - 1)
+    found = segments.nearest_start(rows.filter("cover"), rows.filter("not cover"), ["k"], "page", "page")
+    offsets = segments.consensus_offset(found, ["k"], "page", 0.1, 0.1)
+    assert {r.k: r.offset for r in offsets.collect()} == {k: 1 for k in range(40)}
+    assert all(r.offset == 1 for k in range(0, 40, 7) for r in offsets.filter(f"k = {k}").collect())
