@@ -485,3 +485,23 @@ def test_op10(docs, rows):
 def test_op10_does_not_depend_on_what_is_common(docs):
     a, b = by_id(lm_scoring.lm_scores(docs, common=64)), by_id(lm_scoring.lm_scores(docs, common=1 << 20))
     assert all(abs(a[i].base_score - b[i].base_score) < 1e-6 and a[i].n_known == b[i].n_known for i in a)
+
+
+def test_op10_code_bits_are_a_distribution():
+    """In any context the probabilities of all 4096 codes sum to one."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    leaves = rng.integers(0, 50, lm_scoring.LEAVES)
+    tables = rng.integers(0, 3, sum(lm_scoring.CLASSES) * lm_scoring.LEAVES)
+    spelled = np.zeros(lm_scoring.ORDERS * lm_scoring.CELLS * 2, np.int64)
+    model = lm_scoring.Model(np.array([1], np.uint64), np.array([1]), leaves, tables, spelled, int(leaves.sum()), 10, 3)
+    n = lm_scoring.LEAVES
+
+    class Each:
+        h = np.arange(n, dtype=np.uint64) << np.uint64(64 - lm_scoring.BITS)
+        count, first = np.ones(n, np.int64), np.arange(n)
+
+    for a, b, c in ((0, 0, 0), (3, 17, 500), (255, 511, 1)):
+        contexts = [np.full(n, x) for x in (a, b, c)]
+        assert abs(np.exp(lm_scoring.mixed(model, Each, contexts, np.tile(lm_scoring.START, (lm_scoring.BITS, 1)))[0]).sum() - 1) < 1e-3
