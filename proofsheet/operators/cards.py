@@ -44,26 +44,57 @@ def card_candidates(drawings: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def resolve_cards(cards: DataFrame, roster: DataFrame) -> DataFrame:
-    """cards (card_id, number, number_confidence, located, name, name_confidence) with state, matched_row and issues.
+    """card_id, state, matched_row, matched_by, issues: whose card each one is, and if nobody's, why.
 
-    exact: a located 12-digit number of enough confidence that is one row's alone, claimed by no other card, and no
-    other row's name. suggested: the name alone points to one row whose own id is sound. conflict: several cards claim
-    one row, or number and name point to different rows. Else manual.
+    cards: card_id, number, number_confidence, located (whether the number's place on the image is known), name,
+    name_confidence, and if known front (false: no front side) and blocked (an issue of the pair that forbids a match).
+    roster: row, cccd, name. A card claims the one row with its number, and the one row with its folded name if that
+    row's own number is sound and its alone. The tests follow in order of weight; the first that holds decides.
     """
-    rows = roster.select("row", T.digits(F.col("cccd")).alias("id"), T.person_key(F.col("name")).alias("who"))
-    alone = lambda c: rows.filter(F.col(c) != "").groupBy(c).agg(F.count("*").alias("n"), F.min("row").alias("row")).filter("n = 1").drop("n")
-    ids = alone("id").filter("length(id) = 12").withColumnRenamed("row", "id_row")
-    names = alone("who").withColumnRenamed("row", "name_row")
-    sound = rows.join(ids.select("id"), "id").select(F.col("row").alias("name_row"), F.lit(True).alias("sound"))
-    c = cards.withColumn("id", F.when(F.col("located") & (F.col("number_confidence") >= ID_CONFIDENCE), T.digits(F.col("number"))))
-    c = c.withColumn("who", F.when(F.col("name_confidence") >= NAME_CONFIDENCE, F.nullif(T.person_key(F.col("name")), F.lit(""))))
-    c = c.join(ids, "id", "left").join(names, "who", "left").join(sound, "name_row", "left")
-    c = c.withColumn("name_row", F.when(F.col("sound"), F.col("name_row"))).withColumn("claim", F.coalesce("id_row", "name_row"))
-    c = c.withColumn("claims", F.when(F.col("claim").isNotNull(), F.count("*").over(Window.partitionBy("claim"))))
-    clash = F.col("id_row").isNotNull() & F.col("name_row").isNotNull() & (F.col("id_row") != F.col("name_row"))
-    state = F.when(clash | (F.col("claims") > 1), "conflict").when(F.col("id_row").isNotNull(), "exact").when(F.col("name_row").isNotNull(), "suggested").otherwise("manual")
-    issues = F.array_compact(F.array(F.when(clash, "number-and-name-differ"), F.when(F.col("claims") > 1, "competing-candidates"), F.when(F.col("id").isNull() | (F.length("id") != 12), "number-unread"), F.when(F.col("id_row").isNull() & (F.length("id") == 12), "number-not-on-roster")))
-    return c.select("card_id", state.alias("state"), F.when(~state.isin("conflict", "manual"), F.col("claim")).alias("matched_row"), issues.alias("issues"))
+    rows = roster.select("row", T.digits(F.col("cccd")).alias("id"), T.fold_accents(F.trim(F.col("name"))).alias("who"))
+    counted = lambda c, n, r: rows.filter(F.col(c) != "").groupBy(c).agg(F.count("*").alias(n), F.min("row").alias(r))
+    ids, names = counted("id", "n_id", "id_row").filter("length(id) = 12"), counted("who", "n_who", "name_row")
+    # of each row: whether its own number is sound and its alone, and whether its name is another's too
+    own = rows.join(ids.filter("n_id = 1").select("id", F.lit(True).alias("sound")), "id", "left").join(names.select("who", "n_who"), "who", "left")
+    own = own.select("row", F.coalesce("sound", F.lit(False)).alias("sound"), (F.coalesce("n_who", F.lit(0)) > 1).alias("namesake"))
+
+    c = cards.withColumns({n: v for n, v in (("front", F.lit(True)), ("blocked", F.lit(None).cast("string"))) if n not in cards.columns})
+    c = c.select("card_id", "front", "blocked", "located", F.coalesce("number_confidence", F.lit(0.0)).alias("sure"), T.digits(F.col("number")).alias("id"), F.when(F.col("name_confidence") >= NAME_CONFIDENCE, T.fold_accents(F.trim(F.col("name")))).alias("who"))
+    c = c.join(ids, "id", "left").join(names, "who", "left")
+    c = c.withColumn("id_row", F.when(F.col("located") & (F.col("n_id") == 1), F.col("id_row"))).withColumn("name_row", F.when(F.col("n_who") == 1, F.col("name_row")))
+    c = c.join(own.select(F.col("row").alias("name_row"), "sound"), "name_row", "left").join(own.select(F.col("row").alias("id_row"), "namesake"), "id_row", "left")
+    free = F.col("front") & F.col("blocked").isNull()
+    claims = F.array_distinct(F.array_compact(F.array(F.when(free, F.col("id_row")), F.when(free & F.col("sound"), F.col("name_row")))))
+    c = c.withColumn("claims", claims)
+    contested = c.select("card_id", F.explode("claims").alias("target")).groupBy("target").agg(F.count("*").alias("n")).filter("n > 1").select("target")
+    rival = c.select("card_id", F.explode("claims").alias("target")).join(contested, "target", "left_semi").select("card_id").distinct().withColumn("rival", F.lit(True))
+    c = c.join(rival, "card_id", "left").join(contested.select(F.col("target").alias("name_row"), F.lit(True).alias("name_rival")), "name_row", "left")
+
+    yes = lambda n: F.coalesce(F.col(n), F.lit(False))
+    told = lambda state, issue, by=None: F.struct(F.lit(state).alias("state"), F.lit(issue).cast("string").alias("issue"), F.lit(by).cast("string").alias("by"))
+    both = F.col("id_row").isNotNull() & F.col("name_row").isNotNull()
+    many = lambda n: F.coalesce(F.col(n) > 1, F.lit(False))
+    verdict = (
+        F.when(~F.col("front"), told("manual", "no-front"))
+        .when(F.col("blocked").isNotNull(), F.struct(F.lit("conflict").alias("state"), F.col("blocked").alias("issue"), F.lit(None).cast("string").alias("by")))
+        .when(~yes("located") & many("n_who"), told("conflict", "duplicate-name"))
+        .when(~yes("located") & yes("name_rival"), told("conflict", "competing-candidate"))
+        .when(~yes("located") & yes("sound"), told("suggested", "no-number-region", "name"))
+        .when(~yes("located"), told("manual", "no-number-region"))
+        .when((F.col("id") != "") & (F.length("id") != 12), told("manual", "non-12-digit-cccd"))
+        .when(many("n_id"), told("conflict", "duplicate-cccd"))
+        .when(many("n_who") | yes("namesake"), told("conflict", "duplicate-name"))
+        .when(both & (F.col("id_row") != F.col("name_row")), told("conflict", "conflicting-identity"))
+        .when(yes("rival"), told("conflict", "competing-candidate"))
+        .when(F.col("id_row").isNotNull() & (F.col("sure") >= ID_CONFIDENCE), told("exact", None, "cccd"))
+        .when(yes("sound"), told("suggested", None, "name"))
+        .when(F.col("id") == "", told("manual", "unreadable-identity"))
+        .when(F.col("id_row").isNotNull(), told("manual", "low-cccd-confidence"))
+        .otherwise(told("manual", "no-exact-roster-match"))
+    )
+    c = c.withColumn("v", verdict)
+    row = F.when(F.col("v.by") == "cccd", F.col("id_row")).when(F.col("v.by") == "name", F.col("name_row"))
+    return c.select("card_id", "v.state", row.alias("matched_row"), F.col("v.by").alias("matched_by"), F.array_compact(F.array("v.issue")).alias("issues"))
 
 
 def without_stale(evidence: DataFrame, keep: DataFrame, keys: list[str], owned: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from proofsheet.functions import text as T
 from proofsheet.functions import values as V
+from proofsheet.functions.session import plain_unions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,6 +38,29 @@ def locate_exact(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str,
     return sure.groupBy("q", "t").agg(F.min("start").alias("at")).select(F.col("q").alias(quote_id), F.col("t").alias(text_id), "at")
 
 
+QUOTE_WORDS = (8, 60)
+
+
+def locate_quotes(quotes: DataFrame, pages: DataFrame, doc: str, quote_id: str, quote: str, claimed: str, page: str, text: str) -> DataFrame:
+    """quote_id, page, exact, ratio of quotes that a page of their own document holds.
+
+    A verbatim hit on any page comes before a near one on any other; of equal hits the claimed page counts first, then
+    the earliest. A near hit has the same digits. Quotes of fewer than 8 words, counted with or without punctuation, are
+    refused, as are those of more than 60. Documents meet their own pages only, and near hits are looked for only for
+    quotes without a verbatim one.
+    """
+    plain = F.size(F.split(T.collapse(T.fold_accents(F.col(quote))), " "))
+    q = quotes.select(doc, quote_id, claimed, T.fold_words(F.col(quote)).alias("__q"), plain.alias("__n")).withColumn("__w", F.size(F.split("__q", " ")))
+    q = q.filter((F.least("__n", "__w") >= QUOTE_WORDS[0]) & (F.col("__w") <= QUOTE_WORDS[1]))
+    p = pages.select(doc, F.col(page).alias("page"), T.fold_words(F.col(text)).alias("__t"))
+    first = F.struct(F.coalesce(F.col("page") != F.col(claimed), F.lit(True)).alias("other"), F.col("page"))
+    both = q.join(p, doc)
+    exact = both.filter(T.has_phrase(F.col("__t"), F.col("__q"))).groupBy(quote_id).agg(F.min_by("page", first).alias("page")).select(quote_id, "page", F.lit(True).alias("exact"), F.lit(1.0).alias("ratio"))
+    near = both.join(exact, quote_id, "left_anti").withColumn("b", best_window(F.col("__t"), F.col("__q"))).filter("b.ratio is not null")
+    near = near.groupBy(quote_id).agg(F.min_by(F.struct("page", "b.ratio"), F.struct(-F.col("b.ratio"), first)).alias("n")).select(quote_id, "n.page", F.lit(False).alias("exact"), "n.ratio")
+    return plain_unions(exact).unionByName(near)
+
+
 def anchored(lines: Column, anchor: str, pattern: str, lookahead: int = 1) -> Column:
     """For each line that holds the folded anchor: its place, the first match of the pattern on it or on the next lines, and on which; an empty value if there is none."""
     def at(i: Column) -> Column:

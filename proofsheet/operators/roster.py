@@ -153,3 +153,28 @@ def names_below_heading(rows: DataFrame, headings: tuple[str, ...] = NAME_HEADIN
     body = rows_until_blank(rows.join(head, SHEET).filter("row > head"))
     named = body.select(*SHEET, "row", F.trim(T.text_of(F.get("cells", F.col("col")))).alias("name")).filter("name <> ''")
     return named.select(*SHEET, (F.row_number().over(Window.partitionBy(*SHEET).orderBy("row")) - 1).alias("place"), "name")
+
+
+def heading_columns(rows: DataFrame) -> DataFrame:
+    """case_id, sheet, head, field, col: the columns of sheets without numbers in front. The heading is the first row with a name
+    and an id; fields that it lacks may stand in rows below it, before the first that has something in the name column."""
+    fields = F.filter(F.array(*(F.when(F.col("cell").rlike(p), F.lit(f)) for f, p in HEADERS.items())), lambda x: x.isNotNull())
+    cells = rows.select(*SHEET, "row", F.posexplode("cells").alias("col", "cell")).withColumn("cell", T.fold_label(F.col("cell")))
+    hits = cells.filter("cell <> ''").select(*SHEET, "row", "col", F.explode(fields).alias("field"))
+    own = hits.groupBy(*SHEET, "row").agg(F.min(F.when(F.col("field") == "name", F.col("col"))).alias("name_col"), F.bool_or(F.col("field") == "cccd").alias("has_id"))
+    head = own.filter("name_col is not null and has_id").groupBy(*SHEET).agg(F.min(F.struct("row", "name_col")).alias("h")).select(*SHEET, F.col("h.row").alias("head"), "h.name_col")
+    named = rows.join(head, SHEET).filter((F.col("row") > F.col("head")) & (F.trim(T.text_of(F.get("cells", F.col("name_col")))) != ""))
+    until = named.groupBy(*SHEET).agg(F.min("row").alias("until"))
+    near = hits.join(head.select(*SHEET, "head"), SHEET).join(until, SHEET, "left").filter("row >= head and row < coalesce(until, row + 1)")
+    return near.groupBy(*SHEET, "head", "field").agg(F.min(F.struct("row", "col")).alias("at")).select(*SHEET, "head", "field", "at.col")
+
+
+def read_rows(rows: DataFrame) -> DataFrame:
+    """case_id, sheet, row, name, cccd, mst, dob, account, fee, product: rows with a name below such a heading, up to the first blank row
+    once rows have begun; trimmed text, empty where there is no column. The fee may be headed as gross; the product comes from the note."""
+    where = heading_columns(rows).groupBy(*SHEET, "head").agg(F.map_from_entries(F.collect_list(F.struct("field", "col"))).alias("cols"))
+    body = rows_until_blank(rows.join(where, SHEET).filter("row > head"))
+    cell = lambda f: F.trim(T.text_of(F.get("cells", F.col("cols")[f])))
+    fee = F.when(F.map_contains_key("cols", "fee"), cell("fee")).otherwise(cell("gross"))
+    out = body.select(*SHEET, "row", *(cell(f).alias(f) for f in ("name", "cccd", "mst", "dob", "account")), fee.alias("fee"), F.trim(F.substring_index(cell("note"), " - ", 1)).alias("product"))
+    return out.filter("name <> ''")

@@ -544,10 +544,10 @@ def roster_findings(spark, sf_dir):
     return found.select("case_id", "code", F.array_join("rows", "|").alias("rows"))
 
 
-@query("""WITH r AS (SELECT c_custkey % 1000 AS id, count(*) AS n, min(c_custkey) AS row FROM customer GROUP BY 1), a AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 > 0 AND o_orderkey % 4 > 0 AS told FROM orders),
- c AS (SELECT a.*, CASE WHEN told AND n = 1 THEN row END AS id_row, CASE WHEN told THEN n END AS n FROM a LEFT JOIN r ON id = o_custkey), d AS (SELECT *, count(*) OVER (PARTITION BY id_row) AS claims FROM c)
- SELECT o_orderkey AS card_id, CASE WHEN id_row IS NULL THEN 'manual' WHEN claims > 1 THEN 'conflict' ELSE 'exact' END AS state, CASE WHEN id_row IS NOT NULL AND claims = 1 THEN id_row END AS matched_row,
- CASE WHEN NOT told THEN 'number-unread' WHEN id_row IS NULL THEN 'number-not-on-roster' WHEN claims > 1 THEN 'competing-candidates' ELSE '' END AS issues FROM d""")
+@query("""WITH r AS (SELECT c_custkey % 1000 AS id, count(*) AS n, min(c_custkey) AS row FROM customer GROUP BY 1), a AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 > 0 AS sure, o_orderkey % 4 > 0 AS located FROM orders),
+ c AS (SELECT a.*, CASE WHEN located AND n = 1 THEN row END AS id_row, n FROM a LEFT JOIN r ON id = o_custkey), d AS (SELECT *, count(*) OVER (PARTITION BY id_row) AS claims FROM c),
+ e AS (SELECT *, CASE WHEN NOT located THEN 'no-number-region' WHEN n > 1 THEN 'duplicate-cccd' WHEN id_row IS NULL THEN 'no-exact-roster-match' WHEN claims > 1 THEN 'competing-candidate' WHEN NOT sure THEN 'low-cccd-confidence' ELSE '' END AS issues FROM d)
+ SELECT o_orderkey AS card_id, CASE issues WHEN '' THEN 'exact' WHEN 'duplicate-cccd' THEN 'conflict' WHEN 'competing-candidate' THEN 'conflict' ELSE 'manual' END AS state, CASE WHEN issues = '' THEN id_row END AS matched_row, issues FROM e""")
 def card_resolution(spark, sf_dir):
     """Orders as cards, with a number alone; customers as roster rows, of whom some share a number."""
     k = F.col("o_orderkey")
@@ -647,3 +647,36 @@ def sheet_evidence(spark, sf_dir):
 def evidence_summary(spark, sf_dir):
     found = _sheet_evidence(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("drawing_id"), "o_custkey"), "drawing_id")
     return cards.evidence_summary(found, ["o_custkey"]).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace({FOLD.format('text')}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t, trim(regexp_replace({FOLD.format('text')}, '\\s+', ' ', 'g')) AS plain FROM conversations),
+ q AS (SELECT conv_id, turn, array_to_string(string_split(t, ' ')[1:60], ' ') AS q FROM p WHERE least(len(string_split(t, ' ')), len(string_split(plain, ' '))) >= 8)
+ SELECT q.conv_id, q.turn, coalesce(min(p.turn) FILTER (p.turn = q.turn + 1), min(p.turn)) AS page, true AS exact, 1.0::DOUBLE AS ratio FROM q JOIN p ON p.conv_id = q.conv_id AND contains(' ' || p.t || ' ', ' ' || q.q || ' ') GROUP BY ALL""")
+def located_quotes(spark, sf_dir):
+    """The beginning of each turn, claimed to stand in the next one, looked for in its conversation."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    told = F.array_join(F.slice(F.split(T.fold_words(F.col("text")), " "), 1, 60), " ")
+    own = c.select("conv_id", F.struct("conv_id", "turn").alias("id"), F.when(F.size(F.split(T.fold_label(F.col("text")), " ")) >= 8, told).alias("quote"), (F.col("turn") + 1).alias("claimed"))
+    found = quotes.locate_quotes(own, c, "conv_id", "id", "quote", "claimed", "turn", "text")
+    return found.select("id.conv_id", "id.turn", "page", "exact", "ratio")
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders), b AS (SELECT c, min(n) AS gap FROM o WHERE k % 9 = 0 AND n > 1 GROUP BY c)
+ SELECT CAST(c AS VARCHAR) AS case_id, n + 3 AS row, 'N' || k AS name, lpad(CAST(k AS VARCHAR), 12, '0') AS cccd, CAST(k * 10 AS VARCHAR) AS fee, CASE WHEN k % 2 = 0 THEN 'Game ' || s ELSE '' END AS product FROM o LEFT JOIN b USING (c) WHERE (gap IS NULL OR n < gap) AND k % 4 > 0 AND (k % 9 > 0 OR n = 1)""")
+def roster_rows(spark, sf_dir):
+    """A sheet for each customer with a heading over two rows; every ninth order (not the first) is a blank row, every fourth has no name."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    k, n = F.col("o_orderkey"), F.col("n")
+    o = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(w))
+    none = F.lit(None).cast("string")
+    note = F.when(k % 2 == 0, F.concat(F.lit(" Game "), F.col("o_orderstatus"), F.lit(" - "), k.cast("string"))).otherwise(" ")
+    own = F.array(F.when(k % 4 > 0, F.concat(F.lit(" N"), k.cast("string"))).otherwise(" "), F.lpad(k.cast("string"), 12, "0"), (k * 10).cast("string"), note)
+    blank = F.array(F.lit(" "), none, none, none)
+    people = o.select("o_custkey", (n + 3).alias("row"), F.when((k % 9 == 0) & (n > 1), blank).otherwise(own).alias("cells"))
+    first = o.select("o_custkey").distinct()
+    heads = [(1, ("Bảng kê", "", "", "")), (2, ("Họ và tên", "CCCD/ PP", "Chi phí", "Note")), (3, (" ", "", "Gross", ""))]
+    rows = plain_unions(people)
+    for at, texts in heads:
+        rows = rows.unionByName(first.select("o_custkey", F.lit(at).alias("row"), F.array(*map(F.lit, texts)).alias("cells")))
+    found = roster.read_rows(rows.select(F.col("o_custkey").cast("string").alias("case_id"), F.lit("s").alias("sheet"), "row", "cells"))
+    return found.select("case_id", F.col("row").cast("long").alias("row"), "name", "cccd", "fee", "product")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from proofsheet.operators import cards, components, evaluate, matching, review, roster, segments, status
+from proofsheet.operators import cards, components, evaluate, matching, quotes, review, roster, segments, status
 
 
 def test_worst_wins(spark):
@@ -239,7 +239,6 @@ def test_card_packets_and_sheet_evidence(spark):
 
 
 def test_fuzzy_window_and_parts(spark):
-    from proofsheet.operators import quotes
 
     text = "mot hai ba ben cung cap dich vu thuc hien cong viec theo hop dong so 12 ky ngay"
     df = spark.createDataFrame([(text, "cung cap dich vu thuc hien cong viec theo hop dong"), (text, "cung cep dich vu thuc hien cong viec theo hop dong"), (text, "cung cap dich vu thuc hien cong viec theo hop dong so 13"), (text, "ngan")], "t string, q string")
@@ -306,3 +305,27 @@ def test_unions_of_dealt_tables_join_right(spark):
     offsets = segments.consensus_offset(found, ["k"], "page", 0.1, 0.1)
     assert {r.k: r.offset for r in offsets.collect()} == {k: 1 for k in range(40)}
     assert all(r.offset == 1 for k in range(0, 40, 7) for r in offsets.filter(f"k = {k}").collect())
+
+
+def test_quotes_are_located_exactly_before_nearly(spark):
+    text = "Bên B cung cấp dịch vụ theo hợp đồng số 15 ngày 1 tháng 2"
+    pages = spark.createDataFrame([("d", 0, "mở đầu " + text.replace("cung", "cunq") + " hết"), ("d", 1, "x " + text), ("d", 2, text + " y"), ("e", 0, text.replace("cung", "cunq")), ("f", 0, text.replace("15", "16"))], "doc string, page int, text string")
+    asked = spark.createDataFrame([(1, "d", text, 0), (2, "d", text, 2), (3, "e", text, 0), (4, "f", text, 0), (5, "d", "cung cấp dịch vụ", 1), (6, "d", "a " * 61, 1), (7, "d", "1 - 2 - 3 - 4", 1)], "id int, doc string, quote string, claimed int")
+    got = {r.id: (r.page, r.exact) for r in quotes.locate_quotes(asked, pages, "doc", "id", "quote", "claimed", "page", "text").collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (0, False)}
+
+
+def test_card_resolution_tells_why(spark):
+    people = spark.createDataFrame([(0, "012345678901", "An"), (1, "012345678902", "Binh"), (2, "012345678903", "Chi"), (3, "012345678904", "Chi"), (4, "012345678905", "Dung"), (5, "012345678905", "Em"), (6, "012345678906", "Gia"), (7, "012345678907", "Ha")], "row int, cccd string, name string")
+    cases = {
+        "front": ("", 0.0, True, "", 0.0, False, None), "pair": ("012345678901", 0.9, True, "", 0.0, True, "layout-conflict"), "short": ("123", 0.9, True, "", 0.0, True, None), "twins": ("012345678905", 0.9, True, "", 0.0, True, None),
+        "namesake": ("012345678903", 0.9, True, "", 0.0, True, None), "differ": ("012345678902", 0.9, True, "Gia", 0.9, True, None), "rival": ("012345678906", 0.9, True, "", 0.0, True, None), "low": ("012345678907", 0.5, True, "", 0.0, True, None),
+        "blank": ("", 0.0, True, "", 0.0, True, None), "nobody": ("999999999999", 0.9, True, "", 0.0, True, None), "no place": ("012345678901", 0.9, False, "An", 0.9, True, None), "hidden": ("012345678901", 0.9, False, "", 0.0, True, None),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in cases.items()], "card_id string, number string, number_confidence double, located boolean, name string, name_confidence double, front boolean, blocked string")
+    got = {r.card_id: (r.state, r.matched_row, *r.issues) for r in cards.resolve_cards(df, people).collect()}
+    assert got == {
+        "front": ("manual", None, "no-front"), "pair": ("conflict", None, "layout-conflict"), "short": ("manual", None, "non-12-digit-cccd"), "twins": ("conflict", None, "duplicate-cccd"), "namesake": ("conflict", None, "duplicate-name"),
+        "differ": ("conflict", None, "conflicting-identity"), "rival": ("conflict", None, "competing-candidate"), "low": ("manual", None, "low-cccd-confidence"), "blank": ("manual", None, "unreadable-identity"), "nobody": ("manual", None, "no-exact-roster-match"),
+        "no place": ("suggested", 0, "no-number-region"), "hidden": ("manual", None, "no-number-region"),
+    }
