@@ -7,17 +7,21 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofsheet.functions.session import plain_unions
 from proofsheet.llm.byte_bpe import encode_decode
+from proofsheet.llm.chat_format import format_chats, read_back
 from proofsheet.llm.common import documents
 from proofsheet.llm.fingerprints import as_text, edited_fingerprints
 from proofsheet.llm.line_dedup import line_dedup
 from proofsheet.llm.lm_scoring import lm_scores
 from proofsheet.llm.minhash_dedup import near_duplicates
+from proofsheet.llm.negatives import hard_negatives
 from proofsheet.llm.packing import best_fit_packing
 from proofsheet.llm.pii import KINDS, digest, spans_by_document
 from proofsheet.llm.quality import quality_rules
 from proofsheet.llm.substring_dedup import substring_dedup
 from proofsheet.llm.suffix_dedup import suffix_dedup
+from proofsheet.llm.whitening import whiten
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +81,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=moved)
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return read_back(format_chats(plain_unions(turns.unionByName(extra)))).drop("n_rewrites")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,4 +109,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_chat_formatting": op13_chat_formatting,
 }

@@ -68,10 +68,31 @@ OP6 = f"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines
  SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
  CASE WHEN lines IS NULL THEN NULL WHEN len(kept) = 0 THEN sha256('') ELSE sha256(array_to_string(kept, chr(10))) END AS kept_sha256 FROM k"""
 
+OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, CAST(list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND (v.label <> a.label OR v.vec_id <> a.vec_id)),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+ WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+#: each control string as (pattern behind which, and pattern before which a backslash goes)
+_CONTROLS = "(<)(/?s>)|(\\[)(/?(?:INST|SYS|ROLE)\\])"
+_ESCAPED = "regexp_replace(replace({0}, chr(92), repeat(chr(92), 2)), '" + _CONTROLS + "', '\\1\\3' || repeat(chr(92), 2) || '\\2\\4', 'g')"
+
+OP13 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ e AS (SELECT *, length({_ESCAPED.format("text")}) AS size, length({_ESCAPED.format("role")}) AS role_size FROM t)
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(size + CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 ELSE role_size + 23 END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op2_suffix_dedup": OP2,
     "op3_minhash_dedup": OP3,
     "op4_quality_rules": OP4,
     "op6_line_dedup": OP6,
+    "op12_hard_negatives": OP12,
+    "op13_chat_formatting": OP13,
 }
