@@ -30,6 +30,7 @@ BASIS = 96  # columns of the search space before it is restarted
 STEPS = 10  # of MINRES for one correction
 ROUNDS = 200
 BLOCK_BYTES = 1 << 20
+TASK_BYTES = 16 << 20  # of packed vectors
 
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -246,6 +247,8 @@ def whiten(df: DataFrame, components: int = 4, id_col: str = "vec_id", vec_col:
     """vec_id, component, n, deviation, whitened, explained, identity_error for each row and component."""
     rows, d = whole_vectors(df, {"vec_id": F.col(f"`{id_col}`").cast("long")}, vec_col)
     fit = C.staged(C.map_arrow(rows.select("x").distinct(), packed_blocks, "block binary"), "fit")
+    # one partial product a task: tasks follow the bytes, not the number of files
+    fit = fit.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-C.staged_bytes(fit) // TASK_BYTES)))
     sums = C.map_arrow(fit, column_sums(d), "dim int, v string").groupBy("dim").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
     sums = {r.dim: int(r.v) for r in sums.collect()}  # d numbers
     n, total = sums.get(-1, 0), [sums.get(i, 0) for i in range(d)]
