@@ -6,8 +6,9 @@ resemblance, containment and the number of distinct shingles. With fewer than k
 
 `edited_fingerprints` also needs the next document, by descending doc_id, of every document. Ids are cut into
 ranges at quantiles of all ids, so many that a range holds about RANGE_BYTES of text (rows without an id are cut by
-text hash); each range is sorted by itself, and gets a copy of the first document of the range below, so every text is
-shuffled once and no range follows another's work.
+text hash): first into about the square root of so many coarse ones, then each of these by a row of its own quantiles,
+so that there are as many ranges as the text asks for. Each range is sorted by itself, and gets a copy of the first
+document of the range below, so every text is shuffled once and no range follows another's work.
 
 Defined results: null text is empty; the likeness of two empty fingerprints is 1, of an empty and another one 0;
 rows with equal doc_id follow each other by text hash; null doc_ids come last; the next document of a lone one is
@@ -16,6 +17,8 @@ itself; an empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +27,6 @@ from proofsheet.llm import native as N
 
 K = 128
 RANGE_BYTES = 16 << 20
-MOST_RANGES = 50_000  # beyond them ranges grow instead
 
 
 def sketch(text: Column, k: int = K, words: int = 5) -> Column:
@@ -65,22 +67,30 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def id_ranges(ids: DataFrame, parts: int) -> tuple[Column, int]:
-    """The range of (doc_id, text_key), an expression by halving over quantiles of all ids; and how many ranges there are at most."""
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    steps, size = [], 1
-    while size <= len(cuts):
-        steps.insert(0, size)
-        size *= 2
+def halved(bounds: Column, most: int, value: Column) -> Column:
+    """How many of at most `most` ascending bounds (an array) are below a value, by halving."""
+    steps = [1 << i for i in reversed(range(max(1, most).bit_length()))]
+    move = lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) < value, F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)
+
+
+def with_ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """rows (doc_id, text_key, ...) with `part`, rising with doc_id, about `parts` of them; and how many there are at most."""
+    each = max(1, math.isqrt(parts - 1) + 1) if parts > 1 else 1
+    ids = rows.filter("doc_id is not null").select("doc_id")
+    cuts = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))
+    coarse = sorted(set(ids.agg(cuts(each)).first()[0] or [])) if each > 1 else []
+    place = halved(F.array(*map(F.lit, coarse)).cast("array<bigint>"), len(coarse), F.col("doc_id"))
     # rows without an id come after all others, by descending text hash: -1, -2, ...
     bits = max(1, (parts - 1).bit_length())
     nulls = F.shiftrightunsigned(F.col("text_key").bitwiseXOR(F.lit(-(2**63))), 64 - bits).cast("int") - (1 << bits)
-    if not cuts:
-        return F.when(F.col("doc_id").isNull(), nulls).otherwise(0), 1 + (1 << bits)
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    move = lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) < F.col("doc_id"), F.lit(False)), at + step).otherwise(at)
-    return F.when(F.col("doc_id").isNull(), nulls).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)), len(cuts) + 1 + (1 << bits)
+    if each == 1:
+        return rows.withColumn("part", F.when(F.col("doc_id").isNull(), nulls).otherwise(0)), 1 + (1 << bits)
+    # a row of at most `each` bounds for each coarse range; Spark broadcasts it by its size, or joins
+    fine = C.staged(ids.withColumn("coarse", place).groupBy("coarse").agg(cuts(each).alias("bounds")), "bounds")
+    own = rows.withColumn("coarse", F.when(F.col("doc_id").isNotNull(), place)).join(fine, "coarse", "left")
+    part = F.when(F.col("doc_id").isNull(), nulls).otherwise(F.col("coarse") * each + halved(F.col("bounds"), each, F.col("doc_id")))
+    return own.withColumn("part", part).select(*rows.columns, "part"), each * each + (1 << bits)
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, words: int = 5, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -90,8 +100,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, words: int = 5, id_col: str
     """
     own = C.source(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    where, ranges = id_ranges(own, min(MOST_RANGES, 1 + size // range_bytes))
-    own = own.select("doc_id", "text", F.xxhash64("text").alias("text_key")).withColumn("part", where)
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    own, ranges = with_ranges(own, max(1 + size // range_bytes, C.shuffle_partitions(docs.sparkSession)))
     heads = C.staged(own.groupBy("part").agg(F.max(F.struct("doc_id", "text_key")).alias("head")), "heads")  # a row a range
     by_part = Window.orderBy("part")
     below = heads.select("part", F.coalesce(F.lag("head").over(by_part), F.last("head").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
