@@ -198,13 +198,20 @@ def group_lines(words: Column, tolerance: int = 8) -> Column:
     """
     by_y = F.array_sort(words, lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).otherwise(0))
 
-    def add(lines: Column, w: Column) -> Column:
-        last = F.element_at(lines, -1)
-        joins = (F.size(lines) > 0) & (F.abs(w["y"] - F.get(last, F.lit(0))["y"]) <= tolerance)
-        grown = F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.concat(last, F.array(w))))
-        return F.when(F.coalesce(joins, F.lit(False)), grown).otherwise(F.concat(lines, F.array(F.array(w))))
+    by_x = lambda line: F.array_sort(line, lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
+    # the state is where lines start and the last baseline; words are copied once, when lines are cut
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(None).cast("double").alias("base"), F.lit(0).alias("i"))
 
-    return F.transform(F.aggregate(by_y, F.slice(F.array(words), 1, 0), add), lambda line: F.array_sort(line, lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0)))
+    def step(s: Column, w: Column) -> Column:
+        begins = s["base"].isNull() | (w["y"] - s["base"] > tolerance)
+        return F.struct(F.when(begins, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"), F.when(begins, w["y"].cast("double")).otherwise(s["base"]).alias("base"), (s["i"] + 1).alias("i"))
+
+    def cut(ordered: Column) -> Column:
+        starts = F.aggregate(ordered, none, step, lambda s: s["starts"])
+        lines = lambda at: F.transform(at, lambda start, k: by_x(F.slice(ordered, start + 1, F.coalesce(F.get(at, k + 1), F.size(ordered)) - start)))
+        return F.element_at(F.transform(F.array(starts), lines), 1)
+
+    return F.element_at(F.transform(F.array(by_y), cut), 1)
 
 
 def union_box(line: Column) -> Column:
