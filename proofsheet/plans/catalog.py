@@ -372,7 +372,7 @@ ALL_CRITERIA_SQL = f"""WITH x AS (SELECT o_orderkey AS k, o_custkey % 7 <> 0 AS
  c AS (SELECT *, coalesce(roster[key], '') AS ref, k % 4 = 0 AS pledged, CASE WHEN optional THEN 'na' ELSE 'missing' END AS absent,
  CASE doc WHEN '{evaluate.ID}' THEN k % 2 = 0 WHEN '{evaluate.CONTRACT}' THEN k % 3 = 0 WHEN '{evaluate.BBNT}' THEN k % 5 <> 1 WHEN '{evaluate.APPENDIX}' THEN k % 4 = 1 WHEN '{evaluate.LOOKUP}' THEN k % 8 <> 0 WHEN '{evaluate.COMMITMENT}' THEN k % 4 = 0 ELSE true END AS present,
  (k + 3 * list_position(['hoten', 'cccd', 'ngaysinh', 'mst', 'tk', 'phi'], field) - 3 + 5 * list_position(['{evaluate.ID}', '{evaluate.CONTRACT}', '{evaluate.BBNT}', '{evaluate.APPENDIX}'], doc) - 5) % 12 AS s FROM x, reg),
- t AS (SELECT k, stt, doc, CASE
+ t AS (SELECT k, stt, doc, matched, CASE
  WHEN kind = 'presence' THEN CASE WHEN present THEN 'rv' ELSE absent END
  WHEN kind = 'external' THEN CASE WHEN present THEN 'rv' ELSE 'missing' END
  WHEN kind = 'conditional' THEN CASE WHEN pledged THEN 'rv' ELSE 'na' END
@@ -383,7 +383,8 @@ ALL_CRITERIA_SQL = f"""WITH x AS (SELECT o_orderkey AS k, o_custkey % 7 <> 0 AS
  WHEN NOT present THEN absent
  WHEN field IS NULL OR s IN (1, 3) OR NOT matched OR ref = '' THEN 'pending'
  WHEN s = 0 THEN 'no' WHEN s = 2 AND field = 'hoten' THEN 'rv' ELSE 'ok' END AS status FROM c)
- SELECT k AS o_orderkey, stt, coalesce(['no', 'missing', 'rv', 'pending', 'ok'][min({RANK_SQL.format('status')}) + 1], 'na') AS status FROM t GROUP BY ALL"""
+ SELECT k AS o_orderkey, stt, coalesce(['no', 'missing', 'rv', 'pending', 'ok'][min({RANK_SQL.format('status')}) + 1], 'na') AS status,
+ CASE WHEN stt IN (1, 2, 3, 5, 7) THEN true WHEN stt IN (12, 14, 16, 17) THEN true WHEN stt = 15 THEN NOT (min(k) % 23 <> 0 AND bool_and(doc = 'Excel') AND bool_and(status = 'pending') AND min(matched)) ELSE false END AS automatic FROM t GROUP BY k, stt"""
 
 
 def criteria_cells(spark, sf_dir) -> DataFrame:
@@ -419,7 +420,7 @@ CELLS_SQL = ALL_CRITERIA_SQL[:ALL_CRITERIA_SQL.rindex(" SELECT k AS o_orderkey")
 @query(ALL_CRITERIA_SQL)
 def criteria_all(spark, sf_dir):
     """Every criterion of every packet."""
-    return evaluate.criterion_results(criteria_cells(spark, sf_dir)).select(F.col("packet").alias("o_orderkey"), "stt", "status")
+    return evaluate.criterion_results(criteria_cells(spark, sf_dir)).select(F.col("packet").alias("o_orderkey"), "stt", "status", "automatic")
 
 
 @query(CELLS_SQL)
