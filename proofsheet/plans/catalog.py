@@ -502,4 +502,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["control_total"](spark, sf_dir)
 
 
-from proofsheet.plans import records  # noqa: E402, F401  (adds its queries)
+from proofsheet.plans import pages, records  # noqa: E402, F401  (add their queries)
