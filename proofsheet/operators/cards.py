@@ -17,6 +17,28 @@ def row_tops(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("bottom", F.sum("height").over(w)).withColumn("top", F.col("bottom") - F.col("height"))
 
 
+def sheet_tops(rows: DataFrame, keys: list[str], default: int) -> DataFrame:
+    """rows (row from 0, height) with top and bottom on a sheet whose other rows are `default` high."""
+    before = Window.partitionBy(*keys).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.col("row") * default + F.coalesce(F.sum(F.col("height") - default).over(before), F.lit(0))
+    return rows.withColumn("top", top).withColumn("bottom", F.col("top") + F.col("height"))
+
+
+def row_at(points: DataFrame, rows: DataFrame, keys: list[str], at: str, default: int) -> DataFrame:
+    """points with at_row: the row whose height holds the point, the inverse of sheet_tops; of rows without height the last.
+
+    Points and listed rows meet in one sorted pass: the last listed row above a point and how many default rows fit between.
+    """
+    marks = sheet_tops(rows, keys, default).select(*keys, F.col("top").cast("long").alias("__at"), F.lit(0).alias("__turn"), F.col("row").cast("long").alias("__row"), F.col("bottom").cast("long").alias("__bottom"))
+    both = plain_unions(points).withColumns({"__at": F.col(at).cast("long"), "__turn": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    above = Window.partitionBy(*keys).orderBy("__at", "__turn", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("__turn") == 0, F.struct("__row", "__bottom")), ignorenulls=True).over(above)
+    seen = both.withColumn("__l", last).filter("__turn = 1")
+    more = F.col("__at") - F.col("__l.__bottom")
+    own = F.when(more < 0, F.col("__l.__row")).when(more >= 0, F.col("__l.__row") + 1 + F.floor(more / default)).otherwise(F.floor(F.col("__at") / default))
+    return seen.withColumn("at_row", F.greatest(own, F.lit(0)).cast("long")).select(*points.columns, "at_row")
+
+
 def drawing_kind(drawings: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
     """drawings with kind: that of the leftmost classified column they cover."""
     c = columns.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("col").alias("__col"), F.col("kind").alias("__kind"))

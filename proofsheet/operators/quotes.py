@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 from proofsheet.functions import text as T
 from proofsheet.functions import values as V
 from proofsheet.functions.session import plain_unions
+from proofsheet.operators import layout, segments
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,26 +42,49 @@ def locate_exact(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str,
 QUOTE_WORDS = (8, 60)
 
 
-def locate_quotes(quotes: DataFrame, pages: DataFrame, doc: str, quote_id: str, quote: str, claimed: str, page: str, text: str) -> DataFrame:
-    """quote_id, page, exact, ratio of quotes that a page of their own document holds.
+def place_quotes(quotes: DataFrame, pages: DataFrame, doc: str, quote_id: str, quote: str, claimed: str, page: str, words: str) -> DataFrame:
+    """quote_id, page, box, exact, ratio of quotes that a page of their own document holds.
 
-    A verbatim hit on any page comes before a near one on any other; of equal hits the claimed page counts first, then
-    the earliest. A near hit has the same digits. Quotes of fewer than 8 words, counted with or without punctuation, are
-    refused, as are those of more than 60. Documents meet their own pages only, and near hits are looked for only for
-    quotes without a verbatim one.
+    words: a page's words in reading order (structs with text, x, y, w, h). A verbatim hit begins and ends with whole
+    words; on any page it comes before a near one on any other. Of equal hits the claimed page counts first, then the
+    earliest. The most alike stretch of a page is its near hit, if its digits are the quote's. Quotes of fewer than 8 words,
+    counted with or without punctuation, are refused, as are those of more than 60. Documents meet their own pages only,
+    and near hits are looked for only for quotes without a verbatim one.
     """
     plain = F.size(F.split(T.collapse(T.fold_accents(F.col(quote))), " "))
     q = quotes.select(doc, quote_id, claimed, T.fold_words(F.col(quote)).alias("__q"), plain.alias("__n")).withColumn("__w", F.size(F.split("__q", " ")))
     q = q.filter((F.least("__n", "__w") >= QUOTE_WORDS[0]) & (F.col("__w") <= QUOTE_WORDS[1]))
-    p = pages.select(doc, F.col(page).alias("page"), T.fold_words(F.col(text)).alias("__t"))
+    p = pages.select(doc, F.col(page).alias("page"), F.filter(F.transform(words, lambda w: F.struct(T.fold_words(w["text"]).alias("f"), w.alias("w"))), lambda t: t["f"] != "").alias("__t"))
+    p = p.withColumn("__f", F.transform("__t", lambda t: t["f"])).withColumn("__text", F.array_join("__f", " "))
     first = F.struct(F.coalesce(F.col("page") != F.col(claimed), F.lit(True)).alias("other"), F.col("page"))
     both = q.join(p, doc)
-    exact = both.filter(T.has_phrase(F.col("__t"), F.col("__q"))).groupBy(quote_id).agg(F.min_by("page", first).alias("page")).select(quote_id, "page", F.lit(True).alias("exact"), F.lit(1.0).alias("ratio"))
-    near = both.join(exact, quote_id, "left_anti").withColumn("b", best_window(F.col("__t"), F.col("__q"))).filter("b.ratio is not null")
-    near = near.groupBy(quote_id).agg(F.min_by(F.struct("page", "b.ratio"), F.struct(-F.col("b.ratio"), first)).alias("n")).select(quote_id, "n.page", F.lit(False).alias("exact"), "n.ratio")
+    box = lambda start, stop: segments.union_box(F.transform(F.slice("__t", start + 1, stop - start), lambda t: t["w"]))
+
+    def hits(at: Column) -> Column:
+        """Numbers of the first and behind the last word of every verbatim hit."""
+        end = lambda i: F.get(at, i) + F.length("__q")
+        stop = lambda i: F.array_position(F.transform(at, lambda x, j: x + F.length(F.get("__f", j))), end(i)).cast("int")
+        begins = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: F.substring(F.col("__text"), F.get(at, i) + 1, F.length("__q")) == F.col("__q"))
+        return F.filter(F.transform(begins, lambda i: F.struct(i.alias("start"), stop(i).alias("stop"))), lambda h: h["stop"] > 0)
+
+    near_enough = both.filter(F.contains("__text", F.col("__q")))
+    exact = near_enough.withColumn("__h", layout.let(layout.places(F.col("__f")), lambda at: F.get(hits(at), F.lit(0)))).filter("__h is not null")
+    exact = exact.groupBy(quote_id).agg(F.min_by(F.struct("page", box(F.col("__h.start"), F.col("__h.stop")).alias("box")), first).alias("h")).select(quote_id, "h.*", F.lit(True).alias("exact"), F.lit(1.0).alias("ratio"))
+    near = both.join(exact.select(quote_id), quote_id, "left_anti").withColumn("b", best_window(F.col("__f"), F.col("__q"))).filter("b.ratio is not null")
+    said = F.array_join(F.slice("__f", F.col("b.start") + 1, F.col("b.words")), " ")
+    near = near.filter(T.digits(said) == T.digits(F.col("__q")))
+    found = F.struct("page", box(F.col("b.start"), F.col("b.start") + F.col("b.words")).alias("box"), F.col("b.ratio").alias("ratio"))
+    near = near.groupBy(quote_id).agg(F.min_by(found, F.struct(-F.col("b.ratio"), first)).alias("h")).select(quote_id, "h.page", "h.box", F.lit(False).alias("exact"), "h.ratio")
     return plain_unions(exact).unionByName(near)
 
 
+def locate_quotes(quotes: DataFrame, pages: DataFrame, doc: str, quote_id: str, quote: str, claimed: str, page: str, text: str) -> DataFrame:
+    """quote_id, page, exact, ratio: place_quotes for pages of bare text."""
+    word = lambda w: F.struct(w.alias("text"), *(F.lit(0).alias(c) for c in ("x", "y", "w", "h")))
+    told = pages.withColumn("__words", F.transform(F.split(T.text_of(F.col(text)), r"\s+"), word))
+    return place_quotes(quotes, told, doc, quote_id, quote, claimed, page, "__words").drop("box")
+
+
 def anchored(lines: Column, anchor: str, pattern: str, lookahead: int = 1) -> Column:
     """For each line that holds the folded anchor: its place, the first match of the pattern on it or on the next lines, and on which; an empty value if there is none."""
     def at(i: Column) -> Column:
@@ -167,31 +191,31 @@ def settled_total(digits: Column, words: Column, repairs: Column) -> Column:
 
 
 @F.pandas_udf(StructType().add("start", IntegerType()).add("words", IntegerType()).add("ratio", DoubleType()))
-def best_window(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    """The run of words of a folded text that is most like a folded quote (8 to 60 words, two more or fewer), if it is at least 0.9 alike and has the same digits; else nulls.
+def best_window(tokens: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """The stretch of folded tokens that is most like a folded quote (two words more or fewer), the first at ties, if it is at least 0.9 alike; else nulls.
 
-    Cheap upper bounds come first: the length, then the letters that both have.
+    Cheap upper bounds come first: the length, then the letters that both have. Tokens may hold several words.
     """
-    import re
     from difflib import SequenceMatcher
-
-    def of(text: str | None, quote: str | None) -> tuple[int | None, int | None, float | None]:
-        t, q = (text or "").split(), (quote or "").split()
-        best: tuple[float, int, int] = (0.0, 0, 0)
-        if not 8 <= len(q) <= 60:
-            return None, None, None
-        whole, digits = " ".join(q), re.sub("[^0-9]", "", quote or "")
-        match = SequenceMatcher(None, "", whole, autojunk=False)
-        for size in range(max(1, len(q) - 2), len(q) + 3):
-            for at in range(len(t) - size + 1):
-                window = " ".join(t[at:at + size])
-                match.set_seq1(window)
-                least = max(0.9, best[0])
-                if match.real_quick_ratio() > least and match.quick_ratio() > least and (r := match.ratio()) > best[0] and r >= 0.9 and re.sub("[^0-9]", "", window) == digits:
-                    best = (r, at, size)
-        return (best[1], best[2], best[0]) if best[0] else (None, None, None)
-
-    return pd.DataFrame([of(a, b) for a, b in zip(text, quote)], columns=["start", "words", "ratio"]).astype({"start": "Int32", "words": "Int32", "ratio": "Float64"})
+    from itertools import accumulate
+
+    def of(t: list[str], quote: str) -> tuple[int | None, int | None, float | None]:
+        wanted, best = len(quote.split()), (0.0, 0, 0)
+        upto = [0, *accumulate(len(w.split()) for w in t)]
+        match = SequenceMatcher(None, "", quote, autojunk=False)
+        for start in range(len(t)):
+            for stop in range(start + 1, len(t) + 1):
+                words = upto[stop] - upto[start]
+                if words > wanted + 2:
+                    break
+                if words >= wanted - 2:
+                    match.set_seq1(" ".join(t[start:stop]))
+                    least = max(0.9, best[0])
+                    if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= 0.9 and r > best[0]:
+                        best = (r, start, stop)
+        return (best[1], best[2] - best[1], best[0]) if best[0] else (None, None, None)
+
+    return pd.DataFrame([of(list(a) if a is not None else [], b or "") for a, b in zip(tokens, quote)], columns=["start", "words", "ratio"]).astype({"start": "Int32", "words": "Int32", "ratio": "Float64"})
 
 
 def parts_coverage(parts: list[str], reads: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions.session import plain_unions
-from proofsheet.operators import layout
-from proofsheet.plans.catalog import query, table
+from proofsheet.functions import text as T
+from proofsheet.operators import cards, layout, quotes, totals
+from proofsheet.plans.catalog import FOLD, query, table
 
 # Every customer's page: a title row, in two of three a heading of two columns, then a row for each order: words on the
 # left, and on the right unless o_orderkey % 4 = 0; the left reaches further where o_orderkey % 11 = 0.
@@ -97,3 +98,63 @@ def party_boxes(spark, sf_dir):
     top = F.col("o_orderkey") * 13 % 5000
     blocks = table(spark, sf_dir, "orders").select("o_orderkey", page("o_orderkey", "o_custkey"), top.alias("top"), (top + F.col("o_custkey") % 40).alias("bottom"), (F.col("o_custkey") % 900).alias("gutter"))
     return layout.party_boxes(boxes, blocks, ["page"], "o_orderkey").select("l_orderkey", "l_linenumber", "party")
+
+
+FOLD_WORD = "trim(regexp_replace(regexp_replace(" + FOLD + r", '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '\\s+') AS w FROM conversations),
+ f AS (SELECT conv_id, turn, list_filter(list_transform(w, lambda x, i: {{'f': {FOLD_WORD.format('x')}, 'x': 10 * (i - 1)}}), lambda x: x.f <> '') AS f FROM t),
+ p AS (SELECT conv_id, turn, f, list_transform(f, lambda x: x.f) AS l, array_to_string(l, ' ') AS text, list_transform(range(1, len(f) + 1), lambda e: length(array_to_string(l[1:e], ' '))) AS stops FROM f),
+ q AS (SELECT conv_id, turn, array_to_string(l[1:12], ' ') AS q, CASE WHEN conv_id % 16 = 1 THEN true WHEN conv_id % 16 = 2 THEN NULL ELSE false END AS odd FROM p WHERE len(string_split(array_to_string(l[1:12], ' '), ' ')) >= 8 AND len(f) >= 8 AND length(l[1]) > 0),
+ h AS (SELECT q.conv_id, q.turn, p.turn AS page, q.q, q.odd, p.f, list_filter(range(1, len(p.f) + 1), lambda s: substring(p.text, p.stops[s] - length(p.l[s]) + 1, length(q.q)) = q.q AND list_contains(p.stops, p.stops[s] - length(p.l[s]) + length(q.q)))[1] AS s, p.stops, p.l FROM q JOIN p ON p.conv_id = q.conv_id AND contains(p.text, q.q) WHERE odd IS NOT NULL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY page <> turn + 1, page) AS r FROM h WHERE s IS NOT NULL)
+ SELECT conv_id, turn, page, NOT odd AS exact, CASE WHEN odd THEN (length(q) - 1) / length(q) ELSE 1.0 END AS ratio, CAST(f[s].x AS INTEGER) AS x, CAST(f[list_position(stops, stops[s] - length(l[s]) + length(q))].x + 8 - f[s].x AS INTEGER) AS width FROM r WHERE r = 1""")
+def quote_boxes(spark, sf_dir):
+    """The first twelve words of each turn, claimed to stand in the next one, looked for in its conversation; of every
+    sixteenth conversation with a strange letter at the front (near hits), of every other sixteenth with a digit (none)."""
+    word = lambda w, i: F.struct(w.alias("text"), (i * 10).alias("x"), F.lit(0).alias("y"), F.lit(8).alias("w"), F.lit(4).alias("h"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(T.text_of(F.col("text")), r"\s+"), word).alias("words"))
+    told = F.filter(F.transform("words", lambda w: T.fold_words(w["text"])), lambda x: x != "")
+    said = F.array_join(F.slice(told, 1, 12), " ")
+    front = F.when(F.col("conv_id") % 16 == 1, "ж").when(F.col("conv_id") % 16 == 2, "7")
+    quote = F.when(front.isNotNull(), F.concat(front, F.substring(said, 2, 1 << 30))).otherwise(said)
+    own = c.select("conv_id", F.struct("conv_id", "turn").alias("id"), F.when(F.size(told) >= 8, quote).alias("quote"), (F.col("turn") + 1).alias("claimed"))
+    found = quotes.place_quotes(own, c, "conv_id", "id", "quote", "claimed", "turn", "words")
+    return found.select("id.conv_id", "id.turn", "page", "exact", "ratio", "box.x", "box.width")
+
+
+#: Orders as pages with a total of 1 to 9 million, by o_orderkey % 10: both agree, they differ, digits, words, neither, wrapped over two lines, damaged, past repair, no label, a date behind.
+NUMBERS = ("một", "hai", "ba", "bốn", "năm", "sáu", "bảy", "tám", "chín")
+
+
+@query("""SELECT o_orderkey, d AS digits, w AS words, CASE WHEN reason LIKE '%disagree' THEN NULL ELSE coalesce(d, w) END AS amount, reason, m = 6 AS repaired, CASE WHEN m IN (0, 1, 2, 5, 6, 7, 9) THEN 600 END AS x, CASE WHEN m = 4 THEN 0.0 ELSE 95.0 END::DOUBLE AS confidence FROM
+ (SELECT *, CASE WHEN m IN (1, 7) THEN 'digits-and-words-disagree' WHEN m = 2 THEN 'digits-only' WHEN m = 3 THEN 'words-only' WHEN m = 4 THEN 'no-amount-on-the-line' ELSE 'digits-and-words-agree' END AS reason FROM
+ (SELECT o_orderkey, o_orderkey % 10 AS m, (o_orderkey // 10 % 9 + 1) * 1000000 AS n, CASE WHEN m IN (3, 4, 7) THEN NULL WHEN m = 1 THEN n + 1000 ELSE n END AS d, CASE WHEN m IN (2, 4) THEN NULL ELSE n END AS w FROM orders) WHERE m <> 8)""")
+def listing_reads(spark, sf_dir):
+    k = F.col("o_orderkey")
+    m, n = k % 10, F.floor(k / 10).cast("long") % 9
+    row = lambda y, *parts: F.struct(F.lit(y).cast("int").alias("y"), F.array(*parts).alias("parts"))
+    label, money = _part(100, "Tổng giá trị hàng hóa, dịch vụ mua vào:"), lambda tail: _part(600, F.concat((n + 1).cast("string"), F.lit(tail)))
+    said = F.concat(F.get(F.array(*map(F.lit, NUMBERS)), n.cast("int")), F.lit(" triệu đồng"))
+    opened = F.concat(F.lit("(Số tiền bằng chữ : "), said)
+    closed = _part(800, F.concat(opened, F.lit(").")))
+    pages = {
+        0: [row(290, label, money(".000.000VNĐ"), closed)], 1: [row(290, label, money(".001.000"), closed)], 2: [row(290, label, money(".000.000"))], 3: [row(290, label, closed)], 4: [row(290, label)],
+        5: [row(290, label, money(".000.000"), _part(800, "(Số tiền bằng chữ :")), row(320, _part(100, "-")), row(350, _part(100, F.concat(said, F.lit(").")))), row(390, _part(100, "năm nghìn"))],
+        6: [row(290, label, money(".OO0.000"), closed)], 7: [row(290, label, money(".0x0.000"), closed)], 8: [row(290, _part(100, "Tên người bán"), money(".000.000"), closed)],
+        9: [row(290, label, money(".000.000"), _part(800, F.concat(opened, F.lit("). Ngày 26 tháng 07 năm 2026"))))],
+    }
+    lines = F.coalesce(*(F.when(m == i, F.array(*p)) for i, p in pages.items()))
+    drawn_pages = layout.page_rows(drawn(table(spark, sf_dir, "orders").select("o_orderkey", F.inline(lines)), ["o_orderkey"]), ["o_orderkey"], totals.TOLERANCE)
+    return totals.total_reads(drawn_pages, ["o_orderkey"]).select("o_orderkey", "digits", "words", "amount", "reason", "repaired", "box.x", "confidence")
+
+
+@query("""WITH l AS (SELECT o_custkey, CAST(3 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS row, o_orderkey % 5 * 10 AS height FROM orders), c AS (SELECT DISTINCT o_custkey FROM orders),
+ r AS (SELECT c.o_custkey, g.row, coalesce(height, 15) AS height FROM c CROSS JOIN range(250) g(row) LEFT JOIN l ON l.o_custkey = c.o_custkey AND l.row = g.row), t AS (SELECT *, sum(height) OVER (PARTITION BY o_custkey ORDER BY row) - height AS top FROM r)
+ SELECT o_orderkey, greatest(coalesce(max(row), 0), 0) AS at_row FROM (SELECT o_orderkey, o_custkey, o_orderkey % 997 - 20 AS spot FROM orders) p LEFT JOIN t ON t.o_custkey = p.o_custkey AND top <= spot GROUP BY o_orderkey""")
+def rows_of_points(spark, sf_dir):
+    """Customers as sheets whose every third row has a height of its own, their orders as points on them."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_custkey", (3 * F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("row"), (F.col("o_orderkey") % 5 * 10).alias("height"))
+    return cards.row_at(o.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 997 - 20).alias("at")), rows, ["o_custkey"], "at", 15).select("o_orderkey", "at_row")

@@ -172,3 +172,25 @@ def test_long_pages_are_cut_into_lines(spark):
         else:
             want.append([w])
     assert [[w["at"] for w in line] for line in got] == [[w[1] for w in sorted(line, key=lambda w: w[3])] for line in want]
+
+
+def test_quotes_with_boxes(spark):
+    from proofsheet.operators import quotes
+
+    clause = "bên A trả phí 1.500.000 đồng cho bên B trong vòng mười ngày"
+    pages = [("d", 0, f"mở đầu {clause} - hết"), ("d", 1, f"{clause} lần nữa"), ("d", 2, clause.replace("mười", "muời bốn")), ("e", 0, clause.replace("1.500.000", "1.600.000")), ("e", 1, "trang khác hẳn " * 9), ("f", 0, "")]
+    asked = [
+        ("d", 1, clause, 1), ("d", 2, clause, None), ("d", 3, clause, 9), ("d", 4, clause.upper() + " !", 0),
+        ("d", 5, clause[1:], 1),  # begins within a word
+        ("d", 6, "bên A trả phí 500.000 đồng cho bên B trong vòng mười ngày", 1),  # within a number: near, but other digits
+        ("d", 7, clause.replace("vòng", "vong vong"), 2), ("d", 8, "một hai ba - - - - - -", 0), ("d", 9, "quá dài " * 31, 0), ("d", 10, None, 0),
+        ("e", 11, clause, 0), ("f", 12, clause, 0), ("g", 13, clause, 0),
+    ]
+    told = spark.createDataFrame(pages, "doc string, page int, text string")
+    told = told.withColumn("words", F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("text"), (i * 10).alias("x"), F.lit(5).alias("y"), F.lit(8).alias("w"), F.lit(2).alias("h"))))
+    got = quotes.place_quotes(spark.createDataFrame(asked, "doc string, id int, quote string, claimed int"), told, "doc", "id", "quote", "claimed", "page", "words")
+    got = {r.id: (r.page, r.box.x, r.box.width, r.exact, round(r.ratio, 2)) for r in got.collect()}
+    assert {i: got.get(i) for i in (1, 2, 3, 4)} == {1: (1, 0, 128, True, 1.0), 2: (0, 20, 128, True, 1.0), 3: (0, 20, 128, True, 1.0), 4: (0, 20, 128, True, 1.0)}
+    assert got[5][:1] == (1,) and not got[5][3] and got[5][4] > 0.97
+    assert 6 not in got and got[7][3] is False and got[7][0] == 0
+    assert not {8, 9, 10, 11, 12, 13} & set(got)
