@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from proofsheet.functions.session import plain_unions
 from proofsheet.functions import text as T
-from proofsheet.operators import cards, layout, quotes, totals
+from proofsheet.operators import assignments, card_words, cards, layout, quotes, segments, totals
 from proofsheet.plans.catalog import FOLD, query, table
+from proofsheet.sources import reader_json
 
 # Every customer's page: a title row, in two of three a heading of two columns, then a row for each order: words on the
 # left, and on the right unless o_orderkey % 4 = 0; the left reaches further where o_orderkey % 11 = 0.
@@ -158,3 +159,69 @@ def rows_of_points(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     rows = o.select("o_custkey", (3 * F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("row"), (F.col("o_orderkey") % 5 * 10).alias("height"))
     return cards.row_at(o.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 997 - 20).alias("at")), rows, ["o_custkey"], "at", 15).select("o_orderkey", "at_row")
+
+
+# ---------------------------------------------------------------- cards
+
+@query("""SELECT c_custkey, CASE WHEN m IN (0, 1, 5) THEN 'front' WHEN m IN (2, 3) THEN 'back' ELSE 'unknown' END AS side, CASE m WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.9 WHEN 3 THEN 0.7 WHEN 5 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence,
+ CASE m WHEN 0 THEN 194 WHEN 1 THEN 94 WHEN 5 THEN 94 WHEN 4 THEN 194 END AS x, CASE m WHEN 0 THEN 94 WHEN 1 THEN 134 WHEN 4 THEN 94 WHEN 5 THEN 174 END AS y, CASE WHEN m IN (0, 4) THEN least(132, 300 - 194) WHEN m IN (1, 5) THEN 132 END AS width,
+ CASE WHEN m IN (0, 4, 5) THEN name ELSE '' END AS name FROM (SELECT c_custkey, c_custkey % 7 AS m, 'Lê ' || CASE WHEN c_nationkey % 2 = 0 THEN 'An' ELSE 'Bình' END AS name FROM customer)""")
+def card_readings(spark, sf_dir):
+    """Customers as cards of 300 by 300: number beside or below its label or alone, backs by phrases or by zone, both at once, nothing."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.concat(F.lit("Lê "), F.when(F.col("c_nationkey") % 2 == 0, "An").otherwise("Bình"))
+    number = F.lpad(k.cast("string"), 12, "0")
+    row = lambda y, conf, *parts: F.struct(F.lit(y).cast("int").alias("y"), F.array(*parts).alias("parts"), F.lit(conf).alias("sure"))
+    told = F.concat(F.lit("Họ và tên: "), name)
+    fronts = [row(60, 95, _part(100, "CĂN CƯỚC CÔNG DÂN")), row(100, 90, _part(100, "Số:"), _part(200, number)), row(200, 95, _part(100, told))]
+    kinds = {
+        0: fronts,
+        1: [row(60, 80, _part(100, "Ngày sinh")), row(100, 90, _part(100, "Số")), row(140, 90, _part(100, number)), row(180, 40, _part(100, name))],
+        2: [row(60, 90, _part(100, "Ngày cấp")), row(100, 95, _part(100, "Bộ Công an"))],
+        3: [row(200, 70, _part(10, "IDVNM0123456789012345<<")), row(240, 85, _part(10, "LE<<AN<<<<<<<<<<<<<<<<<"))],
+        4: [*fronts, row(240, 90, _part(100, "Ngày cấp")), row(270, 95, _part(100, "Bộ Công an"))],
+        5: [row(100, 95, _part(100, "Họ và tên")), row(130, 95, _part(90, name)), row(180, 90, _part(100, number))],
+        6: [row(60, 95, _part(100, "không rõ"))],
+    }
+    lines = F.coalesce(*(F.when(k % 7 == i, F.array(*rows)) for i, rows in kinds.items()))
+    rows = c.select("c_custkey", F.inline(lines))
+    words = drawn(rows, ["c_custkey", "sure"]).withColumn("conf", F.col("sure"))
+    read = words.groupBy("c_custkey").agg(F.array_sort(F.collect_list(F.struct(*layout.WORD))).alias("words")).withColumn("lines", segments.group_lines(F.col("words")))
+    got = read.select("c_custkey", card_words.card_side(F.col("words"), F.col("lines")).alias("s"), card_words.number_box(F.col("words"), F.col("lines"), F.lit(300), F.lit(300)).alias("b"), card_words.card_name(F.col("lines")).alias("n"))
+    return got.select("c_custkey", "s.side", "s.confidence", "b.x", "b.y", "b.width", "n.name")
+
+
+EVENTS_SQL = """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 11 = 0 THEN 9 ELSE event_id % 4 END AS card, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 8 ELSE CAST(floor(value) AS BIGINT) % 3 END AS packet FROM events"""
+
+
+@query(f"""WITH RECURSIVE e AS ({EVENTS_SQL}),
+ w AS (SELECT user_id, 0::BIGINT AS n, [0::BIGINT, NULL, NULL, NULL] AS held, NULL::VARCHAR AS refused, NULL::BIGINT AS event_id, NULL::BIGINT AS attached FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT e.user_id, e.n, CASE WHEN why IS NULL THEN list_transform(w.held, lambda p, i: CASE WHEN i - 1 = e.card THEN e.packet ELSE p END) ELSE w.held END, why, e.event_id, CASE WHEN e.card = 9 THEN NULL WHEN why IS NULL THEN e.packet ELSE w.held[e.card + 1] END
+   FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1 CROSS JOIN LATERAL (SELECT CASE WHEN e.card = 9 THEN 'unknown-card' WHEN e.packet IS NULL THEN NULL WHEN e.packet > 2 THEN 'unknown-packet'
+    WHEN len(list_filter(w.held, lambda p, i: p = e.packet AND i - 1 <> e.card)) > 0 THEN 'packet-already-has-card' WHEN e.card = 3 THEN 'card-has-no-image' END AS why))
+ SELECT user_id, event_id, refused, attached FROM w WHERE n > 0""")
+def hand_assignments(spark, sf_dir):
+    """Users as cases with cards 0 to 3 (0 attached to packet 0, 3 without images) and packets 0 to 2; their events assign and detach."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    log = e.select("user_id", "event_id", F.when(k % 11 == 0, 9).otherwise(k % 4).cast("long").alias("card_id"), F.when(k % 5 == 0, None).when(k % 7 == 0, 8).otherwise(F.floor("value").cast("long") % 3).alias("packet"))
+    users = e.select("user_id").distinct()
+    owned = users.select("user_id", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("card_id"), F.lit(0 if i == 0 else None).cast("long").alias("packet"), F.lit(i < 3).alias("has_image")) for i in range(4)))).alias("c")).select("user_id", "c.*")
+    have = users.select("user_id", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))).alias("packet"))
+    return assignments.decided(log, owned, have, "user_id", "event_id").select("user_id", "event_id", "refused", "attached")
+
+
+# ---------------------------------------------------------------- replies of page readers
+
+@query("""SELECT o_orderkey, CAST(i AS INTEGER) AS item, CASE i WHEN 0 THEN 'T' || o_orderkey ELSE o_orderstatus END AS text, CAST(o_orderkey % 90 AS INTEGER) AS x, 5 AS y, CASE i WHEN 0 THEN 20 ELSE 30 END AS w, CASE WHEN i = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 50.0 ELSE 25.0 END ELSE 100.0 END::DOUBLE AS conf
+ FROM orders, range(2) t(i) WHERE o_orderkey % 6 < 4 AND NOT (i = 1 AND o_orderkey % 3 = 1)""")
+def reader_words(spark, sf_dir):
+    """Orders as replies in two shapes; every sixth is cut off, every sixth has no documents; a third of second items has no box."""
+    k = F.col("o_orderkey")
+    x = (k % 90).cast("string")
+    even = F.concat(F.lit('{"extracted_value": "T'), k.cast("string"), F.lit('", "extracted_prob": 0.5, "coordinates": ['), x, F.lit(", 5, "), (k % 90 + 20).cast("string"), F.lit(", 15]}"))
+    odd = F.concat(F.lit('{"text": " T'), k.cast("string"), F.lit(' ", "confidence": 0.25, "coordinates": ["'), x, F.lit('", 5, '), (k % 90 + 20).cast("string"), F.lit(", 15]}"))
+    second = F.concat(F.lit('{"extracted_value": null, "text": "'), F.col("o_orderstatus"), F.when(k % 3 == 1, '", "coordinates": [1, 2]}').otherwise(F.concat(F.lit('", "coordinates": ['), x, F.lit(", 5, "), (k % 90 + 30).cast("string"), F.lit(", 9]}"))))
+    whole = F.concat(F.lit('{"data": {"documents": [{"ocr_data": [{"value": ['), F.when(k % 2 == 0, even).otherwise(odd), F.lit(", 7, "), second, F.lit("]}]}]}}"))
+    reply = F.when(k % 6 == 4, F.substring(whole, 1, 40)).when(k % 6 == 5, '{"data": {"documents": null}}').otherwise(whole)
+    words = reader_json.reader_words(table(spark, sf_dir, "orders").withColumn("reply", reply), ["o_orderkey"], "reply")
+    return words.select("o_orderkey", F.when(F.col("at.i_at") == 0, 0).otherwise(1).alias("item"), "text", "x", "y", "w", "conf")
