@@ -387,8 +387,11 @@ ALL_CRITERIA_SQL = f"""WITH x AS (SELECT o_orderkey AS k, o_custkey % 7 <> 0 AS
  CASE WHEN stt IN (1, 2, 3, 5, 7) THEN true WHEN stt IN (12, 14, 16, 17) THEN true WHEN stt = 15 THEN NOT (min(k) % 23 <> 0 AND bool_and(doc = 'Excel') AND bool_and(status = 'pending') AND min(matched)) ELSE false END AS automatic FROM t GROUP BY k, stt"""
 
 
-def criteria_cells(spark, sf_dir) -> DataFrame:
-    """The cells of every packet, with a source in each document for each field that is compared."""
+def criteria_cells(spark, sf_dir, readers: bool = False) -> DataFrame:
+    """The cells of every packet, with a source in each document for each field that is compared.
+
+    readers: what was printed at the labels of tax number and account is known too, and a reader of parts has seen some contracts and acceptances.
+    """
     k, shown = F.col("o_orderkey"), lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     o = table(spark, sf_dir, "orders")
     gross = F.when(k % 29 == 0, 0).otherwise(F.round("o_totalprice").cast("long"))
@@ -411,7 +414,20 @@ def criteria_cells(spark, sf_dir) -> DataFrame:
             wrong = F.lit(other) if other else F.concat(F.lit("9"), value)
             read.append(F.when(s != 3, F.struct(F.lit(field).alias("field_key"), F.lit(kind).alias("doc_id"), F.when(s == 0, wrong).when(s == 1, "").when(s == 2, F.upper(value)).otherwise(value).alias("value"))))
     sources = packets.select("case_id", "packet", F.explode(F.array_compact(F.array(*read))).alias("r")).select("case_id", "packet", "r.*")
-    return evaluate.evaluate(packets, documents, sources)
+    if not readers:
+        return evaluate.evaluate(packets, documents, sources)
+    named = F.col("roster")[F.when(F.col("field_key") == "mst", "mst").otherwise("account")]
+    near = F.when(F.col("field_key").isin("mst", "tk"), F.concat(F.when(F.col("field_key") == "mst", "MST TNCN: ").otherwise("Số tài khoản : "), F.when(F.col("packet") % 6 == 0, named).otherwise("000"), F.lit(" ngày")))
+    sources = sources.join(packets.select("case_id", "packet", "roster"), ["case_id", "packet"]).withColumn("near", near).drop("roster")
+    bank, terms = (evaluate.PARTS[n][1] for n in (8, 13))
+    part = lambda name, doc, sure=1.0, located=True: F.struct(F.lit(name).alias("part"), F.lit(doc).alias("doc_id"), F.lit("v").alias("value"), F.lit(located).alias("located"), F.lit(sure).alias("confidence"))
+    told = [
+        (k % 5 == 0, [part(b, "contract") for b in bank]), (k % 5 == 1, [part(b, "contract") for b in bank[:2]]), (k % 5 == 2, [part(b, "contract", 0.9) for b in bank]),
+        (k % 7 == 0, [part(t, "contract") for t in terms]), (k % 4 == 3, [part(b, "bbnt", located=b != bank[1]) for b in bank]),
+    ]
+    none = F.array().cast("array<struct<part:string,doc_id:string,value:string,located:boolean,confidence:double>>")
+    reads = o.select(*key, F.explode(F.concat(*(F.when(test, F.array(*parts)).otherwise(none) for test, parts in told))).alias("r")).select("case_id", "packet", "r.*")
+    return evaluate.evaluate(packets, documents, sources, evaluate.parts_cells(reads, documents))
 
 
 CELLS_SQL = ALL_CRITERIA_SQL[:ALL_CRITERIA_SQL.rindex(" SELECT k AS o_orderkey")] + " SELECT k AS o_orderkey, stt, doc AS document, status FROM t"
@@ -423,6 +439,18 @@ def criteria_all(spark, sf_dir):
     return evaluate.criterion_results(criteria_cells(spark, sf_dir)).select(F.col("packet").alias("o_orderkey"), "stt", "status", "automatic")
 
 
+READ_SQL = CELLS_SQL.replace("WHEN s = 0 THEN 'no'", "WHEN s = 0 THEN CASE WHEN field IN ('mst', 'tk') AND k % 6 = 0 THEN 'rv' ELSE 'no' END").replace(
+    "WHEN NOT present THEN absent\n", f"""WHEN NOT present THEN absent
+ WHEN stt = 8 AND doc = '{evaluate.CONTRACT}' AND k % 5 < 3 THEN CASE WHEN k % 5 = 0 THEN 'ok' ELSE 'rv' END WHEN stt = 13 AND doc = '{evaluate.CONTRACT}' AND k % 7 = 0 THEN 'ok' WHEN stt = 8 AND doc = '{evaluate.BBNT}' AND k % 4 = 3 THEN 'rv'
+""")
+
+
+@query(READ_SQL)
+def criteria_read(spark, sf_dir):
+    """Every cell where readers have told what is printed at labels and which parts they found."""
+    return criteria_cells(spark, sf_dir, True).select(F.col("packet").alias("o_orderkey"), "stt", "document", "status")
+
+
 @query(CELLS_SQL)
 def criteria_matrix(spark, sf_dir):
     """Every cell of every packet: criterion by document."""

@@ -207,6 +207,22 @@ def test_copies_and_reasons(spark):
     assert {r.pending_reason for r in packet(spark).filter("document = 'Excel' and stt = 1").collect()} == {"unmatched"}
 
 
+def test_what_settles_without_a_person(spark):
+    says = lambda cells: {r.stt: r.automatic for r in evaluate.criterion_results(cells).collect()}
+    bare = says(packet(spark, CLEAN))
+    assert {k for k, v in bare.items() if v} == {1, 2, 3, 5, 7, 12, 14, 15, 16, 17} - {15}  # tax above zero has no check of its own
+    assert says(packet(spark, CLEAN | {"pit": "0"}))[15] and says(packet(spark))[17]
+    docs = spark.createDataFrame([("c", 0, "k", "contract")], "case_id string, packet int, doc_id string, kind string")
+    reads = spark.createDataFrame([("c", 0, "bank", "k", "v", True, 1.0)], "case_id string, packet int, part string, doc_id string, value string, located boolean, confidence double")
+    people = spark.createDataFrame([("c", 0, True, CLEAN)], "case_id string, packet int, matched boolean, roster map<string,string>")
+    none = spark.createDataFrame([], "case_id string, packet int, field_key string, doc_id string, value string")
+    read = says(evaluate.evaluate(people, docs, none, evaluate.parts_cells(reads, docs)))
+    assert read[8] and not read[13] and not bare[8]
+    touched = spark.createDataFrame([("c", 0, 1), ("c", 0, 2)], "case_id string, packet int, stt int")
+    cells = packet(spark, CLEAN)
+    assert evaluate.packet_rollup(cells).first().findings - evaluate.packet_rollup(cells, touched).first().findings == 2
+
+
 def test_rollup(spark):
     r = evaluate.packet_rollup(packet(spark, CLEAN, ("commitment",))).first()
     assert r.has_commitment and r.ai_status == "missing" and evaluate.CONTRACT in r.missing
