@@ -64,7 +64,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near_dedup), ("personal data", personal_data), ("packing", packing)]
-#: SQL cannot express near-duplicate search, trained trees and tokenization; tests hold run() against plain Python instead.
+#: SQL cannot express near-duplicate search, trained trees and tokenization; tests hold stages and run() against plain Python instead.
 ORACLE_SQL = None
 
 

@@ -65,11 +65,16 @@ def card_candidates(drawings: DataFrame, parts: DataFrame) -> DataFrame:
     return plain_unions(paired).unionByName(single)
 
 
+#: Issues of a pair that forbid a match.
+BLOCKING = ("ambiguous", "layout-conflict")
+
+
 def resolve_cards(cards: DataFrame, roster: DataFrame) -> DataFrame:
     """card_id, state, matched_row, matched_by, issues: whose card each one is, and if nobody's, why.
 
     cards: card_id, number, number_confidence, located (whether the number's place on the image is known), name,
-    name_confidence, and if known front (false: no front side) and blocked (an issue of the pair that forbids a match).
+    name_confidence, and if known front (false: no front side), issues (what was found odd about the pair before; those of
+    BLOCKING forbid a match) and blocked (such an issue by itself). The reason is added to the issues, unless it is among them.
     roster: row, cccd, name. A card claims the one row with its number, and the one row with its folded name if that
     row's own number is sound and its alone. The tests follow in order of weight; the first that holds decides.
     """
@@ -80,8 +85,10 @@ def resolve_cards(cards: DataFrame, roster: DataFrame) -> DataFrame:
     own = rows.join(ids.filter("n_id = 1").select("id", F.lit(True).alias("sound")), "id", "left").join(names.select("who", "n_who"), "who", "left")
     own = own.select("row", F.coalesce("sound", F.lit(False)).alias("sound"), (F.coalesce("n_who", F.lit(0)) > 1).alias("namesake"))
 
-    c = cards.withColumns({n: v for n, v in (("front", F.lit(True)), ("blocked", F.lit(None).cast("string"))) if n not in cards.columns})
-    c = c.select("card_id", "front", "blocked", "located", F.coalesce("number_confidence", F.lit(0.0)).alias("sure"), T.digits(F.col("number")).alias("id"), F.when(F.col("name_confidence") >= NAME_CONFIDENCE, T.fold_accents(F.trim(F.col("name")))).alias("who"))
+    c = cards.withColumns({n: v for n, v in (("front", F.lit(True)), ("blocked", F.lit(None).cast("string")), ("issues", F.array().cast("array<string>"))) if n not in cards.columns})
+    c = c.withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
+    forbids = F.get(F.filter("issues", lambda i: i.isin(*BLOCKING)), F.lit(0))
+    c = c.select("card_id", "front", F.coalesce("blocked", forbids).alias("blocked"), F.col("issues").alias("known"), "located", F.coalesce("number_confidence", F.lit(0.0)).alias("sure"), T.digits(F.col("number")).alias("id"), F.when(F.col("name_confidence") >= NAME_CONFIDENCE, T.fold_accents(F.trim(F.col("name")))).alias("who"))
     c = c.join(ids, "id", "left").join(names, "who", "left")
     c = c.withColumn("id_row", F.when(F.col("located") & (F.col("n_id") == 1), F.col("id_row"))).withColumn("name_row", F.when(F.col("n_who") == 1, F.col("name_row")))
     c = c.join(own.select(F.col("row").alias("name_row"), "sound"), "name_row", "left").join(own.select(F.col("row").alias("id_row"), "namesake"), "id_row", "left")
@@ -116,7 +123,7 @@ def resolve_cards(cards: DataFrame, roster: DataFrame) -> DataFrame:
     )
     c = c.withColumn("v", verdict)
     row = F.when(F.col("v.by") == "cccd", F.col("id_row")).when(F.col("v.by") == "name", F.col("name_row"))
-    return c.select("card_id", "v.state", row.alias("matched_row"), F.col("v.by").alias("matched_by"), F.array_compact(F.array("v.issue")).alias("issues"))
+    return c.select("card_id", "v.state", row.alias("matched_row"), F.col("v.by").alias("matched_by"), F.array_distinct(F.concat("known", F.array_compact(F.array("v.issue")))).alias("issues"))
 
 
 def without_stale(evidence: DataFrame, keep: DataFrame, keys: list[str], owned: str) -> DataFrame:

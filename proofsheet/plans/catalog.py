@@ -477,13 +477,6 @@ def batch_criteria(spark, sf_dir):
     return evaluate.batch_results(found, cases, packets).select(F.col("case_id").alias("c_custkey"), "stt", "status")
 
 
-@query()
-def fuzzy_ratio(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.col("p_type").alias("k")).distinct()
-    near = names.groupBy("k").agg(F.min("a").alias("b"))
-    return names.join(near, "k").select("a", "b", quotes.similarity("a", "b").alias("ratio"))
-
-
 @query("""SELECT o_orderkey, shown, CASE WHEN damaged > 3 OR length(shown) < 5 THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(list_reduce(list_transform(string_split(shown, ''), lambda c: CASE c WHEN 'S' THEN ['5'] WHEN '§' THEN ['5', '8'] ELSE [c] END),
  lambda a, x: flatten(list_transform(a, lambda w: list_transform(x, lambda o: w || o)))), lambda w: CAST(replace(w, '.', '') AS BIGINT)))), ',') END AS repairs FROM
  (SELECT *, length(shown) - length(replace(replace(shown, 'S', ''), '§', '')) AS damaged FROM (SELECT o_orderkey, translate(replace(format('{:,}', CAST(round(o_totalprice) AS BIGINT)), ',', '.'), '58', 'S§') AS shown FROM orders))""")

@@ -225,3 +225,56 @@ def reader_words(spark, sf_dir):
     reply = F.when(k % 6 == 4, F.substring(whole, 1, 40)).when(k % 6 == 5, '{"data": {"documents": null}}').otherwise(whole)
     words = reader_json.reader_words(table(spark, sf_dir, "orders").withColumn("reply", reply), ["o_orderkey"], "reply")
     return words.select("o_orderkey", F.when(F.col("at.i_at") == 0, 0).otherwise(1).alias("item"), "text", "x", "y", "w", "conf")
+
+
+@query("""WITH r AS (SELECT c_custkey AS row, lpad(CAST(c_custkey % 1000 AS VARCHAR), 12, '0') AS id, 'ten ' || CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 300 ELSE c_custkey END AS who FROM customer),
+ i AS (SELECT id, count(*) AS n, min(row) AS row FROM r GROUP BY id), w AS (SELECT who, count(*) AS n, min(row) AS row FROM r GROUP BY who),
+ k AS (SELECT c_custkey AS k, CASE WHEN k % 6 = 0 THEN '' WHEN k % 17 = 0 THEN '12345' ELSE lpad(CAST(k + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR), 12, '0') END AS id, k % 4 > 0 AS located, k % 5 > 0 AS sure,
+  CASE WHEN k % 7 > 0 THEN 'ten ' || CASE WHEN (k + shift) % 3 = 0 THEN (k + shift) % 300 ELSE k + shift END END AS who, k % 13 > 0 AS front, k % 19 = 0 AS blocked, k % 23 = 0 AS noted FROM (SELECT *, CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END AS shift FROM customer)),
+ m AS (SELECT k.*, coalesce(i.n, 0) AS ids, coalesce(w.n, 0) AS whos, CASE WHEN located AND i.n = 1 THEN i.row END AS id_row, CASE WHEN w.n = 1 THEN w.row END AS name_row FROM k LEFT JOIN i ON i.id = k.id LEFT JOIN w ON w.who = k.who),
+ n AS (SELECT m.*, coalesce((SELECT count(*) FROM i WHERE i.row = name_row AND i.n = 1), 0) > 0 AS sound, coalesce((SELECT w.n > 1 FROM r JOIN w USING (who) WHERE r.row = id_row), false) AS namesake FROM m),
+ c AS (SELECT DISTINCT k, t FROM (SELECT k, unnest([id_row, CASE WHEN sound THEN name_row END]) AS t FROM n WHERE front AND NOT blocked) WHERE t IS NOT NULL), d AS (SELECT t FROM c GROUP BY t HAVING count(*) > 1),
+ v AS (SELECT *, CASE WHEN NOT front THEN 'no-front' WHEN blocked THEN 'layout-conflict'
+  WHEN NOT located THEN CASE WHEN whos > 1 THEN 'duplicate-name' WHEN name_row IN (FROM d) THEN 'competing-candidate' ELSE 'no-number-region' END
+  WHEN id = '12345' THEN 'non-12-digit-cccd' WHEN ids > 1 THEN 'duplicate-cccd' WHEN whos > 1 OR namesake THEN 'duplicate-name' WHEN id_row <> name_row THEN 'conflicting-identity'
+  WHEN k IN (SELECT k FROM c JOIN d USING (t)) THEN 'competing-candidate' WHEN id_row IS NOT NULL AND sure THEN '' WHEN sound THEN '' WHEN id = '' THEN 'unreadable-identity' WHEN id_row IS NOT NULL THEN 'low-cccd-confidence' ELSE 'no-exact-roster-match' END AS why FROM n)
+ SELECT k AS card_id, CASE WHEN why IN ('layout-conflict', 'duplicate-name', 'competing-candidate', 'duplicate-cccd', 'conflicting-identity') THEN 'conflict' WHEN why = '' AND id_row IS NOT NULL AND sure THEN 'exact' WHEN why = '' OR (why = 'no-number-region' AND sound) THEN 'suggested' ELSE 'manual' END AS state,
+ CASE WHEN why = '' AND id_row IS NOT NULL AND sure THEN id_row WHEN why = '' OR (why = 'no-number-region' AND sound) THEN name_row END AS matched_row,
+ array_to_string(list_filter([CASE WHEN noted THEN 'side-conflict' END, CASE WHEN blocked THEN 'layout-conflict' END, CASE WHEN why NOT IN ('', 'layout-conflict') THEN why END], lambda x: x IS NOT NULL), ',') AS issues FROM v""")
+def card_identities(spark, sf_dir):
+    """Customers as roster rows, some sharing a number or a name, and as cards with numbers, names and issues: every reason of a decision."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    pad = lambda x: F.lpad(x.cast("string"), 12, "0")
+    named = lambda x: F.concat(F.lit("Tên "), F.when(x % 3 == 0, x % 300).otherwise(x).cast("string"))
+    people = c.select(k.alias("row"), pad(k % 1000).alias("cccd"), named(k).alias("name"))
+    number = F.when(k % 6 == 0, "").when(k % 17 == 0, "12345").otherwise(pad(k + F.when(k % 10 == 0, 1).otherwise(0)))
+    issues = F.array_compact(F.array(F.when(k % 23 == 0, "side-conflict"), F.when(k % 19 == 0, "layout-conflict")))
+    read = c.select(k.alias("card_id"), number.alias("number"), F.when(k % 5 > 0, 0.9).otherwise(0.5).alias("number_confidence"), (k % 4 > 0).alias("located"), F.upper(named(k + F.when(k % 9 == 0, 1).otherwise(0))).alias("name"), F.when(k % 7 > 0, 0.9).otherwise(0.5).alias("name_confidence"), (k % 13 > 0).alias("front"), issues.alias("issues"))
+    return cards.resolve_cards(read, people).select("card_id", "state", "matched_row", F.array_join("issues", ",").alias("issues"))
+
+
+# ---------------------------------------------------------------- titles
+
+@query(f"""WITH p AS (SELECT page_id, page_id % 6 AS m, {FOLD.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS t, len(string_split(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), ' ')) AS n FROM pages)
+ SELECT page_id, CASE m WHEN 0 THEN 'bbnt' WHEN 1 THEN 'contract' WHEN 2 THEN 'commitment' WHEN 3 THEN 'appendix' WHEN 4 THEN 'bbnt' END AS kind FROM p""")
+def classified_pages(spark, sf_dir):
+    """Pages of a title and prose: a phrase in a heading of two lines, heading words in another order, marks in prose, a heading below the top, prose that only mentions one."""
+    k = F.col("page_id")
+    fill = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.lit("dòng chữ thường số "), i.cast("string"), F.lit(" của một trang giấy rất là dài và vô vị"))), "\n")
+    kinds = {0: F.concat(F.lit("BIÊN\nBẢN\n"), fill), 1: F.concat(F.lit("DỊCH VỤ HỢP ĐỒNG\n"), fill), 2: F.concat(fill, F.lit("\ntheo mẫu số: 08 của bộ")), 3: F.concat(fill, F.lit("\nvà các kpi khác")), 4: F.concat(fill, F.lit("\nNGHIỆM THU\n"), fill)}
+    text = F.coalesce(*(F.when(k % 6 == i, t) for i, t in kinds.items()), F.concat(fill, F.lit("\nxem biên bản này")))
+    return table(spark, sf_dir, "pages").select("page_id", segments.classify_page(text).alias("kind"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_custkey AS k, 3 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + o_orderkey % 3 * 2 AS page, o_orderkey AS score FROM orders),
+ s AS (SELECT k, list({'page': page, 'score': score} ORDER BY page) AS l, CAST(count(*) * 2 // 3 AS BIGINT) AS expected FROM (SELECT k, page, min(score) AS score FROM c GROUP BY ALL) GROUP BY k),
+ w AS (SELECT k, l, expected, true AS more FROM s
+  UNION ALL SELECT k, CASE WHEN best IS NULL THEN l ELSE list_filter(l, lambda x, i: i <> best.i) END, expected, best IS NOT NULL FROM (SELECT k, l, expected, list_sort([{'gap': l[i].page - l[i - 1].page, 'off': abs((CASE WHEN i < len(l) THEN l[i + 1].page ELSE l[i].page END) - l[i - 1].page - typical), 'score': l[i].score, 'i': i} FOR i IN range(2, len(l) + 1) IF l[i].page - l[i - 1].page < 5])[1] AS best
+   FROM (SELECT *, coalesce(list_median([l[i].page - l[i - 1].page FOR i IN range(2, len(l) + 1) IF l[i].page - l[i - 1].page >= 5]), 5) AS typical FROM w WHERE more AND len(l) > expected)))
+ SELECT k AS o_custkey, unnest(l).page AS page FROM (SELECT k, arg_min(l, len(l)) AS l FROM w GROUP BY k)""")
+def pruned_covers(spark, sf_dir):
+    """Customers as submissions with a cover an order, of which two thirds are expected."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    c = table(spark, sf_dir, "orders").select("o_custkey", (3 * F.row_number().over(w) + F.col("o_orderkey") % 3 * 2).alias("page"), F.col("o_orderkey").alias("score"))
+    c = c.groupBy("o_custkey", "page").agg(F.min("score").alias("score")).withColumn("expected", F.floor(F.count("*").over(Window.partitionBy("o_custkey")) * 2 / 3))
+    return segments.prune_covers(c, "o_custkey", "page", "score", "expected").select("o_custkey", "page")
