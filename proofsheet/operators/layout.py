@@ -205,8 +205,7 @@ def cleaned(words: Column) -> Column:
 
 
 def tokens_at(tokens: Column, i: Column, phrase: str) -> Column:
-    own = phrase.split(" ")
-    return F.slice(tokens, i + 1, len(own)) == F.array(*map(F.lit, own))
+    return F.slice(tokens, i + 1, len(phrase.split(" "))) == F.split(F.lit(phrase), " ")
 
 
 def occurrences(tokens: Column, anchors: Iterable[str]) -> Column:
@@ -325,7 +324,7 @@ def opens_label(words: Column) -> Column:
     """Whether the words end in the beginning of a name's label."""
     def tail(tokens: Column, k: Column) -> Column:
         own = rest(tokens, k)
-        return F.greatest(*(F.slice(F.array(*map(F.lit, a.split(" "))), F.lit(1), F.size(own)) == own for a in NAME_ANCHORS))
+        return F.greatest(*(F.slice(F.split(F.lit(a), " "), F.lit(1), F.size(own)) == own for a in NAME_ANCHORS))
 
     return let(cleaned(words), lambda t: F.exists(upto(F.lit(0), F.size(t)), lambda k: tail(t, k)))
 
