@@ -17,7 +17,8 @@ the whole sequence is its one shingle; without words it is empty and linked with
 
 Defined results: null and empty texts have no shingles and are their own component; rows with equal doc_id and text
 fall in one class; rows with null doc_id take part in no class and have a null component. Empty tables give empty
-results; other columns are ignored.
+results; other columns are ignored. Rows with equal doc_id and different texts are not told apart: one of the texts,
+no particular one, stands for that id in its class.
 """
 
 from __future__ import annotations
