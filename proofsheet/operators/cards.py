@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
@@ -202,17 +202,21 @@ def cards_by_packet(packets: DataFrame, cards: DataFrame) -> DataFrame:
 CARD_HEADINGS, IMAGE_HEADINGS, BANK_HEADINGS = ("hinh cccd", "anh cccd", "hinh the"), ("hinh anh", "hinh", "anh"), ("stk", "tai khoan")
 
 
+def heading_kind(text: Column, left: Column, sheet: Column) -> Column:
+    """Kind of image below a folded heading: card, or for a general heading bank or tax by the folded heading on its left or the sheet's name; else null."""
+    any_of = lambda c, phrases: F.greatest(*(T.has_phrase(c, p) for p in phrases)) if len(phrases) > 1 else T.has_phrase(c, phrases[0])
+    tax = T.has_phrase(T.fold_label(sheet), "mst") | T.has_phrase(left, "mst")
+    return F.when(any_of(text, CARD_HEADINGS), "card").when(any_of(text, IMAGE_HEADINGS), F.when(any_of(left, BANK_HEADINGS), "bank").when(tax, "tax"))
+
+
 def image_kinds(headers: DataFrame, keys: list[str], sheet: str) -> DataFrame:
     """keys, col, kind of image columns (headers: keys, sheet, col, text): card, or for a general heading bank or tax by the heading
     right beside it on the left (or the sheet's name); columns that nothing says are left out. Phrases count as whole words."""
-    any_of = lambda c, phrases: F.greatest(*(T.has_phrase(c, p) for p in phrases)) if len(phrases) > 1 else T.has_phrase(c, phrases[0])
     flat = headers.withColumn("__t", T.fold_label(F.col("text")))
     w = Window.partitionBy(*keys).orderBy("col")
     left = F.when(F.lag("col").over(w) == F.col("col") - 1, F.lag("__t").over(w))
     flat = flat.withColumn("__left", F.coalesce(left, F.lit("")))
-    by_sheet = T.has_phrase(T.fold_label(F.col(sheet)), "mst")
-    kind = F.when(any_of(F.col("__t"), CARD_HEADINGS), "card").when(any_of(F.col("__t"), IMAGE_HEADINGS), F.when(any_of(F.col("__left"), BANK_HEADINGS), "bank").when(by_sheet | T.has_phrase(F.col("__left"), "mst"), "tax"))
-    return flat.select(*keys, "col", kind.alias("kind")).filter("kind is not null")
+    return flat.select(*keys, "col", heading_kind(F.col("__t"), F.col("__left"), F.col(sheet)).alias("kind")).filter("kind is not null")
 
 
 def image_columns(drawings: DataFrame, keys: list[str]) -> DataFrame:

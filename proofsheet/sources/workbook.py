@@ -86,8 +86,8 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]
             yield sheet.get("name"), k, number, cells
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of all workbooks that a path or pattern names; the files are read by Spark, from whatever store it can reach."""
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """The rows of all workbooks of files (path, content)."""
     from pyspark.sql.types import StructType
 
     def rows(batches):
@@ -103,5 +103,9 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 pdf_out = pd.DataFrame(out, columns=["case_id", "sheet", "sheet_idx", "row", "cells", "error"])
                 yield pdf_out.astype({"sheet_idx": "Int32", "row": "Int32"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(rows, StructType.fromDDL(SCHEMA))
+    return files.select("path", "content").mapInPandas(rows, StructType.fromDDL(SCHEMA))
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all workbooks that a path or pattern names; the files are read by Spark, from whatever store it can reach."""
+    return workbook_rows(spark.read.format("binaryFile").load(path))
