@@ -523,4 +523,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["control_total"](spark, sf_dir)
 
 
-from proofsheet.plans import lists, pages, records, workbooks  # noqa: E402, F401  (add their queries)
+from proofsheet.plans import lists, pages, payloads, records, workbooks  # noqa: E402, F401  (add their queries)

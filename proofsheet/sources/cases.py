@@ -43,3 +43,20 @@ def append_events(events: DataFrame, path: str) -> None:
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """One JSON line per packet, in a folder per case; a folder's files are committed together."""
     manifests.write.mode("overwrite").partitionBy("case_id").json(path)
+
+
+def read_manifests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The manifests below a path, with file and error: the way back of write_manifests, or of whole files (multi_line).
+
+    A record that is no JSON, or that is not of a manifest's shape, is a row with error (corrupt) and what could be read of it.
+    """
+    from proofsheet.operators.assembly import MANIFEST
+
+    text = spark.read.schema("value string" if multi_line else "value string, case_id string").text(path, wholetext=multi_line, recursiveFileLookup=multi_line)
+    shape = f"case_id string, packet int, {MANIFEST}, _corrupt_record string"
+    seen = text.withColumn("m", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})).withColumn("file", F.col("_metadata.file_path"))
+    at = lambda k: F.nullif(F.regexp_extract("file", "([^/]+)/packets/([0-9]+)/[^/]+$", k), F.lit(""))  # noqa: E731  (<case>/packets/<packet>/manifest.json)
+    case, packet = (F.coalesce("m.case_id", at(1)), F.coalesce("m.packet", at(2).cast("int"))) if multi_line else (F.col("case_id"), F.col("m.packet"))
+    names = ("id", "name", "product", "heading", "status", "exempt", "docs", "fields")
+    error = F.when(F.col("m").isNull() | F.col("m._corrupt_record").isNotNull(), "corrupt")
+    return seen.select(case.alias("case_id"), packet.alias("packet"), *(F.col(f"m.{n}") for n in names), "file", error.alias("error"))
