@@ -222,3 +222,9 @@ def image_kinds(headers: DataFrame, keys: list[str], sheet: str) -> DataFrame:
 def image_columns(drawings: DataFrame, keys: list[str]) -> DataFrame:
     """keys, from_col, n, kind: how many drawings begin in each column, and the kind of the last one."""
     return drawings.groupBy(*keys, "from_col").agg(F.count("*").alias("n"), F.max_by("kind", "drawing_id").alias("kind"))
+
+
+def mappable(people: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, expected: how many cards a roster leads one to expect, its different numbers of twelve digits. people: keys, cccd."""
+    number = T.digits(F.col("cccd"))
+    return people.groupBy(*keys).agg(F.count_distinct(F.when(F.length(number) == 12, number)).alias("expected"))

@@ -74,3 +74,8 @@ def markdown(rows: DataFrame, keys: list[str], line: Column, order: list[str]) -
     """keys, text: the lines of a group in order; groups are single reports, so one fits a row."""
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("x"))
     return listed.select(*keys, F.array_join(F.col("x.line"), "\n").alias("text"))
+
+
+def progress(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, done, total, flagged (to be sent again) and candidates (with findings): packets: keys, done, resubmit, findings (null: not evaluated)."""
+    return packets.groupBy(*keys).agg(F.count_if(F.coalesce("done", F.lit(False))).alias("done"), F.count("*").alias("total"), F.count_if(F.coalesce("resubmit", F.lit(False))).alias("flagged"), F.count_if(F.coalesce("findings", F.lit(0)) > 0).alias("candidates"))
