@@ -7,7 +7,7 @@ from proofsheet.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["criteria_read"])
+@pytest.mark.parametrize("name", ["criteria_read", "matrix_payloads"])
 def test_plan_is_small(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 130_000
