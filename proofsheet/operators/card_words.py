@@ -13,13 +13,18 @@ FRONT, BACK = ("can cuoc cong dan", "so", "ho va ten", "ngay sinh"), ("dac diem
 READABLE, ZONE, ZONE_START, PAD, NAME, NUMBER = 50, 20, "IDVNM", 6, "ho va ten", "so"
 
 
+def cleaned(line: Column) -> Column:
+    """Folded words of a card's line without the punctuation around them."""
+    return F.transform(line, lambda w: F.btrim(T.fold_accents(w["text"]), F.lit(" :;.,")))
+
+
 def digits(w: Column) -> Column:
     return T.digits(w["text"])
 
 
 def phrase_at(line: Column, phrase: str) -> Column:
     """Number of the first word of a phrase's first appearance on a line; null without one."""
-    return layout.let(layout.cleaned(line), lambda t: F.get(F.filter(layout.upto(F.lit(0), F.size(t)), lambda i: layout.tokens_at(t, i, phrase)), F.lit(0)))
+    return layout.let(cleaned(line), lambda t: F.get(F.filter(layout.upto(F.lit(0), F.size(t)), lambda i: layout.tokens_at(t, i, phrase)), F.lit(0)))
 
 
 def markers(lines: Column, phrases: tuple[str, ...]) -> Column:
