@@ -12,3 +12,7 @@ def folds(spark, name):
 
 def test_names_fold_once(spark):
     assert folds(spark, "found_names") == 1
+
+
+def test_fields_fold_once(spark):
+    assert folds(spark, "fields_with_boxes") == 1
