@@ -18,6 +18,7 @@ from proofsheet.operators import uploads
 from proofsheet.plans.catalog import query, table
 from proofsheet.sources import drawings, workbook
 
+AT_ONCE = 16
 LINKS = "http://schemas.openxmlformats.org/package/2006/relationships"
 PLACES = "http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing"
 
@@ -70,12 +71,14 @@ def book(key: int, nation: int) -> bytes:
 def books(spark, sf_dir) -> DataFrame:
     """path and content of every supplier's workbook."""
     def write(batches):
-        for pdf in batches:
-            pdf["content"] = [book(k, n) for k, n in zip(pdf.s_suppkey, pdf.s_nationkey)]
-            pdf["path"] = "/in/" + pdf.s_suppkey.astype(str) + ".xlsx"
-            yield pdf[["path", "content"]]
-
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").mapInPandas(write, "path string, content binary")
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):  # a task holds few workbooks at a time, however many suppliers come to it together
+                pdf = batch.iloc[at:at + AT_ONCE]
+                yield pdf.assign(content=[book(k, n) for k, n in zip(pdf.s_suppkey, pdf.s_nationkey)], path="/in/" + pdf.s_suppkey.astype(str) + ".xlsx")[["path", "content"]]
+
+    # a row becomes a file of many times its size: suppliers that one task reads in no time are dealt over all tasks before they are written
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(tasks).mapInPandas(write, "path string, content binary")
 
 
 # Rows 3, 5 and 7 (from 1) are 20, 30 and 40 points high, the others 15, so row r from 0 begins 5, 15 and 25 points lower behind them.
