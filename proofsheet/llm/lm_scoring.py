@@ -7,10 +7,11 @@ texts sum to at most one whatever contexts collide.
 
 Bit predictors: the code's prefix alone (together with the counts this is the unigram model), and the prefix in
 three hashed contexts: the last common word, the previous word, and the one before. A mixer adds their differences
-to the first one's logit, with weights gated by the bit's place. The weights that every text starts with are learned
-on `fit_rows` training documents (a bound, chosen by text hash; they are 36 numbers): each of them moves the weights by
-the gradient, and Spark averages where they end. In scoring, too, weights follow the gradient through the text, a block
-of tokens at a time, so a text's score depends on the text and the statistics only.
+to the first one's logit, with weights gated by the bit's place. The weights that every text starts with, 36 numbers, are
+learned on all training documents: each of them moves the weights by the gradient, and Spark averages where they end.
+A caller may set `fit_rows`, so that these 36 alone come from the distinct texts of that many least hashes. In
+scoring, too, weights follow the gradient through the text, a block of tokens at a time, so a text's score depends on
+the text and the statistics only.
 
 What is gathered over all training documents: the count of every word (a Spark aggregation that grows with the
 vocabulary), and per task the context tables, of fixed size, which are added up by slices. The `common` most
@@ -49,10 +50,28 @@ COMMON = 1 << 20
 SLICE = 1 << 16
 BLOCK = 32
 START = (0.5, 0.25, 0.15)  # weights before anything is learned
-FIT = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Places:
+    """Where hashes stand among ascending ones: a table of their first bits tells where to begin."""
+
+    def __init__(self, held: np.ndarray, bits: int):
+        self.held, self.shift = held, np.uint64(64 - bits)
+        self.low = np.searchsorted(held, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """As np.searchsorted, but no place is behind the last."""
+        last = len(self.held) - 1
+        at = np.minimum(self.low[h >> self.shift], max(last, 0))
+        behind = np.flatnonzero((at < last) & (self.held[at] < h)) if last > 0 else np.empty(0, int)
+        while len(behind):
+            at[behind] += 1
+            now = at[behind]
+            behind = behind[(now < last) & (self.held[now] < h[behind])]
+        return at
+
+
 class Tokens:
     """The lower-cased words of some texts and one end after each, in order."""
 
@@ -74,7 +93,7 @@ class Tokens:
         """Class of each token in each context; top: ascending hashes of the most common words."""
         n = len(self.h)
         within = np.arange(n) - self.first[self.doc]
-        at = np.minimum(np.searchsorted(top, self.h), max(0, len(top) - 1))
+        at = Places(top, 16).of(self.h)
         known = top[at] == self.h if len(top) else np.zeros(n, bool)
         last = np.maximum.accumulate(np.where(known, np.arange(n), -1))
         last = np.concatenate(([-1], last[:-1]))
@@ -208,7 +227,7 @@ class Model:
             self.s.append((self.logit(p) - self.s0).astype(np.float32).ravel())
             base += classes
         cells = spelled.reshape(ORDERS, CELLS, 2)
-        self.spelled = [(c[:, 1].astype(np.float32), c.sum(1).astype(np.float32)) for c in cells]
+        self.spelled = [np.stack((c[:, 1], c.sum(1)), 1).astype(np.float32) for c in cells]  # ones and all of a cell
 
     @staticmethod
     def nodes(leaves: np.ndarray) -> np.ndarray:
@@ -235,44 +254,51 @@ class Model:
             j = max(i + 1, i + int(np.searchsorted(np.cumsum(size[i:i + 20_000]), 1 << 17)))
             word, cells, bit = spelling(buffer, start[i:j], stop[i:j])
             p = np.full(len(bit), 0.5, np.float32)
-            for (ones, seen), cell in zip(self.spelled, cells):
-                p = (ones[cell] + 2 * p) / (seen[cell] + 2)
+            for counts, cell in zip(self.spelled, cells):
+                own = np.take(counts, cell, axis=0, mode="clip")
+                p = (own[:, 0] + 2 * p) / (own[:, 1] + 2)
             p = np.where(bit == 1, p, 1 - p)
             out[i:j] = np.bincount(word, np.log(np.maximum(p, 1e-7)), minlength=j - i)
             i = j
         return out
 
 
-def mixed(model: Model, t: Tokens, contexts: list[np.ndarray], start: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def mixed(model: Model, t: Tokens, contexts: list[np.ndarray], start: np.ndarray, rate: float = 0.02, scored: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Natural log probability of each token's code bits, and the weights that each text ends with; the weights of all texts advance a block at a time, side by side."""
-    out = np.zeros(len(t.h))
+    out = np.zeros(len(t.h))  # left so unless scored
     leaf = (t.h >> np.uint64(64 - BITS)).astype(np.int64)
     order = np.argsort(-t.count, kind="stable")
     length, first = t.count[order], t.first[order]
     weights = np.tile(np.asarray(start, np.float32), (len(order), 1, 1))
+    # of each leaf, bit by bit: the node, what the prefix alone says there, and 1 or -1 for the bit
     shift = np.arange(BITS, 0, -1)
+    every = np.arange(LEAVES)[:, None]
+    nodes, signs = (every + LEAVES) >> shift, (((every >> (shift - 1)) & 1) * 2 - 1).astype(np.float32)
+    alone = model.s0[nodes]
     step = np.arange(BLOCK)
     for at in range(0, int(length[0]) if len(length) else 0, BLOCK):
         active = int(np.searchsorted(-length, -at, "left"))  # longer than at
-        for lo in range(0, active, 256):
-            hi = min(active, lo + 256)
+        for lo in range(0, active, 128):
+            hi = min(active, lo + 128)
             live = at + step[None, :] < length[lo:hi, None]
             index = np.where(live, first[lo:hi, None] + at + step[None, :], first[lo:hi, None])
             own = leaf[index]
-            node = (own[:, :, None] + LEAVES) >> shift
-            bit = ((own[:, :, None] >> (shift - 1)) & 1).astype(np.float32)
-            z = model.s0[node]
+            node, sign, z = (np.take(x, own, axis=0, mode="clip") for x in (nodes, signs, alone))
             parts = []
             for k, c in enumerate(contexts):
-                d = model.s[k][(c[index] * LEAVES)[:, :, None] + node]
+                d = np.take(model.s[k], (c[index] * LEAVES)[:, :, None] + node, mode="clip")
                 parts.append(d)
-                z = z + weights[lo:hi, None, :, k] * d
-            x = np.where(bit == 1, z, -z)
-            lp = -np.logaddexp(np.float32(0), -x)
-            out[index[live]] = lp.sum(2)[live]
-            miss = (bit - 1 / (1 + np.exp(-z))) * live[:, :, None]
+                z += weights[lo:hi, None, :, k] * d
+            # the odds against each bit: one power serves the probability and the gradient
+            z *= sign
+            odds = np.exp(-np.clip(z, -60, 60, out=z))
+            if scored:
+                out[index[live]] = -np.log1p(odds).sum(2)[live]
+            miss = odds / (1 + odds)
+            miss *= sign
+            miss *= live[:, :, None]
             for k, d in enumerate(parts):
-                weights[lo:hi, :, k] += rate * (miss * d).sum(1)
+                weights[lo:hi, :, k] += rate * np.einsum("ijk,ijk->ik", miss, d)
             np.clip(weights[lo:hi], -0.2, 1.5, out=weights[lo:hi])
     ends = np.empty_like(weights)
     ends[order] = weights
@@ -300,7 +326,7 @@ def fit_batches(shared):
         top, start = top_words(model), np.tile(START, (BITS, 1))
         for _, texts in C.rows_of(batches):
             t = Tokens(texts)
-            _, ends = mixed(model, t, t.contexts(top), start)
+            _, ends = mixed(model, t, t.contexts(top), start, scored=False)
             yield C.record(FITTED, np.arange(start.size, dtype=np.int32), (ends.astype(np.float64) * t.count[:, None, None]).sum(0).ravel(), np.full(start.size, float(t.count.sum())))
 
     return run
@@ -327,12 +353,13 @@ def score_batches(shared, start: np.ndarray):
         ten = np.log(10)
         top = top_words(model)
         scale = np.log10(model.total + 0.1 * (model.kinds + 1))
+        places = Places(model.h, 20)
         for batch, texts in C.rows_of(batches):
             t = Tokens(texts)
             bits = mixed(model, t, t.contexts(top), start)[0] / ten + np.log10(1 - model.new)
             leaf = (t.h >> np.uint64(64 - BITS)).astype(np.int64)
             bits -= np.log10(np.maximum(model.leaves[leaf], 1))
-            at = np.minimum(np.searchsorted(model.h, t.h), max(0, len(model.h) - 1))
+            at = places.of(t.h)
             common = model.h[at] == t.h if len(model.h) else np.zeros(len(t.h), bool)
             n = np.where(common, model.n[at] if len(model.h) else 0, 0)
             add = lambda v, m: np.bincount(t.doc[m], v[m], minlength=len(texts))
@@ -360,7 +387,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, fit_rows: int = FIT) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, fit_rows: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability), bits_per_byte of every row."""
     spark = docs.sparkSession
     texts = C.source(docs, id_col, text_col)
@@ -393,10 +420,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     spelled = added_up(counts.select("text"), spelling_tables, ORDERS * CELLS * 2)
     shared = spark.sparkContext.broadcast(vars(Model(h, n, leaves, tables, spelled, total, kinds, once)))  # arrays alone: workers need not import this package
 
-    # the distinct texts of the `fit_rows` least hashes, each once: as many at any size, however often one of them is there
-    key = F.xxhash64("text")
-    least = train.select(key.alias("k")).distinct().orderBy("k").limit(fit_rows).agg(F.max("k")).first()[0]
-    start = fitted(train.filter(key <= F.lit(least)).groupBy(key.alias("k")).agg(F.min("text").alias("text")).select("text"), shared)
+    taught = train.select("text")
+    if fit_rows is not None:  # the distinct texts of that many least hashes, each once
+        key = F.xxhash64("text")
+        least = train.select(key.alias("k")).distinct().orderBy("k").limit(fit_rows).agg(F.max("k")).first()[0]
+        taught = train.filter(key <= F.lit(least)).groupBy(key.alias("k")).agg(F.min("text").alias("text")).select("text")
+    start = fitted(taught, shared)
     scored = C.map_arrow(texts, score_batches(shared, start), SCORED_SQL)
     scored = C.staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     shared.destroy()  # from here on the staged files are read

@@ -54,3 +54,33 @@ def test_copies_weigh_once_in_the_fit(spark):
     finally:
         lm_scoring.fitted = fitted
     assert len(seen[0]) == 10 == len(set(seen[0]))
+
+
+def test_weights_are_fitted_on_every_training_text(spark):
+    taught = [i for i in range(6000) if __import__("zlib").crc32(str(i).encode()) % 10 != 0][:5000]
+    df = spark.createDataFrame([(i, f"w{i} a") for i in taught], "doc_id long, text string")
+    seen = []
+    fitted = lm_scoring.fitted
+
+    def spy(texts, shared):
+        seen.append(texts.distinct().count())
+        return fitted(texts, shared)
+
+    lm_scoring.fitted = spy
+    try:
+        lm_scoring.lm_scores(df).count()
+    finally:
+        lm_scoring.fitted = fitted
+    assert seen == [5000]
+
+
+def test_places_are_those_of_a_sorted_search():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 255, 5000):
+        held = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        asked = np.concatenate((held, rng.integers(0, 1 << 64, 3000, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+        for bits in (4, 16):
+            got = lm_scoring.Places(held, bits).of(asked)
+            assert (got == np.minimum(np.searchsorted(held, asked), max(0, len(held) - 1))).all()
