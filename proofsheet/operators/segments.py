@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,30 +98,46 @@ def prune_covers(covers: DataFrame, key: str, cover: str, score: str, expected:
     (nearer than min_len) goes; at ties the one whose removal leaves the gap closest to the median of the gaps that are long
     enough (min_len if there is none), then the lowest score.
 
-    Each removal depends on the one before, so a submission (tens of covers) is one group in pandas.
+    Each removal depends on the one before, so a submission's covers (tens) are one array, walked as a list of numbers;
+    rows without a number as cover stay away from it and are kept.
     """
-    import pandas as pd
-
-    schema = covers.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cover).reset_index(drop=True)
-        while len(pdf) and pd.notna(pdf[expected].iloc[0]) and len(pdf) > pdf[expected].iloc[0]:
-            pages = pdf[cover].tolist()
-            gaps = [b - a for a, b in zip(pages, pages[1:])]
-            long_enough = [g for g in gaps if g >= min_len]
-            typical = pd.Series(long_enough).median() if long_enough else min_len
-            options = []
-            for i in range(1, len(pages)):
-                if gaps[i - 1] < min_len:
-                    merged = gaps[i - 1] + (gaps[i] if i < len(gaps) else 0)
-                    options.append((gaps[i - 1], abs(merged - typical), pdf[score].iloc[i], i))
-            if not options:
-                break
-            pdf = pdf.drop(index=min(options)[3]).reset_index(drop=True)
-        return pdf
-
-    return covers.groupBy(key).applyInPandas(run, schema)
+    @F.pandas_udf("array<int>")
+    def left_covers(pages: pd.Series, scores: pd.Series, wanted: pd.Series) -> pd.Series:
+        """Numbers of the covers that stay; null for null."""
+        from bisect import bisect_left, insort
+
+        def of(page: list, score: list, wanted: float) -> list[int]:
+            left = list(range(len(page)))
+            gaps = [0, *(b - a for a, b in zip(page, page[1:]))]  # of each cover to the one before
+            long_enough = sorted(g for g in gaps[1:] if g >= min_len)
+            while len(left) > wanted:
+                least = min((g for g in gaps[1:] if g < min_len), default=None)
+                if least is None:
+                    break
+                n = len(long_enough)
+                typical = (long_enough[(n - 1) // 2] + long_enough[n // 2]) / 2 if n else min_len
+                ahead = [*gaps[1:], 0]
+                i = min((abs(least + ahead[i] - typical), score[left[i]], i) for i in range(1, len(gaps)) if gaps[i] == least)[2]
+                del left[i]
+                gap = gaps.pop(i)
+                if i < len(gaps):
+                    if gaps[i] >= min_len:
+                        del long_enough[bisect_left(long_enough, gaps[i])]
+                    gaps[i] += gap
+                    if gaps[i] >= min_len:
+                        insort(long_enough, gaps[i])
+            return left
+
+        return pd.Series([None if p is None else of(p.tolist(), s.tolist(), w) for p, s, w in zip(pages, scores, wanted)], dtype=object)
+
+    others = [c for c in covers.columns if c not in (key, cover, score)]
+    rows = covers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(cover, score, *others))).alias("__rows"))
+    wanted = F.get("__rows", F.lit(0))[expected].cast("double")
+    surplus = F.size("__rows") > wanted
+    kept = left_covers(F.when(surplus, F.col(f"__rows.{cover}")), F.when(surplus, F.col(f"__rows.{score}")), wanted)
+    rows = rows.withColumn("__kept", kept)
+    left = F.when(F.col("__kept").isNull(), F.col("__rows")).otherwise(F.transform("__kept", lambda i: F.get("__rows", i)))
+    return rows.select(key, F.inline(left)).select(*covers.columns)
 
 
 def segment_documents(pages: DataFrame, keys: list[str], order: str, kind: str, in_top: str, default: str = "contract") -> DataFrame:

@@ -122,6 +122,27 @@ def test_prune_covers(spark):
     assert sorted(r.page for r in segments.prune_covers(df, "k", "page", "score", "expected").collect()) == [178, 186, 193, 201, 209, 216]
 
 
+def test_prune_covers_deals_submissions_in_batches(spark):
+    rows = [(k, p, float(p % 7), len(set(pages)) - k % 4) for k in range(60) for pages in [[(k * 7 + i * i * 3 % 11 + i * 4) for i in range(9)]] for p in sorted(set(pages))] + [(99, 1, 1.0, None), (99, 2, 1.0, None)]
+    df = segments.prune_covers(spark.createDataFrame(rows, "k int, page int, score double, expected int"), "k", "page", "score", "expected")
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+    def left(own, wanted):
+        own = sorted(own)
+        while wanted is not None and len(own) > wanted:
+            gaps = [b[0] - a[0] for a, b in zip(own, own[1:])]
+            far = sorted(g for g in gaps if g >= 5)
+            typical = (far[(len(far) - 1) // 2] + far[len(far) // 2]) / 2 if far else 5
+            options = [(gaps[i - 1], abs(gaps[i - 1] + (gaps[i] if i < len(gaps) else 0) - typical), own[i][1], i) for i in range(1, len(own)) if gaps[i - 1] < 5]
+            if not options:
+                break
+            del own[min(options)[3]]
+        return own
+
+    want = [(k, p) for k in {r[0] for r in rows} for p, _ in left([(r[1], r[2]) for r in rows if r[0] == k], next(r[3] for r in rows if r[0] == k))]
+    assert sorted((r.k, r.page) for r in df.collect()) == sorted(want)
+
+
 def test_line_grouping_is_the_greedy_fold(spark):
     rng = random.Random(4)
     pages = [[(rng.randint(0, 50), rng.randint(0, 60), i) for i in range(rng.randint(1, 15))] for _ in range(60)]
