@@ -106,37 +106,40 @@ def findings(people: DataFrame) -> DataFrame:
     if "located" not in people.columns:
         people = people.withColumn("located", F.array(*map(F.lit, HEADERS)))
     lacking = F.array_except(F.array(*map(F.lit, NEEDED)), F.col("located"))
-    blind = people.filter(F.size(lacking) > 0).groupBy("case_id").agg(F.first(lacking).alias("rows"))
-    people = people.filter(F.size(lacking) == 0)
-    has = lambda f: F.array_contains("located", f)
-    person, total = people.filter("not is_total"), people.filter("is_total")
-    label = F.coalesce(F.nullif(T.text_of(F.col("stt")), F.lit("")), F.lit("?"))
-    p = person.withColumn("label", label)
+    # people are read once: each is a row for its case and, for each of its keys, a row for those who share it
+    people = people.withColumn("__lacking", lacking).withColumn("__whole", F.size("__lacking") == 0)
+    person = F.col("__whole") & ~F.col("is_total")
+    keyed = [F.when(person, F.struct(F.lit(key).alias("kind"), T.digits(F.col(key)).alias("digits"))) for key in ("cccd", "mst", "account")]
+    case = F.struct(F.lit("").alias("kind"), F.lit("").alias("digits"))
+    x = people.withColumn("__k", F.explode(F.filter(F.array(case, *keyed), lambda k: (k["kind"] == "") | (k["digits"] != ""))))
+    base = F.col("__k.kind") == ""
+    person, total, has = person & base, F.col("__whole") & F.col("is_total") & base, lambda f: F.array_contains("located", f)
+    place = F.struct("row", F.coalesce(F.nullif(T.text_of(F.col("stt")), F.lit("")), F.lit("?")).alias("label"))
     gross, pit, net = (V.money(F.col(c)) for c in ("gross", "pit", "net"))
     state = amount_check(gross, pit, net)
-    listed = lambda df, code: df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("row", "label"))).alias("x")).select("case_id", F.lit(code).alias("code"), F.col("x.label").alias("rows"))
-    out = [
-        listed(p.filter(state == "missing"), "amount-missing"),
-        listed(p.filter(state == "mismatch"), "formula-mismatch"),
-        listed(p.filter(F.length(T.digits(F.col("cccd"))) != 12), "cccd-format"),
-        listed(p.filter(has("dob") & ~V.is_roster_date(F.col("dob"))), "dob-format"),
-        listed(p.filter(has("account") & (T.digits(F.col("account")) == "")), "account-missing"),
-        blind.select("case_id", F.lit("missing-columns").alias("code"), "rows"),
-    ]
-    for key in ("cccd", "mst", "account"):
-        k = F.when(T.digits(F.col(key)) != "", F.concat_ws("|", "case_id", T.digits(F.col(key))))
-        shared = shared_keys(p, k, "label", "row").withColumn("case_id", F.substring_index("key", "|", 1))
-        out.append(shared.groupBy("case_id").agg(F.array_sort(F.collect_list("rows")).alias("rows")).select("case_id", F.lit(f"duplicate-{key}").alias("code"), "rows"))
-    cases = people.select("case_id").distinct()
+    tests = {
+        "amount-missing": state == "missing", "formula-mismatch": state == "mismatch", "cccd-format": F.length(T.digits(F.col("cccd"))) != 12,
+        "dob-format": has("dob") & ~V.is_roster_date(F.col("dob")), "account-missing": has("account") & (T.digits(F.col("account")) == ""),
+    }
+    x = x.groupBy("case_id", "__k").agg(
+        *(F.sort_array(F.collect_list(F.when(person & t, place))).alias(code) for code, t in tests.items()),
+        F.first(F.when(base & ~F.col("__whole"), F.col("__lacking")), ignorenulls=True).alias("blind"), F.count(F.when(person, 1)).alias("persons"), F.count(F.when(total, 1)).alias("totals"),
+        *(F.min_by(F.when(total, F.col(c)), F.when(total, F.col("row"))).alias(f"stated_{c}") for c in AMOUNTS), *(F.sum(F.when(person, F.coalesce(V.money(F.col(c)), F.lit(0)))).alias(f"summed_{c}") for c in AMOUNTS),
+        F.sort_array(F.collect_list(F.when(~base, place))).alias("sharing"),
+    )
     none = F.array().cast("array<string>")
-    out.append(cases.join(total.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit("no-total-row").alias("code"), none.alias("rows")))
-    first_total = total.groupBy("case_id").agg(*(F.min_by(c, "row").alias(c) for c in AMOUNTS))
+    found = lambda code, rows, holds: F.when(holds, F.struct(F.lit(code).alias("code"), rows.alias("rows")))
+    out = [found(code, F.col(f"`{code}`.label"), F.size(F.col(f"`{code}`")) > 0) for code in tests]
+    out += [found("missing-columns", F.col("blind"), F.col("blind").isNotNull()), found("no-total-row", none, (F.col("persons") > 0) & (F.col("totals") == 0))]
     for c in AMOUNTS:
-        stated = first_total.withColumn("amount", V.money(F.col(c)))
-        t = control_totals(person, ["case_id"], V.money(F.col(c)), stated, "amount")
-        out.append(t.filter("stated is null").select("case_id", F.lit(f"total-missing-{c}").alias("code"), none.alias("rows")))
-        out.append(t.filter("status = 'no'").select("case_id", F.lit(f"total-mismatch-{c}").alias("code"), F.array(F.col("gap").cast("string")).alias("rows")))
-    return plain_unions(reduce(DataFrame.unionByName, out))
+        stated, summed = V.money(F.col(f"stated_{c}")), F.col(f"summed_{c}")
+        out.append(found(f"total-missing-{c}", none, (F.col("totals") > 0) & stated.isNull()))
+        out.append(found(f"total-mismatch-{c}", F.array((summed - stated).cast("string")), (F.col("totals") > 0) & (summed != stated)))
+    own = F.when(F.col("__k.kind") == "", F.array_compact(F.array(*out)))
+    shared = F.when(F.size("sharing") > 1, F.array(F.struct(F.concat(F.lit("duplicate-"), F.col("__k.kind")).alias("code"), F.array(F.array_join("sharing.label", "+")).alias("rows"))))
+    each = x.select("case_id", F.inline(F.coalesce(own, shared)))
+    # groups that share a number come one by one; every other code is there once a case
+    return each.groupBy("case_id", "code").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("many"), F.first("rows").alias("one")).select("case_id", "code", F.when(F.startswith("code", F.lit("duplicate-")), F.col("many")).otherwise(F.col("one")).alias("rows"))
 
 
 #: What a heading of the name column holds.
