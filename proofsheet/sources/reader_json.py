@@ -20,11 +20,14 @@ def reader_words(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
     for path, name in (("$.data.documents", "d"), ("$.ocr_data", "g"), ("$.value", "i")):
         x = x.select(*keys, *(c for c in ("d_at", "g_at") if c in x.columns), F.posexplode(every(F.col("v"), path)).alias(f"{name}_at", "v"))
     field = lambda name, kind: F.try_variant_get(F.col("v"), f"$.{name}", kind)
-    corners = field("coordinates", "array<double>")
+    # parts are taken out of an item once; behind the explode they are plain columns, however often they are used
+    taken = F.struct(field("coordinates", "array<double>").alias("__corners"), field("extracted_value", "string").alias("__value"), field("text", "string").alias("__text"), field("extracted_prob", "double").alias("__prob"), field("confidence", "double").alias("__confidence"))
+    x = x.select(*keys, F.struct("d_at", "g_at", "i_at").alias("at"), F.inline(F.array(taken)))
+    corners = F.col("__corners")
     box = F.when(F.size(corners) == 4, packets.box_of(*(F.get(corners, F.lit(i)) for i in range(4))))
-    text = F.trim(F.coalesce(field("extracted_value", "string"), field("text", "string"), F.lit("")))
-    sure = F.coalesce(field("extracted_prob", "double"), field("confidence", "double"), F.lit(1.0)) * 100
-    x = x.select(*keys, F.struct("d_at", "g_at", "i_at").alias("at"), text.alias("text"), box.alias("b"), sure.alias("conf")).filter((F.col("text") != "") & F.col("b").isNotNull())
+    text = F.trim(F.coalesce("__value", "__text", F.lit("")))
+    sure = F.coalesce("__prob", "__confidence", F.lit(1.0)) * 100
+    x = x.select(*keys, "at", text.alias("text"), box.alias("b"), sure.alias("conf")).filter((F.col("text") != "") & F.col("b").isNotNull())
     return x.select(*keys, "at", "text", "b.x", "b.y", F.col("b.width").alias("w"), F.col("b.height").alias("h"), "conf")
 
 
