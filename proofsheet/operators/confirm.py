@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofsheet.functions import text as T
-from proofsheet.functions.session import plain_unions
 from proofsheet.operators import evaluate, quotes
 
 NAME_STT = 1
@@ -18,16 +17,17 @@ def confirmed_names(packets: DataFrame, candidates: DataFrame, keys: list[str])
 
     packets: keys, expected (blank or null: nobody is looked for); candidates: keys, doc_ord, doc_id, kind, page, place,
     text, the lines near a label of identity (extract.name_candidates). A line holds the name if a stretch of its words,
-    two more or fewer than the name's, is at least 0.9 like it. Lines with the name's very words never reach Python.
+    two more or fewer than the name's, is at least 0.9 like it. Lines with the name's very words reach Python as nulls.
     """
     column = F.create_map(*(F.lit(x) for name, kinds in evaluate.DOCUMENT_KINDS.items() for k in kinds for x in (k, name)))
     asked = packets.select(*keys, T.fold_words(F.col("expected")).alias("__name")).filter("__name <> ''")
-    lines = candidates.select(*keys, "doc_ord", "doc_id", column[F.col("kind")].alias("document"), "page", "place", T.fold_words(F.col("text")).alias("__text"))
+    # behind the explode a folded line is a plain column: filters and branches do not fold it again
+    lines = candidates.select(*keys, "doc_ord", "doc_id", column[F.col("kind")].alias("document"), "page", "place", F.explode(F.array(T.fold_words(F.col("text")))).alias("__text"))
     both = lines.filter("__text <> '' and document is not null").join(asked, keys)
     told = F.contains(F.concat(F.lit(" "), "__text", F.lit(" ")), F.concat(F.lit(" "), "__name", F.lit(" ")))
-    same = both.filter(told).withColumn("ratio", F.lit(1.0))
-    alike = both.filter(~told).withColumn("ratio", quotes.best_window(F.split("__text", " "), F.col("__name"))["ratio"]).filter("ratio is not null")
-    hits = plain_unions(same).unionByName(alike)
+    open_ = lambda c: F.when(~told, c)
+    alike = quotes.best_window(open_(F.split("__text", " ")), open_(F.col("__name")))["ratio"]
+    hits = both.withColumn("__alike", alike).withColumn("ratio", F.when(told, 1.0).otherwise(F.col("__alike"))).filter("ratio is not null")
     first = F.min(F.struct("doc_ord", "place", "doc_id", "page", "ratio"))
     return hits.groupBy(*keys, "document").agg(first.alias("h")).select(*keys, "document", "h.doc_id", "h.page", "h.place", "h.ratio")
 
