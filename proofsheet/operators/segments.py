@@ -208,14 +208,22 @@ def classify_page(text: Column, phrases=TITLE_PHRASES, words=TITLE_WORDS, marks=
     return out
 
 
+def ordered_by(words: Column, field: str) -> Column:
+    """Structs by one of their numbers, ascending, in their order at ties; the key and the place are compared, not an expression."""
+    def of(own: Column) -> Column:
+        keyed = F.sort_array(F.transform(own, lambda w, i: F.struct(w[field].alias("k"), i.alias("i"))))
+        return F.transform(keyed, lambda k: F.get(own, k["i"]))
+
+    return F.element_at(F.transform(F.array(words), of), 1)
+
+
 def group_lines(words: Column, tolerance: int = 8) -> Column:
     """Lines of words (structs with x, y), each by x: words in order of y join the line while within tolerance of its first word.
 
     The baseline is the line's first word, so this is a fold, not a gap between neighbours.
     """
-    by_y = F.array_sort(words, lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).otherwise(0))
-
-    by_x = lambda line: F.array_sort(line, lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
+    by_y = ordered_by(words, "y")
+    by_x = lambda line: ordered_by(line, "x")
     # the state is where lines start and the last baseline; words are copied once, when lines are cut
     none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(None).cast("double").alias("base"), F.lit(0).alias("i"))
 
