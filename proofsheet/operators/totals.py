@@ -35,10 +35,12 @@ def spelled_out(line: Column, below: Column) -> Column:
     own = texts(line)
 
     def amount(tokens: Column) -> Column:
-        tail = layout.rest(tokens, announced(tokens) + len(SPELLED))
+        return layout.let(announced(tokens), lambda at: F.when(at.isNotNull(), behind(layout.rest(tokens, at + len(SPELLED)))))
+
+    def behind(tail: Column) -> Column:
         stop = lambda t: first(layout.upto(F.lit(0), F.size(t)), lambda i: F.contains(F.get(t, i), F.lit(")")))
         said = layout.let(tail, lambda t: layout.let(F.coalesce(stop(t), F.size(t)), lambda n: F.concat(F.slice(t, F.lit(1), n), F.array(F.coalesce(F.split_part(F.get(t, n), F.lit(")"), F.lit(1)), F.lit(""))))))
-        return F.when(announced(tokens).isNotNull(), quotes.spelled_amount(F.array_join(said, " ")))
+        return quotes.spelled_amount(F.array_join(said, " "))
 
     return layout.let(F.when(announced(own).isNotNull() & closes(own), own).otherwise(F.concat(own, more)), amount)
 
@@ -53,7 +55,7 @@ def total_reads(pages: DataFrame, keys: list[str]) -> DataFrame:
     each = F.transform("lines", lambda line, i: F.struct(i.alias("line_no"), line.alias("line"), F.slice(F.filter("lines", lambda m: F.array_min(y(m)) > F.array_max(y(line))), F.lit(1), F.lit(GOES_ON)).alias("below")))
     whole = F.array_join(layout.folded(F.col("line")), " ")
     x = pages.select(*keys, F.inline(each)).filter(F.greatest(*(F.contains(whole, F.lit(a)) for a in LABELS)))
-    reads = lambda w: V.money_token(w["text"])
+    reads = lambda w: F.when(w["text"].rlike("[0-9]"), V.money_token(w["text"]))  # noqa: E731  (most words have no digit)
     x = x.withColumn("words", spelled_out(F.col("line"), F.col("below"))).withColumn("__money", first("line", lambda w: reads(w).isNotNull()))
     x = x.withColumn("digits", V.money_token(F.col("__money.text")))
     unsure = F.col("digits").isNull() & F.col("words").isNotNull()
