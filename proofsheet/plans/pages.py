@@ -116,11 +116,11 @@ def quote_boxes(spark, sf_dir):
     sixteenth conversation with a strange letter at the front (near hits), of every other sixteenth with a digit (none)."""
     word = lambda w, i: F.struct(w.alias("text"), (i * 10).alias("x"), F.lit(0).alias("y"), F.lit(8).alias("w"), F.lit(4).alias("h"))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(F.split(T.text_of(F.col("text")), r"\s+"), word).alias("words"))
-    told = F.filter(F.transform("words", lambda w: T.fold_words(w["text"])), lambda x: x != "")
-    said = F.array_join(F.slice(told, 1, 12), " ")
+    told = F.filter(T.fold_each(F.transform("words", lambda w: w["text"])), lambda x: x != "")
     front = F.when(F.col("conv_id") % 16 == 1, "ж").when(F.col("conv_id") % 16 == 2, "7")
-    quote = F.when(front.isNotNull(), F.concat(front, F.substring(said, 2, 1 << 30))).otherwise(said)
-    own = c.select("conv_id", F.struct("conv_id", "turn").alias("id"), F.when(F.size(told) >= 8, quote).alias("quote"), (F.col("turn") + 1).alias("claimed"))
+    quote = lambda said: F.when(front.isNotNull(), F.concat(front, F.substring(said, 2, 1 << 30))).otherwise(said)
+    asked = layout.let(told, lambda t: F.when(F.size(t) >= 8, layout.let(F.array_join(F.slice(t, 1, 12), " "), quote)))
+    own = c.select("conv_id", F.struct("conv_id", "turn").alias("id"), asked.alias("quote"), (F.col("turn") + 1).alias("claimed"))
     found = quotes.place_quotes(own, c, "conv_id", "id", "quote", "claimed", "turn", "words")
     return found.select("id.conv_id", "id.turn", "page", "exact", "ratio", "box.x", "box.width")
 
