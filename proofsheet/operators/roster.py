@@ -36,18 +36,31 @@ NEEDED = ("cccd", "gross", "pit", "net")
 SHEET = ["case_id", "sheet"]
 
 
+def is_numbered() -> Column:
+    """Whether a row's first cell is a number."""
+    return F.trim(T.text_of(F.get("cells", F.lit(0)))).rlike("^[0-9]+$")
+
+
+def first_data(numbered: Column | None = None) -> Column:
+    """Aggregate: the first numbered row of a sheet; beyond the last row if there is none."""
+    return F.coalesce(F.min(F.when(is_numbered() if numbered is None else numbered, F.col("row"))), F.max("row") + 1)
+
+
+def fields_of(cell: Column) -> Column:
+    """The fields that a folded header names."""
+    return F.filter(F.array(*(F.when(cell.rlike(p), F.lit(f)) for f, p in HEADERS.items())), lambda x: x.isNotNull())
+
+
 def first_data_rows(rows: DataFrame) -> DataFrame:
     """case_id, sheet, first_data: the first row whose first cell is a number; beyond the last row if there is none."""
-    numbered = F.trim(T.text_of(F.get("cells", F.lit(0)))).rlike("^[0-9]+$")
-    return rows.groupBy(*SHEET).agg(F.coalesce(F.min(F.when(numbered, F.col("row"))), F.max("row") + 1).alias("first_data"))
+    return rows.groupBy(*SHEET).agg(first_data().alias("first_data"))
 
 
 def locate_columns(rows: DataFrame) -> DataFrame:
     """case_id, sheet, field, col: for each field its first header cell, by row then column, above the first data row."""
     head = rows.join(first_data_rows(rows), SHEET).filter("row < first_data")
     cells = head.select(*SHEET, "row", F.posexplode("cells").alias("col", "cell")).withColumn("cell", T.fold_label(F.col("cell")))
-    fields = F.filter(F.array(*(F.when(F.col("cell").rlike(p), F.lit(f)) for f, p in HEADERS.items())), lambda x: x.isNotNull())
-    hits = cells.filter("cell <> ''").select(*SHEET, "row", "col", F.explode(fields).alias("field"))
+    hits = cells.filter("cell <> ''").select(*SHEET, "row", "col", F.explode(fields_of(F.col("cell"))).alias("field"))
     return hits.groupBy(*SHEET, "field").agg(F.min(F.struct("row", "col")).alias("at")).select(*SHEET, "field", "at.col")
 
 
