@@ -12,7 +12,7 @@ def plan(spark, name):
     return catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["criteria_read"])
+@pytest.mark.parametrize("name", ["criteria_read", "packet_rollup"])
 def test_no_side_can_be_broadcast(spark, name):
     assert "Join" not in plan(spark, name)
 
@@ -36,3 +36,15 @@ def test_the_worst_copy_decides(spark):
     sources = spark.createDataFrame([("c", k, "mst", d, v, n) for k, two in reads.items() for d, (v, n) in zip("ab", two)], "case_id string, packet int, field_key string, doc_id string, value string, near string")
     cells = evaluate.evaluate(people, docs, sources).filter(f"stt = 5 and document = '{evaluate.CONTRACT}'")
     assert {r.packet: (r.status, r.pending_reason) for r in cells.collect()} == {0: ("rv", None), 1: ("no", None), 2: ("rv", None), 3: ("pending", "unread")}
+
+
+def test_a_rollup_gathers_no_cells(spark):
+    text = plan(spark, "packet_rollup")
+    assert text.count("collect_list") <= 6  # what is known of a packet, named twice by the aggregation: cells were gathered by criterion and by packet
+
+
+def test_rollup_names_documents(spark):
+    rows = [(1, "Excel", "missing"), (1, evaluate.BBNT, "missing"), (2, evaluate.CONTRACT, "missing"), (2, evaluate.BBNT, "ok"), (3, evaluate.COMMITMENT, "na"), (4, evaluate.LISTING, "pending")]
+    cells = spark.createDataFrame([("c", 0, *r) for r in rows] + [("c", 1, 3, evaluate.COMMITMENT, "rv"), ("c", 2, 3, "Excel", "na")], "case_id string, packet int, stt int, document string, status string")
+    got = {r.packet: (r.findings, r.ai_status, r.span, r.missing, r.has_commitment) for r in evaluate.packet_rollup(cells).collect()}
+    assert got == {0: (2, "missing", 3, sorted([evaluate.BBNT, evaluate.CONTRACT]), False), 1: (0, "rv", 1, [], True), 2: (0, "na", 0, [], False)}
