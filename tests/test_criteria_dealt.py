@@ -12,7 +12,7 @@ def plan(spark, name):
     return catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["criteria_read", "packet_rollup", "criteria_matrix", "cell_actions"])
+@pytest.mark.parametrize("name", ["criteria_read", "packet_rollup", "criteria_matrix", "cell_actions", "criteria_all"])
 def test_no_side_can_be_broadcast(spark, name):
     assert "Join" not in plan(spark, name)
 
