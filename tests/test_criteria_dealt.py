@@ -48,3 +48,8 @@ def test_rollup_names_documents(spark):
     cells = spark.createDataFrame([("c", 0, *r) for r in rows] + [("c", 1, 3, evaluate.COMMITMENT, "rv"), ("c", 2, 3, "Excel", "na")], "case_id string, packet int, stt int, document string, status string")
     got = {r.packet: (r.findings, r.ai_status, r.span, r.missing, r.has_commitment) for r in evaluate.packet_rollup(cells).collect()}
     assert got == {0: (2, "missing", 3, sorted([evaluate.BBNT, evaluate.CONTRACT]), False), 1: (0, "rv", 1, [], True), 2: (0, "na", 0, [], False)}
+
+
+def test_payloads_are_not_sorted_for_a_join(spark):
+    text = catalog.QUERIES["matrix_payloads"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Join") == text.count("ShuffledHashJoin") > 0
